@@ -187,3 +187,191 @@ def excluded_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.concat(F.lit("u"), F.col("uid").cast("string")).alias("user_id"))
         .distinct()
     )
+
+
+# ---------------------------------------------------------------------------
+# Monitor inputs (FIXTURES §3). Each adapter only re-shapes driver rows into
+# the documents / tables the monitors read.
+# ---------------------------------------------------------------------------
+
+# The eight probed tasks, in catalogue order.
+PROBED_TASKS = [
+    "summarization",
+    "smart-reply",
+    "pickup-intent",
+    "email-smart-reply",
+    "message-generation",
+    "message-improvisation",
+    "email-generation",
+    "email-improvisation",
+]
+
+
+def _provider() -> Column:
+    return F.concat(F.lit("p"), (F.col("uid") % 2).cast("string"))
+
+
+def billing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One billing-summary JSON document per (provider, UTC day) built from
+    purchase events; the amount column is chosen by ``k % 5``."""
+    from milepost.sources.documents import AMOUNT, BILL_FIELDS
+
+    ev = raw_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    amount = F.col("value").cast(AMOUNT)
+    daily = ev.groupBy(_provider().alias("provider"), F.to_date("ts").alias("day")).agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("k") % 5 == i, amount)), F.lit(0).cast(AMOUNT)).cast(AMOUNT).alias(f)
+            for i, f in enumerate(BILL_FIELDS)
+        ]
+    )
+    record = F.struct(
+        F.date_format(F.col("day").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
+        *[F.col(f) for f in BILL_FIELDS],
+    )
+    doc = F.struct(
+        F.struct(F.struct(F.struct(F.array(record).alias("summary")).alias("billing")).alias("myself")).alias("data")
+    )
+    return daily.select("provider", F.to_json(doc).alias("body"))
+
+
+def app_cost_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cost document per (app, month): ``{"costs": {day: {total_cost_cents}}}``.
+
+    app = 'app' || k % 6, project = 'prj' || k % 3; app3 has no entry on
+    days of the month divisible by 7, so missing days exist.
+    """
+    from milepost.sources.documents import AMOUNT, CENTS
+
+    ev = raw_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    app = F.concat(F.lit("app"), (F.col("k") % 6).cast("string"))
+    project = F.concat(F.lit("prj"), (F.col("k") % 3).cast("string"))
+    day = F.to_date("ts")
+    daily = (
+        ev.groupBy(app.alias("app"), project.alias("project"), day.alias("day"))
+        .agg((F.sum(F.col("value").cast(AMOUNT)) * 100).cast(CENTS).alias("cents"))
+        .filter(~((F.col("app") == "app3") & (F.dayofmonth("day") % 7 == 0)))
+    )
+    entry = F.struct(
+        F.date_format("day", "yyyy-MM-dd").alias("key"), F.struct(F.col("cents").alias("total_cost_cents")).alias("value")
+    )
+    docs = daily.groupBy("app", "project", F.date_trunc("month", F.col("day").cast("timestamp")).alias("_m")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("costs")
+    )
+    return docs.select("app", "project", F.to_json(F.struct("costs")).alias("body"))
+
+
+def _endpoint_record(c: DataFrame) -> DataFrame:
+    key = F.col("c_custkey")
+    return c.select(
+        F.col("c_nationkey").alias("snapshot_id"),
+        (key / 1000).cast("long").alias("_chunk"),
+        F.struct(
+            F.lit("AMPERE_16").alias("gpuIds"),
+            ((key % 8) + 1).cast("int").alias("gpuCount"),
+            F.lit("12.1").alias("allowedCudaVersions"),
+            key.cast("string").alias("id"),
+            F.lit(5).alias("idleTimeout"),
+            F.lit("EU-1").alias("locations"),
+            F.col("c_name").alias("name"),
+            F.lit(None).cast("string").alias("networkVolumeId"),
+            F.lit("QUEUE_DELAY").alias("scalerType"),
+            F.lit(4).alias("scalerValue"),
+            F.concat(F.lit("tpl-"), (key % 4).cast("string")).alias("templateId"),
+            ((key % 3) + 2).cast("int").alias("workersMax"),
+            F.when(key % 5 == 4, F.lit(None)).otherwise(key % 3).cast("int").alias("workersMin"),
+            F.lit(600000).cast("long").alias("executionTimeoutMs"),
+        ).alias("_e"),
+    )
+
+
+def endpoint_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint inventory documents from ``customer``: one snapshot per
+    nation, split into documents of at most 1000 endpoints. NULL fields are
+    left out of the JSON, so some records lack ``workersMin``."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    recs = _endpoint_record(c).withColumn("snapshot_time", _snapshot_time())
+    docs = recs.groupBy("snapshot_id", "snapshot_time", "_chunk").agg(F.collect_list("_e").alias("endpoints"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.col("endpoints")).alias("myself")).alias("data")))
+    return docs.select("snapshot_id", "snapshot_time", body.alias("body"))
+
+
+def _snapshot_time() -> Column:
+    return F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("snapshot_id") * 5)
+
+
+def endpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same endpoints as rows (stream input), with the snapshot poll
+    time: 2024-01-01 00:00 UTC + 5 minutes per nation key."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return endpoint_rows_from(c)
+
+
+def endpoint_rows_from(c: DataFrame) -> DataFrame:
+    recs = _endpoint_record(c)
+    return recs.select("snapshot_id", _snapshot_time().alias("snapshot_time"), "_e.*")
+
+
+def target_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target endpoint names (``c_custkey % 10 = 3``) as JSON array strings,
+    at most 100 names per string."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").filter(F.col("c_custkey") % 10 == 3)
+    lists = c.groupBy((F.col("c_custkey") / 1000).cast("long").alias("_chunk")).agg(F.collect_list("c_name").alias("names"))
+    return lists.select(F.to_json("names").alias("targets"))
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, app, raw_value): raw_value by c_custkey % 6 among
+    '30', '29', ' 30 ', 'abc', '', NULL."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = _pick(["30", "29", " 30 ", "abc", "", None], (F.col("c_custkey") % 6).cast("int"))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("app"), raw.alias("raw_value"))
+
+
+def required_fields_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, c_mktsegment, raw_value, c_name) with c_name blanked when
+    ``c_custkey % 4 = 0``."""
+    s = settings(spark, sf_dir)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name = F.when(F.col("c_custkey") % 4 == 0, F.lit("  ")).otherwise(F.col("c_name"))
+    return c.join(s, c["c_custkey"] == s["id"]).select("id", "c_mktsegment", "raw_value", name.alias("c_name"))
+
+
+def probe_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe_records_from(raw_events(spark, sf_dir))
+
+
+def probe_records_from(ev: DataFrame) -> DataFrame:
+    """Recorded probe outcomes, one per event (FIXTURES §3): provider by
+    user parity, task by ``event_id % 8``, outcome class by ``k % 10``."""
+    k = F.col("k")
+    cls = k % 10
+    task = _pick(PROBED_TASKS, (F.col("event_id") % 8).cast("int"))
+    status = F.when(cls == 0, F.lit(500)).when(cls == 1, F.lit(None)).otherwise(F.lit(200)).cast("int")
+    exc = F.when(cls == 1, F.when((k / 10).cast("int") % 2 == 0, F.lit("timeout")).otherwise(F.lit("connection")))
+    body = (
+        F.when(cls == 2, F.lit('{"res_jobs":[{"error":"IN_QUEUE"}]}'))
+        .when(cls == 3, F.lit('{"res_jobs":[]}'))
+        .when(cls == 4, F.lit('{"res_jobs":[{"error":""}]}'))
+        .when(cls >= 5, F.lit('{"res_jobs":[{"error":null}]}'))
+    )
+    return ev.select(
+        "ts",
+        _provider().alias("provider"),
+        task.alias("task"),
+        status.alias("status_code"),
+        exc.cast("string").alias("exception_type"),
+        body.alias("body"),
+    )
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events rendered as tool log lines (one ``value`` per line): level
+    CRITICAL for error events, else INFO; every tenth message contains ' - '."""
+    ev = raw_events(spark, sf_dir)
+    level = F.when(F.col("event_type") == "error", F.lit("CRITICAL")).otherwise(F.lit("INFO"))
+    msg = F.when(
+        F.col("event_id") % 10 == 0,
+        F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" - "), F.col("event_type")),
+    ).otherwise(F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" "), F.col("event_type")))
+    line = F.concat_ws(" - ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("monitor"), level, msg)
+    return ev.select(line.alias("value"))
