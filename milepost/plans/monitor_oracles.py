@@ -201,4 +201,26 @@ SELECT ts, 'probe:' || provider || ':' || task, 'critical', task || ' is not wor
         PROBES,
         CLS,
     )
+    q["stream_daily_spend"] = q["spend_severity"]
+    q["stream_latch"] = q["spend_latch"]
+    q["stream_workers"] = q["worker_threshold"]
+    q["stream_availability"] = w(
+        """SELECT date_trunc('hour', ts) AS window_start, provider, task, count(*) AS probes,
+  count(*) FILTER (WHERE NOT ok) AS failures FROM cls GROUP BY 1, 2, 3""",
+        PROBES,
+        CLS,
+    )
+    q["stream_milestones"] = stream_milestones_oracle()
     return q
+
+
+def stream_milestones_oracle() -> str:
+    from milepost.plans.oracle_sql import cet, with_ga
+    from milepost.plans.stream_registry import STREAM_SPECS
+
+    cols = []
+    for m in STREAM_SPECS:
+        cond = f"event_name LIKE '{m.like}'" if m.like else f"event_name = '{m.event}'"
+        cols.append(f"{cet(f'min(event_timestamp) FILTER (WHERE {cond})')} AS {m.column}_first")
+        cols.append(f"{cet(f'max(event_timestamp) FILTER (WHERE {cond})')} AS {m.column}_latest")
+    return with_ga("SELECT user_pseudo_id, " + ", ".join(cols) + " FROM ga GROUP BY user_pseudo_id")

@@ -142,6 +142,9 @@ def all_queries() -> dict[str, Query]:
     except ImportError:  # pragma: no cover - while building
         MONITOR_QUERIES = {}
     out.update(MONITOR_QUERIES)
+    from milepost.plans.stream_registry import STREAM_QUERIES
+
+    out.update(STREAM_QUERIES)
 
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
