@@ -67,8 +67,16 @@ def screen_recency(ev: DataFrame, as_of, hours=(24, 48, 72)) -> DataFrame:
 
 
 def any_location(ev: DataFrame) -> DataFrame:
-    """One city per user (smallest non-NULL; the source takes any value)."""
-    return ev.groupBy(USER).agg(F.min(F.col("geo.city")).alias("location"))
+    """One city per user (smallest non-NULL; the source takes any value).
+
+    (user, city) pairs are deduplicated first with a hash aggregate (string
+    keys are fine there); only the few pairs reach the MIN over strings,
+    which Spark runs as a sort-based aggregate.
+    """
+    pairs = ev.groupBy(USER, F.col("geo.city").alias("location")).agg(F.count(F.lit(1)).alias("_n"))
+    # Referencing the pair count keeps Catalyst from folding the DISTINCT
+    # step into the MIN (it would, MIN being duplicate-insensitive).
+    return pairs.groupBy(USER).agg(F.min(F.when(F.col("_n") > 0, F.col("location"))).alias("location"))
 
 
 def event_count(ev: DataFrame, event_name: str = fam.USER_FACING_ERROR, column: str = "user_error_count") -> DataFrame:

@@ -75,13 +75,20 @@ def latest_milestones(ev: DataFrame, specs: list[Milestone], with_identity: bool
     name, params = F.col("event_name"), F.col("event_params")
     rows = ev.filter(F.size(params) > 0)
     ts = event_time()
-    aggs = []
-    if with_identity:
-        # ANY_VALUE ignores NULLs; the smallest non-NULL value is one legal,
-        # deterministic choice.
-        aggs += [F.min("user_id").alias("User_ID"), F.min(F.col("geo.city")).alias("Location")]
-    aggs += [F.max(F.when(m.predicate(name, params), ts)).alias(m.column) for m in specs]
-    return rows.groupBy(USER).agg(*aggs)
+    aggs = [F.max(F.when(m.predicate(name, params), ts)).alias(m.column) for m in specs]
+    latest = rows.groupBy(USER).agg(*aggs)
+    if not with_identity:
+        return latest
+    # ANY_VALUE ignores NULLs; the smallest non-NULL value is one legal,
+    # deterministic choice. String MIN needs a sort-based aggregate, so the
+    # (user, id, city) triples are deduplicated by a hash aggregate first
+    # (the count keeps Catalyst from folding that step away).
+    triples = rows.groupBy(USER, "user_id", F.col("geo.city").alias("city")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = F.col("_n") > 0
+    ident = triples.groupBy(USER).agg(
+        F.min(F.when(seen, F.col("user_id"))).alias("User_ID"), F.min(F.when(seen, F.col("city"))).alias("Location")
+    )
+    return ident.join(latest, USER)
 
 
 def first_event(ev: DataFrame, family: EventFamily, column: str) -> DataFrame:

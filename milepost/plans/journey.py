@@ -1,8 +1,10 @@
 """User-journey report (21 columns), fused and joined plans.
 
-``user_journey`` is the plan to run at scale: two scans of the event
-table, a two-level aggregation (user x day, then user) and one n-th-event
-window, joined once on the user key. ``user_journey_joined`` keeps the
+``user_journey`` is the plan to run at scale: one hash aggregation of all
+events per (user, UTC day) then per user (fixed-width buffers only), one
+n-th-event window over the family events, and two narrow side
+aggregations for the string attributes (city, verified user id), all
+joined on the user key, which every side is already partitioned by. ``user_journey_joined`` keeps the
 shape of the source report (one side table per column group, eleven left
 joins) and serves as its checker; both must return identical rows.
 """
@@ -69,8 +71,6 @@ def user_journey(
         "event_timestamp",
         "event_id",
         "event_name",
-        "user_id",
-        F.col("geo.city").alias("_city"),
         np_.alias("_np"),
         in_cohort.alias("_c"),
     )
@@ -85,14 +85,12 @@ def user_journey(
     l1 = base.groupBy(USER, "event_date").agg(
         F.max(c).alias("_cohort"),
         *first_aggs,
-        F.min("_city").alias("_city"),
         F.max(F.when(npc > 0, ts)).alias("last_screen_view"),
         F.sum(npc).alias("_screen_rows"),
         *[F.sum(F.when(ts >= hours_before(as_of, h), npc)).alias(f"_sv{h}") for h in hours],
         *[F.min(F.when(f.predicate(name), ts)).alias(col) for f, col in JOURNEY_FIRST_OF],
         F.count(name).alias("_named"),
         F.count(F.when(name == fam.USER_FACING_ERROR, F.lit(1))).alias("_errors"),
-        F.min(F.when(name == fam.PHONE_VERIFIED, F.struct("event_timestamp", "event_id", F.col("user_id").alias("v")))).alias("_uid"),
     )
 
     # Level 2: one row per user; no DISTINCT needed for the day counts.
@@ -103,7 +101,6 @@ def user_journey(
         .agg(
             F.max("_cohort").alias("_cohort"),
             *[F.min(m.column).alias(m.column) for m in JOURNEY_FIRST],
-            F.min("_city").alias("location"),
             F.max("last_screen_view").alias("last_screen_view"),
             F.sum("_screen_rows").alias("_screen_rows"),
             *[F.sum(f"_sv{h}").alias(f"_sv{h}") for h in hours],
@@ -111,13 +108,18 @@ def user_journey(
             F.count_if(named_day).alias("_days"),
             F.count_if(named_day & (F.col("event_date") >= cutoff)).alias("_recent"),
             F.sum("_errors").alias("_errors"),
-            F.min("_uid")["v"].alias("user_id"),
         )
         .filter(F.col("_cohort"))
     )
 
+    # String-valued attributes are kept out of the big aggregation: a string
+    # aggregation buffer turns HashAggregate into SortAggregate (a sort of
+    # every event). City goes through a hash DISTINCT on (user, city) first;
+    # the verified user id comes from the few verified-phone events.
     nth = ms.nth_events(ev, JOURNEY_NTH)
-    joined = l2.join(nth, USER, "left")
+    location = act.any_location(ev)
+    verified = ms.first_value_at(ev, fam.PHONE_VERIFIED, "user_id")
+    joined = l2.join(nth, USER, "left").join(location, USER, "left").join(verified, USER, "left")
 
     # The source joins side tables on the user key; a NULL key never
     # matches, so its side columns are NULL / default.

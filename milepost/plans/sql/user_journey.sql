@@ -1,11 +1,11 @@
 -- User-journey report, Spark SQL. Bind {events} to the event DataFrame and
 -- :as_of to the evaluation time. Same plan as milepost.plans.journey.user_journey:
--- one scan aggregated per (user, UTC day) and then per user, one scan ranked
--- per (user, family) for the n-th events, one join on the user key.
+-- all events hash-aggregated per (user, UTC day) and then per user (numeric
+-- buffers only), family events ranked per (user, family) for the n-th events,
+-- and two narrow side aggregates for the string attributes, joined on the user key.
 WITH base AS (
   SELECT
-    user_pseudo_id, event_date, event_timestamp, event_id, event_name, user_id,
-    geo.city AS city,
+    user_pseudo_id, event_date, event_timestamp, event_id, event_name,
     timestamp_micros(event_timestamp) AS ts,
     CASE WHEN event_name = 'screen_view'
          THEN size(filter(event_params, p -> p.key = 'firebase_screen' AND p.value.string_value IS NOT NULL))
@@ -41,7 +41,6 @@ per_day AS (
     min(CASE WHEN in_cohort AND event_name = 'onboarding_step1_registration_complete' THEN ts END) AS s2,
     min(CASE WHEN in_cohort AND event_name = 'onboarding_step7_location_complete' THEN ts END) AS s3,
     min(CASE WHEN in_cohort AND event_name LIKE 'integration_created_%' THEN ts END) AS s4,
-    min(city) AS city,
     max(CASE WHEN np > 0 THEN ts END) AS last_screen,
     sum(np) AS screen_rows,
     sum(CASE WHEN ts >= :as_of - INTERVAL 24 HOURS THEN np END) AS sv24,
@@ -50,9 +49,7 @@ per_day AS (
     min(CASE WHEN is_message THEN ts END) AS s6,
     min(CASE WHEN is_interaction THEN ts END) AS s7,
     count(event_name) AS named,
-    count_if(event_name = 'user_facing_error') AS errors,
-    min(CASE WHEN event_name = 'onboarding_step3_phone_verified_complete'
-             THEN named_struct('t', event_timestamp, 'id', event_id, 'v', user_id) END) AS first_verified
+    count_if(event_name = 'user_facing_error') AS errors
   FROM base
   GROUP BY user_pseudo_id, event_date
 ),
@@ -60,15 +57,13 @@ per_user AS (
   SELECT
     user_pseudo_id,
     min(s1) AS s1, min(s2) AS s2, min(s3) AS s3, min(s4) AS s4,
-    min(city) AS city,
     max(last_screen) AS last_screen,
     sum(screen_rows) AS screen_rows,
     sum(sv24) AS sv24, sum(sv48) AS sv48, sum(sv72) AS sv72,
     min(s6) AS s6, min(s7) AS s7,
     count_if(named > 0) AS active_days,
     count_if(named > 0 AND event_date >= date_sub(to_date(:as_of), 30)) AS recent_days,
-    sum(errors) AS errors,
-    min(first_verified).v AS verified_user_id
+    sum(errors) AS errors
   FROM per_day
   GROUP BY user_pseudo_id
   HAVING bool_or(in_cohort)
@@ -93,12 +88,29 @@ nth AS (
   FROM ranked
   WHERE rn <= 10
   GROUP BY user_pseudo_id
+),
+city_pairs AS (
+  -- hash DISTINCT first; the count keeps it from being folded into the MIN
+  SELECT user_pseudo_id, geo.city AS city, count(*) AS n
+  FROM {events}
+  GROUP BY user_pseudo_id, geo.city
+),
+location AS (
+  SELECT user_pseudo_id, min(CASE WHEN n > 0 THEN city END) AS city
+  FROM city_pairs
+  GROUP BY user_pseudo_id
+),
+verified AS (
+  SELECT user_pseudo_id, min(named_struct('t', event_timestamp, 'id', event_id, 'v', user_id)).v AS user_id
+  FROM {events}
+  WHERE event_name = 'onboarding_step3_phone_verified_complete'
+  GROUP BY user_pseudo_id
 )
 SELECT
   u.user_pseudo_id,
-  CASE WHEN u.user_pseudo_id IS NOT NULL THEN u.verified_user_id END AS user_id,
+  CASE WHEN u.user_pseudo_id IS NOT NULL THEN v.user_id END AS user_id,
   date_format(from_utc_timestamp(u.s1, 'CET'), 'yyyy-MM-dd HH:mm:ss') AS step1_first_open,
-  CASE WHEN u.user_pseudo_id IS NOT NULL THEN u.city END AS location,
+  CASE WHEN u.user_pseudo_id IS NOT NULL THEN l.city END AS location,
   CASE WHEN u.user_pseudo_id IS NOT NULL AND u.screen_rows > 0
        THEN date_format(from_utc_timestamp(u.last_screen, 'CET'), 'yyyy-MM-dd HH:mm:ss') END AS last_screen_view,
   CASE WHEN u.user_pseudo_id IS NOT NULL AND u.screen_rows > 0 THEN CAST(coalesce(u.sv24, 0) AS BIGINT) END AS screen_views_last_24h,
@@ -121,3 +133,5 @@ SELECT
   CAST(CASE WHEN u.user_pseudo_id IS NOT NULL THEN u.errors ELSE 0 END AS BIGINT) AS user_error_count
 FROM per_user u
 LEFT JOIN nth n ON u.user_pseudo_id = n.user_pseudo_id
+LEFT JOIN location l ON u.user_pseudo_id = l.user_pseudo_id
+LEFT JOIN verified v ON u.user_pseudo_id = v.user_pseudo_id
