@@ -127,23 +127,27 @@ class EventFamily:
             return F.lit(False)
         return reduce(lambda a, b: a | b, parts)
 
+    def prefixes(self) -> list[str]:
+        """Literal prefixes that every matching name starts with: the text
+        before the first wildcard of each pattern, and the text before the
+        first '_' of each exact name (kept short so the list stays small)."""
+        found = {_literal_prefix(p) for p in self.likes} | {n.split("_", 1)[0] for n in self.names}
+        # drop prefixes implied by a shorter one
+        return sorted(p for p in found if not any(q != p and p.startswith(q) for q in found))
+
     def prefilter(self, col: Column) -> Column:
-        """A superset test that Parquet can evaluate (IN / STARTS WITH).
+        """A superset test that Parquet can evaluate (STARTS WITH).
 
         ``LIKE 'receive_3p_message_%'`` pushes only IS NOT NULL because of
         the wildcard; ``startswith('receive')`` pushes as StringStartsWith.
-        Used next to :meth:`predicate`, never instead of it.
+        It shares no term with :meth:`predicate`, so Catalyst cannot factor
+        it into an OR that Parquet could not evaluate. Used next to the
+        predicate, never instead of it.
         """
-        parts = []
-        if self.names:
-            parts.append(col.isin(list(self.names)))
-        prefixes = sorted({_literal_prefix(p) for p in self.likes})
-        if "" in prefixes:
+        prefixes = self.prefixes()
+        if not prefixes or "" in prefixes:
             return col.isNotNull()
-        parts.extend(col.startswith(p) for p in prefixes)
-        if not parts:
-            return F.lit(False)
-        return reduce(lambda a, b: a | b, parts)
+        return reduce(lambda a, b: a | b, [col.startswith(p) for p in prefixes])
 
     def sql(self, col: str = "event_name") -> str:
         """The same predicate as SQL text (for the SQL-text report)."""
