@@ -65,11 +65,17 @@ def load_events(
     return df
 
 
-def write_events(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_events(df: DataFrame, path: str, mode: str = "errorifexists", partitions: int | None = None) -> None:
     """Store events partitioned by UTC day, sorted by user inside files so
-    that row-group statistics on ``user_pseudo_id`` are selective."""
+    that row-group statistics on ``user_pseudo_id`` are selective.
+
+    Range partitioning on (day, user) samples the keys, so a day holding a
+    large share of all events is split over several writer tasks instead of
+    landing in one, and each task writes few, large files.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.repartition("event_date")
+        df.repartitionByRange(n, "event_date", "user_pseudo_id")
         .sortWithinPartitions("event_date", "user_pseudo_id", "event_timestamp")
         .write.mode(mode)
         .partitionBy("event_date")

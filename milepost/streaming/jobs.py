@@ -56,26 +56,28 @@ LATCH_STATE = T.StructType([T.StructField("first_ok_day", T.DateType())])
 
 def _latch_group(key, pdfs, state: GroupState):
     """Per provider: ``activate`` on hard days up to and including the first
-    successful switch call; the state keeps that day (no reset)."""
+    successful switch call; the state keeps that day (no reset).
+
+    The provider's rows of one micro-batch are taken together (at most one
+    row per day, and the trigger's rate limit bounds a batch) and ordered by
+    day, so the order of arrival inside a batch does not matter.
+    """
+    parts = [p for p in pdfs if not p.empty]
+    if not parts:
+        return
+    pdf = pd.concat(parts, ignore_index=True).sort_values("day", kind="stable")
     first_ok = state.get[0] if state.exists else None
-    for pdf in pdfs:
-        if pdf.empty:
-            continue
-        pdf = pdf.sort_values("day", kind="stable")
-        hard = (pdf["severity"] == "hard").to_numpy()
-        ok = hard & pdf["switch_ok"].fillna(False).to_numpy(dtype=bool)
-        days = pd.to_datetime(pdf["day"]).dt.date.to_numpy()
-        if ok.any():
-            batch_first = min(days[ok])
-            first_ok = batch_first if first_ok is None else min(first_ok, batch_first)
-        if first_ok is None:
-            allowed = np.ones(len(pdf), dtype=bool)
-        else:
-            allowed = np.array([d <= first_ok for d in days], dtype=bool)
-        yield pd.DataFrame(
-            {"provider": pdf["provider"].to_numpy(), "day": days, "severity": pdf["severity"].to_numpy(), "activate": hard & allowed}
-        )
+    hard = (pdf["severity"] == "hard").to_numpy()
+    ok = hard & pdf["switch_ok"].fillna(False).to_numpy(dtype=bool)
+    days = pd.to_datetime(pdf["day"]).dt.date.to_numpy()
+    if ok.any():
+        batch_first = min(days[ok])
+        first_ok = batch_first if first_ok is None else min(first_ok, batch_first)
+    allowed = np.ones(len(pdf), dtype=bool) if first_ok is None else np.array([d <= first_ok for d in days], dtype=bool)
     state.update((first_ok,))
+    yield pd.DataFrame(
+        {"provider": pdf["provider"].to_numpy(), "day": days, "severity": pdf["severity"].to_numpy(), "activate": hard & allowed}
+    )
 
 
 def latch_stream(daily: DataFrame) -> DataFrame:
