@@ -88,7 +88,11 @@ def latest_milestones(ev: DataFrame, specs: list[Milestone], with_identity: bool
     ident = triples.groupBy(USER).agg(
         F.min(F.when(seen, F.col("user_id"))).alias("User_ID"), F.min(F.when(seen, F.col("city"))).alias("Location")
     )
-    return ident.join(latest, USER)
+    # NULL-safe: one GROUP BY in the source, so the NULL user group keeps
+    # its identity columns too.
+    ident = ident.withColumnRenamed(USER, "_u")
+    joined = latest.join(ident, latest[USER].eqNullSafe(ident["_u"]))
+    return joined.select(USER, "User_ID", "Location", *[m.column for m in specs])
 
 
 def first_event(ev: DataFrame, family: EventFamily, column: str) -> DataFrame:

@@ -42,7 +42,9 @@ def new_users(
         .select(USER)
         .distinct()
     )
-    rows = ev.join(sized_broadcast(candidates, max_broadcast_rows), USER, "left_semi")
+    cand = sized_broadcast(candidates.withColumnRenamed(USER, "_cand"), max_broadcast_rows)
+    # NULL-safe: the source groups a NULL user key as a user of its own.
+    rows = ev.join(cand, ev[USER].eqNullSafe(cand["_cand"]), "left_semi")
     latest = ms.latest_milestones(rows, specs, with_identity=True)
     kept = latest.filter(F.col(specs[0].column) >= since)
     kept = exclude_users(kept, excluded, "User_ID", "user_id", max_broadcast_rows)

@@ -25,13 +25,16 @@ def rows():
         ev("n7", "first_open", "2024-01-29T12:00:00", D, None),  # exactly as_of - 24h
         # future first_open passes (no upper bound)
         ev("n8", "first_open", "2024-02-02T12:00:00", D, "u8"),
+        # a NULL user key is one group of its own and can be a new user
+        ev(None, "first_open", "2024-01-30T09:00:00", D, None, "q"),
     ]
 
 
 def test_new_users(spark):
     excluded = spark.createDataFrame([("bad",), (None,)], "user_id string")
     out = {r["User_Pseudo_ID"]: r.asDict() for r in nu.new_users(events_df(spark, rows()), AS_OF, excluded).collect()}
-    assert set(out) == {"n1", "n2", "n7", "n8"}
+    assert set(out) == {"n1", "n2", "n7", "n8", None}
+    assert out[None]["Location"] == "q"
     assert out["n2"]["First_Open"] == "2024-01-30 02:00:00"
     n1 = out["n1"]
     assert len(n1) == 30
@@ -45,4 +48,4 @@ def test_new_users(spark):
 def test_new_users_order(spark):
     excluded = spark.createDataFrame([("bad",)], "user_id string")
     r = nu.new_users_report(events_df(spark, rows()), AS_OF, excluded).collect()
-    assert [x["User_Pseudo_ID"] for x in r] == ["n8", "n2", "n1", "n7"]
+    assert [x["User_Pseudo_ID"] for x in r] == ["n8", None, "n2", "n1", "n7"]
