@@ -158,6 +158,22 @@ class EventFamily:
         return "(" + " OR ".join(parts) + ")" if parts else "FALSE"
 
 
+def disjoint(families) -> bool:
+    """True when no event name can belong to two of the families: every
+    member of a family starts with one of its prefixes, so families whose
+    prefixes never extend one another cannot share a name."""
+    seen = []
+    for f in families:
+        pref = f.prefixes()
+        if not pref or "" in pref:
+            return False
+        for other in seen:
+            if any(a.startswith(b) or b.startswith(a) for a in pref for b in other):
+                return False
+        seen.append(pref)
+    return True
+
+
 MESSAGES = EventFamily("message", tuple(MESSAGE_NAMES), tuple(MESSAGE_LIKES))
 INTERACTIONS = EventFamily("interaction", tuple(INTERACTION_NAMES), tuple(INTERACTION_LIKES))
 NAMED_INTEGRATION = EventFamily("named_integration", tuple(NAMED_INTEGRATIONS))

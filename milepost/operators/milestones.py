@@ -123,12 +123,18 @@ def nth_events(ev: DataFrame, wanted: list[tuple[EventFamily, int, str]]) -> Dat
     """Several n-th milestones in one pass: one window over (user, family)
     with ``rn <= max n``, then a pivot by conditional MAX."""
     name = F.col("event_name")
-    tags = F.filter(
-        F.array(*[F.when(f.predicate(name), F.lit(f.name)) for f, _, _ in wanted]),
-        lambda x: x.isNotNull(),
-    )
-    pre = _any([f.prefilter(name) for f, _, _ in wanted])
-    rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", F.explode(tags).alias("_family"))
+    families = [f for f, _, _ in wanted]
+    pre = _any([f.prefilter(name) for f in families])
+    if fam.disjoint(families):
+        # at most one family per event: one CASE column, no row generation
+        tag = None
+        for f in families:
+            tag = F.when(f.predicate(name), F.lit(f.name)) if tag is None else tag.when(f.predicate(name), F.lit(f.name))
+        rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", tag.alias("_family"))
+        rows = rows.filter(F.col("_family").isNotNull())
+    else:
+        tags = F.filter(F.array(*[F.when(f.predicate(name), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
+        rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", F.explode(tags).alias("_family"))
     w = Window.partitionBy(USER, "_family").orderBy("event_timestamp", "event_id")
     top = max(n for _, n, _ in wanted)
     ranked = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
