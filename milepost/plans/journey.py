@@ -43,12 +43,6 @@ TIME_COLUMNS = [
     "step8_receives_and_opens_10th_msg_or_email",
     "step9_sends_5th_email_message_status_share",
 ]
-SCREEN_COUNT_COLUMNS = [f"screen_views_last_{h}h" for h in SCREEN_HOURS]
-
-
-def _screen_cols(hours):
-    return [f"screen_views_last_{h}h" for h in hours]
-
 
 def user_journey(
     ev: DataFrame,
