@@ -91,17 +91,27 @@ def severity(df: DataFrame, soft: float, hard: float, total: str = "total") -> D
     return df.withColumn("severity", sev)
 
 
-def latch(df: DataFrame, ok_col: str = "switch_ok", key: str = "provider", order: str = "day", max_broadcast_rows: int = 100_000) -> DataFrame:
+def latch(
+    df: DataFrame,
+    ok_col: str = "switch_ok",
+    key: str = "provider",
+    order: str = "day",
+    max_broadcast_rows: int = 100_000,
+    reset_by: str | None = None,
+) -> DataFrame:
     """Kill-switch latch: on a hard row the switch is called (``activate``)
-    until the first call that succeeded; afterwards never again (no reset).
+    until the first call that succeeded; afterwards never again (no reset,
+    as in the source). ``reset_by`` (e.g. a day column when ``order`` is a
+    poll time) starts a new latch for every value of that column.
 
     Equivalent to a running OR over earlier rows, but computed as the first
     successful hard row per key (a partial aggregate) joined back, so a key
     holding most rows is never sorted in one task.
     """
     hard = F.col("severity") == "hard"
-    first_ok = df.groupBy(key).agg(F.min(F.when(hard & F.col(ok_col), F.col(order))).alias("_first_ok"))
-    joined = df.join(sized_broadcast(first_ok, max_broadcast_rows), key, "left")
+    keys = [key] + ([reset_by] if reset_by else [])
+    first_ok = df.groupBy(*keys).agg(F.min(F.when(hard & F.col(ok_col), F.col(order))).alias("_first_ok"))
+    joined = df.join(sized_broadcast(first_ok, max_broadcast_rows), keys, "left")
     activate = hard & (F.col("_first_ok").isNull() | (F.col(order) <= F.col("_first_ok")))
     return joined.withColumn("activate", activate).drop("_first_ok")
 
@@ -119,14 +129,22 @@ def _fmt_limit(x: float) -> str:
     return str(float(x))
 
 
-def spend_alerts(latched: DataFrame, soft: float, hard: float, source_prefix: str = "spend") -> DataFrame:
+def spend_alerts(
+    latched: DataFrame, soft: float, hard: float, source_prefix: str = "spend", dedup: bool = False, time_col: str = "day"
+) -> DataFrame:
     """Alert rows (alert_time, source, severity, message): one per hard or
-    soft row (repeated while over the limit, no dedup) and one per switch
-    call with its outcome."""
-    t = F.col("day").cast("timestamp")
+    soft row (repeated on every poll while over the limit, as in the source)
+    and one per switch call with its outcome. ``dedup=True`` keeps one
+    threshold alert per (provider, UTC day, severity) for per-poll input."""
+    t = F.col(time_col).cast("timestamp")
     source = F.concat(F.lit(source_prefix + ":"), F.col("provider"))
     amount = F.col("total").cast("string")
-    threshold = latched.filter(F.col("severity") != "none").select(
+    over = latched.filter(F.col("severity") != "none")
+    if dedup:
+        first = over.groupBy("provider", F.to_date(t).alias("_d"), "severity").agg(F.min(t).alias("_t"))
+        over = over.join(first, (over["provider"] == first["provider"]) & (t == first["_t"]) & (over["severity"] == first["severity"]), "left_semi")
+        over = over.dropDuplicates(["provider", time_col, "severity"])
+    threshold = over.select(
         t.alias("alert_time"),
         source.alias("source"),
         F.col("severity"),

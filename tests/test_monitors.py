@@ -152,3 +152,23 @@ def test_probe_requests(spark):
     assert reqs["content-importance"]["endpoint"] == "/content_importance_ico"
     plain = json.loads(reqs["summarization"]["body"])["req_jobs"][0]
     assert set(plain) == {"id", "input_text", "model", "task"}
+
+
+def test_latch_reset_and_alert_dedup(spark):
+    from datetime import datetime
+
+    polls = [
+        ("p", datetime(2024, 1, 1, 10), "d1", Decimal("250.00"), True),
+        ("p", datetime(2024, 1, 1, 11), "d1", Decimal("260.00"), False),
+        ("p", datetime(2024, 1, 2, 10), "d2", Decimal("270.00"), False),
+        ("p", datetime(2024, 1, 2, 11), "d2", Decimal("280.00"), True),
+    ]
+    df = sp.severity(spark.createDataFrame(polls, "provider string, t timestamp, d string, total decimal(18,2), switch_ok boolean"), 100, 200)
+    never = [r["activate"] for r in sp.latch(df, order="t").orderBy("t").collect()]
+    daily = [r["activate"] for r in sp.latch(df, order="t", reset_by="d").orderBy("t").collect()]
+    assert never == [True, False, False, False]  # Q18: no reset in the source
+    assert daily == [True, False, True, True]
+    latched = sp.latch(df, order="t")
+    every = sp.spend_alerts(latched, 100, 200, time_col="t").filter("message LIKE '%Threshold%'").count()
+    once = sp.spend_alerts(latched, 100, 200, time_col="t", dedup=True).filter("message LIKE '%Threshold%'").count()
+    assert (every, once) == (4, 2)  # Q19: repeated per poll unless dedup
