@@ -44,39 +44,35 @@ TIME_COLUMNS = [
     "step9_sends_5th_email_message_status_share",
 ]
 
-def user_journey(
-    ev: DataFrame,
-    as_of,
-    scope: str = "cohort",
-    recent_days: int = JOURNEY_RECENT_DAYS,
-    thresholds=JOURNEY_THRESHOLDS,
-    hours=SCREEN_HOURS,
-) -> DataFrame:
-    """The journey report as a fused plan (see module doc)."""
+ALL_EVENTS_SUFFIX = "__all"
+
+
+def _check_scope(scope: str) -> None:
     if scope not in ("cohort", "all_events"):
         raise ValueError(f"unknown scope {scope!r}")
+
+
+def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=()) -> DataFrame:
+    """Level 1: one row per (user, UTC day), fixed-width buffers only.
+
+    First-milestone columns are named after the spec for the 'cohort' scope
+    and get ``__all`` appended for the 'all_events' scope. The screen counts
+    relative to ``as_of`` are included only when ``hours`` is given.
+    """
     name = F.col("event_name")
     ts = event_time()
     in_cohort = fam.COHORT.predicate(name)
     np_ = F.when(name == fam.SCREEN_VIEW, act.screen_param_count()).otherwise(F.lit(0))
-    base = ev.select(
-        USER,
-        "event_date",
-        "event_timestamp",
-        "event_id",
-        "event_name",
-        np_.alias("_np"),
-        in_cohort.alias("_c"),
-    )
-    c = F.col("_c")
-    npc = F.col("_np")
-
-    # Level 1: one row per (user, UTC day).
-    first_aggs = [
-        F.min(F.when(m.predicate(name) & c if scope == "cohort" else m.predicate(name), ts)).alias(m.column)
-        for m in JOURNEY_FIRST
-    ]
-    l1 = base.groupBy(USER, "event_date").agg(
+    base = ev.select(USER, "event_date", "event_timestamp", "event_id", "event_name", np_.alias("_np"), in_cohort.alias("_c"))
+    c, npc = F.col("_c"), F.col("_np")
+    first_aggs = []
+    for scope in scopes:
+        _check_scope(scope)
+        for m in JOURNEY_FIRST:
+            cond = m.predicate(name) & c if scope == "cohort" else m.predicate(name)
+            alias = m.column if scope == "cohort" else m.column + ALL_EVENTS_SUFFIX
+            first_aggs.append(F.min(F.when(cond, ts)).alias(alias))
+    return base.groupBy(USER, "event_date").agg(
         F.max(c).alias("_cohort"),
         *first_aggs,
         F.max(F.when(npc > 0, ts)).alias("last_screen_view"),
@@ -87,14 +83,19 @@ def user_journey(
         F.count(F.when(name == fam.USER_FACING_ERROR, F.lit(1))).alias("_errors"),
     )
 
-    # Level 2: one row per user; no DISTINCT needed for the day counts.
+
+def user_level(days: DataFrame, as_of, scope: str = "cohort", recent_days: int = JOURNEY_RECENT_DAYS, hours=()) -> DataFrame:
+    """Level 2: merge the per-day rows of each cohort user; active days are
+    counted from the day rows (no DISTINCT, no Expand)."""
+    _check_scope(scope)
+    suffix = "" if scope == "cohort" else ALL_EVENTS_SUFFIX
     cutoff = days_before(as_of, recent_days)
     named_day = F.col("_named") > 0
-    l2 = (
-        l1.groupBy(USER)
+    return (
+        days.groupBy(USER)
         .agg(
             F.max("_cohort").alias("_cohort"),
-            *[F.min(m.column).alias(m.column) for m in JOURNEY_FIRST],
+            *[F.min(m.column + suffix).alias(m.column) for m in JOURNEY_FIRST],
             F.max("last_screen_view").alias("last_screen_view"),
             F.sum("_screen_rows").alias("_screen_rows"),
             *[F.sum(f"_sv{h}").alias(f"_sv{h}") for h in hours],
@@ -106,17 +107,14 @@ def user_journey(
         .filter(F.col("_cohort"))
     )
 
-    # String-valued attributes are kept out of the big aggregation: a string
-    # aggregation buffer turns HashAggregate into SortAggregate (a sort of
-    # every event). City goes through a hash DISTINCT on (user, city) first;
-    # the verified user id comes from the few verified-phone events.
-    nth = ms.nth_events(ev, JOURNEY_NTH)
-    location = act.any_location(ev)
-    verified = ms.first_value_at(ev, fam.PHONE_VERIFIED, "user_id")
-    joined = l2.join(nth, USER, "left").join(location, USER, "left").join(verified, USER, "left")
 
-    # The source joins side tables on the user key; a NULL key never
-    # matches, so its side columns are NULL / default.
+def finish(joined: DataFrame, thresholds=JOURNEY_THRESHOLDS, hours=SCREEN_HOURS) -> DataFrame:
+    """Final 21 columns from the user level joined with its sides.
+
+    The source joins side tables on the user key; a NULL key never matches,
+    so its side columns are NULL / default (Q9). Screen columns are NULL for
+    users without a qualifying screen view and 0 when all are old (Q7).
+    """
     keyed = F.col(USER).isNotNull()
     has_screen = keyed & (F.col("_screen_rows") > 0)
 
@@ -148,6 +146,29 @@ def user_journey(
     return ms.format_cet(out, TIME_COLUMNS)
 
 
+def user_journey(
+    ev: DataFrame,
+    as_of,
+    scope: str = "cohort",
+    recent_days: int = JOURNEY_RECENT_DAYS,
+    thresholds=JOURNEY_THRESHOLDS,
+    hours=SCREEN_HOURS,
+) -> DataFrame:
+    """The journey report as a fused plan (see module doc)."""
+    _check_scope(scope)
+    l1 = day_level(ev, (scope,), as_of, hours)
+    l2 = user_level(l1, as_of, scope, recent_days, hours)
+    # String-valued attributes are kept out of the big aggregation: a string
+    # aggregation buffer turns HashAggregate into SortAggregate (a sort of
+    # every event). City goes through a hash DISTINCT on (user, city) first;
+    # the verified user id comes from the few verified-phone events.
+    nth = ms.nth_events(ev, JOURNEY_NTH)
+    location = act.any_location(ev)
+    verified = ms.first_value_at(ev, fam.PHONE_VERIFIED, "user_id")
+    joined = l2.join(nth, USER, "left").join(location, USER, "left").join(verified, USER, "left")
+    return finish(joined, thresholds, hours)
+
+
 def user_journey_joined(
     ev: DataFrame,
     as_of,

@@ -120,6 +120,22 @@ def q_journey_sql_text(spark, sf_dir):
     return jr.run_report(spark, jr.load_report_sql("user_journey"), ev, AS_OF)
 
 
+def q_user_journey_incremental(spark, sf_dir):
+    """Journey report from per-day partial tables: built in two updates
+    (days before as_of's date, then the rest), the last day re-run once
+    (idempotent), then merged with a pruned scan of recent raw events."""
+    from milepost.functions.timefmt import parse_as_of
+    from milepost.plans import incremental as inc
+
+    ev = td.ga_events(spark, sf_dir)
+    base = scratch_path(spark, "journey-partials")
+    cut = parse_as_of(AS_OF).date()
+    inc.update_partials(ev.filter(F.col("event_date") < F.lit(cut)), base)
+    inc.update_partials(ev.filter(F.col("event_date") >= F.lit(cut)), base)
+    inc.update_partials(ev.filter(F.col("event_date") == F.lit(cut)), base)
+    return inc.journey_from_partials(inc.read_partials(spark, base), ev, AS_OF)
+
+
 def q_new_users_24h(spark, sf_dir):
     ev = td.ga_events(spark, sf_dir)
     return nu.new_users(ev, AS_OF, td.excluded_users(spark, sf_dir), hours=24)
@@ -129,6 +145,7 @@ EVENT_QUERIES.update(
     {
         "exclude_users": q_exclude_users,
         "journey_sql_text": q_journey_sql_text,
+        "user_journey_incremental": q_user_journey_incremental,
         "new_users_24h": q_new_users_24h,
     }
 )
