@@ -76,12 +76,12 @@ def update_partials(ev: DataFrame, base: str) -> None:
     """Write the per-day tables for the days present in ``ev`` (pass the
     events of the changed days, e.g. ``load_events(..., date_from=d,
     date_to=d)``). Existing partitions of other days are kept."""
-    n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, df in day_tables(ev).items():
         # range partitioning on (day, user): a one-day update is still
-        # written by many tasks, and files hold user ranges
+        # written by many tasks and files hold user ranges; without a fixed
+        # count AQE merges small ranges into fewer, larger files
         (
-            df.repartitionByRange(n, "event_date", USER)
+            df.repartitionByRange("event_date", USER)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("event_date")

@@ -78,3 +78,40 @@ def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``milepost`` importable in Python workers (what ``--py-files``
+    does): zip the package once per SparkContext and ``addPyFile`` it.
+
+    Only the few stages that run Python on executors need it (the latch
+    state function); everything else runs in the JVM. The zip is placed in
+    the shared folder when that is a local or mounted path, otherwise in a
+    driver-side file that Spark's file server distributes.
+    """
+    import zipfile
+
+    import milepost
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(milepost.__file__))
+    base = shared_dir(spark)
+    folder = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in folder:
+        folder = tempfile.mkdtemp(prefix="milepost-code-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"milepost-{uuid.uuid4().hex[:12]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith((".py", ".sql")):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

@@ -71,11 +71,16 @@ def write_events(df: DataFrame, path: str, mode: str = "errorifexists", partitio
 
     Range partitioning on (day, user) samples the keys, so a day holding a
     large share of all events is split over several writer tasks instead of
-    landing in one, and each task writes few, large files.
+    landing in one, and each task writes few, large files. Without an
+    explicit ``partitions`` count AQE merges small ranges.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (
+        df.repartitionByRange(partitions, "event_date", "user_pseudo_id")
+        if partitions
+        else df.repartitionByRange("event_date", "user_pseudo_id")  # AQE sizes the ranges
+    )
     (
-        df.repartitionByRange(n, "event_date", "user_pseudo_id")
+        ranged
         .sortWithinPartitions("event_date", "user_pseudo_id", "event_timestamp")
         .write.mode(mode)
         .partitionBy("event_date")

@@ -19,6 +19,7 @@ from milepost.operators import fleet as fl
 from milepost.operators import milestones as ms
 from milepost.operators import spend as sp
 from milepost.operators.milestones import USER
+from milepost.session import ship_package
 from milepost.sources.documents import AMOUNT
 from milepost.streaming.runner import BATCH, latest_per_key, run_stream
 
@@ -84,13 +85,14 @@ def latch_stream(daily: DataFrame) -> DataFrame:
     """Daily severity rows (provider, day, severity, switch_ok) -> latch
     decisions, with keyed state per provider. Rows of one micro-batch are
     sorted by day inside the state function."""
+    ship_package(daily.sparkSession)  # the state function runs in Python workers
     return daily.groupBy("provider").applyInPandasWithState(
         _latch_group, LATCH_OUT, LATCH_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
-def run_latch(spark: SparkSession, daily: DataFrame) -> DataFrame:
-    path = run_stream(spark, latch_stream(daily), "stream-latch", output_mode="append")
+def run_latch(spark: SparkSession, daily: DataFrame, state_partitions: int = 8) -> DataFrame:
+    path = run_stream(spark, latch_stream(daily), "stream-latch", output_mode="append", state_partitions=state_partitions)
     return spark.read.schema(LATCH_OUT).parquet(path).select(*LATCH_OUT.names)
 
 

@@ -32,19 +32,33 @@ def run_stream(
     output_mode: str = "update",
     process: Callable[[DataFrame, int], None] | None = None,
     timeout_s: float | None = 3600,
+    state_partitions: int | None = None,
 ) -> str:
     """Run ``sdf`` with ``trigger(availableNow=True)``; return the folder
-    holding one sub-folder per micro-batch."""
+    holding one sub-folder per micro-batch.
+
+    ``state_partitions`` sets the number of state-store partitions of a new
+    query (fixed in its checkpoint afterwards); a stream keyed by a handful
+    of providers needs far fewer than a table-sized shuffle. The query runs
+    on a clone of the session taken at ``start``, so the setting is put back
+    right after.
+    """
     base = scratch_path(spark, name)
     out = f"{base}/batches"
     sink = process(out) if process else changelog_sink(out)
-    q = (
-        sdf.writeStream.outputMode(output_mode)
-        .foreachBatch(sink)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (
+            sdf.writeStream.outputMode(output_mode)
+            .foreachBatch(sink)
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
