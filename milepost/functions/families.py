@@ -118,7 +118,12 @@ class EventFamily:
     likes: tuple = ()
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
-    def predicate(self, col: Column) -> Column:
+    def predicate(self, col: Column | str = "event_name") -> Column:
+        """The family test. Given a column name the predicate is built from
+        its SQL text in one call (parsed in the JVM), which is much cheaper
+        than assembling dozens of literals through py4j."""
+        if isinstance(col, str):
+            return F.expr(self.sql(col))
         parts = []
         if self.names:
             parts.append(col.isin(list(self.names)))
@@ -135,7 +140,7 @@ class EventFamily:
         # drop prefixes implied by a shorter one
         return sorted(p for p in found if not any(q != p and p.startswith(q) for q in found))
 
-    def prefilter(self, col: Column) -> Column:
+    def prefilter(self, col: Column | str = "event_name") -> Column:
         """A superset test that Parquet can evaluate (STARTS WITH).
 
         ``LIKE 'receive_3p_message_%'`` pushes only IS NOT NULL because of
@@ -144,6 +149,7 @@ class EventFamily:
         it into an OR that Parquet could not evaluate. Used next to the
         predicate, never instead of it.
         """
+        col = F.col(col) if isinstance(col, str) else col
         prefixes = self.prefixes()
         if not prefixes or "" in prefixes:
             return col.isNotNull()

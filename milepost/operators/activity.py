@@ -92,7 +92,7 @@ def family_counts(ev: DataFrame, families=None) -> DataFrame:
     """
     families = families or fam.FAMILIES
     name = F.col("event_name")
-    tags = F.filter(F.array(*[F.when(f.predicate(name), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
+    tags = F.filter(F.array(*[F.when(f.predicate(), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
     rows = ev.select(USER, F.explode(tags).alias("family"))
     return rows.groupBy("family").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(USER).alias("users")

@@ -48,7 +48,7 @@ def first_milestones(
     if scope not in ("cohort", "all_events"):
         raise ValueError(f"unknown scope {scope!r}")
     name = F.col("event_name")
-    in_cohort = cohort.predicate(name)
+    in_cohort = cohort.predicate()
     conds = [m.predicate(name) for m in specs]
     rows = ev.filter(in_cohort) if scope == "cohort" else ev.filter(in_cohort | _any(conds))
     ts = event_time()
@@ -98,7 +98,7 @@ def latest_milestones(ev: DataFrame, specs: list[Milestone], with_identity: bool
 def first_event(ev: DataFrame, family: EventFamily, column: str) -> DataFrame:
     """First time per user of any event in ``family``."""
     name = F.col("event_name")
-    rows = ev.filter(family.prefilter(name) & family.predicate(name))
+    rows = ev.filter(family.prefilter() & family.predicate())
     return rows.groupBy(USER).agg(F.min(event_time()).alias(column))
 
 
@@ -110,7 +110,7 @@ def nth_event(ev: DataFrame, family: EventFamily, n: int, column: str) -> DataFr
     n rows per user in every map task, so a hot user cannot flood one task.
     """
     name = F.col("event_name")
-    rows = ev.filter(family.prefilter(name) & family.predicate(name)).select(USER, "event_timestamp", "event_id")
+    rows = ev.filter(family.prefilter() & family.predicate()).select(USER, "event_timestamp", "event_id")
     w = Window.partitionBy(USER).orderBy("event_timestamp", "event_id")
     return (
         rows.withColumn("_rn", F.row_number().over(w))
@@ -124,16 +124,16 @@ def nth_events(ev: DataFrame, wanted: list[tuple[EventFamily, int, str]]) -> Dat
     with ``rn <= max n``, then a pivot by conditional MAX."""
     name = F.col("event_name")
     families = [f for f, _, _ in wanted]
-    pre = _any([f.prefilter(name) for f in families])
+    pre = _any([f.prefilter() for f in families])
     if fam.disjoint(families):
         # at most one family per event: one CASE column, no row generation
         tag = None
         for f in families:
-            tag = F.when(f.predicate(name), F.lit(f.name)) if tag is None else tag.when(f.predicate(name), F.lit(f.name))
+            tag = F.when(f.predicate(), F.lit(f.name)) if tag is None else tag.when(f.predicate(), F.lit(f.name))
         rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", tag.alias("_family"))
         rows = rows.filter(F.col("_family").isNotNull())
     else:
-        tags = F.filter(F.array(*[F.when(f.predicate(name), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
+        tags = F.filter(F.array(*[F.when(f.predicate(), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
         rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", F.explode(tags).alias("_family"))
     w = Window.partitionBy(USER, "_family").orderBy("event_timestamp", "event_id")
     top = max(n for _, n, _ in wanted)

@@ -45,10 +45,10 @@ def family_heads(ev: DataFrame, wanted=JOURNEY_NTH, size: int = HEAD_SIZE) -> Da
         raise ValueError("n-th milestones beyond the head size cannot be rebuilt from partials")
     name = F.col("event_name")
     families = [f for f, _, _ in wanted]
-    tags = F.filter(F.array(*[F.when(f.predicate(name), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
+    tags = F.filter(F.array(*[F.when(f.predicate(), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
     pre = F.lit(False)
     for f in families:
-        pre = pre | f.prefilter(name)
+        pre = pre | f.prefilter()
     rows = ev.filter(pre).select(USER, "event_date", "event_timestamp", "event_id", F.explode(tags).alias("family"))
     w = Window.partitionBy(USER, "family", "event_date").orderBy("event_timestamp", "event_id")
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size).drop("_rn")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milepost.functions import families as fam
@@ -26,7 +26,7 @@ from milepost.functions.specs import (
     JOURNEY_THRESHOLDS,
     SCREEN_HOURS,
 )
-from milepost.functions.timefmt import days_before, hours_before, parse_as_of
+from milepost.functions.timefmt import cet_text, days_before, hours_before, parse_as_of
 from milepost.operators import activity as act
 from milepost.operators import milestones as ms
 from milepost.operators.milestones import USER, event_time
@@ -61,7 +61,7 @@ def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=()) -> DataFr
     """
     name = F.col("event_name")
     ts = event_time()
-    in_cohort = fam.COHORT.predicate(name)
+    in_cohort = fam.COHORT.predicate()
     np_ = F.when(name == fam.SCREEN_VIEW, act.screen_param_count()).otherwise(F.lit(0))
     base = ev.select(USER, "event_date", "event_timestamp", "event_id", "event_name", np_.alias("_np"), in_cohort.alias("_c"))
     c, npc = F.col("_c"), F.col("_np")
@@ -78,7 +78,7 @@ def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=()) -> DataFr
         F.max(F.when(npc > 0, ts)).alias("last_screen_view"),
         F.sum(npc).alias("_screen_rows"),
         *[F.sum(F.when(ts >= hours_before(as_of, h), npc)).alias(f"_sv{h}") for h in hours],
-        *[F.min(F.when(f.predicate(name), ts)).alias(col) for f, col in JOURNEY_FIRST_OF],
+        *[F.min(F.when(f.predicate(), ts)).alias(col) for f, col in JOURNEY_FIRST_OF],
         F.count(name).alias("_named"),
         F.count(F.when(name == fam.USER_FACING_ERROR, F.lit(1))).alias("_errors"),
     )
@@ -121,29 +121,32 @@ def finish(joined: DataFrame, thresholds=JOURNEY_THRESHOLDS, hours=SCREEN_HOURS)
     def side(col):
         return F.when(keyed, F.col(col))
 
+    def text(c):
+        return cet_text(c) if isinstance(c, Column) else cet_text(F.col(c))
+
     out = joined.select(
         USER,
         side("user_id").alias("user_id"),
-        "step1_first_open",
+        text("step1_first_open").alias("step1_first_open"),
         side("location").alias("location"),
-        F.when(has_screen, F.col("last_screen_view")).alias("last_screen_view"),
+        text(F.when(has_screen, F.col("last_screen_view"))).alias("last_screen_view"),
         *[
             F.when(has_screen, F.coalesce(F.col(f"_sv{h}"), F.lit(0)).cast("long")).alias(f"screen_views_last_{h}h")
             for h in hours
         ],
-        "step2_registers_account",
-        "step3_provides_permission",
-        "step4_connects_1_integration",
-        "step5_connects_3_integrations",
-        side("step6_receives_and_opens_1st_message_or_email").alias("step6_receives_and_opens_1st_message_or_email"),
-        side("step7_sends_1st_email_or_message_or_status_share").alias("step7_sends_1st_email_or_message_or_status_share"),
-        "step8_receives_and_opens_10th_msg_or_email",
-        "step9_sends_5th_email_message_status_share",
+        text("step2_registers_account").alias("step2_registers_account"),
+        text("step3_provides_permission").alias("step3_provides_permission"),
+        text("step4_connects_1_integration").alias("step4_connects_1_integration"),
+        text("step5_connects_3_integrations").alias("step5_connects_3_integrations"),
+        text(side("step6_receives_and_opens_1st_message_or_email")).alias("step6_receives_and_opens_1st_message_or_email"),
+        text(side("step7_sends_1st_email_or_message_or_status_share")).alias("step7_sends_1st_email_or_message_or_status_share"),
+        text("step8_receives_and_opens_10th_msg_or_email").alias("step8_receives_and_opens_10th_msg_or_email"),
+        text("step9_sends_5th_email_message_status_share").alias("step9_sends_5th_email_message_status_share"),
         *[(keyed & (F.col("_days") >= F.lit(t))).alias(col) for t, col in thresholds],
         F.when(keyed, F.col("_recent")).otherwise(F.lit(0)).cast("long").alias("step17_days_active_in_last_30_days"),
         F.when(keyed, F.col("_errors")).otherwise(F.lit(0)).cast("long").alias("user_error_count"),
     )
-    return ms.format_cet(out, TIME_COLUMNS)
+    return out
 
 
 def user_journey(
