@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milepost.sources.documents import PROBE_BODY
+from milepost.sources.documents import load_probes
 
 # Success rules. 'status_and_error': HTTP 200 and an empty error field;
 # 'status_only': HTTP 200 (an error text in the body is ignored).
@@ -93,8 +93,8 @@ def classify(probes: DataFrame, rules: dict = DEFAULT_RULES, default_rule: str =
     'status_and_error' a non-empty error text fails the probe. Only NULL and
     '' count as "no error".
     """
-    parsed = F.from_json(F.col("body"), PROBE_BODY)
-    jobs = parsed["res_jobs"]
+    probes = load_probes(probes)
+    jobs = F.col("res_jobs")
     has_job = F.coalesce(F.size(jobs) > 0, F.lit(False))
     err = F.get(jobs, 0)["error"]
     rule = _map_lookup(rules, F.col("provider"), default_rule)

@@ -59,10 +59,16 @@ def app_dollars(costs: DataFrame) -> DataFrame:
     return costs.withColumn("dollars", F.round(F.col("cents") / 100, 2).cast(AMOUNT))
 
 
-def spend_on(costs: DataFrame) -> DataFrame:
+def spend_on(costs: DataFrame, days: list[str] | None = None) -> DataFrame:
     """Daily spend over all apps: the sum of per-app rounded dollars (a day
-    missing for an app adds 0)."""
-    return app_dollars(costs).groupBy("day").agg(F.sum("dollars").cast(AMOUNT).alias("total"))
+    missing for an app adds 0). With ``days`` (day texts, a parameter list)
+    exactly those days are reported, 0 for a day without any entry."""
+    totals = app_dollars(costs).groupBy("day").agg(F.sum("dollars").cast(AMOUNT).alias("total"))
+    if days is None:
+        return totals
+    wanted = costs.sparkSession.createDataFrame([(d,) for d in days], "day string")
+    out = wanted.join(totals, "day", "left")
+    return out.select("day", F.coalesce(F.col("total"), F.lit(0).cast(AMOUNT)).alias("total"))
 
 
 def missing_cost_days(apps: DataFrame, costs: DataFrame, first_day, last_day) -> DataFrame:

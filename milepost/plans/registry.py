@@ -18,6 +18,7 @@ from milepost.functions.timefmt import cet_text
 from milepost.operators import activity as act
 from milepost.operators import milestones as ms
 from milepost.operators.exclusion import exclude_users
+from milepost.operators.params import explode_params
 from milepost.plans import journey as jr
 from milepost.plans import new_users as nu
 from milepost.session import ensure_utc, scratch_path
@@ -59,9 +60,8 @@ def q_events_scan(spark, sf_dir):
 
 
 def q_explode_params(spark, sf_dir):
-    ev = td.ga_events(spark, sf_dir)
-    p = ev.select(F.explode("event_params").alias("p"))
-    return p.groupBy(F.col("p.key").alias("param_key")).agg(F.count(F.lit(1)).alias("n"))
+    rows = explode_params(td.ga_events(spark, sf_dir), keep=())
+    return rows.groupBy("param_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_cet_format(spark, sf_dir):

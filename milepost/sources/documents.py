@@ -122,6 +122,12 @@ def load_endpoints(docs: DataFrame, body: str = "body", keep: tuple = ("snapshot
     return parsed.select(*keep, F.inline(F.col("_d.data.myself.endpoints")))
 
 
+def load_probes(probes: DataFrame, body: str = "body") -> DataFrame:
+    """Recorded probe responses -> the same rows with the body parsed into
+    ``res_jobs`` (NULL when the body is missing or not JSON)."""
+    return probes.withColumn("res_jobs", F.from_json(F.col(body), PROBE_BODY)["res_jobs"])
+
+
 def parse_target_list(docs: DataFrame, col: str = "targets") -> DataFrame:
     """JSON arrays of endpoint names -> one row per name (``name``).
 

@@ -71,6 +71,8 @@ def test_app_costs_and_missing_days(spark):
     costs = docs.load_app_costs(spark.createDataFrame([("a1", "p1", body)], "app string, project string, body string"))
     totals = {r["day"]: r["total"] for r in sp.spend_on(costs).collect()}
     assert totals == {"2024-01-01": Decimal("12.35"), "2024-01-03": Decimal("1.00")}
+    asked = {r["day"]: r["total"] for r in sp.spend_on(costs, ["2024-01-02", "2024-01-03"]).collect()}
+    assert asked == {"2024-01-02": Decimal("0.00"), "2024-01-03": Decimal("1.00")}
     missing = sp.missing_cost_days(costs.select("app").distinct(), costs, "2024-01-01", "2024-01-03").collect()
     assert [(r["app"], r["day"]) for r in missing] == [("a1", "2024-01-02")]
 

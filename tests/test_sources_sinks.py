@@ -49,3 +49,18 @@ def test_write_report_and_materialize(spark):
     view = f"v_{uuid.uuid4().hex[:8]}"
     assert export.materialize(df, view).count() == 2
     assert spark.table(view).count() == 2
+
+
+def test_explode_params_is_inner(spark):
+    from milepost.operators.params import explode_params
+
+    rows = [
+        ev("a", "screen_view", "2024-01-01T00:00:00", [("firebase_screen", "Home"), ("firebase_screen", None)]),
+        ev("a", "user_facing_error", "2024-01-01T00:00:01", []),
+        ev("b", "first_open", "2024-01-01T00:00:02", None),
+    ]
+    out = explode_params(events_df(spark, rows)).collect()
+    assert [(r["user_pseudo_id"], r["param_key"], r["param_value"]) for r in out] == [
+        ("a", "firebase_screen", "Home"),
+        ("a", "firebase_screen", None),
+    ]
