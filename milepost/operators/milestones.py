@@ -50,7 +50,7 @@ def first_milestones(
     name = F.col("event_name")
     in_cohort = cohort.predicate()
     conds = [m.predicate(name) for m in specs]
-    rows = ev.filter(in_cohort) if scope == "cohort" else ev.filter(in_cohort | _any(conds))
+    rows = ev.filter(cohort.prefilter() & in_cohort) if scope == "cohort" else ev.filter(in_cohort | _any(conds))
     ts = event_time()
     aggs = [
         F.min(F.when(c & in_cohort if scope == "cohort" else c, ts)).alias(m.column)

@@ -64,3 +64,12 @@ def test_exclusion_is_anti_join(spark):
     out = exclude_users(df, lst, "user_id")
     assert sorted(r[0] or "" for r in out.collect()) == ["", "b"]
     assert "LeftAnti" in plan(out)
+
+
+def test_cohort_prefilter_reaches_parquet(spark, ga_path):
+    from milepost.functions.specs import JOURNEY_FIRST
+
+    ev = evsrc.load_events(spark, ga_path)
+    p = plan(ms.first_milestones(ev, JOURNEY_FIRST))
+    # the plan text truncates long filter lists; the first prefix is enough
+    assert "PushedFilters: [Or(Or(StringStartsWith(event_name,first)" in p
