@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from milepost.functions import families as fam
-from milepost.functions.timefmt import days_before, hours_before
+from datetime import timedelta
+
+from milepost.functions.timefmt import days_before, hours_before, parse_as_of
 from milepost.operators.milestones import USER, event_time
 
 
@@ -66,6 +68,23 @@ def screen_recency(ev: DataFrame, as_of, hours=(24, 48, 72)) -> DataFrame:
     )
 
 
+def recent_screen_counts(ev: DataFrame, as_of, hours=(24, 48, 72)) -> DataFrame:
+    """Per user, screen parameters counted in the last ``h`` hours before
+    ``as_of`` (cumulative windows, no upper bound) as ``_sv<h>``. Only the
+    partitions from ``DATE(as_of - max(hours))`` on are read."""
+    earliest = parse_as_of(as_of) - timedelta(hours=max(hours))
+    name = F.col("event_name")
+    np_ = F.when(name == fam.SCREEN_VIEW, screen_param_count()).otherwise(F.lit(0))
+    ts = event_time()
+    rows = (
+        ev.filter(F.col("event_date") >= F.lit(earliest.date()))
+        .filter((name == fam.SCREEN_VIEW) & (ts >= hours_before(as_of, max(hours))))
+        .select(USER, "event_timestamp", np_.alias("_np"))
+        .filter(F.col("_np") > 0)
+    )
+    return rows.groupBy(USER).agg(*[F.sum(F.when(ts >= hours_before(as_of, h), F.col("_np"))).alias(f"_sv{h}") for h in hours])
+
+
 def any_location(ev: DataFrame) -> DataFrame:
     """One city per user (smallest non-NULL; the source takes any value).
 

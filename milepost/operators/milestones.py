@@ -121,19 +121,24 @@ def nth_event(ev: DataFrame, family: EventFamily, n: int, column: str) -> DataFr
 
 def nth_events(ev: DataFrame, wanted: list[tuple[EventFamily, int, str]]) -> DataFrame:
     """Several n-th milestones in one pass: one window over (user, family)
-    with ``rn <= max n``, then a pivot by conditional MAX."""
-    name = F.col("event_name")
-    families = [f for f, _, _ in wanted]
+    with ``rn <= max n``, then a pivot by conditional MAX. A family may be
+    asked for several n (n = 1 gives its first event)."""
+    families = list({f.name: f for f, _, _ in wanted}.values())
+    code = {f.name: i for i, f in enumerate(families)}  # a byte per shuffled row, not a name
     pre = _any([f.prefilter() for f in families])
     if fam.disjoint(families):
         # at most one family per event: one CASE column, no row generation
         tag = None
         for f in families:
-            tag = F.when(f.predicate(), F.lit(f.name)) if tag is None else tag.when(f.predicate(), F.lit(f.name))
+            lit = F.lit(code[f.name]).cast("tinyint")
+            tag = F.when(f.predicate(), lit) if tag is None else tag.when(f.predicate(), lit)
         rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", tag.alias("_family"))
         rows = rows.filter(F.col("_family").isNotNull())
     else:
-        tags = F.filter(F.array(*[F.when(f.predicate(), F.lit(f.name)) for f in families]), lambda x: x.isNotNull())
+        tags = F.filter(
+            F.array(*[F.when(f.predicate(), F.lit(code[f.name]).cast("tinyint")) for f in families]),
+            lambda x: x.isNotNull(),
+        )
         rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", F.explode(tags).alias("_family"))
     w = Window.partitionBy(USER, "_family").orderBy("event_timestamp", "event_id")
     top = max(n for _, n, _ in wanted)
@@ -141,7 +146,7 @@ def nth_events(ev: DataFrame, wanted: list[tuple[EventFamily, int, str]]) -> Dat
     ts = event_time()
     return ranked.groupBy(USER).agg(
         *[
-            F.max(F.when((F.col("_family") == f.name) & (F.col("_rn") == n), ts)).alias(col)
+            F.max(F.when((F.col("_family") == code[f.name]) & (F.col("_rn") == n), ts)).alias(col)
             for f, n, col in wanted
         ]
     )

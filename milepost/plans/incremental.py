@@ -23,14 +23,11 @@ Tables below ``base`` (all partitioned by ``event_date``):
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from milepost.functions import families as fam
 from milepost.functions.specs import JOURNEY_NTH, JOURNEY_RECENT_DAYS, JOURNEY_THRESHOLDS, SCREEN_HOURS
-from milepost.functions.timefmt import hours_before, parse_as_of
 from milepost.operators import activity as act
 from milepost.operators.milestones import USER, event_time
 from milepost.plans import journey as jr
@@ -107,18 +104,7 @@ def journey_from_partials(
     scan is pruned on ``event_date``)."""
     l2 = jr.user_level(parts["days"], as_of, scope, recent_days)
 
-    earliest = parse_as_of(as_of) - timedelta(hours=max(hours))
-    name = F.col("event_name")
-    np_ = F.when(name == fam.SCREEN_VIEW, act.screen_param_count()).otherwise(F.lit(0))
-    ts = event_time()
-    recent = (
-        recent_events.filter(F.col("event_date") >= F.lit(earliest.date()))
-        .filter(ts >= hours_before(as_of, max(hours)))
-        .select(USER, "event_timestamp", np_.alias("_np"))
-        .filter(F.col("_np") > 0)
-        .groupBy(USER)
-        .agg(*[F.sum(F.when(ts >= hours_before(as_of, h), F.col("_np"))).alias(f"_sv{h}") for h in hours])
-    )
+    recent = act.recent_screen_counts(recent_events, as_of, hours)
 
     top = max(n for _, n, _ in JOURNEY_NTH)
     w = Window.partitionBy(USER, "family").orderBy("event_timestamp", "event_id")

@@ -52,12 +52,14 @@ def _check_scope(scope: str) -> None:
         raise ValueError(f"unknown scope {scope!r}")
 
 
-def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=()) -> DataFrame:
+def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=(), with_firsts: bool = True) -> DataFrame:
     """Level 1: one row per (user, UTC day), fixed-width buffers only.
 
-    First-milestone columns are named after the spec for the 'cohort' scope
-    and get ``__all`` appended for the 'all_events' scope. The screen counts
-    relative to ``as_of`` are included only when ``hours`` is given.
+    With ``scopes`` the cohort flag and first-milestone columns are added,
+    named after the spec for the 'cohort' scope and with ``__all`` appended
+    for the 'all_events' scope. The screen counts relative to ``as_of`` are
+    included only when ``hours`` is given; the first message / interaction
+    times only with ``with_firsts``.
     """
     name = F.col("event_name")
     ts = event_time()
@@ -73,39 +75,42 @@ def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=()) -> DataFr
             alias = m.column if scope == "cohort" else m.column + ALL_EVENTS_SUFFIX
             first_aggs.append(F.min(F.when(cond, ts)).alias(alias))
     return base.groupBy(USER, "event_date").agg(
-        F.max(c).alias("_cohort"),
+        *([F.max(c).alias("_cohort")] if scopes else []),
         *first_aggs,
         F.max(F.when(npc > 0, ts)).alias("last_screen_view"),
         F.sum(npc).alias("_screen_rows"),
         *[F.sum(F.when(ts >= hours_before(as_of, h), npc)).alias(f"_sv{h}") for h in hours],
-        *[F.min(F.when(f.predicate(), ts)).alias(col) for f, col in JOURNEY_FIRST_OF],
+        *([F.min(F.when(f.predicate(), ts)).alias(col) for f, col in JOURNEY_FIRST_OF] if with_firsts else []),
         F.count(name).alias("_named"),
         F.count(F.when(name == fam.USER_FACING_ERROR, F.lit(1))).alias("_errors"),
     )
 
 
-def user_level(days: DataFrame, as_of, scope: str = "cohort", recent_days: int = JOURNEY_RECENT_DAYS, hours=()) -> DataFrame:
-    """Level 2: merge the per-day rows of each cohort user; active days are
-    counted from the day rows (no DISTINCT, no Expand)."""
+def user_level(
+    days: DataFrame, as_of, scope: str = "cohort", recent_days: int = JOURNEY_RECENT_DAYS, hours=(), with_firsts: bool = True
+) -> DataFrame:
+    """Level 2: merge the per-day rows of each user; active days are counted
+    from the day rows (no DISTINCT, no Expand). Only the columns present in
+    ``days`` are merged; with a cohort flag present, only cohort users stay."""
     _check_scope(scope)
     suffix = "" if scope == "cohort" else ALL_EVENTS_SUFFIX
+    cols = set(days.columns)
     cutoff = days_before(as_of, recent_days)
     named_day = F.col("_named") > 0
-    return (
-        days.groupBy(USER)
-        .agg(
-            F.max("_cohort").alias("_cohort"),
-            *[F.min(m.column + suffix).alias(m.column) for m in JOURNEY_FIRST],
-            F.max("last_screen_view").alias("last_screen_view"),
-            F.sum("_screen_rows").alias("_screen_rows"),
-            *[F.sum(f"_sv{h}").alias(f"_sv{h}") for h in hours],
-            *[F.min(col).alias(col) for _, col in JOURNEY_FIRST_OF],
-            F.count_if(named_day).alias("_days"),
-            F.count_if(named_day & (F.col("event_date") >= cutoff)).alias("_recent"),
-            F.sum("_errors").alias("_errors"),
-        )
-        .filter(F.col("_cohort"))
-    )
+    aggs = []
+    if "_cohort" in cols:
+        aggs.append(F.max("_cohort").alias("_cohort"))
+    aggs += [F.min(m.column + suffix).alias(m.column) for m in JOURNEY_FIRST if m.column + suffix in cols]
+    aggs += [F.max("last_screen_view").alias("last_screen_view"), F.sum("_screen_rows").alias("_screen_rows")]
+    aggs += [F.sum(f"_sv{h}").alias(f"_sv{h}") for h in hours if f"_sv{h}" in cols]
+    aggs += [F.min(col).alias(col) for _, col in JOURNEY_FIRST_OF if with_firsts and col in cols]
+    aggs += [
+        F.count_if(named_day).alias("_days"),
+        F.count_if(named_day & (F.col("event_date") >= cutoff)).alias("_recent"),
+        F.sum("_errors").alias("_errors"),
+    ]
+    out = days.groupBy(USER).agg(*aggs)
+    return out.filter(F.col("_cohort")) if "_cohort" in cols else out
 
 
 def finish(joined: DataFrame, thresholds=JOURNEY_THRESHOLDS, hours=SCREEN_HOURS) -> DataFrame:
@@ -159,16 +164,28 @@ def user_journey(
 ) -> DataFrame:
     """The journey report as a fused plan (see module doc)."""
     _check_scope(scope)
-    l1 = day_level(ev, (scope,), as_of, hours)
-    l2 = user_level(l1, as_of, scope, recent_days, hours)
-    # String-valued attributes are kept out of the big aggregation: a string
-    # aggregation buffer turns HashAggregate into SortAggregate (a sort of
-    # every event). City goes through a hash DISTINCT on (user, city) first;
-    # the verified user id comes from the few verified-phone events.
-    nth = ms.nth_events(ev, JOURNEY_NTH)
+    # The per-(user, day) rows are shuffled twice, so they carry only four
+    # buffers (last screen view, screen rows, named events, errors). The
+    # rest comes from narrower branches, all keyed by user:
+    # * cohort and first milestones from the cohort events only (a filter
+    #   Parquet can pre-evaluate);
+    # * 24/48/72 h screen counts from the last days' partitions only;
+    # * n-th events and the first message / interaction (rank 1) from one
+    #   window over the family events;
+    # * city via a hash DISTINCT on (user, city) and the verified user id
+    #   from the verified-phone events (string buffers need a sort-based
+    #   aggregate, so they never see the full event table).
+    l2 = user_level(day_level(ev, (), with_firsts=False), as_of, scope, recent_days, with_firsts=False)
+    cohort = ms.first_milestones(ev, JOURNEY_FIRST, scope=scope)
+    screens = act.recent_screen_counts(ev, as_of, hours)
+    nth = ms.nth_events(ev, JOURNEY_NTH + [(f, 1, col) for f, col in JOURNEY_FIRST_OF])
     location = act.any_location(ev)
     verified = ms.first_value_at(ev, fam.PHONE_VERIFIED, "user_id")
-    joined = l2.join(nth, USER, "left").join(location, USER, "left").join(verified, USER, "left")
+    # NULL-safe: the NULL user key is one cohort group of its own (Q9)
+    l2 = l2.withColumnRenamed(USER, "_u")
+    joined = cohort.join(l2, cohort[USER].eqNullSafe(l2["_u"])).drop("_u")
+    for side in (screens, nth, location, verified):
+        joined = joined.join(side, USER, "left")
     return finish(joined, thresholds, hours)
 
 

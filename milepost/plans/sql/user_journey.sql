@@ -1,8 +1,10 @@
 -- User-journey report, Spark SQL. Bind {events} to the event DataFrame and
--- :as_of to the evaluation time. Same plan as milepost.plans.journey.user_journey:
--- all events hash-aggregated per (user, UTC day) and then per user (numeric
--- buffers only), family events ranked per (user, family) for the n-th events,
--- and two narrow side aggregates for the string attributes, joined on the user key.
+-- :as_of to the evaluation time. Returns the same rows as
+-- milepost.plans.journey.user_journey (checked by the tests), with the same
+-- ideas in one statement: all events hash-aggregated per (user, UTC day) and
+-- then per user (numeric buffers only), family events ranked per
+-- (user, family) for the n-th events, and two narrow side aggregates for the
+-- string attributes, joined on the user key.
 WITH base AS (
   SELECT
     user_pseudo_id, event_date, event_timestamp, event_id, event_name,
