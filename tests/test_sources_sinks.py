@@ -64,3 +64,13 @@ def test_explode_params_is_inner(spark):
         ("a", "firebase_screen", "Home"),
         ("a", "firebase_screen", None),
     ]
+
+
+def test_hot_day_is_split_over_writers(spark):
+    rows = [ev(f"u{i:03d}", "first_open", "2024-01-05T10:00:00", DEFAULT_PARAMS) for i in range(400)]
+    path = scratch_path(spark, "hot-day")
+    evsrc.write_events(events_df(spark, rows), path, mode="overwrite", partitions=4)
+    day = os.path.join(path.replace("file:", ""), "event_date=2024-01-05")
+    files = [f for f in os.listdir(day) if f.endswith(".parquet")]
+    assert len(files) >= 2  # one day, several writer tasks
+    assert evsrc.load_events(spark, path).count() == 400
