@@ -31,6 +31,7 @@ from milepost.functions.specs import JOURNEY_NTH, JOURNEY_RECENT_DAYS, JOURNEY_T
 from milepost.operators import activity as act
 from milepost.operators.milestones import USER, event_time
 from milepost.plans import journey as jr
+from milepost.sources.events import EVENT_SCHEMA
 
 HEAD_SIZE = 10
 TABLES = ("days", "heads", "cities", "verified")
@@ -86,8 +87,17 @@ def update_partials(ev: DataFrame, base: str) -> None:
         )
 
 
+def partial_schemas(spark: SparkSession) -> dict:
+    """Schemas of the per-day tables, taken from their builders (no job)."""
+    empty = spark.createDataFrame([], EVENT_SCHEMA)
+    return {name: df.schema for name, df in day_tables(empty).items()}
+
+
 def read_partials(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{base.rstrip('/')}/{name}") for name in TABLES}
+    """Open the per-day tables with their known schemas, so a table that
+    got no rows yet (e.g. no verified-phone event so far) reads as empty."""
+    schemas = partial_schemas(spark)
+    return {name: spark.read.schema(schemas[name]).parquet(f"{base.rstrip('/')}/{name}") for name in TABLES}
 
 
 def journey_from_partials(

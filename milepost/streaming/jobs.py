@@ -39,7 +39,8 @@ def daily_spend_stream(spend_rows: DataFrame, soft: float, hard: float, lateness
 
 
 def run_daily_spend(spark: SparkSession, spend_rows: DataFrame, soft: float, hard: float, lateness: str = "2 days") -> DataFrame:
-    path = run_stream(spark, daily_spend_stream(spend_rows, soft, hard, lateness), "stream-daily-spend")
+    sdf = daily_spend_stream(spend_rows, soft, hard, lateness)
+    path = run_stream(spark, sdf, "stream-daily-spend", seed_schema=sdf.schema)
     return latest_per_key(spark, path, ["provider", "day"])
 
 
@@ -92,7 +93,9 @@ def latch_stream(daily: DataFrame) -> DataFrame:
 
 
 def run_latch(spark: SparkSession, daily: DataFrame, state_partitions: int = 8) -> DataFrame:
-    path = run_stream(spark, latch_stream(daily), "stream-latch", output_mode="append", state_partitions=state_partitions)
+    path = run_stream(
+        spark, latch_stream(daily), "stream-latch", output_mode="append", state_partitions=state_partitions, seed_schema=LATCH_OUT
+    )
     return spark.read.schema(LATCH_OUT).parquet(path).select(*LATCH_OUT.names)
 
 
@@ -107,7 +110,8 @@ def availability_stream(classified: DataFrame, window: str = "1 hour", lateness:
 
 
 def run_availability(spark: SparkSession, probes: DataFrame, window: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
-    path = run_stream(spark, availability_stream(av.classify(probes), window, lateness), "stream-availability")
+    sdf = availability_stream(av.classify(probes), window, lateness)
+    path = run_stream(spark, sdf, "stream-availability", seed_schema=sdf.schema)
     return latest_per_key(spark, path, ["window_start", "provider", "task"])
 
 
@@ -118,7 +122,8 @@ def worker_stream(endpoint_rows: DataFrame, lateness: str = "1 hour") -> DataFra
 
 
 def run_workers(spark: SparkSession, endpoint_rows: DataFrame, limit: int, lateness: str = "1 hour") -> DataFrame:
-    path = run_stream(spark, worker_stream(endpoint_rows, lateness), "stream-workers")
+    sdf = worker_stream(endpoint_rows, lateness)
+    path = run_stream(spark, sdf, "stream-workers", seed_schema=sdf.schema)
     totals = latest_per_key(spark, path, list(fl.SNAPSHOT))
     return fl.worker_alerts(totals, limit)
 
@@ -145,7 +150,8 @@ def run_milestones(spark: SparkSession, events: DataFrame, specs) -> DataFrame:
 
         return write
 
-    path = run_stream(spark, events, "stream-milestones", output_mode="append", process=process)
+    seed = milestone_partials(events, specs).schema
+    path = run_stream(spark, events, "stream-milestones", output_mode="append", process=process, seed_schema=seed)
     parts = spark.read.parquet(path)
     merged = parts.groupBy(USER).agg(
         *[

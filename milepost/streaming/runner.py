@@ -33,6 +33,7 @@ def run_stream(
     process: Callable[[DataFrame, int], None] | None = None,
     timeout_s: float | None = 3600,
     state_partitions: int | None = None,
+    seed_schema=None,
 ) -> str:
     """Run ``sdf`` with ``trigger(availableNow=True)``; return the folder
     holding one sub-folder per micro-batch.
@@ -42,9 +43,15 @@ def run_stream(
     of providers needs far fewer than a table-sized shuffle. The query runs
     on a clone of the session taken at ``start``, so the setting is put back
     right after.
+
+    ``seed_schema`` (the schema the sink writes) is stored first as an empty
+    batch -1, so the result reads as an empty table when the stream had no
+    input at all.
     """
     base = scratch_path(spark, name)
     out = f"{base}/batches"
+    if seed_schema is not None:
+        spark.createDataFrame([], seed_schema).write.mode("overwrite").parquet(f"{out}/{BATCH}=-1")
     sink = process(out) if process else changelog_sink(out)
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     if state_partitions:

@@ -90,3 +90,20 @@ def test_new_users_membership(spark, events):
             latest[user] = max(latest.get(user, micros), micros)
     want = sorted(u or "" for u, t in latest.items() if t >= since and ids.get(u) != "idb")
     assert got == want
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(event_st, min_size=1, max_size=40), st.integers(0, 2))
+def test_incremental_matches_fused(spark, events, split):
+    from pyspark.sql import functions as F
+
+    from milepost.plans import incremental as inc
+    from milepost.session import scratch_path
+
+    ev = events_df(spark, to_rows(events))
+    base = scratch_path(spark, "prop-partials")
+    odd = (F.dayofmonth("event_date") + F.lit(split)) % 2 == 1
+    inc.update_partials(ev.filter(odd), base)
+    inc.update_partials(ev.filter(~odd), base)
+    got = rows_of(inc.journey_from_partials(inc.read_partials(spark, base), ev, AS_OF))
+    assert got == rows_of(jr.user_journey(ev, AS_OF))

@@ -92,3 +92,13 @@ def test_milestone_partials_merge(spark):
     assert out["a"]["first_open_first"] == "2024-01-02 11:00:00"
     assert out["a"]["first_open_latest"] == "2024-01-05 11:00:00"
     assert out["b"]["any_integration_first"] == "2024-01-03 11:00:00"
+
+
+def test_streams_with_no_rows_give_empty_tables(spark):
+    folder = scratch_path(spark, "empty-probes")
+    spark.createDataFrame([], PROBE_SCHEMA).write.mode("overwrite").parquet(folder)
+    out = jobs.run_availability(spark, st.parquet_stream(spark, folder))
+    assert out.count() == 0 and "failures" in out.columns
+    lfolder = scratch_path(spark, "empty-latch")
+    spark.createDataFrame([], "provider string, day date, severity string, switch_ok boolean").write.mode("overwrite").parquet(lfolder)
+    assert jobs.run_latch(spark, st.parquet_stream(spark, lfolder)).count() == 0
