@@ -44,6 +44,9 @@ def q_stream_latch(spark, sf_dir):
     daily = mr.with_switch_outcome(mr.daily_severity(spark, sf_dir))
     folder = scratch_path(spark, "latch-input")
     lo, hi = daily.agg(F.min("day"), F.max("day")).first()  # one bounded row
+    if lo is None:  # no billing rows: stage the (empty) table once
+        daily.write.mode("append").parquet(folder)
+        return jobs.run_latch(spark, st.parquet_stream(spark, folder, max_files_per_trigger=1))
     span = (hi - lo).days + 1
     chunk = F.floor(F.datediff("day", F.lit(lo)) * 3 / F.lit(span)).cast("int")
     staged = daily.withColumn("_chunk", chunk)
