@@ -1,12 +1,14 @@
 """User-journey report (21 columns), fused and joined plans.
 
 ``user_journey`` is the plan to run at scale: one hash aggregation of all
-events per (user, UTC day) then per user (fixed-width buffers only), one
-n-th-event window over the family events, and two narrow side
-aggregations for the string attributes (city, verified user id), all
-joined on the user key, which every side is already partitioned by. ``user_journey_joined`` keeps the
-shape of the source report (one side table per column group, eleven left
-joins) and serves as its checker; both must return identical rows.
+events per (user, UTC day) then per user with four fixed-width buffers,
+plus narrow branches keyed by user (cohort milestones from the cohort
+events, recent screen counts from the last days' partitions, one n-th-event
+window over the family events, hash-deduplicated city and the verified user
+id), joined on the user key. ``user_journey_joined`` keeps the shape of the
+source report (one side table per column group, eleven left joins) and
+serves as its checker; both must return identical rows.
+``TIME_COLUMNS`` are printed as CET text.
 """
 
 from __future__ import annotations
