@@ -140,25 +140,57 @@ def milestone_partials(ev: DataFrame, specs) -> DataFrame:
     return ev.groupBy(USER).agg(*aggs)
 
 
-def run_milestones(spark: SparkSession, events: DataFrame, specs) -> DataFrame:
+def merge_partials(parts: DataFrame, specs) -> DataFrame:
+    """Merge milestone partials of several batches (MIN of firsts, MAX of
+    latests) into one row per user."""
+    return parts.groupBy(USER).agg(
+        *[
+            agg(f"{m.column}_{suffix}").alias(f"{m.column}_{suffix}")
+            for m in specs
+            for suffix, agg in (("first", F.min), ("latest", F.max))
+        ]
+    )
+
+
+def current_partials(spark: SparkSession, batches: str, compacted: str, upto: int | None = None) -> DataFrame:
+    """The newest compacted version (at most ``upto``) plus every batch after
+    it: together they cover all batches so far."""
+    comp = spark.read.parquet(compacted)
+    if upto is not None:
+        comp = comp.filter(F.col("upto") <= upto)
+    last = comp.agg(F.max("upto")).first()[0]  # partition values only
+    last = -1 if last is None else last
+    newer = spark.read.parquet(batches).filter(F.col(BATCH) > last)
+    if upto is not None:
+        newer = newer.filter(F.col(BATCH) <= upto)
+    return comp.filter(F.col("upto") == last).drop("upto").unionByName(newer.drop(BATCH))
+
+
+def run_milestones(spark: SparkSession, events: DataFrame, specs, compact_every: int = 0) -> DataFrame:
     """Each micro-batch is aggregated on its own and appended as partials
-    (no state store); the final table merges partials with MIN/MAX."""
+    (no state store); the final table merges partials with MIN/MAX.
+
+    With ``compact_every = k`` every k-th batch also writes the merge of all
+    partials so far as a compacted version (``compacted/upto=<batch id>``),
+    so reads touch one compacted table plus at most k-1 recent batches
+    instead of every batch since the stream started. Versions are keyed by
+    batch id, so a retried batch rewrites the same version.
+    """
+    seed = milestone_partials(events, specs).schema
 
     def process(out: str):
+        compacted = out.rsplit("/", 1)[0] + "/compacted"
+        spark.createDataFrame([], seed).write.mode("overwrite").parquet(f"{compacted}/upto=-1")
+
         def write(batch: DataFrame, batch_id: int) -> None:
             milestone_partials(batch, specs).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+            if compact_every and (batch_id + 1) % compact_every == 0:
+                merged = merge_partials(current_partials(batch.sparkSession, out, compacted, batch_id), specs)
+                merged.write.mode("overwrite").parquet(f"{compacted}/upto={batch_id}")
 
         return write
 
-    seed = milestone_partials(events, specs).schema
     path = run_stream(spark, events, "stream-milestones", output_mode="append", process=process, seed_schema=seed)
-    parts = spark.read.parquet(path)
-    merged = parts.groupBy(USER).agg(
-        *[
-            agg(f"{m.column}_{suffix}").alias(f"{m.column}_{suffix}")
-            for m in specs
-            for suffix, agg in (("first", F.min), ("latest", F.max))
-        ]
-    )
+    merged = merge_partials(current_partials(spark, path, path.rsplit("/", 1)[0] + "/compacted"), specs)
     cols = [f"{m.column}_{s}" for m in specs for s in ("first", "latest")]
     return ms.format_cet(merged, cols)

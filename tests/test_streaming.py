@@ -88,10 +88,13 @@ def test_milestone_partials_merge(spark):
     df = events_df(spark, rows)
     for i in range(2):
         df.filter(F.col("event_id") % 2 == i).coalesce(1).write.mode("append").parquet(folder)
-    out = {r["user_pseudo_id"]: r for r in jobs.run_milestones(spark, st.parquet_stream(spark, folder, 1), STREAM_SPECS).collect()}
-    assert out["a"]["first_open_first"] == "2024-01-02 11:00:00"
-    assert out["a"]["first_open_latest"] == "2024-01-05 11:00:00"
-    assert out["b"]["any_integration_first"] == "2024-01-03 11:00:00"
+    for k in (0, 1, 2):  # never / every batch / every second batch compacted
+        res = jobs.run_milestones(spark, st.parquet_stream(spark, folder, 1), STREAM_SPECS, compact_every=k)
+        out = {r["user_pseudo_id"]: r for r in res.collect()}
+        assert out["a"]["first_open_first"] == "2024-01-02 11:00:00"
+        assert out["a"]["first_open_latest"] == "2024-01-05 11:00:00"
+        assert out["b"]["any_integration_first"] == "2024-01-03 11:00:00"
+        assert len(out) == 2
 
 
 def test_streams_with_no_rows_give_empty_tables(spark):
