@@ -81,6 +81,13 @@ def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def broadcast_or_none(df: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
+    """``broadcast(df)`` when its row count is proven small, else None (the
+    caller then takes a plan that needs no join with it)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else None
+
+
 _SHIPPED: set[int] = set()
 
 

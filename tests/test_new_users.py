@@ -49,3 +49,11 @@ def test_new_users_order(spark):
     excluded = spark.createDataFrame([("bad",)], "user_id string")
     r = nu.new_users_report(events_df(spark, rows()), AS_OF, excluded).collect()
     assert [x["User_Pseudo_ID"] for x in r] == ["n8", None, "n2", "n1", "n7"]
+
+
+def test_new_users_without_broadcast_fallback(spark):
+    excluded = spark.createDataFrame([("bad",)], "user_id string")
+    ev_df = events_df(spark, rows())
+    small = {r["User_Pseudo_ID"] for r in nu.new_users(ev_df, AS_OF, excluded).collect()}
+    large = {r["User_Pseudo_ID"] for r in nu.new_users(ev_df, AS_OF, excluded, max_broadcast_rows=1).collect()}
+    assert small == large
