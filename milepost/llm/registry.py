@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milepost.llm import pii, secrets
+from milepost.llm import bpe, packed, packing, pii, secrets
+from milepost.llm.tokens import tokenizer_path
+from milepost.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +17,25 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "packed-ids")
+    packed.write(_docs(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), vocabulary_size=50_257, end_id=0)
+    return packed.read_index(spark, path)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op2_secrets": lambda spark, d: secrets.report(_docs(spark, d)),
+    "op8_packing": op8_packing,
+    "op9_packed_ids": op9_packed_ids,
+    "op10_bpe": op10_bpe,
     "op7_pii": lambda spark, d: pii.report(_docs(spark, d)),
 }
 LLM_ORACLES: dict[str, str] = {}
