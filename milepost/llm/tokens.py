@@ -19,7 +19,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries of a memo; a full one is emptied.
-MEMO = 500_000
+MEMO = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,8 +45,8 @@ _SAFE_WORD = re.compile(rf"(?!.*<\|)[!-~{_LATIN}]+")
 _WORD_PIECES = re.compile(rf"{_CONTRACTIONS}|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
 _BYTE_PIECES = re.compile(rf"{_CONTRACTIONS}| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: White space that byte-level splitting doesn't treat as one blank between words.
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+#: Beside single blanks and line ends between words, white space is irregular.
+_OTHER_BLANKS = re.compile("[\t\r\f\v\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -100,30 +100,38 @@ class WordIds(_Ids):
 class ByteIds(_Ids):
     """For a byte-level vocabulary whose words carry the blank before them."""
 
-    def _learn(self, unit: str) -> bytes:
-        if _SAFE_WORD.fullmatch(unit.removeprefix(" ")):
-            out = b"".join([self.part(p) for p in _BYTE_PIECES.findall(unit)])
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.spaced: dict[str, bytes] = {}  # ids of a blank and the word
+
+    def _learn(self, unit: str, memo: dict[str, bytes], blank: str = "") -> bytes:
+        if _SAFE_WORD.fullmatch(unit):
+            out = b"".join([self.part(p) for p in _BYTE_PIECES.findall(blank + unit)])
         else:
-            out = self.slow(unit)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[unit] = out
+            out = self.slow(blank + unit)
+        if len(memo) >= MEMO:
+            memo.clear()
+        memo[unit] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        memo, learn = self.memo, self._learn
-        if _IRREGULAR.search(text):
-            return b"".join([memo[u] if u in memo else learn(u) for u in _CUT.split(text)]) if text else b""
-        units: list[str] = []
+        if not text:
+            return b""
+        memo, spaced, learn = self.memo, self.spaced, self._learn
+        double = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        if double or text[0].isspace() or text[-1].isspace() or _OTHER_BLANKS.search(text):
+            return b"".join([memo[u] if u in memo else learn(u, memo) for u in _CUT.split(text)])
+        out: list[bytes] = []
         # One blank, or one line end, between words: a line end is a token of
         # its own, a blank belongs to the word after it.
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                units.append("\n")
-            first, *rest = line.split(" ")
-            units.append(first)
-            units += [" " + w for w in rest]
-        return b"".join([memo[u] if u in memo else learn(u) for u in units])
+        end = memo["\n"] if "\n" in memo else learn("\n", memo)
+        for line in text.split("\n"):
+            words = line.split(" ")
+            first = words[0]
+            out.append(memo[first] if first in memo else learn(first, memo))
+            out += [spaced[w] if w in spaced else learn(w, spaced, " ") for w in words[1:]]
+            out.append(end)
+        return b"".join(out[:-1])
 
 
 @lru_cache(maxsize=4)
