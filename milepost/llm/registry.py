@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from milepost.llm import bpe, packed, packing, pii, secrets
+from milepost.llm import bpe, crf, fingerprint, packed, packing, pii, secrets, topk
 from milepost.llm.tokens import tokenizer_path
 from milepost.session import scratch_path
 
@@ -17,6 +18,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -32,10 +41,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op2_secrets": lambda spark, d: secrets.report(_docs(spark, d)),
     "op8_packing": op8_packing,
     "op9_packed_ids": op9_packed_ids,
     "op10_bpe": op10_bpe,
+    "op5_order_minhash": lambda spark, d: fingerprint.report(_docs(spark, d)),
+    "op6_topk": op6_topk,
     "op7_pii": lambda spark, d: pii.report(_docs(spark, d)),
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op6_topk": """
+        with v as (
+            select vec_id, [floor(256 * x::double) for x in embedding] e from embeddings
+            where vec_id is not null and embedding is not null and len(embedding) > 0
+              and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+        ),
+        s as (
+            select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+        ),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+        select query_id, "rank", vec_id, score from r where "rank" <= 5
+    """,
+}
