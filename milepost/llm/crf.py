@@ -270,10 +270,10 @@ SLAB = 1 << 20
 
 
 def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """``docs`` plus the score; a map over the rows."""
-    cols = docs.columns
+    """``docs`` plus the score (in place of a column of that name); a map over the rows."""
+    cols = [c for c in docs.columns if c != out]
     body = docs.select(*(f"`{c}`" for c in cols), F.coalesce(F.col("text"), F.lit("")).alias("__body"))
-    schema = docs.withColumn(out, F.lit(0.0)).schema
+    schema = docs.select(*(f"`{c}`" for c in cols)).withColumn(out, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

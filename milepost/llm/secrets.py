@@ -177,7 +177,8 @@ def _verified(nth: int, rule: Rule, body: Column, hits: Column) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secrets") -> DataFrame:
-    """``docs`` plus ``out``: array<struct<start,nth,end,kind>> by start, then rule."""
+    """``docs`` plus ``out`` (in place of a column of that name):
+    array<struct<start,nth,end,kind>> by start, then rule."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
     grams = sorted({t for r in indexed for c in trigram_query(r.pattern) for s in c for t in s})
     keyed = _key(docs)
@@ -192,7 +193,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secrets")
     for n, r in enumerate(rules):
         both = both.withColumn(f"__{r.kind}", _verified(n, r, F.col("__body"), F.col(f"__{r.kind}")))
     spans = F.array_sort(F.concat(*(F.col(f"__{r.kind}") for r in rules)))
-    return both.select(*(keyed[f"`{c}`"] for c in docs.columns), spans.alias(out))
+    return both.select(*(keyed[f"`{c}`"] for c in docs.columns if c != out), spans.alias(out))
 
 
 def report(docs: DataFrame) -> DataFrame:
