@@ -6,13 +6,14 @@ Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of
 1. ``signatures``: POOL min-hashes of each set, BANDS keys of ROWS min-hashes
    each, and a sketch (a byte of each min-hash). A pair that links shares no
    key with probability under 1e-9; keys only propose.
-2. Groups of similar documents: the documents of a key are compared with the
-   key's pivot; verified links make groups (connected components), so a large
-   crowd of copies becomes a group with one comparison each.
+2. Groups of similar documents: in each of ROUNDS rounds a document is compared
+   with the NEAREST of its keys' pivots, those it shares most keys with;
+   verified links make groups (connected components), so a large crowd of
+   copies becomes a group with a few comparisons each.
 3. What is left are keys that several groups share. A group is cut into parts
    of about PART documents; a part's row of the token-group matrix is the
    union of its members' shingles. A document of the smaller group is the
-   query: a part whose union holds less than 75 % of the query's shingles, or
+   query: a part whose union of sketches agrees too rarely, or whose union holds less than 75 % of the query's shingles, or
    of the part's smallest set, can hold no link and stays closed. In opened
    parts each member is compared with the query.
 4. New links join groups; components give the smallest doc_id.
@@ -36,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from milepost.llm.words import mix, window_hashes, word_hashes
 from milepost.session import scratch_path
@@ -47,6 +49,11 @@ BANDS = 120
 ROWS = 6
 SURE = 0.45
 PART = 32
+#: Times that documents are compared with pivots before groups are compared.
+ROUNDS = 4
+#: Pivots that a document is compared with in a round.
+NEAREST = 4
+SHARED = "group long, band int, key int, set_id long, size long, part int"
 SLAB = 1 << 20
 
 _RANDOM = random.Random(20)
@@ -54,6 +61,8 @@ _SALTS = [np.uint32(_RANDOM.getrandbits(32)) for _ in range(POOL)]
 _FACTORS = [np.uint32(_RANDOM.getrandbits(32) | 1) for _ in range(POOL)]
 _CHOSEN = np.array([_RANDOM.sample(range(POOL), ROWS) for _ in range(BANDS)])
 
+_PLACES = np.arange(POOL) * 256
+
 SIGNATURE = "doc_id long, n_shingles long, set_id long, keys array<int>, sketch binary"
 
 
@@ -264,25 +273,33 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     keyed.write.parquet(f"{base}/keyed")
     keyed = spark.read.parquet(f"{base}/keyed")
 
-    stars = keyed.filter("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    _likely(stars, classes).write.parquet(f"{base}/stars")
-    stars = spark.read.schema("a long, b long").parquet(f"{base}/stars")
-    # Whole sets are fetched for documents that are compared or proposed again.
+    # Whole sets are fetched once, for documents that a key proposes.
     _sets(docs, classes.join(keyed.select("set_id").distinct(), "set_id").select("set_id", "doc_id")).dropDuplicates(
         ["set_id"]
     ).write.parquet(f"{base}/sets")
     sets = spark.read.schema("set_id long, n int, shingles binary").parquet(f"{base}/sets")
-    _links(stars, sets).write.parquet(f"{base}/star_links")
-    links = spark.read.schema("a long, b long").parquet(f"{base}/star_links")
-    groups = components(spark, links, f"{base}/groups")
+    links = spark.createDataFrame([], "a long, b long")
+    proposed = keyed.filter("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
+    for nth in range(ROUNDS):
+        # Of the pivots of its keys, a document is compared with those that it meets most often.
+        counted = proposed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        often = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+        nearest = counted.withColumn("nth", F.row_number().over(often)).filter(F.col("nth") <= NEAREST).select("a", "b")
+        _links(_likely(nearest, classes), sets).write.parquet(f"{base}/links{nth}")
+        links = links.unionByName(spark.read.schema("a long, b long").parquet(f"{base}/links{nth}"))
+        groups = components(spark, links, f"{base}/groups{nth}")
+        sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+        shared = _grouped(keyed.select("set_id", "band", "key"), groups)
+        shared = shared.join(sizes, "group", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+        shared.withColumn("part", _part(F.col("size"))).write.parquet(f"{base}/shared{nth}")
+        shared = spark.read.schema(SHARED).parquet(f"{base}/shared{nth}")
+        # Next, keys get other pivots; members of the pivot's group needn't be compared.
+        order = F.struct(F.xxhash64("set_id", F.lit(nth)).alias("by"), "group", "set_id")
+        pivots = shared.groupBy("band", "key").agg(F.min(order).alias("top"))
+        proposed = shared.join(pivots, ["band", "key"]).filter(F.col("group") != F.col("top.group"))
+        proposed = proposed.select(F.col("set_id").alias("a"), F.col("top.set_id").alias("b"))
 
     # The token-group matrix, for keys that several groups share.
-    shared = _grouped(keyed.select("set_id", "band", "key"), groups)
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    shared = shared.join(sizes, "group", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
-    shared = shared.withColumn("part", _part(F.col("size")))
-    shared.write.parquet(f"{base}/shared")
-    shared = spark.read.parquet(f"{base}/shared")
     query = shared.select("band", "key", F.col("set_id").alias("a"), F.struct("size", "group").alias("of"))
     target = shared.select("band", "key", "group", "part", F.struct("size", "group").alias("at")).distinct()
     # Each pair of groups is looked at from its smaller group.
@@ -292,8 +309,11 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     members = groups.join(sizes, "group").withColumn("part", _part(F.col("size"))).select("group", "part", "set_id")
     alone = shared.filter("size = 1").select("group", "part", "set_id").distinct()
     members = members.unionByName(alone).join(asked.select("group", "part").distinct(), ["group", "part"])
-    unions = _unions(members.join(sets, "set_id"))
-    opened = _opened(asked, sets, unions)
+    # First by the sketches' rows, which are small, then by the shingles'.
+    _near(asked, classes, _sketch_unions(members.join(classes, "set_id"))).write.parquet(f"{base}/near")
+    near = spark.read.schema("a long, group long, part int").parquet(f"{base}/near")
+    some = members.join(near.select("group", "part").distinct(), ["group", "part"])
+    opened = _opened(near, sets, _unions(some.join(sets, "set_id")))
     inside = members.select("group", "part", F.col("set_id").alias("b"))
     pairs = opened.join(inside, ["group", "part"]).select("a", "b").distinct()
     _links(_likely(pairs, classes), sets).write.parquet(f"{base}/more_links")
@@ -301,6 +321,42 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     return components(spark, links.unionByName(more), f"{base}/whole")
 
 
+def _sketch_unions(members: DataFrame) -> DataFrame:
+    """The matrix over sketches: per part a bit for each (place, byte) that a
+    member has, and the smallest and largest set."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros((POOL, 256), bool)
+        for sketch in table.column("sketch").to_pylist():
+            bits[np.arange(POOL), np.frombuffer(sketch, np.uint8)] = True
+        sizes = table.column("n").to_pylist()
+        columns = [[key[0].as_py()], [key[1].as_py()], [min(sizes)], [max(sizes)], [np.packbits(bits).tobytes()]]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["group", "part", "least", "most", "bits"])
+
+    by_part = members.select("group", "part", "n", "sketch").groupBy("group", "part")  # PART sets or so
+    return by_part.applyInArrow(run, "group long, part int, least long, most long, bits binary")
+
+
+def _near(asked: DataFrame, classes: DataFrame, unions: DataFrame) -> DataFrame:
+    """(a, group, part) that sizes and sketches allow: no member's sketch agrees
+    with the query's in more places than the part's row does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for sketch, bits in zip(b.column("a_sketch").to_pylist(), b.column("bits").to_pylist()):
+                at = np.frombuffer(sketch, np.uint8).astype(np.int64) + _PLACES
+                held = np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1
+                keep.append(held.mean() >= SURE)
+            yield b.select(["a", "group", "part"]).filter(pa.array(keep, pa.bool_()))
+
+    whole = _with(asked, classes, "a", "n", "sketch").join(unions, ["group", "part"])
+    fits = (F.col("a_n") * 100 >= F.col("least") * NEEDED) & (F.col("most") * 100 >= F.col("a_n") * NEEDED)
+    whole = whole.filter(fits).select("a", "group", "part", "a_sketch", "bits")
+    return whole.mapInArrow(run, "a long, group long, part int")
+
+
 def _unions(members: DataFrame) -> DataFrame:
     """A row of the matrix per part: the union of its members' shingles, and the smallest set."""
 

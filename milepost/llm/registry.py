@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from milepost.llm import bpe, crf, fingerprint, jaccard, packed, packing, pii, secrets, substring, topk
 from milepost.llm.tokens import tokenizer_path
 from milepost.session import scratch_path
@@ -46,6 +47,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_packed_ids": op9_packed_ids,
     "op10_bpe": op10_bpe,
+    "pipeline": corpus_pipeline.run,
     "op3_substring_dedup": lambda spark, d: substring.report(_docs(spark, d)),
     "op4_jaccard_join": lambda spark, d: jaccard.report(_docs(spark, d)),
     "op5_order_minhash": lambda spark, d: fingerprint.report(_docs(spark, d)),
