@@ -88,7 +88,7 @@ def broadcast_or_none(df: DataFrame, max_rows: int = 100_000) -> DataFrame | Non
     return F.broadcast(df) if n <= max_rows else None
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -105,7 +105,7 @@ def ship_package(spark: SparkSession) -> None:
     import milepost
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(milepost.__file__))

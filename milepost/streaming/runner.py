@@ -31,7 +31,7 @@ def run_stream(
     name: str,
     output_mode: str = "update",
     process: Callable[[DataFrame, int], None] | None = None,
-    timeout_s: float | None = 3600,
+    timeout_s: float | None = None,
     state_partitions: int | None = None,
     seed_schema=None,
 ) -> str:
