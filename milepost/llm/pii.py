@@ -37,8 +37,8 @@ def luhn(digits: Column) -> Column:
     """True if the decimal string passes the Luhn checksum."""
     doubled = F.transform(
         F.reverse(F.split(digits, "")),
-        lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(
-            F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)
+        lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(
+            F.when(c.try_cast("int") > 4, c.try_cast("int") * 2 - 9).otherwise(c.try_cast("int") * 2)
         ),
     )
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
@@ -49,7 +49,7 @@ def mod97(iban: Column) -> Column:
     turned = F.concat(F.substring(iban, 5, 64), F.substring(iban, 1, 4))
 
     def step(acc: Column, c: Column) -> Column:
-        digit = c.cast("int")
+        digit = c.try_cast("int")
         return F.when(digit.isNotNull(), (acc * 10 + digit) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
 
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
@@ -61,7 +61,7 @@ def _email_ok(m: Column) -> Column:
 
 def _ip_ok(m: Column) -> Column:
     parts = F.transform(F.split(m, "[.]"), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
-    return F.forall(parts, lambda p: (F.char_length(p) <= 3) & (F.coalesce(F.try_to_number(p, F.lit("999")), F.lit(0)) <= 255))
+    return F.forall(parts, lambda p: (F.char_length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(256)) <= 255))
 
 
 def _card_ok(m: Column) -> Column:
@@ -110,7 +110,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", _phone_ok, 0.6, ("phone", "call", "tel", "mobile", "fax")),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
         "",
         _iban_ok,
         0.9,
