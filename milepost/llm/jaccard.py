@@ -50,7 +50,7 @@ ROWS = 6
 SURE = 0.45
 PART = 32
 #: Times that documents are compared with pivots before groups are compared.
-ROUNDS = 4
+ROUNDS = 2
 #: Pivots that a document is compared with in a round.
 NEAREST = 4
 SHARED = "group long, band int, key int, set_id long, size long, part int"
@@ -282,7 +282,8 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     proposed = keyed.filter("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
     for nth in range(ROUNDS):
         # Of the pivots of its keys, a document is compared with those that it meets most often.
-        counted = proposed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        # A document has BANDS proposals at most, in as many tasks: one exchange serves count, window and join.
+        counted = proposed.repartition("a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
         often = Window.partitionBy("a").orderBy(F.desc("n"), "b")
         nearest = counted.withColumn("nth", F.row_number().over(often)).filter(F.col("nth") <= NEAREST).select("a", "b")
         _links(_likely(nearest, classes), sets).write.parquet(f"{base}/links{nth}")
