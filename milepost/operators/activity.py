@@ -71,8 +71,9 @@ def screen_recency(ev: DataFrame, as_of, hours=(24, 48, 72)) -> DataFrame:
 def recent_screen_counts(ev: DataFrame, as_of, hours=(24, 48, 72)) -> DataFrame:
     """Per user, screen parameters counted in the last ``h`` hours before
     ``as_of`` (cumulative windows, no upper bound) as ``_sv<h>``. Only the
-    partitions from ``DATE(as_of - max(hours))`` on are read."""
-    earliest = parse_as_of(as_of) - timedelta(hours=max(hours))
+    partitions from a day before ``DATE(as_of - max(hours))`` on are read,
+    as ``event_date`` may be a local day."""
+    earliest = parse_as_of(as_of) - timedelta(hours=max(hours), days=1)
     name = F.col("event_name")
     np_ = F.when(name == fam.SCREEN_VIEW, screen_param_count()).otherwise(F.lit(0))
     ts = event_time()

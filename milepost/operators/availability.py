@@ -91,7 +91,9 @@ def classify(probes: DataFrame, rules: dict = DEFAULT_RULES, default_rule: str =
     A 200 response must hold ``res_jobs[0]``; a missing or empty list (or a
     body that is not JSON) is a ``malformed_response`` failure. Under
     'status_and_error' a non-empty error text fails the probe. Only NULL and
-    '' count as "no error".
+    '' count as "no error". Failure classes are a closed set: timeout,
+    connection, other, http_error, malformed_response, error_message; the
+    exception's own text stays in ``error``.
     """
     probes = load_probes(probes)
     jobs = F.col("res_jobs")
@@ -100,8 +102,11 @@ def classify(probes: DataFrame, rules: dict = DEFAULT_RULES, default_rule: str =
     rule = _map_lookup(rules, F.col("provider"), default_rule)
     status = F.col("status_code")
     no_error = err.isNull() | (err == "")
+    raised = F.lower("exception_type")
     failure = (
-        F.when(status.isNull(), F.coalesce(F.col("exception_type"), F.lit("other")))
+        F.when(status.isNull() & (raised.contains("timeout") | raised.contains("timed out")), F.lit("timeout"))
+        .when(status.isNull() & raised.contains("connect"), F.lit("connection"))
+        .when(status.isNull(), F.lit("other"))
         .when(status != 200, F.lit("http_error"))
         .when(~has_job, F.lit("malformed_response"))
         .when((rule == F.lit(STATUS_AND_ERROR)) & ~no_error, F.lit("error_message"))

@@ -8,7 +8,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milepost.session import sized_broadcast
 
 # The worker alert text and the mutation input fields.
 WORKER_TEXT = " Active worker count is: `%d` which more than the threshold configured i.e. `%d`. Total number of endpoints: `%d`"
@@ -74,12 +73,12 @@ def action_column(col: str) -> F.Column:
     return F.when(c == "activate", F.lit(1)).when(c == "deactivate", F.lit(0))
 
 
-def desired_workers(endpoints: DataFrame, target_names: DataFrame, action: str, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def desired_workers(endpoints: DataFrame, target_names: DataFrame, action: str) -> DataFrame:
     """Mutation inputs for every endpoint whose name is a target: the
     endpoint's fields with ``workersMin`` replaced by the action's value
     (``templateId`` is read but not sent)."""
     workers = action_workers(action)
-    names = sized_broadcast(target_names.select("name").distinct(), max_broadcast_rows)
+    names = target_names.select("name").distinct()
     chosen = endpoints.join(names, "name", "left_semi")
     return chosen.select(
         *[F.lit(workers).cast("int").alias(f) if f == "workersMin" else F.col(f) for f in MUTATION_FIELDS]

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from milepost.session import sized_broadcast
-from milepost.sources.documents import AMOUNT
+from milepost.sources.documents import AMOUNT, RAW_AMOUNT
 
 # Alert texts of the spend monitor.
 HARD_TEXT = "`URGENT: CODE RED` Hard Threshold for a single day spent reached. Amount spent: %s. Hard Threshod limit is: %s"
@@ -44,13 +43,13 @@ def latest_bill(bills: DataFrame, key: str = "provider", order: str = "time", ti
 
 
 def bill_total(bills: DataFrame, keep=("provider", "time")) -> DataFrame:
-    """Sum of all ``*Amount`` columns of each record, as DECIMAL(18,2).
+    """Sum of all ``*Amount`` columns of each record, rounded once to DECIMAL(18,2).
 
     Decimals round half-up; the source summed binary doubles and rounded
     with Python's ``round``, which can differ by one cent (2.675 -> 2.67).
     """
     cols = amount_columns(bills)
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0).cast(AMOUNT)) for c in cols])
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0).cast(RAW_AMOUNT)) for c in cols])
     return bills.select(*keep, F.round(total, 2).cast(AMOUNT).alias("total"))
 
 
@@ -81,10 +80,10 @@ def missing_cost_days(apps: DataFrame, costs: DataFrame, first_day, last_day) ->
     return wanted.join(present, ["app", "day"], "left_anti")
 
 
-def spend_by_project(costs: DataFrame, app_dim: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
+def spend_by_project(costs: DataFrame, app_dim: DataFrame) -> DataFrame:
     """Daily spend per project: per-app rounded dollars joined to the app
-    -> project dimension (broadcast when its size is proven small)."""
-    dim = sized_broadcast(app_dim.select("app", "project").distinct(), max_broadcast_rows)
+    -> project dimension (AQE broadcasts it when it is small at run time)."""
+    dim = app_dim.select("app", "project").distinct()
     rows = app_dollars(costs.select("app", "day", "cents")).join(dim, "app")
     return rows.groupBy("project", "day").agg(F.sum("dollars").cast(AMOUNT).alias("total"))
 
@@ -102,7 +101,6 @@ def latch(
     ok_col: str = "switch_ok",
     key: str = "provider",
     order: str = "day",
-    max_broadcast_rows: int = 100_000,
     reset_by: str | None = None,
 ) -> DataFrame:
     """Kill-switch latch: on a hard row the switch is called (``activate``)
@@ -117,7 +115,10 @@ def latch(
     hard = F.col("severity") == "hard"
     keys = [key] + ([reset_by] if reset_by else [])
     first_ok = df.groupBy(*keys).agg(F.min(F.when(hard & F.col(ok_col), F.col(order))).alias("_first_ok"))
-    joined = df.join(sized_broadcast(first_ok, max_broadcast_rows), keys, "left")
+    first_ok = first_ok.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    # NULL-safe: records without a provider share a latch, as in the window form.
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(first_ok[f"_of_{k}"]) for k in keys])
+    joined = df.join(first_ok, same, "left").drop(*(f"_of_{k}" for k in keys))
     activate = hard & (F.col("_first_ok").isNull() | (F.col(order) <= F.col("_first_ok")))
     return joined.withColumn("activate", activate).drop("_first_ok")
 
@@ -143,12 +144,12 @@ def spend_alerts(
     and one per switch call with its outcome. ``dedup=True`` keeps one
     threshold alert per (provider, UTC day, severity) for per-poll input."""
     t = F.col(time_col).cast("timestamp")
-    source = F.concat(F.lit(source_prefix + ":"), F.col("provider"))
+    source = F.concat(F.lit(source_prefix + ":"), F.coalesce("provider", F.lit("unknown")))
     amount = F.col("total").cast("string")
     over = latched.filter(F.col("severity") != "none")
     if dedup:
         first = over.groupBy("provider", F.to_date(t).alias("_d"), "severity").agg(F.min(t).alias("_t"))
-        over = over.join(first, (over["provider"] == first["provider"]) & (t == first["_t"]) & (over["severity"] == first["severity"]), "left_semi")
+        over = over.join(first, over["provider"].eqNullSafe(first["provider"]) & (t == first["_t"]) & (over["severity"] == first["severity"]), "left_semi")
         over = over.dropDuplicates(["provider", time_col, "severity"])
     threshold = over.select(
         t.alias("alert_time"),

@@ -15,9 +15,9 @@ def w(body: str, *ctes: str) -> str:
 
 
 BILLS = "bills AS (\n  SELECT 'p' || CAST(uid % 2 AS VARCHAR) AS provider, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS time,\n" + ",\n".join(
-    f"    CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE k % 5 = {i}), 0) AS DECIMAL(18,2)) AS {a}"
+    f"    CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE k % 5 = {i}), 0) AS DECIMAL(28,10)) AS {a}"
     for i, a in enumerate(AMOUNTS)
-) + "\n  FROM src WHERE event_type = 'purchase' GROUP BY 1, 2)"
+) + ",\n    CAST(0 AS DECIMAL(28,10)) AS otherAmount\n  FROM src WHERE event_type = 'purchase' GROUP BY 1, 2)"
 TOTALS = "tot AS (SELECT provider, time, CAST(" + " + ".join(AMOUNTS) + " AS DECIMAL(18,2)) AS total FROM bills)"
 SEV = f"""sev AS (SELECT provider, CAST(time AS DATE) AS day, total,
   CASE WHEN total > {HARD} THEN 'hard' WHEN total > {SOFT} THEN 'soft' ELSE 'none' END AS severity FROM tot)"""
@@ -30,7 +30,7 @@ COSTS = """costs AS (
   SELECT * FROM (
     SELECT 'app' || CAST(k % 6 AS VARCHAR) AS app, 'prj' || CAST(k % 3 AS VARCHAR) AS project,
            CAST(ts AS DATE) AS d, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day,
-           CAST(sum(CAST(value AS DECIMAL(18,2))) * 100 AS DECIMAL(20,2)) AS cents
+           CAST(sum(CAST(value AS DECIMAL(18,2))) * 100 AS DECIMAL(28,10)) AS cents
     FROM src WHERE event_type = 'purchase' GROUP BY 1, 2, 3, 4)
   WHERE NOT (app = 'app3' AND day(d) % 7 = 0))"""
 DOLLARS = "CAST(CAST(round(cents, 0) AS DECIMAL(20,0)) * 0.01 AS DECIMAL(18,2))"

@@ -108,7 +108,9 @@ def q_alerts_union(spark, sf_dir):
 
 MONITOR_QUERIES = {
     "billing_flatten": bills,
-    "latest_bill": lambda spark, d: sp.latest_bill(bills(spark, d)),
+    "latest_bill": lambda spark, d: sp.latest_bill(
+        docs.load_billing(td.billing_docs(spark, d), position="pos"), tiebreak="pos"
+    ).drop("pos"),
     "bill_total": lambda spark, d: sp.bill_total(bills(spark, d)),
     "app_costs_flatten": costs,
     "app_spend_total": lambda spark, d: sp.spend_on(costs(spark, d)),

@@ -14,7 +14,6 @@ from milepost.functions.timefmt import hours_before, parse_as_of
 from milepost.operators import milestones as ms
 from milepost.operators.exclusion import exclude_users
 from milepost.operators.milestones import USER
-from milepost.session import broadcast_or_none
 
 
 def new_users(
@@ -23,7 +22,6 @@ def new_users(
     excluded: DataFrame,
     hours: int = 24,
     specs=NEW_USER_LATEST,
-    max_broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Users whose latest ``first_open`` is at most ``hours`` before
     ``as_of`` (no upper bound), minus listed test users (NULL ids stay).
@@ -31,12 +29,11 @@ def new_users(
     Only events with parameters count (the source unnests them). The
     latest first_open is >= the bound exactly when some first_open event
     with parameters is, so the candidate users are found on a pruned scan
-    of the last days and only their events are aggregated (when the
-    candidates are too many to broadcast, all users are aggregated and the
-    same filter keeps the new ones).
+    of the last days and only their events are aggregated. Partitions are
+    pruned with a day of margin, as ``event_date`` may be a local day.
     """
     since = hours_before(as_of, hours)
-    first_day = parse_as_of(as_of) - timedelta(hours=hours)
+    first_day = parse_as_of(as_of) - timedelta(hours=hours, days=1)
     candidates = (
         ev.filter(F.col("event_date") >= F.lit(first_day.date()))
         .filter((F.col("event_name") == fam.FIRST_OPEN) & (F.size("event_params") > 0))
@@ -44,18 +41,12 @@ def new_users(
         .select(USER)
         .distinct()
     )
-    cand = broadcast_or_none(candidates.withColumnRenamed(USER, "_cand"), max_broadcast_rows)
-    if cand is None:
-        # Too many new users to broadcast: aggregate every user (map-side
-        # combine) and let the first_open filter below decide, instead of
-        # shuffling raw events for a semi join.
-        rows = ev
-    else:
-        # NULL-safe: the source groups a NULL user key as a user of its own.
-        rows = ev.join(cand, ev[USER].eqNullSafe(cand["_cand"]), "left_semi")
+    cand = candidates.withColumnRenamed(USER, "_cand")
+    # NULL-safe: the source groups a NULL user key as a user of its own.
+    rows = ev.join(cand, ev[USER].eqNullSafe(cand["_cand"]), "left_semi")
     latest = ms.latest_milestones(rows, specs, with_identity=True)
     kept = latest.filter(F.col(specs[0].column) >= since)
-    kept = exclude_users(kept, excluded, "User_ID", "user_id", max_broadcast_rows)
+    kept = exclude_users(kept, excluded, "User_ID", "user_id")
     out = kept.select(
         F.col(USER).alias("User_Pseudo_ID"), "User_ID", "Location", *[m.column for m in specs]
     )

@@ -6,8 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 UTC = "UTC"
 
@@ -53,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="milepost-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -70,24 +71,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be small.
-
-    Counting ``max_rows + 1`` rows is a cheap, bounded job on a dimension
-    table. Above the bound the plain DataFrame is returned, so the join
-    falls back to a shuffle join (and AQE may still convert it at run time).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def broadcast_or_none(df: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
-    """``broadcast(df)`` when its row count is proven small, else None (the
-    caller then takes a plan that needs no join with it)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else None
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -12,45 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Money as reported: rounded once, after all sums.
 AMOUNT = T.DecimalType(18, 2)
-CENTS = T.DecimalType(20, 2)
+#: Money as recorded: nothing is rounded when documents are read.
+RAW_AMOUNT = T.DecimalType(28, 10)
+CENTS = RAW_AMOUNT
 
+# The amounts that bills are known to hold; others are summed as otherAmount.
 BILL_FIELDS = ["gpuCloudAmount", "cpuCloudAmount", "endpointAmount", "serverlessAmount", "storageAmount"]
 
-BILLING_DOC = T.StructType(
-    [
-        T.StructField(
-            "data",
-            T.StructType(
-                [
-                    T.StructField(
-                        "myself",
-                        T.StructType(
-                            [
-                                T.StructField(
-                                    "billing",
-                                    T.StructType(
-                                        [
-                                            T.StructField(
-                                                "summary",
-                                                T.ArrayType(
-                                                    T.StructType(
-                                                        [T.StructField("time", T.StringType())]
-                                                        + [T.StructField(f, AMOUNT) for f in BILL_FIELDS]
-                                                    )
-                                                ),
-                                            )
-                                        ]
-                                    ),
-                                )
-                            ]
-                        ),
-                    )
-                ]
-            ),
-        )
-    ]
-)
+BILLING_DOC = "data struct<myself struct<billing struct<summary array<map<string, string>>>>>"
 
 ENDPOINT = T.StructType(
     [
@@ -95,15 +66,31 @@ PROBE_BODY = T.StructType(
 )
 
 
-def load_billing(docs: DataFrame, body: str = "body", keep: tuple = ("provider",)) -> DataFrame:
+def load_billing(
+    docs: DataFrame, body: str = "body", keep: tuple = ("provider",), position: str | None = None
+) -> DataFrame:
     """Billing summaries -> one row per daily record.
 
     ``time`` is ISO-8601 text with ``Z``; amounts are decimals (never
-    doubles, so sums are exact).
+    doubles, so sums are exact) with all recorded places. Keys that end in
+    ``Amount`` but aren't in BILL_FIELDS are summed as ``otherAmount``; a
+    value that is no number counts as missing. ``position`` names a column
+    for a record's place in its document.
     """
-    parsed = docs.select(*keep, F.from_json(body, BILLING_DOC).alias("_d"))
-    rows = parsed.select(*keep, F.inline(F.col("_d.data.myself.billing.summary")))
-    return rows.select(*keep, F.to_timestamp("time").alias("time"), *BILL_FIELDS)
+    parsed = docs.select(*keep, F.from_json(body, BILLING_DOC)["data"]["myself"]["billing"]["summary"].alias("_s"))
+    rows = parsed.select(*keep, F.posexplode("_s").alias("_position", "_r"))
+    others = F.map_filter("_r", lambda k, v: k.endswith("Amount") & ~k.isin(BILL_FIELDS))
+    zero = F.lit(0).cast(RAW_AMOUNT)
+    other = F.aggregate(
+        F.map_values(others), zero, lambda total, v: (total + F.coalesce(v.try_cast(RAW_AMOUNT), zero)).cast(RAW_AMOUNT)
+    )
+    return rows.select(
+        *keep,
+        *([F.col("_position").alias(position)] if position else []),
+        F.to_timestamp(F.col("_r")["time"]).alias("time"),
+        *[F.col("_r")[f].try_cast(RAW_AMOUNT).alias(f) for f in BILL_FIELDS],
+        other.alias("otherAmount"),
+    )
 
 
 def load_app_costs(docs: DataFrame, body: str = "body", keep: tuple = ("app", "project")) -> DataFrame:

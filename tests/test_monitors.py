@@ -26,9 +26,41 @@ def test_latest_bill_and_total(spark):
     ]
     bills = docs.load_billing(spark.createDataFrame([("p", bill_doc(recs))], "provider string, body string"))
     latest = sp.latest_bill(bills).collect()
-    assert len(latest) == 1 and latest[0]["gpuCloudAmount"] == Decimal("2.68")  # Q14: newest, not today's
+    assert len(latest) == 1 and latest[0]["gpuCloudAmount"] == Decimal("2.675")  # Q14: newest, not today's
     total = sp.bill_total(sp.latest_bill(bills)).collect()[0]["total"]
-    assert total == Decimal("3.81")  # decimals: 2.68 + 0.13 + 1.00 (Q16)
+    assert total == Decimal("3.80")  # 2.675 + 0.125 + 1, rounded once (Q16)
+
+
+def test_amounts_are_rounded_once_and_any_amount_counts(spark):
+    def total(**record):
+        body = bill_doc([{"time": "2024-01-03T00:00:00Z", **record}])
+        bills = docs.load_billing(spark.createDataFrame([("p", body)], "provider string, body string"))
+        return sp.bill_total(bills).collect()[0]["total"]
+
+    assert total(**{f: 0.004 for f in docs.BILL_FIELDS}) == Decimal("0.02")
+    assert total(fooAmount=100.0, barAmount=None, bazAmount="n/a", gpuCloudAmount=1) == Decimal("101.00")
+    assert total(amountOfNothing=5) == Decimal("0.00")
+    body = json.dumps({"costs": {"2024-01-01": {"total_cost_cents": 0.4996}}})
+    costs = docs.load_app_costs(spark.createDataFrame([("a", "p", body)], "app string, project string, body string"))
+    assert sp.spend_on(costs).collect()[0]["total"] == Decimal("0.00")
+
+
+def test_latch_and_alerts_of_no_provider(spark):
+    rows = [(None, date(2024, 1, d), Decimal("250.00"), True) for d in (1, 2, 3)]
+    df = sp.severity(spark.createDataFrame(rows, "provider string, day date, total decimal(18,2), switch_ok boolean"), 100, 200)
+    assert sorted(r["activate"] for r in sp.latch(df).collect()) == [False, False, True]
+    alerts = sp.spend_alerts(sp.latch(df), 100, 200, dedup=True).collect()
+    assert len(alerts) == 4 and {r["source"] for r in alerts} == {"spend:unknown"}
+
+
+def test_failure_classes_are_a_closed_set(spark):
+    rows = [("ReadTimeout: host x:443 after 120s",), ("ConnectionError",), ("KeyError: 'a'",), (None,)]
+    probes = spark.createDataFrame(
+        [(None, "p0", "t", None, None, e) for (e,) in rows],
+        "ts timestamp, provider string, task string, status_code int, body string, exception_type string",
+    )
+    got = sorted(r["failure_class"] for r in av.classify(probes).collect())
+    assert got == ["connection", "other", "other", "timeout"]
 
 
 def test_latest_bill_tie_keeps_first(spark):

@@ -51,9 +51,16 @@ def test_new_users_order(spark):
     assert [x["User_Pseudo_ID"] for x in r] == ["n8", None, "n2", "n1", "n7"]
 
 
-def test_new_users_without_broadcast_fallback(spark):
+def test_new_users_without_broadcast(spark):
     excluded = spark.createDataFrame([("bad",)], "user_id string")
     ev_df = events_df(spark, rows())
     small = {r["User_Pseudo_ID"] for r in nu.new_users(ev_df, AS_OF, excluded).collect()}
-    large = {r["User_Pseudo_ID"] for r in nu.new_users(ev_df, AS_OF, excluded, max_broadcast_rows=1).collect()}
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for key in limits:
+            spark.conf.set(key, "-1")
+        large = {r["User_Pseudo_ID"] for r in nu.new_users(ev_df, AS_OF, excluded).collect()}
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
     assert small == large

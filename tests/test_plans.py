@@ -50,12 +50,25 @@ def test_nth_prefilter_reaches_parquet(spark, ga_path):
     assert "WindowGroupLimit" in p
 
 
-def test_new_users_prunes_partitions_and_broadcasts_lists(spark, ga_path):
+def test_new_users_prunes_partitions(spark, ga_path):
     ev = evsrc.load_events(spark, ga_path)
     excluded = spark.createDataFrame([("u37",)], "user_id string")
     p = plan(nu.new_users(ev, AS_OF, excluded))
-    assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ >= 2024-01-29", p)
-    assert "BroadcastHashJoin" in p and "LeftAnti" in p
+    # A day of margin before DATE(as_of - 24 h).
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ >= 2024-01-28", p)
+    assert "LeftAnti" in p and "LeftSemi" in p
+
+
+def test_no_job_runs_while_queries_are_built(spark, ga_path):
+    ev = evsrc.load_events(spark, ga_path)
+    listed = spark.createDataFrame([("u37",)], "user_id string")
+    spark.sparkContext.setJobGroup("build-only", "queries are lazy")
+    try:
+        out = [nu.new_users(ev, AS_OF, listed), exclude_users(ev, listed, "user_id")]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build-only")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "SinglePartition" not in "".join(map(plan, out))
 
 
 def test_exclusion_is_anti_join(spark):
