@@ -23,8 +23,12 @@ Tables below ``base`` (all partitioned by ``event_date``):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from milepost.functions import families as fam
 from milepost.functions.specs import JOURNEY_NTH, JOURNEY_RECENT_DAYS, JOURNEY_THRESHOLDS, SCREEN_HOURS
@@ -34,6 +38,8 @@ from milepost.plans import journey as jr
 from milepost.sources.events import EVENT_SCHEMA
 
 HEAD_SIZE = 10
+#: Rows that only make a day's partition exist.
+MARKER = "is_marker"
 TABLES = ("days", "heads", "cities", "verified")
 
 
@@ -70,11 +76,21 @@ def day_tables(ev: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def update_partials(ev: DataFrame, base: str) -> None:
-    """Write the per-day tables for the days present in ``ev`` (pass the
-    events of the changed days, e.g. ``load_events(..., date_from=d,
-    date_to=d)``). Existing partitions of other days are kept."""
+def update_partials(ev: DataFrame, base: str, days: Sequence[date] = ()) -> None:
+    """Replace the per-day tables' partitions of the days present in ``ev``
+    (pass the events of the changed days, e.g. ``load_events(..., date_from=d,
+    date_to=d)``) and of ``days``, which may have lost all their events.
+    Existing partitions of other days are kept.
+
+    Each replaced day gets a marker row in every table, so that a table
+    without rows for that day loses its old ones too. The four tables are
+    written one after another: after a failure, run the same days again.
+    """
+    spark = ev.sparkSession
+    named = spark.createDataFrame([(d,) for d in days], "event_date date")
+    changed = ev.select("event_date").unionByName(named).distinct().withColumn(MARKER, F.lit(True))
     for name, df in day_tables(ev).items():
+        df = df.withColumn(MARKER, F.lit(False)).unionByName(changed, allowMissingColumns=True)
         # range partitioning on (day, user): a one-day update is still
         # written by many tasks and files hold user ranges; without a fixed
         # count AQE merges small ranges into fewer, larger files
@@ -97,7 +113,12 @@ def read_partials(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """Open the per-day tables with their known schemas, so a table that
     got no rows yet (e.g. no verified-phone event so far) reads as empty."""
     schemas = partial_schemas(spark)
-    return {name: spark.read.schema(schemas[name]).parquet(f"{base.rstrip('/')}/{name}") for name in TABLES}
+    out = {}
+    for name in TABLES:
+        schema = StructType([*schemas[name].fields, StructField(MARKER, BooleanType())])
+        rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{name}")
+        out[name] = rows.filter(~F.coalesce(F.col(MARKER), F.lit(False))).drop(MARKER)
+    return out
 
 
 def journey_from_partials(

@@ -146,3 +146,23 @@ def test_incremental_partials_equal_fused(spark):
     for scope in ("cohort", "all_events"):
         got = rows_of(inc.journey_from_partials(parts, ev_df, AS_OF, scope=scope))
         assert got == rows_of(jr.user_journey(ev_df, AS_OF, scope=scope))
+
+
+def test_corrected_days_replace_their_partials(spark, tmp_path):
+    from milepost.plans import incremental as inc
+
+    def report(ev):
+        inc_rows = inc.journey_from_partials(inc.read_partials(spark, base), ev, AS_OF, scope="all_events")
+        return sorted(map(str, inc_rows.collect())), sorted(map(str, jr.user_journey(ev, AS_OF, scope="all_events").collect()))
+
+    base = str(tmp_path / "partials")
+    ev = events_df(spark, fixture_rows())
+    inc.update_partials(ev, base)
+    assert len(set(map(tuple, report(ev)))) == 1
+    # Days that lose their verified, family and city rows, and a day that loses everything.
+    gone = max(r[0] for r in ev.select("event_date").distinct().collect())
+    kept = ev.filter((F.col("event_name") == "session_start") | F.col("event_name").startswith("first_"))
+    kept = kept.withColumn("geo", F.lit(None).cast(ev.schema["geo"].dataType)).filter(F.col("event_date") != F.lit(gone))
+    lost = [r[0] for r in ev.select("event_date").distinct().collect()]
+    inc.update_partials(kept, base, days=lost)
+    assert len(set(map(tuple, report(kept)))) == 1
