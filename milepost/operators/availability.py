@@ -36,15 +36,16 @@ CATALOG = [
     ("command-interpreter", "model-b", "Send Max a message that the meeting starts at noon."),
     ("content-importance", "model-b", "Hi Jo, the client needs the contract signed by tomorrow."),
 ]
+# The nine context field names. The values are our own.
 CONTENT_IMPORTANCE_EXTRAS = [
-    ("subject_line_signals", "boolean", True),
-    ("is_sender_a_known_contact", "boolean", False),
-    ("is_attachment_present", "boolean", False),
-    ("thread_depth", "int", 5),
-    ("frequency_of_interaction_with_sender", "string", "low"),
-    ("user_defined_keywords_or_phrases", "string", "release date, budget"),
-    ("is_sender_in_priority_contacts", "boolean", True),
-    ("message_type_preference_list", "string", "Finance, Legal"),
+    ("subject_line_signals", "boolean", False),
+    ("is_sender_a_known_contact", "boolean", True),
+    ("is_attachment_present", "boolean", True),
+    ("thread_depth", "int", 2),
+    ("frequency_of_interaction_with_sender", "string", "weekly"),
+    ("user_defined_keywords_or_phrases", "string", "signature, renewal"),
+    ("is_sender_in_priority_contacts", "boolean", False),
+    ("message_type_preference_list", "string", "Contracts"),
     ("language", "string", "en"),
 ]
 

@@ -182,7 +182,7 @@ def test_probe_requests(spark):
     probes = spark.createDataFrame([("p1", "content-importance"), ("p0", "summarization")], "provider string, task string")
     reqs = {r["task"]: r for r in av.probe_requests(av.task_catalog(spark), probes).collect()}
     ci = json.loads(reqs["content-importance"]["body"])["req_jobs"][0]
-    assert ci["thread_depth"] == 5 and ci["id"] == 1 and ci["task"] == "content-importance"
+    assert ci["thread_depth"] == 2 and ci["id"] == 1 and ci["task"] == "content-importance"
     assert reqs["content-importance"]["endpoint"] == "/content_importance_ico"
     plain = json.loads(reqs["summarization"]["body"])["req_jobs"][0]
     assert set(plain) == {"id", "input_text", "model", "task"}
