@@ -6,22 +6,26 @@ Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of
 1. ``signatures``: POOL min-hashes of each set, BANDS keys of ROWS min-hashes
    each, and a sketch (a byte of each min-hash). A pair that links shares no
    key with probability under 1e-9; keys only propose.
-2. Groups of similar documents: in each of ROUNDS rounds a document is compared
+2. Groups of similar documents: a document is compared
    with the NEAREST of its keys' pivots, those it shares most keys with;
    verified links make groups (connected components), so a large crowd of
    copies becomes a group with a few comparisons each.
-3. What is left are keys that several groups share. A group is cut into parts
-   of about PART documents; a part's row of the token-group matrix is the
-   union of its members' shingles. A document of the smaller group is the
-   query: a part whose union of sketches agrees too rarely, or whose union holds less than 75 % of the query's shingles, or
-   of the part's smallest set, can hold no link and stays closed. In opened
-   parts each member is compared with the query.
+3. What is left are keys that several groups share. Neighbourhoods (trees of
+   documents and the pivot each meets most often) are cut into blocks of about
+   BLOCK sets or TOKENS shingles. A set asks the blocks of its own
+   neighbourhood and of those that it shares a key with, if they hold a member
+   of a larger group. A block and a bounded lot of its questions meet in one
+   task, which builds the rows of the token-group matrix: the union of the
+   block's shingles, and of each PART members next in size. A row that holds
+   fewer of the query's shingles than a link with its smallest set needs stays
+   closed; in opened parts each member is compared with the query.
 4. New links join groups; components give the smallest doc_id.
 
 No comparison drops anything by number: sketches rule out pairs whose
 estimate is below SURE, some eight standard deviations under 0.75, and sizes
-rule out pairs exactly; all others are compared by whole sets. Pairs inside a
-group are never made. Every step writes its table under spark.checkpoint.dir.
+and unions rule out pairs exactly; all others are compared by whole sets.
+Pairs inside a group are never made. Every step writes its table under
+spark.checkpoint.dir.
 
 Defined results: null or empty text has no set, links with nothing and is its
 own component; 1 to 4 words are one shingle; repeated rows are equal sets; a
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -49,11 +53,12 @@ BANDS = 120
 ROWS = 6
 SURE = 0.45
 PART = 32
-#: Times that documents are compared with pivots before groups are compared.
-ROUNDS = 2
-#: Pivots that a document is compared with in a round.
+#: Sets of a block, and questions that meet it in one task; shingles of either.
+BLOCK = 512
+LOT = 1024
+TOKENS = 1 << 20
+#: Pivots that a document is compared with.
 NEAREST = 4
-SHARED = "group long, band int, key int, set_id long, size long, part int"
 SLAB = 1 << 20
 
 _RANDOM = random.Random(20)
@@ -61,8 +66,6 @@ _SALTS = [np.uint32(_RANDOM.getrandbits(32)) for _ in range(POOL)]
 _FACTORS = [np.uint32(_RANDOM.getrandbits(32) | 1) for _ in range(POOL)]
 _CHOSEN = np.array([_RANDOM.sample(range(POOL), ROWS) for _ in range(BANDS)])
 
-_PLACES = np.arange(POOL) * 256
-
 SIGNATURE = "doc_id long, n_shingles long, set_id long, keys array<int>, sketch binary"
 
 
@@ -245,16 +248,10 @@ def components(spark: SparkSession, edges: DataFrame, base: str) -> DataFrame:
         labels = jumped
 
 
-def _grouped(keyed: DataFrame, groups: DataFrame) -> DataFrame:
-    """Keys that several groups share, with each set's group (a set without a link is its own)."""
-    named = keyed.join(groups, "set_id", "left").withColumn("group", F.coalesce("group", "set_id"))
-    several = named.groupBy("band", "key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    return named.join(several.filter("low <> high").select("band", "key"), ["band", "key"])
-
-
-def _part(size: Column) -> Column:
-    """Part of its group that a set belongs to: parts have about PART sets."""
-    return F.pmod(F.xxhash64("set_id"), F.ceil(size / PART)).cast("int")
+def _several(keyed: DataFrame, of: str) -> DataFrame:
+    """Rows whose key occurs with several values of the column ``of``."""
+    ends = keyed.groupBy("band", "key").agg(F.min(of).alias("low"), F.max(of).alias("high"))
+    return keyed.join(ends.filter("low <> high").select("band", "key"), ["band", "key"])
 
 
 def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
@@ -278,116 +275,119 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
         ["set_id"]
     ).write.parquet(f"{base}/sets")
     sets = spark.read.schema("set_id long, n int, shingles binary").parquet(f"{base}/sets")
-    links = spark.createDataFrame([], "a long, b long")
+    # Of the pivots of its keys, a document is compared with those that it meets most often.
+    # A document has BANDS proposals at most, in as many tasks: one exchange serves count, window and join.
     proposed = keyed.filter("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
-    for nth in range(ROUNDS):
-        # Of the pivots of its keys, a document is compared with those that it meets most often.
-        # A document has BANDS proposals at most, in as many tasks: one exchange serves count, window and join.
-        counted = proposed.repartition("a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        often = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-        nearest = counted.withColumn("nth", F.row_number().over(often)).filter(F.col("nth") <= NEAREST).select("a", "b")
-        _links(_likely(nearest, classes), sets).write.parquet(f"{base}/links{nth}")
-        links = links.unionByName(spark.read.schema("a long, b long").parquet(f"{base}/links{nth}"))
-        groups = components(spark, links, f"{base}/groups{nth}")
-        sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-        shared = _grouped(keyed.select("set_id", "band", "key"), groups)
-        shared = shared.join(sizes, "group", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
-        shared.withColumn("part", _part(F.col("size"))).write.parquet(f"{base}/shared{nth}")
-        shared = spark.read.schema(SHARED).parquet(f"{base}/shared{nth}")
-        # Next, keys get other pivots; members of the pivot's group needn't be compared.
-        order = F.struct(F.xxhash64("set_id", F.lit(nth)).alias("by"), "group", "set_id")
-        pivots = shared.groupBy("band", "key").agg(F.min(order).alias("top"))
-        proposed = shared.join(pivots, ["band", "key"]).filter(F.col("group") != F.col("top.group"))
-        proposed = proposed.select(F.col("set_id").alias("a"), F.col("top.set_id").alias("b"))
-
-    # The token-group matrix, for keys that several groups share.
-    query = shared.select("band", "key", F.col("set_id").alias("a"), F.struct("size", "group").alias("of"))
-    target = shared.select("band", "key", "group", "part", F.struct("size", "group").alias("at")).distinct()
-    # Each pair of groups is looked at from its smaller group.
-    asked = query.join(target, ["band", "key"]).filter(F.col("of") < F.col("at")).select("a", "group", "part").distinct()
-    asked.write.parquet(f"{base}/asked")
-    asked = spark.read.parquet(f"{base}/asked")
-    members = groups.join(sizes, "group").withColumn("part", _part(F.col("size"))).select("group", "part", "set_id")
-    alone = shared.filter("size = 1").select("group", "part", "set_id").distinct()
-    members = members.unionByName(alone).join(asked.select("group", "part").distinct(), ["group", "part"])
-    # First by the sketches' rows, which are small, then by the shingles'.
-    _near(asked, classes, _sketch_unions(members.join(classes, "set_id"))).write.parquet(f"{base}/near")
-    near = spark.read.schema("a long, group long, part int").parquet(f"{base}/near")
-    some = members.join(near.select("group", "part").distinct(), ["group", "part"])
-    opened = _opened(near, sets, _unions(some.join(sets, "set_id")))
-    inside = members.select("group", "part", F.col("set_id").alias("b"))
-    pairs = opened.join(inside, ["group", "part"]).select("a", "b").distinct()
-    _links(_likely(pairs, classes), sets).write.parquet(f"{base}/more_links")
+    counted = proposed.repartition("a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    often = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+    nearest = counted.withColumn("nth", F.row_number().over(often)).filter(F.col("nth") <= NEAREST).drop("n")
+    nearest.write.parquet(f"{base}/nearest")
+    nearest = spark.read.schema("a long, b long, nth int").parquet(f"{base}/nearest")
+    _links(_likely(nearest.select("a", "b"), classes), sets).write.parquet(f"{base}/links")
+    links = spark.read.schema("a long, b long").parquet(f"{base}/links")
+    groups = components(spark, links, f"{base}/groups")
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    closest = nearest.filter("nth = 1").select("a", "b")
+    areas = components(spark, links.unionByName(closest), f"{base}/areas").withColumnRenamed("group", "area")
+
+    # Sets with a key that several groups share; a set without a link is its own group.
+    named = keyed.select("set_id", "band", "key").join(groups, "set_id", "left")
+    named = named.withColumn("group", F.coalesce("group", "set_id"))
+    shared = _several(named, "group").join(areas, "set_id").join(sizes, "group", "left")
+    shared = shared.select("set_id", "band", "key", "group", F.coalesce("size", F.lit(1)).cast("long").alias("size"), "area")
+    shared.write.parquet(f"{base}/shared")
+    shared = spark.read.schema("set_id long, band int, key int, group long, size long, area long").parquet(f"{base}/shared")
+    _asked(shared, groups, sizes, areas, sets, base)
+    asked = spark.read.schema("a long, block long, lot int").parquet(f"{base}/asked")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{base}/blocks")
+    _matrix_links(asked, blocks, sets).write.parquet(f"{base}/more_links")
     more = spark.read.schema("a long, b long").parquet(f"{base}/more_links")
     return components(spark, links.unionByName(more), f"{base}/whole")
 
 
-def _sketch_unions(members: DataFrame) -> DataFrame:
-    """The matrix over sketches: per part a bit for each (place, byte) that a
-    member has, and the smallest and largest set."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bits = np.zeros((POOL, 256), bool)
-        for sketch in table.column("sketch").to_pylist():
-            bits[np.arange(POOL), np.frombuffer(sketch, np.uint8)] = True
-        sizes = table.column("n").to_pylist()
-        columns = [[key[0].as_py()], [key[1].as_py()], [min(sizes)], [max(sizes)], [np.packbits(bits).tobytes()]]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["group", "part", "least", "most", "bits"])
-
-    by_part = members.select("group", "part", "n", "sketch").groupBy("group", "part")  # PART sets or so
-    return by_part.applyInArrow(run, "group long, part int, least long, most long, bits binary")
+BLOCKS = "set_id long, n int, size long, group long, block long"
 
 
-def _near(asked: DataFrame, classes: DataFrame, unions: DataFrame) -> DataFrame:
-    """(a, group, part) that sizes and sketches allow: no member's sketch agrees
-    with the query's in more places than the part's row does."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for sketch, bits in zip(b.column("a_sketch").to_pylist(), b.column("bits").to_pylist()):
-                at = np.frombuffer(sketch, np.uint8).astype(np.int64) + _PLACES
-                held = np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1
-                keep.append(held.mean() >= SURE)
-            yield b.select(["a", "group", "part"]).filter(pa.array(keep, pa.bool_()))
-
-    whole = _with(asked, classes, "a", "n", "sketch").join(unions, ["group", "part"])
+def _asked(shared: DataFrame, groups: DataFrame, sizes: DataFrame, areas: DataFrame, sets: DataFrame, base: str) -> None:
+    """Write ``blocks`` (the sets of each block) and ``asked`` (a, block, lot): who asks
+    which block, in lots that one task can hold."""
+    spark = shared.sparkSession
+    # Members of groups that share a key with others, and the sets that do so alone.
+    inside = groups.join(shared.select("group").distinct(), "group").join(sizes, "group")
+    alone = shared.filter("size = 1").select("set_id", "group", "size").distinct()
+    members = inside.select("set_id", "group", "size").unionByName(alone).join(areas, "set_id").join(sets.select("set_id", "n"), "set_id")
+    # A group of some size has blocks of its own, so that its members needn't ask them.
+    unit = F.when(F.col("size") >= PART, F.col("group"))
+    members = members.withColumn("unit", F.coalesce(unit, F.lit(0)))
+    cuts = members.groupBy("area", "unit").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / TOKENS)).alias("cuts")
+    )
+    cut = F.pmod(F.xxhash64("set_id"), F.col("cuts"))
+    members.join(cuts, ["area", "unit"]).select(
+        "set_id", "n", "size", "group", "area", F.xxhash64("area", "unit", cut).alias("block")
+    ).write.parquet(f"{base}/blocks")
+    stored = spark.read.schema(BLOCKS + ", area long").parquet(f"{base}/blocks")
+
+    at = F.struct("size", "group")
+    blocks = stored.groupBy("area", "block").agg(F.max(at).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+    own = shared.select(F.col("set_id").alias("a"), "area")
+    far = _several(shared, "area")
+    others = far.select("band", "key", "area").distinct()
+    far = far.select("band", "key", F.col("set_id").alias("a"), F.col("area").alias("home")).join(others, ["band", "key"])
+    where = own.unionByName(far.filter("area <> home").select("a", "area")).distinct()
+    who = stored.select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), at.alias("of"))
     fits = (F.col("a_n") * 100 >= F.col("least") * NEEDED) & (F.col("most") * 100 >= F.col("a_n") * NEEDED)
-    whole = whole.filter(fits).select("a", "group", "part", "a_sketch", "bits")
-    return whole.mapInArrow(run, "a long, group long, part int")
-
-
-def _unions(members: DataFrame) -> DataFrame:
-    """A row of the matrix per part: the union of its members' shingles, and the smallest set."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        union = np.unique(np.concatenate(sets))
-        columns = [[key[0].as_py()], [key[1].as_py()], [min(map(len, sets))], [union.tobytes()]]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["group", "part", "least", "tokens"])
-
-    by_part = members.select("group", "part", "shingles").groupBy("group", "part")  # PART sets or so
-    return by_part.applyInArrow(run, "group long, part int, least int, tokens binary")
-
-
-def _opened(asked: DataFrame, sets: DataFrame, unions: DataFrame) -> DataFrame:
-    """(a, group, part) whose bound allows a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            rows = zip(b.column("a_shingles").to_pylist(), b.column("tokens").to_pylist(), b.column("least").to_pylist())
-            for query, tokens, least in rows:
-                query, tokens = np.frombuffer(query, np.uint64), np.frombuffer(tokens, np.uint64)
-                both = len(np.intersect1d(query, tokens, assume_unique=True))
-                keep.append(100 * both >= NEEDED * max(len(query), least))
-            yield b.select(["a", "group", "part"]).filter(pa.array(keep, pa.bool_()))
-
-    whole = _with(asked, sets, "a", "shingles").join(unions, ["group", "part"])
-    whole = whole.select("a", "group", "part", "a_shingles", "tokens", "least")
-    return whole.mapInArrow(run, "a long, group long, part int")
+    # Each pair of groups is looked at from its smaller group.
+    asks = where.join(who, "a").join(blocks, "area").filter(fits & (F.col("of") < F.col("top"))).select("a", "a_n", "block")
+    asks.write.parquet(f"{base}/asks")
+    asks = spark.read.schema("a long, a_n int, block long").parquet(f"{base}/asks")
+    lots = asks.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / LOT, F.sum("a_n") / TOKENS)).alias("lots"))
+    lot = F.pmod(F.xxhash64("a", "block"), F.col("lots")).cast("int")
+    asks.join(lots, "block").select("a", "block", lot.alias("lot")).write.parquet(f"{base}/asked")
+
+
+def _common(query: np.ndarray, tokens: np.ndarray) -> int:
+    """How many of the query's shingles are among the tokens (both sorted)."""
+    at = np.minimum(np.searchsorted(tokens, query), len(tokens) - 1)
+    return int((tokens[at] == query).sum())
+
+
+def _matrix_links(asked: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) between a block's questions and its members of larger groups."""
+    who = blocks.select(F.col("set_id").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"))
+    named = sets.select(F.col("set_id").alias("a"), "shingles")
+    left = asked.join(who, "a").join(named, "a").select("block", "lot", "a", "a_size", "a_group", "shingles")
+    lots = asked.select(F.col("block").alias("in_block"), F.col("lot").alias("in_lot")).distinct()
+    held = blocks.join(sets.select("set_id", F.col("shingles").alias("tokens")), "set_id")
+    right = held.join(lots, F.col("block") == F.col("in_block")).select("in_block", "in_lot", "set_id", "size", "group", "tokens")
+
+    def run(questions: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if questions.num_rows and members.num_rows:
+            sets = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
+            ids, sizes, names = (members.column(c).to_pylist() for c in ("set_id", "size", "group"))
+            order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
+            parts = [order[i : i + PART] for i in range(0, len(order), PART)]
+            rows = [np.unique(np.concatenate([sets[i] for i in part])) for part in parts]
+            whole = np.unique(np.concatenate(rows))
+            least = len(sets[order[0]])
+            columns = (questions.column(c).to_pylist() for c in ("a", "a_size", "a_group", "shingles"))
+            for a, size, name, query in zip(*columns):
+                query = np.frombuffer(query, np.uint64)
+
+                def reaches(tokens: np.ndarray, smallest: int, query: np.ndarray = query) -> bool:
+                    # A link's intersection holds 75 of 175 parts of both sizes.
+                    return (100 + NEEDED) * _common(query, tokens) >= NEEDED * (len(query) + smallest)
+
+                if not reaches(whole, least):
+                    continue
+                for part, row in zip(parts, rows):
+                    if reaches(row, len(sets[part[0]])):
+                        larger = (i for i in part if (size, name) < (sizes[i], names[i]))
+                        found += [(a, ids[i]) for i in larger if reaches(sets[i], len(sets[i]))]
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return left.groupBy("block", "lot").cogroup(right.groupBy("in_block", "in_lot")).applyInArrow(run, "a long, b long")
 
 
 def joined(docs: DataFrame) -> DataFrame:
