@@ -21,9 +21,9 @@ Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of
    closed; in opened parts each member is compared with the query.
 4. New links join groups; components give the smallest doc_id.
 
-No comparison drops anything by number: sketches rule out pairs whose
-estimate is below SURE, some eight standard deviations under 0.75, and sizes
-and unions rule out pairs exactly; all others are compared by whole sets.
+No comparison drops anything by number: sketches only spare comparisons with
+pivots (a pair that they rule out is met again in step 3), sizes and unions rule
+out pairs exactly; all others are compared by whole sets.
 Pairs inside a group are never made. Every step writes its table under
 spark.checkpoint.dir.
 
@@ -293,8 +293,11 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     # Sets with a key that several groups share; a set without a link is its own group.
     named = keyed.select("set_id", "band", "key").join(groups, "set_id", "left")
     named = named.withColumn("group", F.coalesce("group", "set_id"))
-    shared = _several(named, "group").join(areas, "set_id").join(sizes, "group", "left")
-    shared = shared.select("set_id", "band", "key", "group", F.coalesce("size", F.lit(1)).cast("long").alias("size"), "area")
+    shared = _several(named, "group").join(areas, "set_id", "left").join(sizes, "group", "left")
+    shared = shared.select(
+        "set_id", "band", "key", "group", F.coalesce("size", F.lit(1)).cast("long").alias("size"),
+        F.coalesce("area", "set_id").alias("area"),  # a pivot that nobody meets most often is an area of its own
+    )
     shared.write.parquet(f"{base}/shared")
     shared = spark.read.schema("set_id long, band int, key int, group long, size long, area long").parquet(f"{base}/shared")
     _asked(shared, groups, sizes, areas, sets, base)
@@ -315,10 +318,10 @@ def _asked(shared: DataFrame, groups: DataFrame, sizes: DataFrame, areas: DataFr
     # Members of groups that share a key with others, and the sets that do so alone.
     inside = groups.join(shared.select("group").distinct(), "group").join(sizes, "group")
     alone = shared.filter("size = 1").select("set_id", "group", "size").distinct()
-    members = inside.select("set_id", "group", "size").unionByName(alone).join(areas, "set_id").join(sets.select("set_id", "n"), "set_id")
+    members = inside.select("set_id", "group", "size").unionByName(alone).join(areas, "set_id", "left").join(sets.select("set_id", "n"), "set_id")
     # A group of some size has blocks of its own, so that its members needn't ask them.
     unit = F.when(F.col("size") >= PART, F.col("group"))
-    members = members.withColumn("unit", F.coalesce(unit, F.lit(0)))
+    members = members.withColumn("unit", F.coalesce(unit, F.lit(0))).withColumn("area", F.coalesce("area", "set_id"))
     cuts = members.groupBy("area", "unit").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / TOKENS)).alias("cuts")
     )
