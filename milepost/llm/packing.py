@@ -8,13 +8,17 @@
    sequence, the undominated fillings of its room are enumerated, those that
    waste least first, and a filling that wastes more than the best known
    solution allows is pruned. Best fit decreasing gives the first solution.
+   At a dead end the search goes back to the last sequence with another
+   filling; the sequences so far, with best fit for the rest, count as a
+   solution too, and a better one tightens the bound.
 4. Sequences that a group leaves with room are taken apart, and their pieces
    are packed again in fewer groups, until one group holds them all or nothing
    is gained. Each round keeps only what is badly filled, so the pieces left
    fall by the round.
 
-A group's solution is the better of two; both are within the search's step
-limits, which bound time and not what is packed: every piece is placed.
+A group's solution is the best one met within the search's step limits (a
+sequence's listing, and a group's steps from its first dead end on). They bound
+time and not what is packed: every piece is placed.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ CAPACITY = 4096
 GROUP = 8192
 #: Steps that the search for one sequence's filling may take.
 STEPS = 400
+#: Steps that a group's search may take after its first dead end.
+NODES = 20_000
 #: A sequence with more room than this share is taken apart for the next round.
 LOOSE = 1 / 64
 
@@ -93,9 +99,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], have: Counter, room: int, allowed: int, steps: int) -> list[list[int]]:
+def fillings(
+    sizes: list[int], have: Counter, room: int, allowed: int, steps: int, every: bool = False, meter: list[int] | None = None
+) -> list[list[int]]:
     """Fillings of ``room`` from ``have`` (``sizes``: its keys, ascending) that
-    waste at most ``allowed`` and aren't dominated, least waste first.
+    waste at most ``allowed`` and aren't dominated, least waste first: ``every``
+    one, or those that waste less than the ones found before. ``meter[0]``
+    counts the steps.
 
     Depth first from the largest size that fits. A filling into which another
     available size still fits is dominated by the larger one, so only maximal
@@ -124,9 +134,12 @@ def fillings(sizes: list[int], have: Counter, room: int, allowed: int, steps: in
             k -= 1
         if not grown and room <= limit and not _fits(sizes, have, room):
             best.append((room, list(taken)))
-            limit = room - 1  # from here on only what wastes less
+            if not every:
+                limit = room - 1  # from here on only what wastes less
 
     search(room, room, [])
+    if meter is not None:
+        meter[0] += steps - left
     return [f for _, f in sorted(best, key=lambda x: x[0])]
 
 
@@ -139,42 +152,75 @@ def _fits(sizes: list[int], have: Counter, room: int) -> bool:
     return False
 
 
-def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS, nodes: int = NODES) -> list[list[int]]:
     """Bins for ``sizes``, never more than best fit decreasing gives.
 
     The bound: ceil(sum / capacity) bins at least. If best fit meets it, that
     is the optimum. Else bins are completed around the largest size left; the
     waste spent so far may not exceed what one bin fewer than the incumbent
-    allows, and when it does, the search ends and the incumbent stands.
+    allows. Where no filling is left, the last bin that has another one takes
+    it, until all are tried or ``nodes`` steps are spent.
     """
-    incumbent = best_fit(sizes, capacity)
-    least = -(-sum(sizes) // capacity)
-    if len(incumbent) <= least:
-        return incumbent
+    best = best_fit(sizes, capacity)
+    total = sum(sizes)
+    least = -(-total // capacity)
     have = Counter(sizes)
     order = sorted(have)
-    spare = (len(incumbent) - 1) * capacity - sum(sizes)  # waste that a better solution may have
     bins: list[list[int]] = []
-    while order:
-        largest = order[-1]
-        if not have[largest]:
-            order.pop()
-            continue
-        have[largest] -= 1
-        found = fillings(order, have, capacity - largest, min(spare, capacity), steps)
-        if not found:
-            if _fits(order, have, capacity - largest) or capacity - largest > spare:
-                return incumbent
-            found = [[]]
-        chosen = found[0]
+    others: list[list[list[int]] | None] = []  # per bin: fillings not tried yet, None if not listed
+    waste, deepest, meter, stuck = 0, -1, [0], False
+
+    def close(largest: int, chosen: list[int], more: list[list[int]] | None) -> None:
+        nonlocal waste
         have.subtract(chosen)
-        spare -= capacity - largest - sum(chosen)
+        waste += capacity - largest - sum(chosen)
         bins.append([largest, *chosen])
-        if spare < 0:
-            return incumbent
-        if len(order) > 64 and len(bins) % 64 == 0:
-            order = [s for s in order if have[s]]
-    return bins if len(bins) < len(incumbent) else incumbent
+        others.append(more)
+
+    while len(best) > least:
+        while order and not have[order[-1]]:
+            order.pop()
+        spare = (len(best) - 1) * capacity - total - waste  # waste that a better solution may still have
+        if order and spare >= 0:
+            largest = order[-1]
+            have[largest] -= 1
+            found = fillings(order, have, capacity - largest, min(spare, capacity), steps, meter=meter)
+            if found:
+                close(largest, found[0], None)
+                if len(order) > 64 and len(bins) % 64 == 0:
+                    order = [s for s in order if have[s]]
+                continue
+            have[largest] += 1
+        # A solution or a dead end.
+        if not stuck:
+            stuck, meter[0] = True, 0
+        if not order or len(bins) > deepest:
+            deepest = len(bins)
+            rest = list(have.elements())
+            meter[0] += len(rest)
+            tail = best_fit(rest, capacity)
+            if len(bins) + len(tail) < len(best):
+                best = [list(b) for b in bins] + tail
+        while bins and meter[0] < nodes:
+            (largest, *chosen), more = bins.pop(), others.pop()
+            have.update(chosen)
+            room = capacity - largest
+            waste -= room - sum(chosen)
+            spare = (len(best) - 1) * capacity - total - waste
+            if more is None and spare >= 0:
+                order = sorted(s for s in have if have[s])
+                meter[0] += len(order)
+                listed = fillings(order, have, room, min(spare, capacity), steps, every=True, meter=meter)
+                more = [f for f in listed if f != chosen]
+            more = [f for f in more or [] if room - sum(f) <= spare]
+            if more:
+                close(largest, more[0], more[1:])
+                order = sorted(s for s in have if have[s])
+                break
+            have[largest] += 1
+        else:
+            break
+    return best
 
 
 # -- all groups ---------------------------------------------------------------

@@ -122,6 +122,36 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORDS, end_id=1).count() == 0
 
 
+def test_bin_completion_takes_back_a_filling():
+    # 12+6+2 wastes nothing and leads to 4 bins, as best fit does; 12+5+3 leads to 3.
+    sizes = [12, 9, 9, 7, 7, 6, 5, 3, 2]
+    assert len(packing.best_fit(sizes, 20)) == 4
+    found = packing.bin_completion(sizes, 20)
+    assert len(found) == 3 and all(sum(b) == 20 for b in found)
+    assert sorted(x for b in found for x in b) == sorted(sizes)
+
+
+def test_bin_completion_is_optimal_for_few_pieces():
+    def fewest(sizes, capacity):
+        seen = {((), ())}
+        for s in sorted(sizes, reverse=True):
+            new = set()
+            for rooms, _ in seen:
+                new.add((tuple(sorted([*rooms, capacity - s])), ()))
+                for k, r in enumerate(rooms):
+                    if r >= s:
+                        new.add((tuple(sorted([*rooms[:k], r - s, *rooms[k + 1 :]])), ()))
+            seen = new
+        return min(len(r) for r, _ in seen)
+
+    rng = random.Random(6)
+    for _ in range(150):
+        some = [rng.randint(3, 15) for _ in range(9)]
+        found = packing.bin_completion(some, 20)
+        assert sorted(x for b in found for x in b) == sorted(some) and all(sum(b) <= 20 for b in found)
+        assert len(found) == fewest(some, 20)
+
+
 def test_bin_completion_beats_best_fit_and_places_all():
     # Best fit decreasing takes 3 bins of 10 for these; 2 suffice.
     sizes = [6, 5, 3, 2, 2, 2]
