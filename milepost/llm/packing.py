@@ -260,9 +260,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     """
     spark = docs.sparkSession
     base = scratch_path(spark, "packing")
-    pieces(docs, tokenizer, end_id, capacity).write.parquet(f"{base}/pieces")
+    # A stored number for each row, as rows may repeat all else.
+    numbered = pieces(docs, tokenizer, end_id, capacity).withColumn("row", F.monotonically_increasing_id())
+    numbered.write.parquet(f"{base}/pieces")
     spread = spark.read.schema(PIECES).parquet(f"{base}/pieces")
-    full = spread.filter(F.col("length") == capacity)
+    full = spark.read.schema(f"{PIECES}, row long").parquet(f"{base}/pieces").filter(F.col("length") == capacity)
     left = spread.filter(F.col("length") < capacity)
     done: list[DataFrame] = []
     n, nth = left.count(), 1
@@ -278,7 +280,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         done.append(placed.filter(F.col("room") <= int(capacity * LOOSE)))
         left, n, nth = loose.select(*spread.columns), m, nth + 1
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    whole = full.withColumn("sequence_id", F.xxhash64("doc_id", "piece", "row_key")).withColumn("offset", F.lit(0).cast("long"))
+    # Negative: those of the rounds are not.
+    whole = full.withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     out = None
     for part in done:
         out = part.select(*names) if out is None else out.unionByName(part.select(*names))

@@ -122,6 +122,16 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORDS, end_id=1).count() == 0
 
 
+def test_repeated_full_pieces_are_sequences_of_their_own(spark):
+    text = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed = packing.pack(df, WORDS, end_id=1, capacity=64, group=8).collect()
+    assert check_placed(placed, 64) >= sum(r.length for r in placed) / 64
+    full = [r.sequence_id for r in placed if r.length == 64]
+    assert len(full) >= 10 and len(set(full)) == len(full)
+
+
 def test_bin_completion_takes_back_a_filling():
     # 12+6+2 wastes nothing and leads to 4 bins, as best fit does; 12+5+3 leads to 3.
     sizes = [12, 9, 9, 7, 7, 6, 5, 3, 2]
