@@ -12,14 +12,17 @@ the inner product over its own components. The score is the sum over lists.
 3. The entries of a vector are added up; a missing list can add less than its
    share. Vectors whose bound reaches the cutoff are scored exactly.
 
-Equal vectors are one class, with the k + 1 smallest of its ids: more can't
-matter to a query. Queries and vectors meet in blocks, (query block, vector
+Equal vectors are one class, with the k + 1 smallest of its distinct ids and how
+often each occurs: more can't matter to a query. An id of one class only costs a
+query one id when it is the query's own; only such ids count towards the cutoff.
+Queries and vectors meet in blocks, (query block, vector
 block, list) by (query block, vector block, list), joined on all three.
 
 Defined results: components become floor(256 * x); a vector that is null or
 empty, or holds a null or non-finite component, takes no part, nor does a null
-id. Rows that repeat an id are different candidates with the same id unless
-their vectors are equal too. Shorter vectors count as if filled up with 0.
+id. Each row counts: a row that repeats an id, with the same vector or another,
+is a candidate (and asks, if it is a query) once more; a query meets no row of
+its own id. Shorter vectors count as if filled up with 0.
 Fewer candidates than k give fewer ranks; an empty table gives no rows.
 """
 
@@ -113,14 +116,20 @@ def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         table.select(F.col(id_col).cast("long").alias("id"), is_query.alias("is_query"), quantised(F.col(vector)).alias("v"))
         .filter("id is not null and v is not null")
     )
-    # Classes of equal vectors, named by their least id and one more mark, as
-    # an id may come with several vectors.
-    few = _best(rows, ["v"], [F.col("id")], k + 1)
-    classes = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    classes = classes.withColumn("id", F.xxhash64("v")).select("id", "v", "ids", F.col("ids")[0].alias("least_id"))
+    # Classes of equal vectors, named by a hash, as an id may come with several vectors.
+    times = rows.groupBy("id", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("is_query", F.lit(False)).cast("long")).alias("asked")
+    )
+    times.write.parquet(f"{base}/times")
+    times = spark.read.schema("id long, v array<long>, n long, asked long").parquet(f"{base}/times")
+    few = _best(times.select("id", "v", "n"), ["v"], [F.col("id")], k + 1)
+    alone = few.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    each = few.join(alone, "id").select("v", F.struct("id", F.least("n", F.lit(k)).alias("n"), "alone").alias("of"))
+    classes = each.groupBy("v").agg(F.array_sort(F.collect_list("of")).alias("ids"))
+    classes = classes.withColumn("id", F.xxhash64("v")).select("id", "v", "ids", F.col("ids")[0]["id"].alias("least_id"))
     classes.write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
-    asked = rows.filter(F.coalesce("is_query", F.lit(False))).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("query"))
+    asked = times.filter("asked > 0").select(F.col("id").alias("query_id"), F.xxhash64("v").alias("query"), "asked")
     wanted = asked.select(F.col("query").alias("id")).distinct().join(classes, "id").select("id", "v")
     wanted.write.parquet(f"{base}/queries")
     wanted = spark.read.parquet(f"{base}/queries")
@@ -166,7 +175,7 @@ def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     least = local.groupBy("query", "list").agg(F.min("least").alias("least"))
     heads = _best(local, ["query", "list"], [F.desc("part"), F.col("vector")], keep).select("query", "vector").distinct()
     # The cutoff counts ids, as a class of copies fills several ranks.
-    met = _exact(heads, wanted, classes).join(classes.select(F.col("id").alias("vector"), F.size("ids").alias("n")), "vector")
+    met = _exact(heads, wanted, classes).join(classes.select(F.col("id").alias("vector"), F.size(F.filter("ids", lambda x: x["alone"])).alias("n")), "vector")
     running = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("score"), "vector"))
     cutoff = (
         met.withColumn("n", running)
@@ -226,12 +235,17 @@ def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     )
     exact = _exact(possible.select("query", "vector"), wanted, classes)
     named = exact.join(classes.select(F.col("id").alias("vector"), "ids", "least_id"), "vector")
-    best = _best(named, ["query"], [F.desc("score"), F.col("least_id")], keep)
-    # As many rows per query as its best classes have ids: (k + 1) squared at most.
+    # Of k + 1 classes whose least id is alone, a query's own id is that of one at most.
+    ahead = Window.partitionBy("query").orderBy(F.desc("score"), "least_id", "vector").rowsBetween(Window.unboundedPreceding, -1)
+    leads = F.sum(F.col("ids")[0]["alone"].cast("int")).over(ahead)
+    best = named.withColumn("ahead", F.coalesce(leads, F.lit(0))).filter(F.col("ahead") < keep)
+    # As many rows per query as its best classes have ids: (k + 1) squared where ids are unique.
     lists = best.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
-    each = asked.join(lists, "query").select("query_id", F.explode("found").alias("f"))
-    each = each.select("query_id", F.col("f.score").alias("score"), F.explode("f.ids").alias("vec_id"))
-    each = each.filter("vec_id <> query_id")
+    each = asked.join(lists, "query").select("query_id", "asked", F.explode("found").alias("f"))
+    each = each.select("query_id", "asked", F.col("f.score").alias("score"), F.explode("f.ids").alias("of"))
+    each = each.filter("of.id <> query_id").withColumn("rows", F.least(F.col("asked") * F.col("of.n"), F.lit(k)))
     # Ranked within the query's own rows; the id may be asked for more than once.
-    ranked = _best(each.distinct(), ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    rows_of = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows").cast("long")))
+    each = each.select("query_id", "score", F.col("of.id").alias("vec_id"), rows_of.alias("row"))
+    ranked = _best(each, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

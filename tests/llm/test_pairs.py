@@ -130,6 +130,34 @@ def test_top_k(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def brute_top(rows, k=5):
+    """As the SQL: all pairs of rows with different ids, ranked by query id."""
+    by = {}
+    for q, x in rows:
+        if q % 50 == 0:
+            by.setdefault(q, []).extend((-int(np.dot(x, y)) * 65536, i) for i, y in rows if i != q)
+    return sorted((q, n + 1, i, -s) for q, found in by.items() for n, (s, i) in enumerate(sorted(found)[:k]))
+
+
+def top(spark, rows):
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    return sorted(tuple(r) for r in topk.search(df.repartition(3), F.col("vec_id") % 50 == 0).collect())
+
+
+def test_top_k_counts_rows_that_repeat(spark):
+    rng = np.random.default_rng(5)
+    some = [(i, rng.integers(-9, 10, 4).tolist()) for i in range(0, 60)]
+    # Copies of one row before another id of the same vector.
+    rows = [(1, [30, 0, 0, 0])] * 6 + [(2, [30, 0, 0, 0]), (50, [1, 0, 0, 0]), (50, [1, 0, 0, 0]), (1, [2, 2, 2, 2])]
+    assert top(spark, rows) == brute_top(rows)
+    # Every row twice.
+    assert top(spark, some * 2) == brute_top(some * 2)
+    # A query's own id in several of its best classes, and more queries with equal vectors.
+    own = [(0, [40 + j, 0, 0, 0]) for j in range(9)] + [(50, [44, 0, 0, 0]), (100, [44, 0, 0, 0]), (7, [44, 0, 0, 0])]
+    assert top(spark, some + own) == brute_top(some + own)
+    assert len([r for r in top(spark, own) if r[0] == 0]) == 5
+
+
 def test_quality_of_held_out_documents(spark):
     out = LLM_QUERIES["op1_quality"](spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
