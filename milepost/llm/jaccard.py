@@ -3,9 +3,12 @@
 Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of
 5-word shingles. Documents with equal sets are one class from the start.
 
-1. ``signatures``: POOL min-hashes of each set, BANDS keys of ROWS min-hashes
-   each, and a sketch (a byte of each min-hash). A pair that links shares no
-   key with probability under 1e-9; keys only propose.
+1. Keys are exact (prefix filter). Shingles are counted over all data, one for
+   each class, and every set is put in the order (count, shingle). A link's
+   intersection holds at least 75 per cent of either set, so the first
+   n - ceil(0.75 n) + 1 shingles of both share one: these are a set's keys, and
+   no link is without a common key. Shingles of one class alone come first and
+   fit nobody, so they are counted only.
 2. Groups of similar documents: a document is compared
    with the NEAREST of its keys' pivots, those it shares most keys with;
    verified links make groups (connected components), so a large crowd of
@@ -21,7 +24,8 @@ Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of
    closed; in opened parts each member is compared with the query.
 4. New links join groups; components give the smallest doc_id.
 
-No comparison drops anything by number: sketches only spare comparisons with
+No comparison drops anything by number: sketches (a byte of each of POOL
+min-hashes) only spare comparisons with
 pivots (a pair that they rule out is met again in step 3), sizes and unions rule
 out pairs exactly; all others are compared by whole sets.
 Pairs inside a group are never made. Every step writes its table under
@@ -49,8 +53,6 @@ from milepost.session import scratch_path
 SHINGLE = 5
 NEEDED = 75  # per cent of the union
 POOL = 160
-BANDS = 120
-ROWS = 6
 SURE = 0.45
 PART = 32
 #: Sets of a block, and questions that meet it in one task; shingles of either.
@@ -60,13 +62,17 @@ TOKENS = 1 << 20
 #: Pivots that a document is compared with.
 NEAREST = 4
 SLAB = 1 << 20
+#: Shingles that a task gathers before it deals them out; shingles and parts of a dealing on average, parts at least.
+GATHERED = 1 << 20
+DEALT = 1 << 21
+PARTS = 512
 
 _RANDOM = random.Random(20)
 _SALTS = [np.uint32(_RANDOM.getrandbits(32)) for _ in range(POOL)]
 _FACTORS = [np.uint32(_RANDOM.getrandbits(32) | 1) for _ in range(POOL)]
-_CHOSEN = np.array([_RANDOM.sample(range(POOL), ROWS) for _ in range(BANDS)])
 
-SIGNATURE = "doc_id long, n_shingles long, set_id long, keys array<int>, sketch binary"
+SIGNATURE = "doc_id long, n_shingles long, set_id long"
+SETS = "set_id long, n int, shingles binary, sketch binary"
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -117,7 +123,7 @@ def _min_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id, keys, sketch of every document."""
+    """doc_id, n_shingles, set_id of every document."""
     narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,34 +131,129 @@ def signatures(docs: DataFrame) -> DataFrame:
             ids = b.column("doc_id").to_pylist()
             for at, texts in _slabs(b.column("text").to_pylist()):
                 sets = shingle_sets(texts)
-                some = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [None] * len(sets)
-                sketch: list = [None] * len(sets)
-                if some:
-                    least = _min_hashes([sets[i] for i in some])
-                    bands = np.zeros((BANDS, len(some)), np.uint64)
-                    for r in range(ROWS):
-                        bands = mix(bands + least[_CHOSEN[:, r]].astype(np.uint64) + np.uint64(1))
-                    short = (bands >> np.uint64(32)).astype(np.uint32).view(np.int32).T
-                    marks = (least >> np.uint32(7)).astype(np.uint8).T
-                    for k, i in enumerate(some):
-                        keys[i], sketch[i] = short[k], marks[k].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[at : at + len(texts)], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_set_id(s) for s in sets], pa.int64()),
-                        pa.array(keys, pa.list_(pa.int32())),
-                        pa.array(sketch, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_id", "keys", "sketch"],
+                    names=["doc_id", "n_shingles", "set_id"],
                 )
 
     return narrow.mapInArrow(run, SIGNATURE)
 
 
+def _elements(s: np.ndarray) -> np.ndarray:
+    """As many numbers as the sorted set has, of 48 bits each: shingles whose first 48
+    bits are equal are told apart by their order, so sets have no fewer in common."""
+    cut = s & ~np.uint64(0xFFFF)
+    if not (cut[1:] == cut[:-1]).any():
+        return cut
+    starts = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
+    runs = np.diff(np.concatenate([starts, [len(cut)]]))
+    return cut + (np.arange(len(cut)) - np.repeat(starts, runs)).astype(np.uint64)
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    """64-bit numbers, like bytes side by side: sorted ones compress, and so do zeros."""
+    return np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(columns: list[bytes]) -> np.ndarray:
+    each = [np.ascontiguousarray(np.frombuffer(c, np.uint16).reshape(4, -1).T).view(np.uint64).ravel() for c in columns]
+    return np.concatenate(each)
+
+
+def _cuts(by: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of the parts that hold any of ``by`` (ascending), by its high half."""
+    part = ((by >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(by) else np.empty(0, np.int64)
+    for a, z in zip(starts, [*starts[1:], len(by)]):
+        yield int(part[a]), int(a), int(z)
+
+
+def prefix_keys(docs: DataFrame, parts: int) -> DataFrame:
+    """(set_id, key, nth, shared) of at least the shingles among each set's first
+    n - ceil(0.75 n) + 1 that other sets have too, in the order of (count, shingle):
+    nth of the ``shared`` ones. The n - shared others come before them.
+    """
+    texts_only = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    homes = max(1, parts // 4)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # copies met by one task count once here
+
+        def flush() -> pa.RecordBatch:
+            ids = np.array(list(held), np.int64).view(np.uint64)
+            tokens = np.concatenate(list(held.values()))
+            owners = np.repeat(ids, [len(s) for s in held.values()])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owners = tokens[order], owners[order]
+            cuts = list(_cuts(tokens, parts))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _, _ in cuts], pa.int32()),
+                    pa.array([_bytes(tokens[a:z]) for _, a, z in cuts], pa.binary()),
+                    pa.array([_bytes(owners[a:z]) for _, a, z in cuts], pa.binary()),
+                ],
+                names=["part", "tokens", "owners"],
+            )
+
+        size = 0
+        for b in batches:
+            for _, texts in _slabs(b.column("text").to_pylist()):
+                for s in shingle_sets(texts):
+                    if len(s) and (name := _set_id(s)) not in held:
+                        held[name] = _elements(s)
+                        size += len(s)
+                if size >= GATHERED:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flush()
+
+    def count(table: pa.Table) -> pa.Table:
+        tokens, owners = (_numbers(table.column(c).to_pylist()) for c in ("tokens", "owners"))
+        order = np.lexsort((owners, tokens))
+        tokens, owners = tokens[order], owners[order]
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])])
+        tokens, owners = tokens[new], owners[new]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        n = np.diff(np.concatenate([starts, [len(tokens)]]))
+        n = np.repeat(n, n).astype(np.uint64)
+        several = n > 1
+        tokens, owners, n = tokens[several], owners[several], n[several]
+        order = np.argsort(owners, kind="stable")
+        tokens, owners, n = tokens[order], owners[order], n[order]
+        cuts = list(_cuts(owners, homes))
+        columns = [pa.array([_bytes(x[a:z]) for _, a, z in cuts], pa.binary()) for x in (tokens, owners, n)]
+        return pa.table([pa.array([k for k, _, _ in cuts], pa.int32()), *columns], names=["home", "tokens", "owners", "n"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        tokens, owners, n = (_numbers(table.column(c).to_pylist()) for c in ("tokens", "owners", "n"))
+        order = np.lexsort((tokens, n, owners))
+        tokens, owners = tokens[order], owners[order]
+        starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+        shared = np.diff(np.concatenate([starts, [len(owners)]]))
+        nth = np.arange(1, len(owners) + 1) - np.repeat(starts, shared)
+        shared = np.repeat(shared, shared)
+        some = nth <= _prefix(shared, shared)  # a set has as many shingles at least
+        columns = (owners.view(np.int64), tokens.view(np.int64), nth.astype(np.int32), shared.astype(np.int32))
+        return pa.table([pa.array(x[some]) for x in columns], names=["set_id", "key", "nth", "shared"])
+
+    dealt = texts_only.mapInArrow(deal, "part int, tokens binary, owners binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "home int, tokens binary, owners binary, n binary")
+    return counted.groupBy("home").applyInArrow(choose, "set_id long, key long, nth int, shared int")
+
+
+def _prefix(shared, n):
+    """How many of a set's shared shingles are keys, of ``n`` shingles in all."""
+    return shared + 1 - (NEEDED * n + 99) // 100
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, n, shingles) of the wanted sets; ``wanted``: set_id, doc_id of one document that has it."""
+    """(set_id, n, shingles, sketch) of the wanted sets; ``wanted``: set_id, doc_id of one document that has it."""
     narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     named = wanted.select("set_id", F.col("doc_id").alias("__doc"))
     chosen = narrow.join(named, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("set_id", "text")
@@ -163,16 +264,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for at, texts in _slabs(b.column("text").to_pylist()):
                 # Rows that repeat the id may have another text.
                 got = [(ids[at + i], s) for i, s in enumerate(shingle_sets(texts)) if _set_id(s) == ids[at + i]]
+                marks = (_min_hashes([s for _, s in got]) >> np.uint32(7)).astype(np.uint8).T if got else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k for k, _ in got], pa.int64()),
                         pa.array([len(s) for _, s in got], pa.int32()),
                         pa.array([s.tobytes() for _, s in got], pa.binary()),
+                        pa.array([m.tobytes() for m in marks], pa.binary()),
                     ],
-                    names=["set_id", "n", "shingles"],
+                    names=["set_id", "n", "shingles", "sketch"],
                 )
 
-    return chosen.mapInArrow(run, "set_id long, n int, shingles binary")
+    return chosen.mapInArrow(run, SETS)
 
 
 def _with(pairs: DataFrame, sets: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -181,9 +284,9 @@ def _with(pairs: DataFrame, sets: DataFrame, side: str, *columns: str) -> DataFr
     return pairs.join(renamed, side)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes allow and sketches don't rule out."""
-    sized = _with(_with(pairs, classes, "a", "n", "sketch"), classes, "b", "n", "sketch")
+    sized = _with(_with(pairs, sets, "a", "n", "sketch"), sets, "b", "n", "sketch")
     fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * NEEDED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +353,8 @@ def components(spark: SparkSession, edges: DataFrame, base: str) -> DataFrame:
 
 def _several(keyed: DataFrame, of: str) -> DataFrame:
     """Rows whose key occurs with several values of the column ``of``."""
-    ends = keyed.groupBy("band", "key").agg(F.min(of).alias("low"), F.max(of).alias("high"))
-    return keyed.join(ends.filter("low <> high").select("band", "key"), ["band", "key"])
+    ends = keyed.groupBy("key").agg(F.min(of).alias("low"), F.max(of).alias("high"))
+    return keyed.join(ends.filter("low <> high").select("key"), "key")
 
 
 def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
@@ -260,13 +363,17 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     classes = (
         signed.filter("n_shingles > 0")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     )
     classes.write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
-    each = classes.select("set_id", F.posexplode("keys").alias("band", "key"))
-    pivots = each.groupBy("band", "key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"))
-    keyed = each.join(pivots.filter("pivot <> last"), ["band", "key"]).select("set_id", "band", "key", "pivot")
+    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    prefix_keys(docs, max(PARTS, total // DEALT)).write.parquet(f"{base}/prefixes")
+    prefixes = spark.read.schema("set_id long, key long, nth int, shared int").parquet(f"{base}/prefixes")
+    each = prefixes.join(classes.select("set_id", "n"), "set_id")
+    each = each.filter(F.expr(f"nth <= shared + 1 - ({NEEDED} * n + 99) div 100")).select("set_id", "key")
+    pivots = each.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"))
+    keyed = each.join(pivots.filter("pivot <> last"), "key").select("set_id", "key", "pivot")
     keyed.write.parquet(f"{base}/keyed")
     keyed = spark.read.parquet(f"{base}/keyed")
 
@@ -274,16 +381,16 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     _sets(docs, classes.join(keyed.select("set_id").distinct(), "set_id").select("set_id", "doc_id")).dropDuplicates(
         ["set_id"]
     ).write.parquet(f"{base}/sets")
-    sets = spark.read.schema("set_id long, n int, shingles binary").parquet(f"{base}/sets")
+    sets = spark.read.schema(SETS).parquet(f"{base}/sets")
     # Of the pivots of its keys, a document is compared with those that it meets most often.
-    # A document has BANDS proposals at most, in as many tasks: one exchange serves count, window and join.
+    # A document has a quarter of its shingles as proposals at most: one exchange serves count, window and join.
     proposed = keyed.filter("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
     counted = proposed.repartition("a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     often = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     nearest = counted.withColumn("nth", F.row_number().over(often)).filter(F.col("nth") <= NEAREST).drop("n")
     nearest.write.parquet(f"{base}/nearest")
     nearest = spark.read.schema("a long, b long, nth int").parquet(f"{base}/nearest")
-    _links(_likely(nearest.select("a", "b"), classes), sets).write.parquet(f"{base}/links")
+    _links(_likely(nearest.select("a", "b"), sets), sets).write.parquet(f"{base}/links")
     links = spark.read.schema("a long, b long").parquet(f"{base}/links")
     groups = components(spark, links, f"{base}/groups")
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
@@ -291,15 +398,15 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     areas = components(spark, links.unionByName(closest), f"{base}/areas").withColumnRenamed("group", "area")
 
     # Sets with a key that several groups share; a set without a link is its own group.
-    named = keyed.select("set_id", "band", "key").join(groups, "set_id", "left")
+    named = keyed.select("set_id", "key").join(groups, "set_id", "left")
     named = named.withColumn("group", F.coalesce("group", "set_id"))
     shared = _several(named, "group").join(areas, "set_id", "left").join(sizes, "group", "left")
     shared = shared.select(
-        "set_id", "band", "key", "group", F.coalesce("size", F.lit(1)).cast("long").alias("size"),
+        "set_id", "key", "group", F.coalesce("size", F.lit(1)).cast("long").alias("size"),
         F.coalesce("area", "set_id").alias("area"),  # a pivot that nobody meets most often is an area of its own
     )
     shared.write.parquet(f"{base}/shared")
-    shared = spark.read.schema("set_id long, band int, key int, group long, size long, area long").parquet(f"{base}/shared")
+    shared = spark.read.schema("set_id long, key long, group long, size long, area long").parquet(f"{base}/shared")
     _asked(shared, groups, sizes, areas, sets, base)
     asked = spark.read.schema("a long, block long, lot int").parquet(f"{base}/asked")
     blocks = spark.read.schema(BLOCKS).parquet(f"{base}/blocks")
@@ -335,8 +442,8 @@ def _asked(shared: DataFrame, groups: DataFrame, sizes: DataFrame, areas: DataFr
     blocks = stored.groupBy("area", "block").agg(F.max(at).alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
     own = shared.select(F.col("set_id").alias("a"), "area")
     far = _several(shared, "area")
-    others = far.select("band", "key", "area").distinct()
-    far = far.select("band", "key", F.col("set_id").alias("a"), F.col("area").alias("home")).join(others, ["band", "key"])
+    others = far.select("key", "area").distinct()
+    far = far.select("key", F.col("set_id").alias("a"), F.col("area").alias("home")).join(others, "key")
     where = own.unionByName(far.filter("area <> home").select("a", "area")).distinct()
     who = stored.select(F.col("set_id").alias("a"), F.col("n").alias("a_n"), at.alias("of"))
     fits = (F.col("a_n") * 100 >= F.col("least") * NEEDED) & (F.col("most") * 100 >= F.col("a_n") * NEEDED)

@@ -110,6 +110,50 @@ def test_jaccard_join_of_a_crowd(spark):
     assert components(df) == brute_components(rows)
 
 
+def test_jaccard_join_loses_no_borderline_link(spark):
+    """Pairs with 6 of 8 shingles in common that share none of 120 keys of six of 160 min-hashes."""
+    rows = []
+    for i in (350305, 429188, 583966):
+        w = [f"w{i}x{k}" for k in range(12)]
+        rows += [(2 * i, " ".join(w[:11])), (2 * i + 1, " ".join(w[1:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert components(df) == brute_components(rows)
+    assert len({c for _, _, c in components(df)}) == 3
+
+
+def test_elements_keep_a_set_s_size():
+    s = np.array([1, 2, 3, 1 << 16, (1 << 16) + 9, 5 << 16, 2**64 - 2, 2**64 - 1], np.uint64)
+    e = jaccard._elements(s)
+    assert len(set(e.tolist())) == len(s) and (e >> np.uint64(16)).tolist() == (s >> np.uint64(16)).tolist()
+    part = jaccard._elements(s[[1, 2, 3, 7]])
+    assert len(set(part.tolist()) & set(e.tolist())) == 4
+    assert jaccard._numbers([jaccard._bytes(s[:3]), jaccard._bytes(s[3:])]).tolist() == s.tolist()
+
+
+def test_prefix_keys_of_linking_sets_meet(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        w = words(rng, rng.randint(5, 60), "ab", 2)
+        other = list(w)
+        for _ in range(rng.randint(0, 3)):
+            other[rng.randrange(len(w))] = f"n{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {jaccard._set_id(s): set(s.tolist()) for s in jaccard.shingle_sets([t for _, t in rows])}
+    keys = {}
+    for r in jaccard.prefix_keys(df, 8).collect():
+        if r.nth <= jaccard._prefix(r.shared, len(sets[r.set_id])):
+            keys.setdefault(r.set_id, set()).add(r.key)
+    met = 0
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 100 * len(x & y) >= 75 * len(x | y):
+                met += 1
+                assert keys[a] & keys[b]
+    assert met > 5
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.3, 6).astype("float32").tolist()) for i in range(300)]
