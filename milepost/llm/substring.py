@@ -1,4 +1,6 @@
-"""Substring dedup (operator 3): relative Lempel-Ziv parsing over all documents.
+"""Substring dedup (operator 3): anchored block counting over all documents.
+
+It replaces a greedy relative Lempel-Ziv parse: no longest matches are sought.
 
 Every window of ``WINDOW`` words has an anchor: the run of ``GRAM`` words in it
 with the least hash (the leftmost, of equals). Anchor and place depend on the
