@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from milepost.llm import bpe, crf, fingerprint, jaccard, packed, packing, pii, secrets, substring, topk
+from milepost.llm import bpe, crf, fingerprint, html_text, jaccard, packed, packing, pii, secrets, spelling, substring, topk
 from milepost.llm.tokens import tokenizer_path
 from milepost.session import scratch_path
 
@@ -53,6 +53,8 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_order_minhash": lambda spark, d: fingerprint.report(_docs(spark, d)),
     "op6_topk": op6_topk,
     "op7_pii": lambda spark, d: pii.report(_docs(spark, d)),
+    "op11_spelling": lambda spark, d: spelling.variants(_docs(spark, d)),
+    "op12_html": lambda spark, d: html_text.report(spark.read.parquet(f"{d}/pages.parquet")),
 }
 LLM_ORACLES: dict[str, str] = {
     "op6_topk": """
