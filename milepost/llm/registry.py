@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from milepost.llm import bpe, crf, fingerprint, html_text, jaccard, packed, packing, pii, secrets, spelling, substring, topk
+from milepost.llm import (
+    bpe,
+    collocations,
+    crf,
+    fingerprint,
+    html_text,
+    jaccard,
+    packed,
+    packing,
+    pii,
+    secrets,
+    spelling,
+    substring,
+    topk,
+)
 from milepost.llm.tokens import tokenizer_path
 from milepost.session import scratch_path
 
@@ -55,6 +69,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op7_pii": lambda spark, d: pii.report(_docs(spark, d)),
     "op11_spelling": lambda spark, d: spelling.variants(_docs(spark, d)),
     "op12_html": lambda spark, d: html_text.report(spark.read.parquet(f"{d}/pages.parquet")),
+    "op13_collocations": lambda spark, d: collocations.collocations(_docs(spark, d)),
 }
 LLM_ORACLES: dict[str, str] = {
     "op6_topk": """
@@ -70,4 +85,45 @@ LLM_ORACLES: dict[str, str] = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
         select query_id, "rank", vec_id, score from r where "rank" <= 5
     """,
+    "op13_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') lang, row_number() over () doc, unnest(regexp_split_to_array(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+            from documents where text is not null
+        ),
+        split as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from pieces),
+        grams as (
+            select lang, size, array_to_string(ws[i:i + size - 1], ' ') phrase, count(*) a
+            from (select lang, ws, unnest(range(1, len(ws) + 1)) i from split), range(1, 6) sizes(size)
+            where i + size - 1 <= len(ws) group by all
+        ),
+        totals as (select lang, sum(a)::hugeint n from grams where size = 1 group by lang),
+        often as (select lang, size, phrase, a, string_split(phrase, ' ') ws from grams where a >= 100),
+        cuts as (select lang, size, phrase, a, ws, unnest(range(1, size)) k from often where size > 1),
+        valued as (
+            select c.lang, c.phrase, c.a, c.k, x.a l, y.a r, t.n,
+                   (1000 * c.a::hugeint * t.n) // (x.a::hugeint * y.a) score
+            from cuts c join totals t using (lang)
+            join often x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:c.k], ' ')
+            join often y on y.lang = c.lang and y.phrase = array_to_string(c.ws[c.k + 1:], ' ')
+        ),
+        weakest as (
+            select * from valued qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        ),
+        inner_ones as (
+            select distinct o.lang, array_to_string(o.ws[b:e], ' ') phrase, o.a
+            from often o, range(1, 5) bs(b), range(2, 6) es(e)
+            where e <= o.size and e > b and e - b + 1 < o.size
+        ),
+        kept as (
+            select * from weakest w where not exists (
+                select 1 from inner_ones i where i.lang = w.lang and i.phrase = w.phrase and i.a >= w.a)
+        ),
+        placed as (
+            select *, row_number() over (partition by lang order by score desc, a desc, phrase) "rank" from kept
+        )
+        select lang, "rank"::bigint "rank", phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n,
+               score::bigint score
+        from placed where "rank" <= 2000
+    """,
 }

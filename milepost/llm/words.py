@@ -23,15 +23,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin (one more at the end)."""
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = (joined == 32) | ((joined >= 9) & (joined <= 13))
+def run_hashes(joined: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of bytes that aren't ``blank``; the last byte is."""
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    ends = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    first = np.searchsorted(begins, ends)
     if not len(begins):
-        return np.empty(0, np.uint64), first
+        return begins, np.empty(0, np.uint64)
     # Place of each byte in its word: bytes since the last beginning.
     start = np.zeros(len(joined), np.int64)
     start[begins] = begins
@@ -41,7 +37,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     value *= _MIX
     value ^= value >> np.uint64(32)
     value[blank] = 0
-    return mix(np.add.reduceat(value, begins)), first
+    return begins, mix(np.add.reduceat(value, begins))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's words begin (one more at the end)."""
+    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    begins, hashes = run_hashes(joined, (joined == 32) | ((joined >= 9) & (joined <= 13)))
+    ends = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return hashes, np.searchsorted(begins, ends)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
