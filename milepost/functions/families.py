@@ -184,6 +184,7 @@ MESSAGES = EventFamily("message", tuple(MESSAGE_NAMES), tuple(MESSAGE_LIKES))
 INTERACTIONS = EventFamily("interaction", tuple(INTERACTION_NAMES), tuple(INTERACTION_LIKES))
 NAMED_INTEGRATION = EventFamily("named_integration", tuple(NAMED_INTEGRATIONS))
 ANY_INTEGRATION = EventFamily("any_integration", (), (ANY_INTEGRATION_LIKE,))
+VERIFIED = EventFamily("verified", (PHONE_VERIFIED,))
 COHORT = EventFamily("cohort", tuple(COHORT_NAMES), (ANY_INTEGRATION_LIKE,))
 
 FAMILIES = [NAMED_INTEGRATION, ANY_INTEGRATION, MESSAGES, INTERACTIONS]

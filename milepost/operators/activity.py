@@ -3,32 +3,37 @@ recency, error counts and location."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from milepost.functions import families as fam
-from datetime import timedelta
-
-from milepost.functions.timefmt import days_before, hours_before, parse_as_of
+from milepost.functions.daybits import bit_of, block_of, count_days
+from milepost.functions.timefmt import hours_before, parse_as_of, utc_day
 from milepost.operators.milestones import USER, event_time
 
 
 def active_days(ev: DataFrame, as_of=None, days: int | None = None, column: str | None = None) -> DataFrame:
-    """Distinct UTC days with a named event per user.
+    """Distinct UTC days (of the event's time) with a named event per user.
 
     With ``as_of``/``days`` only days ``>= DATE(as_of) - days`` count
-    (inclusive bound, no upper bound). The bound is on ``event_date``, the
-    partition column, so old partitions are pruned.
+    (inclusive bound, no upper bound). Partitions are pruned with a day of
+    margin, as ``event_date`` may be a local day.
     """
     rows = ev.filter(F.col("event_name").isNotNull())
     if days is not None:
         if as_of is None:
             raise ValueError("days needs as_of")
-        rows = rows.filter(F.col("event_date") >= days_before(as_of, days))
+        first = parse_as_of(as_of).date() - timedelta(days=days)
+        rows = rows.filter(F.col("event_date") >= F.lit(first - timedelta(days=1)))
+        rows = rows.filter(utc_day(event_time()) >= F.lit(first))
         column = column or "days_active"
     else:
         column = column or "total_active_days"
-    return rows.groupBy(USER).agg(F.count_distinct("event_date").alias(column))
+    ts = event_time()
+    blocks = rows.groupBy(USER, block_of(ts).alias("_block")).agg(F.bit_or(bit_of(ts)).alias("_bits"))
+    return blocks.groupBy(USER).agg(F.sum(count_days(F.col("_bits"))).alias(column))
 
 
 def activity_flags(days_df: DataFrame, thresholds: list[tuple[int, str]], column: str = "total_active_days") -> DataFrame:

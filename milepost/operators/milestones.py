@@ -119,36 +119,48 @@ def nth_event(ev: DataFrame, family: EventFamily, n: int, column: str) -> DataFr
     )
 
 
-def nth_events(ev: DataFrame, wanted: list[tuple[EventFamily, int, str]]) -> DataFrame:
+def nth_events(
+    ev: DataFrame,
+    wanted: list[tuple[EventFamily, int, str]],
+    values: list[tuple[EventFamily, int, str, str]] = (),
+) -> DataFrame:
     """Several n-th milestones in one pass: one window over (user, family)
     with ``rn <= max n``, then a pivot by conditional MAX. A family may be
-    asked for several n (n = 1 gives its first event)."""
-    families = list({f.name: f for f, _, _ in wanted}.values())
+    asked for several n (n = 1 gives its first event). ``values`` asks for a
+    column of the n-th event instead of its time: (family, n, column, alias)."""
+    families = list({f.name: f for f, *_ in [*wanted, *values]}.values())
     code = {f.name: i for i, f in enumerate(families)}  # a byte per shuffled row, not a name
     pre = _any([f.prefilter() for f in families])
+    source = sorted({c for _, _, c, _ in values})
     if fam.disjoint(families):
         # at most one family per event: one CASE column, no row generation
         tag = None
         for f in families:
             lit = F.lit(code[f.name]).cast("tinyint")
             tag = F.when(f.predicate(), lit) if tag is None else tag.when(f.predicate(), lit)
-        rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", tag.alias("_family"))
+        rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", *source, tag.alias("_family"))
         rows = rows.filter(F.col("_family").isNotNull())
     else:
         tags = F.filter(
             F.array(*[F.when(f.predicate(), F.lit(code[f.name]).cast("tinyint")) for f in families]),
             lambda x: x.isNotNull(),
         )
-        rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", F.explode(tags).alias("_family"))
+        rows = ev.filter(pre).select(USER, "event_timestamp", "event_id", *source, F.explode(tags).alias("_family"))
+    # A column travels only with the families that are asked for it.
+    kept = {c: [code[f.name] for f, _, own, _ in values if own == c] for c in source}
+    rows = rows.select(
+        USER, "event_timestamp", "event_id", "_family", *[F.when(F.col("_family").isin(k), F.col(c)).alias(c) for c, k in kept.items()]
+    )
     w = Window.partitionBy(USER, "_family").orderBy("event_timestamp", "event_id")
-    top = max(n for _, n, _ in wanted)
+    top = max(n for _, n, *_ in [*wanted, *values])
     ranked = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
-    ts = event_time()
+
+    def nth(f: EventFamily, n: int, value: Column) -> Column:
+        return F.max(F.when((F.col("_family") == code[f.name]) & (F.col("_rn") == n), value))
+
     return ranked.groupBy(USER).agg(
-        *[
-            F.max(F.when((F.col("_family") == code[f.name]) & (F.col("_rn") == n), ts)).alias(col)
-            for f, n, col in wanted
-        ]
+        *[nth(f, n, event_time()).alias(col) for f, n, col in wanted],
+        *[nth(f, n, F.col(c)).alias(col) for f, n, c, col in values],
     )
 
 

@@ -4,16 +4,18 @@ The daily report needs lifetime milestones, so recomputing it from every
 event each day costs O(history). Here the work is split:
 
 * ``update_partials`` turns the events of the days that changed into four
-  small per-day tables and rewrites only those ``event_date`` partitions
-  (dynamic partition overwrite: re-running a day, e.g. after late events,
-  replaces it and never duplicates it);
+  small per-day tables, written as a new version, and switches those days of
+  all four tables at once (re-running a day, e.g. after late events, replaces
+  it and never duplicates it);
 * ``journey_from_partials`` merges the partials and adds the only
   ``as_of``-dependent part, the 24/48/72 h screen counts, from a scan of
   the last few days of raw events (partition-pruned).
 
-Tables below ``base`` (all partitioned by ``event_date``):
+Tables below ``base`` (``<table>/version=<v>/event_date=<day>``, see
+:mod:`milepost.plans.versions`):
 
-``days``     the per-(user, day) level of the fused plan, both milestone scopes
+``days``     per (user, day) the first level of the fused plan, both milestone
+             scopes; its bitmaps hold UTC days, ``event_date`` may be a local day
 ``heads``    per (user, family, day) the first 10 family events; the overall
              n-th event (n <= 10) is always among them, because an event that
              is not among the first 10 of its own day has 10 earlier ones
@@ -35,6 +37,7 @@ from milepost.functions.specs import JOURNEY_NTH, JOURNEY_RECENT_DAYS, JOURNEY_T
 from milepost.operators import activity as act
 from milepost.operators.milestones import USER, event_time
 from milepost.plans import journey as jr
+from milepost.plans.versions import VersionedTables
 from milepost.sources.events import EVENT_SCHEMA
 
 HEAD_SIZE = 10
@@ -77,30 +80,30 @@ def day_tables(ev: DataFrame) -> dict[str, DataFrame]:
 
 
 def update_partials(ev: DataFrame, base: str, days: Sequence[date] = ()) -> None:
-    """Replace the per-day tables' partitions of the days present in ``ev``
-    (pass the events of the changed days, e.g. ``load_events(..., date_from=d,
+    """Replace the per-day tables' rows of the days present in ``ev`` (pass the
+    events of the changed days, e.g. ``load_events(..., date_from=d,
     date_to=d)``) and of ``days``, which may have lost all their events.
-    Existing partitions of other days are kept.
-
-    Each replaced day gets a marker row in every table, so that a table
-    without rows for that day loses its old ones too. The four tables are
-    written one after another: after a failure, run the same days again.
+    Rows of other days are kept.
+
+    The four tables are written as a new version beside the old ones, and one
+    manifest, committed last, switches the changed days of all four at once.
+    After a failure before that, readers still see the old report; running the
+    same days again writes another version. Each replaced day gets a marker
+    row in every table, so that a table without rows for that day loses its
+    old ones too.
     """
     spark = ev.sparkSession
     named = spark.createDataFrame([(d,) for d in days], "event_date date")
     changed = ev.select("event_date").unionByName(named).distinct().withColumn(MARKER, F.lit(True))
+    tables = VersionedTables(spark, base)
+    version = tables.new_version()
     for name, df in day_tables(ev).items():
         df = df.withColumn(MARKER, F.lit(False)).unionByName(changed, allowMissingColumns=True)
         # range partitioning on (day, user): a one-day update is still
         # written by many tasks and files hold user ranges; without a fixed
         # count AQE merges small ranges into fewer, larger files
-        (
-            df.repartitionByRange("event_date", USER)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date")
-            .parquet(f"{base.rstrip('/')}/{name}")
-        )
+        df.repartitionByRange("event_date", USER).write.partitionBy("event_date").parquet(tables.folder(name, version))
+    tables.commit(version, tables.partitions(TABLES[0], version))
 
 
 def partial_schemas(spark: SparkSession) -> dict:
@@ -110,13 +113,16 @@ def partial_schemas(spark: SparkSession) -> dict:
 
 
 def read_partials(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """Open the per-day tables with their known schemas, so a table that
-    got no rows yet (e.g. no verified-phone event so far) reads as empty."""
+    """Open the per-day tables as of the last committed manifest, with their
+    known schemas, so a table that got no rows yet (e.g. no verified-phone
+    event so far) reads as empty."""
     schemas = partial_schemas(spark)
+    tables = VersionedTables(spark, base)
+    live = tables.live()  # read once: all tables show the same report
     out = {}
     for name in TABLES:
         schema = StructType([*schemas[name].fields, StructField(MARKER, BooleanType())])
-        rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{name}")
+        rows = tables.read(name, schema, live)
         out[name] = rows.filter(~F.coalesce(F.col(MARKER), F.lit(False))).drop(MARKER)
     return out
 

@@ -1,24 +1,29 @@
 """User-journey report (21 columns), fused and joined plans.
 
-``user_journey`` is the plan to run at scale: one hash aggregation of all
-events per (user, UTC day) then per user with four fixed-width buffers,
-plus narrow branches keyed by user (cohort milestones from the cohort
-events, recent screen counts from the last days' partitions, one n-th-event
-window over the family events, hash-deduplicated city and the verified user
-id), joined on the user key. ``user_journey_joined`` keeps the shape of the
-source report (one side table per column group, eleven left joins) and
-serves as its checker; both must return identical rows.
-``TIME_COLUMNS`` are printed as CET text.
+``user_journey`` is the plan to run at scale, with two scans of the events:
+
+* all events, hash-aggregated per (user, block of 64 UTC days, city) with
+  fixed-width buffers only (cohort flag, first milestones, screen views, errors,
+  and the active days as a bitmap), then per user: bitmaps of a block merge by
+  bitwise OR, and the city is text only in these few rows;
+* the events of four families (named integrations, messages, interactions,
+  verified phone), tagged and ranked per (user, family) for the n-th ones.
+
+``user_journey_joined`` keeps the shape of the source report (one side table per
+column group, eleven left joins) and serves as its checker; both must return
+identical rows. ``TIME_COLUMNS`` are printed as CET text.
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milepost.functions import families as fam
+from milepost.functions.daybits import bit_of, block_of, count_days, days_since
 from milepost.functions.specs import (
     JOURNEY_COLUMNS,
     JOURNEY_FIRST,
@@ -28,7 +33,7 @@ from milepost.functions.specs import (
     JOURNEY_THRESHOLDS,
     SCREEN_HOURS,
 )
-from milepost.functions.timefmt import cet_text, days_before, hours_before, parse_as_of
+from milepost.functions.timefmt import cet_text, hours_before, parse_as_of
 from milepost.operators import activity as act
 from milepost.operators import milestones as ms
 from milepost.operators.milestones import USER, event_time
@@ -54,20 +59,33 @@ def _check_scope(scope: str) -> None:
         raise ValueError(f"unknown scope {scope!r}")
 
 
-def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=(), with_firsts: bool = True) -> DataFrame:
-    """Level 1: one row per (user, UTC day), fixed-width buffers only.
+BLOCK, BITS = "_block", "_bits"
+
+
+def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=(), with_firsts: bool = True, keys=("event_date",)) -> DataFrame:
+    """Level 1: one row per (user, block of days, ``keys``), fixed-width
+    buffers only; ``_bits`` are the days with a named event.
 
     With ``scopes`` the cohort flag and first-milestone columns are added,
     named after the spec for the 'cohort' scope and with ``__all`` appended
     for the 'all_events' scope. The screen counts relative to ``as_of`` are
     included only when ``hours`` is given; the first message / interaction
-    times only with ``with_firsts``.
+    times only with ``with_firsts``. ``keys`` are columns, or (alias, column).
     """
     name = F.col("event_name")
     ts = event_time()
     in_cohort = fam.COHORT.predicate()
     np_ = F.when(name == fam.SCREEN_VIEW, act.screen_param_count()).otherwise(F.lit(0))
-    base = ev.select(USER, "event_date", "event_timestamp", "event_id", "event_name", np_.alias("_np"), in_cohort.alias("_c"))
+    named = [(k, F.col(k)) if isinstance(k, str) else k for k in keys]
+    base = ev.select(
+        USER,
+        *[c.alias(k) for k, c in named],
+        block_of(ts).alias(BLOCK),
+        "event_timestamp",
+        "event_name",
+        np_.alias("_np"),
+        in_cohort.alias("_c"),
+    )
     c, npc = F.col("_c"), F.col("_np")
     first_aggs = []
     for scope in scopes:
@@ -76,43 +94,42 @@ def day_level(ev: DataFrame, scopes=("cohort",), as_of=None, hours=(), with_firs
             cond = m.predicate(name) & c if scope == "cohort" else m.predicate(name)
             alias = m.column if scope == "cohort" else m.column + ALL_EVENTS_SUFFIX
             first_aggs.append(F.min(F.when(cond, ts)).alias(alias))
-    return base.groupBy(USER, "event_date").agg(
+    return base.groupBy(USER, *[k for k, _ in named], BLOCK).agg(
         *([F.max(c).alias("_cohort")] if scopes else []),
         *first_aggs,
         F.max(F.when(npc > 0, ts)).alias("last_screen_view"),
         F.sum(npc).alias("_screen_rows"),
         *[F.sum(F.when(ts >= hours_before(as_of, h), npc)).alias(f"_sv{h}") for h in hours],
         *([F.min(F.when(f.predicate(), ts)).alias(col) for f, col in JOURNEY_FIRST_OF] if with_firsts else []),
-        F.count(name).alias("_named"),
+        F.bit_or(F.when(name.isNotNull(), bit_of(ts))).alias(BITS),
         F.count(F.when(name == fam.USER_FACING_ERROR, F.lit(1))).alias("_errors"),
     )
 
 
-def user_level(
-    days: DataFrame, as_of, scope: str = "cohort", recent_days: int = JOURNEY_RECENT_DAYS, hours=(), with_firsts: bool = True
-) -> DataFrame:
-    """Level 2: merge the per-day rows of each user; active days are counted
-    from the day rows (no DISTINCT, no Expand). Only the columns present in
-    ``days`` are merged; with a cohort flag present, only cohort users stay."""
+def user_level(days: DataFrame, as_of, scope: str = "cohort", recent_days: int = JOURNEY_RECENT_DAYS) -> DataFrame:
+    """Levels 2 and 3: merge the rows of each (user, block), then of each
+    user; active days are counted from the merged bitmaps (no DISTINCT, no
+    Expand). Only the columns present in ``days`` are merged; with a cohort
+    flag present, only cohort users stay."""
     _check_scope(scope)
     suffix = "" if scope == "cohort" else ALL_EVENTS_SUFFIX
-    cols = set(days.columns)
-    cutoff = days_before(as_of, recent_days)
-    named_day = F.col("_named") > 0
-    aggs = []
-    if "_cohort" in cols:
-        aggs.append(F.max("_cohort").alias("_cohort"))
-    aggs += [F.min(m.column + suffix).alias(m.column) for m in JOURNEY_FIRST if m.column + suffix in cols]
-    aggs += [F.max("last_screen_view").alias("last_screen_view"), F.sum("_screen_rows").alias("_screen_rows")]
-    aggs += [F.sum(f"_sv{h}").alias(f"_sv{h}") for h in hours if f"_sv{h}" in cols]
-    aggs += [F.min(col).alias(col) for _, col in JOURNEY_FIRST_OF if with_firsts and col in cols]
-    aggs += [
-        F.count_if(named_day).alias("_days"),
-        F.count_if(named_day & (F.col("event_date") >= cutoff)).alias("_recent"),
-        F.sum("_errors").alias("_errors"),
-    ]
-    out = days.groupBy(USER).agg(*aggs)
-    return out.filter(F.col("_cohort")) if "_cohort" in cols else out
+    firsts = [m.column for m in JOURNEY_FIRST] + [col for _, col in JOURNEY_FIRST_OF]
+    renamed = {m.column + suffix: m.column for m in JOURNEY_FIRST} if suffix and JOURNEY_FIRST[0].column + suffix in days.columns else {}
+    rows = days.drop(*renamed.values()).withColumnsRenamed(renamed)
+    merged = {"_cohort": F.max, "last_screen_view": F.max, "_screen_rows": F.sum, "_errors": F.sum, "location": F.min}
+    merged |= {c: F.min for c in firsts} | {c: F.sum for c in rows.columns if c.startswith("_sv")}
+
+    def merge(columns: list[str]) -> list[Column]:
+        return [agg(c).alias(c) for c, agg in merged.items() if c in columns]
+
+    blocks = rows.groupBy(USER, BLOCK).agg(*merge(rows.columns), F.bit_or(BITS).alias(BITS))
+    cutoff = parse_as_of(as_of).date() - timedelta(days=recent_days)
+    out = blocks.groupBy(USER).agg(
+        *merge(rows.columns),
+        F.sum(count_days(F.col(BITS))).alias("_days"),
+        F.sum(count_days(days_since(F.col(BLOCK), F.col(BITS), cutoff))).alias("_recent"),
+    )
+    return out.filter(F.col("_cohort")) if "_cohort" in out.columns else out
 
 
 def finish(joined: DataFrame, thresholds=JOURNEY_THRESHOLDS, hours=SCREEN_HOURS) -> DataFrame:
@@ -164,31 +181,19 @@ def user_journey(
     thresholds=JOURNEY_THRESHOLDS,
     hours=SCREEN_HOURS,
 ) -> DataFrame:
-    """The journey report as a fused plan (see module doc)."""
+    """The journey report as a fused plan (see module doc).
+
+    Four hash exchanges: (user, block, city) and user for the first scan,
+    (user, family) and user for the second. The NULL user key is a group like
+    any other in the first and matches nothing in the second (Q9)."""
     _check_scope(scope)
-    # The per-(user, day) rows are shuffled twice, so they carry only four
-    # buffers (last screen view, screen rows, named events, errors). The
-    # rest comes from narrower branches, all keyed by user:
-    # * cohort and first milestones from the cohort events only (a filter
-    #   Parquet can pre-evaluate);
-    # * 24/48/72 h screen counts from the last days' partitions only;
-    # * n-th events and the first message / interaction (rank 1) from one
-    #   window over the family events;
-    # * city via a hash DISTINCT on (user, city) and the verified user id
-    #   from the verified-phone events (string buffers need a sort-based
-    #   aggregate, so they never see the full event table).
-    l2 = user_level(day_level(ev, (), with_firsts=False), as_of, scope, recent_days, with_firsts=False)
-    cohort = ms.first_milestones(ev, JOURNEY_FIRST, scope=scope)
-    screens = act.recent_screen_counts(ev, as_of, hours)
-    nth = ms.nth_events(ev, JOURNEY_NTH + [(f, 1, col) for f, col in JOURNEY_FIRST_OF])
-    location = act.any_location(ev)
-    verified = ms.first_value_at(ev, fam.PHONE_VERIFIED, "user_id")
-    # NULL-safe: the NULL user key is one cohort group of its own (Q9)
-    l2 = l2.withColumnRenamed(USER, "_u")
-    joined = cohort.join(l2, cohort[USER].eqNullSafe(l2["_u"])).drop("_u")
-    for side in (screens, nth, location, verified):
-        joined = joined.join(side, USER, "left")
-    return finish(joined, thresholds, hours)
+    facts = day_level(ev, (scope,), as_of, hours, with_firsts=False, keys=[("location", F.col("geo.city"))])
+    # By user: satisfies the grouping by (user, block) and that by user.
+    users = user_level(facts.repartition(USER), as_of, scope, recent_days)
+    ranked = ms.nth_events(
+        ev, JOURNEY_NTH + [(f, 1, col) for f, col in JOURNEY_FIRST_OF], [(fam.VERIFIED, 1, "user_id", "user_id")]
+    )
+    return finish(users.join(ranked, USER, "left"), thresholds, hours)
 
 
 def user_journey_joined(

@@ -1,9 +1,18 @@
 """Journey report: quirk fixtures and plan equivalence (fused, joined, SQL)."""
 
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
-from milepost.plans import journey as jr
+from milepost.functions import daybits as db
 from milepost.functions.timefmt import cet_text
+from milepost.operators import activity as act
+from milepost.plans import incremental as inc
+from milepost.plans import journey as jr
+from milepost.plans.versions import VersionedTables
+from milepost.session import scratch_path
 from tests.conftest import AS_OF, DEFAULT_PARAMS, ev, events_df, rows_of
 
 D = DEFAULT_PARAMS
@@ -131,9 +140,6 @@ def test_report_order(spark):
 
 
 def test_incremental_partials_equal_fused(spark):
-    from milepost.plans import incremental as inc
-    from milepost.session import scratch_path
-
     ev_df = events_df(spark, fixture_rows())
     base = scratch_path(spark, "partials-test")
     days = sorted({r[7] for r in fixture_rows()})
@@ -149,8 +155,6 @@ def test_incremental_partials_equal_fused(spark):
 
 
 def test_corrected_days_replace_their_partials(spark, tmp_path):
-    from milepost.plans import incremental as inc
-
     def report(ev):
         inc_rows = inc.journey_from_partials(inc.read_partials(spark, base), ev, AS_OF, scope="all_events")
         return sorted(map(str, inc_rows.collect())), sorted(map(str, jr.user_journey(ev, AS_OF, scope="all_events").collect()))
@@ -166,3 +170,110 @@ def test_corrected_days_replace_their_partials(spark, tmp_path):
     lost = [r[0] for r in ev.select("event_date").distinct().collect()]
     inc.update_partials(kept, base, days=lost)
     assert len(set(map(tuple, report(kept)))) == 1
+
+
+def test_days_are_those_of_the_time_not_of_the_partition(spark):
+    """Events of one UTC day in two partitions are one day, and an event whose
+    partition is a day off counts by its time."""
+    rows = [
+        ev("a", "first_open", "2024-01-10T23:30:00", D),
+        ev("a", "open_email_x", "2024-01-10T22:30:00", D),
+        ev("a", "open_email_x", "2023-12-31T00:30:00", D),  # the first day that counts as recent
+        ev("a", "open_email_x", "2023-12-30T23:30:00", D),  # stored in the next day's partition
+        ev("a", None, "2024-01-20T10:00:00", D),
+        ev(None, "first_open", "2024-01-10T23:30:00", D),
+        ev("b", "first_open", "1969-12-31T23:30:00", D),
+        ev("b", "first_open", "2199-12-31T23:30:00", D),
+    ]
+    shifted = F.when(F.pmod("event_id", F.lit(2)) == 0, F.date_add("event_date", 1)).otherwise(F.col("event_date"))
+    for df in (events_df(spark, rows), events_df(spark, rows).withColumn("event_date", shifted)):
+        days = {r[0]: r[1] for r in act.active_days(df).collect()}
+        assert days == {"a": 3, None: 1, "b": 2}
+        recent = {r[0]: r[1] for r in act.active_days(df, AS_OF, 30).collect()}
+        assert recent == {"a": 2, None: 1, "b": 1}
+        reports = [
+            jr.user_journey(df, AS_OF),
+            jr.user_journey_joined(df, AS_OF),
+            jr.run_report(spark, jr.load_report_sql("user_journey"), df, AS_OF),
+        ]
+        base = scratch_path(spark, "shifted-days")
+        inc.update_partials(df, base)
+        reports.append(inc.journey_from_partials(inc.read_partials(spark, base), df, AS_OF))
+        for out in map(by_user, reports):
+            a = out["a"]
+            assert (a["step14_is_active_on_day_2"], a["step15_is_active_on_day_5"]) == (True, False)
+            assert a["step17_days_active_in_last_30_days"] == 2
+            assert out["b"]["step17_days_active_in_last_30_days"] == 1
+            assert out[None]["step14_is_active_on_day_2"] is False
+
+
+def test_day_bitmaps_count_as_sets_do(spark):
+    """Bitmaps of any days, merged in any parts, against Python sets."""
+    rng = random.Random(3)
+    first = date(2024, 1, 3)
+    days = [first + timedelta(days=rng.randint(-400, 400)) for _ in range(300)] + [date(1960, 2, 29), date(2400, 1, 1)]
+    rows = [(f"u{i % 7}", datetime(d.year, d.month, d.day, i % 24)) for i, d in enumerate(days + days[::3])]
+    df = spark.createDataFrame(rows, "user string, ts timestamp").repartition(5)
+    ts = F.col("ts")
+    blocks = df.groupBy("user", db.block_of(ts).alias("b")).agg(F.bit_or(db.bit_of(ts)).alias("bits"))
+    got = blocks.groupBy("user").agg(
+        F.sum(db.count_days(F.col("bits"))).alias("all"),
+        F.sum(db.count_days(db.days_since(F.col("b"), F.col("bits"), first))).alias("since"),
+    )
+    want = {}
+    for u, t in rows:
+        want.setdefault(u, set()).add(t.date())
+    assert {r["user"]: (r["all"], r["since"]) for r in got.collect()} == {
+        u: (len(s), sum(d >= first for d in s)) for u, s in want.items()
+    }
+
+
+def test_a_failed_update_leaves_the_old_report(spark, monkeypatch):
+    base = scratch_path(spark, "atomic")
+    old = events_df(spark, fixture_rows())
+    inc.update_partials(old, base)
+
+    def report(recent):
+        return rows_of(inc.journey_from_partials(inc.read_partials(spark, base), recent, AS_OF))
+
+    before = report(old)
+    new = old.filter(F.col("event_name") != "first_open")
+    days = [r[0] for r in old.select("event_date").distinct().collect()]
+    whole = inc.day_tables
+
+    def failing(ev):
+        tables = whole(ev)
+        cities = tables["cities"]
+        broken = F.raise_error(F.lit("lost")).cast("string")
+        return tables | {"cities": cities.withColumn("city", F.when(F.col("n") > 0, broken))}
+
+    monkeypatch.setattr(inc, "day_tables", failing)
+    with pytest.raises(Exception, match="lost"):
+        inc.update_partials(new, base, days=days)
+    monkeypatch.undo()
+    assert report(old) == before  # two of four new tables were written
+    inc.update_partials(new, base, days=days)
+    after = report(new)
+    assert after == rows_of(jr.user_journey(new, AS_OF)) and after != before
+    tables = VersionedTables(spark, base)
+    gone = tables.remove_old(inc.TABLES, keep=1)
+    assert len(gone) >= 6  # the first version of four tables, two of the failed one
+    assert report(new) == after
+
+
+def test_updates_that_meet_keep_each_others_days(spark):
+    """Two updates that read the same manifest: the second follows on the first."""
+    base = scratch_path(spark, "meeting")
+    tables, other = VersionedTables(spark, base), VersionedTables(spark, base)
+    tables.commit("v1", ["2024-01-01", "2024-01-02"])
+    load = tables._load
+
+    def meanwhile(name):
+        out = load(name)
+        tables._load = load
+        other.commit("v2", ["2024-01-02"])
+        return out
+
+    tables._load = meanwhile
+    tables.commit("v3", ["2024-01-03"])
+    assert tables.live() == {"2024-01-01": "v1", "2024-01-02": "v2", "2024-01-03": "v3"}

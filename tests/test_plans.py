@@ -23,24 +23,43 @@ def ga_path(spark):
     return materialized_events(spark, SF01)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_fused_journey_hash_aggregates_all_events(spark, ga_path):
     ev = evsrc.load_events(spark, ga_path)
     p = plan(jr.user_journey(ev, AS_OF))
-    # the (user, day) level is a hash aggregate; no sort-based aggregate
-    # ever groups by day (i.e. no sort of the whole event table)
-    assert re.search(r"HashAggregate\(keys=\[user_pseudo_id#\d+, event_date#\d+\]", p)
-    assert not re.search(r"SortAggregate\(key=\[[^\]]*event_date", p)
+    # the first level is a hash aggregate by (user, city, block of days); the
+    # sort-based one, which the city's MIN needs, sees its result only
+    assert re.search(r"HashAggregate\(keys=\[user_pseudo_id#\d+, location#\d+, _block#\d+\]", p)
+    assert not re.search(r"SortAggregate\(key=\[[^\]]*location", p)
     assert "WindowGroupLimit" in p
     # no join needs its own shuffle of event rows: every join input is an
     # aggregate already partitioned by the user key
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+@pytest.mark.parametrize("form", ["plan", "all_events", "sql"])
+def test_fused_journey_has_two_scans_and_four_exchanges(spark, ga_path, no_broadcast, form):
+    ev = evsrc.load_events(spark, ga_path)
+    if form == "sql":
+        df = jr.run_report(spark, jr.load_report_sql("user_journey"), ev, AS_OF)
+    else:
+        df = jr.user_journey(ev, AS_OF, scope="all_events" if form == "all_events" else "cohort")
+    p = plan(df)
+    assert p.count("FileScan parquet") == 2
+    assert p.count("Exchange hashpartitioning") == 4
+    # the tagged scan skips other events by their name's prefix
+    assert "StringStartsWith(event_name," in p
+
+
 def test_joined_plan_scans_more(spark, ga_path):
     ev = evsrc.load_events(spark, ga_path)
-    fused = plan(jr.user_journey(ev, AS_OF)).count("FileScan parquet")
-    joined = plan(jr.user_journey_joined(ev, AS_OF)).count("FileScan parquet")
-    assert fused < joined
+    assert plan(jr.user_journey_joined(ev, AS_OF)).count("FileScan parquet") == 12
 
 
 def test_nth_prefilter_reaches_parquet(spark, ga_path):
