@@ -211,9 +211,32 @@ SELECT ts, 'probe:' || provider || ':' || task, 'critical', task || ' is not wor
         CLS,
     )
     q["stream_milestones"] = stream_milestones_oracle()
+    q["stream_nth_milestones"] = stream_nth_oracle()
     return q
 
 
+def stream_nth_oracle() -> str:
+    from milepost.plans.oracle_sql import INTERACTION, MESSAGE, NAMED, cet, with_ga
+
+    def at(kind: str, n: int) -> str:
+        return cet(f"min(event_timestamp) FILTER (WHERE kind = '{kind}' AND nth = {n})")
+
+    return with_ga(
+        f"""SELECT user_pseudo_id, {at("named", 3)} AS step5_connects_3_integrations,
+  {at("message", 10)} AS step8_receives_and_opens_10th_msg_or_email,
+  {at("interaction", 5)} AS step9_sends_5th_email_message_status_share
+FROM (SELECT *, row_number() OVER (PARTITION BY user_pseudo_id, kind ORDER BY event_timestamp, event_id) AS nth
+      FROM kinds WHERE kind IS NOT NULL)
+GROUP BY user_pseudo_id""",
+        f"""kinds AS (
+  SELECT user_pseudo_id, event_timestamp, event_id,
+    CASE WHEN regexp_full_match(event_name, '{MESSAGE}') THEN 'message'
+         WHEN regexp_full_match(event_name, '{INTERACTION}') THEN 'interaction'
+         WHEN regexp_full_match(event_name, '{NAMED}') THEN 'named' END AS kind
+  FROM ga)""",
+    )
+
+
 def stream_milestones_oracle() -> str:
     from milepost.plans.oracle_sql import cet, with_ga
     from milepost.plans.stream_registry import STREAM_SPECS

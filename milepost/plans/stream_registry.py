@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from milepost.functions.specs import Milestone
+from milepost.functions.specs import JOURNEY_NTH, Milestone
 from milepost.plans import monitor_registry as mr
 from milepost.session import scratch_path
 from milepost.sources import streams as st
@@ -32,28 +32,20 @@ def q_stream_daily_spend(spark, sf_dir):
         F.concat(F.lit("p"), (F.col("uid") % 2).cast("string")).alias("provider"),
         "ts",
         F.col("value").cast(AMOUNT).alias("amount"),
+        "event_id",
     )
     soft, hard = mr.limits(sf_dir)
-    return jobs.run_daily_spend(spark, rows, soft, hard)
+    return jobs.run_daily_spend(spark, rows, soft, hard, ids=("event_id",))
 
 
 def q_stream_latch(spark, sf_dir):
-    """Daily severity rows are written in three day-ordered chunks to the
-    shared folder and streamed one file per trigger, so the provider state
-    is carried across micro-batches."""
+    """Daily severity rows are written in three parts, days dealt out by hash,
+    and streamed some files at a time, so days come in no order."""
     daily = mr.with_switch_outcome(mr.daily_severity(spark, sf_dir))
     folder = scratch_path(spark, "latch-input")
-    lo, hi = daily.agg(F.min("day"), F.max("day")).first()  # one bounded row
-    if lo is None:  # no billing rows: stage the (empty) table once
-        daily.write.mode("append").parquet(folder)
-        return jobs.run_latch(spark, st.parquet_stream(spark, folder, max_files_per_trigger=1))
-    span = (hi - lo).days + 1
-    chunk = F.floor(F.datediff("day", F.lit(lo)) * 3 / F.lit(span)).cast("int")
-    staged = daily.withColumn("_chunk", chunk)
-    for c in range(3):
-        staged.filter(F.col("_chunk") == c).drop("_chunk").coalesce(1).write.mode("append").parquet(folder)
-    stream = st.parquet_stream(spark, folder, max_files_per_trigger=1)
-    return jobs.run_latch(spark, stream)
+    part = F.pmod(F.xxhash64("provider", "day"), F.lit(3))
+    daily.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(folder)
+    return jobs.run_latch(spark, st.parquet_stream(spark, folder, max_files_per_trigger=8))
 
 
 def q_stream_availability(spark, sf_dir):
@@ -71,10 +63,16 @@ def q_stream_milestones(spark, sf_dir):
     return jobs.run_milestones(spark, ev, STREAM_SPECS)
 
 
+def q_stream_nth_milestones(spark, sf_dir):
+    ev = td.typed_to_ga(_typed_event_stream(spark, sf_dir))
+    return jobs.run_nth_milestones(spark, ev, JOURNEY_NTH)
+
+
 STREAM_QUERIES = {
     "stream_daily_spend": q_stream_daily_spend,
     "stream_latch": q_stream_latch,
     "stream_availability": q_stream_availability,
     "stream_workers": q_stream_workers,
     "stream_milestones": q_stream_milestones,
+    "stream_nth_milestones": q_stream_nth_milestones,
 }

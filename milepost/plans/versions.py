@@ -17,6 +17,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from milepost.storage import Folder
+
 ATTEMPTS = 20
 
 
@@ -24,15 +26,7 @@ class VersionedTables:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, path: str):
-        return self._hadoop.Path(path)
-
-    def _names(self, folder: str) -> list[str]:
-        path = self._path(folder)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+        self.files = Folder(spark, self.base)
 
     def new_version(self) -> str:
         return uuid.uuid4().hex[:16]
@@ -43,17 +37,14 @@ class VersionedTables:
     def partitions(self, table: str, version: str) -> list[str]:
         """The days that a version has of a table, as text."""
         prefix = "event_date="
-        return [n[len(prefix) :] for n in self._names(self.folder(table, version)) if n.startswith(prefix)]
+        names = self.files.names(f"{table}/version={version}")
+        return [n[len(prefix) :] for n in names if n.startswith(prefix)]
 
     def _manifests(self) -> list[str]:
-        return [n for n in self._names(f"{self.base}/manifests") if n.endswith(".json") and not n.startswith((".", "_"))]
+        return [n for n in self.files.names("manifests") if n.endswith(".json") and not n.startswith((".", "_"))]
 
     def _load(self, name: str) -> dict[str, str]:
-        stream = self._fs.open(self._path(f"{self.base}/manifests/{name}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return json.loads(self.files.read(f"manifests/{name}"))
 
     def live(self) -> dict[str, str]:
         """Version of each day in the last committed manifest."""
@@ -63,28 +54,13 @@ class VersionedTables:
     def commit(self, version: str, days: Iterable[str]) -> None:
         """Make ``version`` the live one for ``days``, in all tables at once. If
         another update commits in between, this one follows on it."""
-        context = self._hadoop.FileContext.getFileContext(
-            self._path(self.base).toUri() if "://" in self.base else self._fs.getUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        gateway = self.spark.sparkContext._gateway
-        plain = gateway.new_array(self._hadoop.Options.Rename, 0)  # fails if the target exists
+        days = list(days)
         for _ in range(ATTEMPTS):
             names = self._manifests()
             following = int(names[-1].split(".")[0]) + 1 if names else 0
             content = (self._load(names[-1]) if names else {}) | {d: version for d in days}
-            draft = self._path(f"{self.base}/manifests/.{uuid.uuid4().hex}")
-            stream = self._fs.create(draft, False)
-            try:
-                stream.write(bytearray(json.dumps(content, sort_keys=True).encode()))
-            finally:
-                stream.close()
-            try:
-                context.rename(draft, self._path(f"{self.base}/manifests/{following:012d}.json"), plain)
+            if self.files.write_new(f"manifests/{following:012d}.json", json.dumps(content, sort_keys=True)):
                 return
-            except Exception as e:
-                self._fs.delete(draft, False)
-                if "FileAlreadyExists" not in str(e):
-                    raise
         raise RuntimeError(f"{self.base}: other updates kept committing")
 
     def read(self, table: str, schema: StructType, live: dict[str, str]) -> DataFrame:
@@ -102,11 +78,11 @@ class VersionedTables:
         names = self._manifests()
         named = {v for n in names[-keep:] for v in self._load(n).values()}
         for n in names[:-keep]:
-            self._fs.delete(self._path(f"{self.base}/manifests/{n}"), False)
+            self.files.delete(f"manifests/{n}")
         gone = []
         for table in tables:
-            for folder in self._names(f"{self.base}/{table}"):
+            for folder in self.files.names(table):
                 if folder.startswith("version=") and folder.split("=", 1)[1] not in named:
-                    self._fs.delete(self._path(f"{self.base}/{table}/{folder}"), True)
+                    self.files.delete(f"{table}/{folder}")
                     gone.append(f"{table}/{folder}")
         return gone

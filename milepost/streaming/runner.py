@@ -1,4 +1,4 @@
-"""Run a streaming query to completion and read its result as a table.
+"""Run a streaming query to completion, and keep what its batches write.
 
 Sinks are ``foreachBatch`` writers keyed by batch id: a retried batch
 overwrites its own folder, so a lost executor or a restarted query never
@@ -11,77 +11,93 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from milepost.session import scratch_path
+from milepost.storage import Folder
 
-BATCH = "_batch"
+BATCH = "batch"
 
 
-def changelog_sink(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-
-    return write
-
-
-def run_stream(
+def run_query(
     spark: SparkSession,
     sdf: DataFrame,
     name: str,
-    output_mode: str = "update",
-    process: Callable[[DataFrame, int], None] | None = None,
-    timeout_s: float | None = None,
+    output_mode: str,
+    sink: Callable[[str], Callable[[DataFrame, int], None]],
     state_partitions: int | None = None,
-    seed_schema=None,
 ) -> str:
-    """Run ``sdf`` with ``trigger(availableNow=True)``; return the folder
-    holding one sub-folder per micro-batch.
+    """Run ``sdf`` with ``trigger(availableNow=True)``, each micro-batch through
+    the writer that ``sink`` makes for the query's folder; return the folder.
 
     ``state_partitions`` sets the number of state-store partitions of a new
     query (fixed in its checkpoint afterwards); a stream keyed by a handful
     of providers needs far fewer than a table-sized shuffle. The query runs
     on a clone of the session taken at ``start``, so the setting is put back
     right after.
-
-    ``seed_schema`` (the schema the sink writes) is stored first as an empty
-    batch -1, so the result reads as an empty table when the stream had no
-    input at all.
     """
     base = scratch_path(spark, name)
-    out = f"{base}/batches"
-    if seed_schema is not None:
-        spark.createDataFrame([], seed_schema).write.mode("overwrite").parquet(f"{out}/{BATCH}=-1")
-    sink = process(out) if process else changelog_sink(out)
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     if state_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     try:
         q = (
             sdf.writeStream.outputMode(output_mode)
-            .foreachBatch(sink)
+            .foreachBatch(sink(f"{base}/out"))
             .option("checkpointLocation", f"{base}/checkpoint")
             .trigger(availableNow=True)
             .start()
         )
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return out
-
-
-def latest_per_key(spark: SparkSession, path: str, keys: list[str], schema=None) -> DataFrame:
-    """Final table of an update-mode changelog: per key, the row of the
-    last batch that updated it (a partial aggregate, no global sort)."""
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    log = reader.parquet(path)
-    values = [c for c in log.columns if c not in keys and c != BATCH]
-    last = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("_r"))
-    return last.select(*keys, "_r.*")
+    return f"{base}/out"
+
+
+class CompactedLog:
+    """A table kept as what each batch adds, and now and then merged into one.
+
+    ``merge`` turns parts (any number, in any order) into one table of the same
+    schema, and may be applied again to its own result. Every ``every``-th batch
+    writes the merge of all so far, and the parts it covers are deleted one
+    compaction later. So a read opens one merged table and less than ``every``
+    (right after a failure, twice as many) parts. Merges are named by batch id, so a
+    retried batch writes the same again.
+    """
+
+    def __init__(
+        self, spark: SparkSession, base: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame], every: int = 8
+    ):
+        self.spark, self.base, self.schema, self.merge, self.every = spark, base, schema, merge, every
+        self.files = Folder(spark, base)
+
+    def _ids(self, kind: str, key: str, upto: int | None) -> list[int]:
+        ids = [int(n.split("=")[1]) for n in self.files.names(kind) if n.startswith(f"{key}=")]
+        # A folder counts once its write is complete.
+        whole = [i for i in sorted(ids) if upto is None or i <= upto]
+        return [i for i in whole if "_SUCCESS" in self.files.names(f"{kind}/{key}={i}")]
+
+    def parts(self, upto: int | None = None) -> list[str]:
+        """The folders that hold the table as of batch ``upto``."""
+        merged = self._ids("merged", "upto", upto)[-1:]
+        newer = [i for i in self._ids("parts", BATCH, upto) if not merged or i > merged[-1]]
+        return [f"merged/upto={i}" for i in merged] + [f"parts/{BATCH}={i}" for i in newer]
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        """All parts as of batch ``upto``, merged."""
+        paths = [f"{self.base}/{p}" for p in self.parts(upto)]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.merge(self.spark.read.schema(self.schema).parquet(*paths))
+
+    def append(self, part: DataFrame, batch_id: int) -> None:
+        part.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.base}/parts/{BATCH}={batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            self.read(batch_id).write.mode("overwrite").parquet(f"{self.base}/merged/upto={batch_id}")
+            before = batch_id - self.every
+            for i in self._ids("parts", BATCH, before):
+                self.files.delete(f"parts/{BATCH}={i}")
+            for i in self._ids("merged", "upto", before - 1):
+                self.files.delete(f"merged/upto={i}")
