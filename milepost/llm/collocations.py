@@ -6,13 +6,13 @@ range) does, and scored by how much oftener they occur than their parts would by
 chance.
 
 1. ``word_counts`` counts all words of each language.
-2. ``pair_counts`` counts pairs of neighbours by 64-bit hashes, summed in each
-   task before they are shuffled. A hash counts at least what each of its pairs
-   does, so dropping the rare ones loses no frequent pair. The frequent ones set
-   bits in a filter of ``FILTER_BITS`` bits: a fixed size, at every input.
+2. ``gram_counts`` counts two and three neighbours by 64-bit hashes, summed in
+   each task before they are shuffled. A hash counts at least what each of its
+   grams does, so dropping the rare ones loses no frequent gram. The frequent ones
+   set bits in a filter of ``FILTER_BITS`` bits: a fixed size, at every input.
 3. ``suffixes``: each word begins a suffix, which ends after ``LONGEST`` words,
-   with its piece, or before a pair that the filter knows to be rare (no frequent
-   phrase crosses it). Equal suffixes are leaves, with their totals.
+   with its piece, or where the filter knows the next gram to be rare (no frequent
+   phrase holds it). Equal suffixes are leaves, with their totals.
 4. ``grouped`` deals leaves out by the words they begin with: prefixes of two
    words side by side make a group up to the budget. A prefix that holds more
    than a share of all leaves is extended by words, so no group holds more.
@@ -47,16 +47,18 @@ from milepost.session import scratch_path, ship_package
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Bits of the filter of frequent pairs (16 MB as bits, 32 MB on their way).
+#: Sizes of the neighbours that are counted by hash.
+GRAMS = (2, 3)
+#: Bits of the filter of frequent ones (16 MB as bits, 32 MB on their way).
 FILTER_BITS = 27
 #: Leaves of a group; a prefix is extended if it holds more, and more than a
 #: SHARE-th of all leaves. So at most SHARE prefixes of each length are.
 BUDGET = 200_000
 SHARE = 4096
-#: Bytes of text worked on at a time; words, pairs or suffixes held between partial counts.
+#: Bytes of text worked on at a time; words or suffixes, and hashes, held between partial counts.
 SLAB = 1 << 20
 HELD = 200_000
-PAIRS = 1 << 21
+HELD_GRAMS = 1 << 21
 #: The totals of so many languages are broadcast; more are joined by a shuffle.
 LANGUAGES = 10_000
 #: Phrases of a language that one task puts in order, beside the best of others.
@@ -107,20 +109,31 @@ def _slabs(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[st
     yield from flush()
 
 
-def _pairs(text: bytes, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the words, hash of each word with the next, and whether both
-    stand in one piece (the last word has no next)."""
+def _grams(text: bytes, lang: str) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Places of the words; hashes of each word with the next one and the next
+    two; and whether these stand in one piece."""
     raw = np.frombuffer(text + b"\n", np.uint8)
     breaks = np.isin(raw, np.frombuffer(_BREAKS, np.uint8))
     blank = breaks | np.isin(raw, np.frombuffer(_BLANKS, np.uint8))
     begins, words = run_hashes(raw, blank)
-    if not len(begins):
-        return begins, np.empty(0, np.uint64), np.empty(0, bool)
     piece = np.cumsum(breaks)[begins]
-    joined = np.concatenate([piece[1:] == piece[:-1], [False]])
     own = np.uint64(int.from_bytes(lang.encode("utf-8", "surrogatepass")[-8:], "little"))
-    following = np.concatenate([words[1:], words[:1]])
-    return begins, mix(mix(words + mix(own[None])) + following), joined
+    hashes, inside = [], []
+    gram = mix(words + mix(own[None]))
+    for size in GRAMS:
+        step = size - 1
+        gram = mix(gram + _moved(words, step))
+        hashes.append(gram)
+        inside.append(np.arange(len(words)) < len(words) - step)
+        inside[-1] &= _moved(piece, step) == piece
+    return begins, hashes, inside
+
+
+def _moved(values: np.ndarray, step: int) -> np.ndarray:
+    """``values[i + step]`` at place i; zeros (false) past the end."""
+    out = np.zeros_like(values)
+    out[: max(0, len(values) - step)] = values[step:]
+    return out
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -157,30 +170,31 @@ def word_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(pair, n): occurrences of neighbours in one piece, by the pair's hash."""
+def gram_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(gram, n): occurrences of two and of three neighbours in one piece, by
+    their hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            grams, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], names=["pair", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
         for lang, text, own in _slabs(batches, longest):
-            begins, pairs, joined = _pairs(text, lang)
-            held.append(pairs[joined & (begins < own)])
-            if sum(map(len, held)) >= PAIRS:
+            begins, hashes, inside = _grams(text, lang)
+            held += [h[i & (begins < own)] for h, i in zip(hashes, inside)]
+            if sum(map(len, held)) >= HELD_GRAMS:
                 yield flush()
         yield flush()
 
-    return _counting(docs, count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _counting(docs, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def pair_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit set of the pairs of ``frequent``: 2 ** bits bits, whatever the input."""
-    places = frequent.select(F.shiftrightunsigned("pair", 64 - bits).alias("place"))
+def gram_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bit set of the grams of ``frequent``: 2 ** bits bits, whatever the input."""
+    places = frequent.select(F.shiftrightunsigned("gram", 64 - bits).alias("place"))
     set_bits = places.groupBy(F.shiftright("place", 6).cast("int").alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("word")
     )
@@ -190,26 +204,28 @@ def pair_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def suffixes(docs: DataFrame, known: np.ndarray, longest: int = LONGEST) -> DataFrame:
+def suffixes(docs: DataFrame, frequent: np.ndarray, longest: int = LONGEST) -> DataFrame:
     """(lang, suffix, n): the leaves, words joined by one blank."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(known)  # FILTER_BITS bits
-    bits = np.uint64(len(known).bit_length() - 1 + 6)
+    shared = spark.sparkContext.broadcast(frequent)  # FILTER_BITS bits
+    bits = np.uint64(len(frequent).bit_length() - 1 + 6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter[bytes]] = {}
         filtered = shared.value
+
+        def known(hashes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+            place = hashes >> (np.uint64(64) - bits)
+            return inside & ((filtered[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0)
+
         for lang, text, own in _slabs(batches, longest):
-            begins, pairs, joined = _pairs(text, lang)
-            place = pairs >> (np.uint64(64) - bits)
-            hit = joined & ((filtered[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0)
-            more, on = np.zeros(len(hit), np.int64), hit.copy()  # words that follow the first
-            for step in range(longest - 1):
-                rest = max(0, len(hit) - step)
-                on[:rest] &= hit[step:]
-                on[rest:] = False
+            begins, hashes, inside = _grams(text, lang)
+            pairs, triples = (known(h, i) for h, i in zip(hashes, inside))
+            more, on = pairs.astype(np.int64), pairs  # words that follow the first
+            for step in range(longest - 2):
+                on = on & _moved(triples, step)
                 more += on
-            start = np.flatnonzero(hit & (begins < own))
+            start = np.flatnonzero(pairs & (begins < own))
             words = text.translate(_TO_BLANKS).split()
             join = b" ".join
             ends = start + more[start] + 1
@@ -382,8 +398,8 @@ def collocations(
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     words = stored(word_counts(docs, longest), "words")
-    frequent = stored(pair_counts(docs, longest).filter(F.col("n") >= min_count), "pairs")
-    leaves = stored(suffixes(docs, pair_filter(frequent, bits), longest), "leaves")
+    frequent = stored(gram_counts(docs, longest).filter(F.col("n") >= min_count), "grams")
+    leaves = stored(suffixes(docs, gram_filter(frequent, bits), longest), "leaves")
     phrases = stored(subtrees(grouped(leaves, longest, budget), min_count), "phrases")
     return ranked(maximal(scored(phrases, words, min_count)), top, parts=1 + phrases.count() // ORDERED)
 
