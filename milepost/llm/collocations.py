@@ -6,21 +6,21 @@ range) does, and scored by how much oftener they occur than their parts would by
 chance.
 
 1. ``word_counts`` counts all words of each language.
-2. ``gram_counts`` counts two and three neighbours by 64-bit hashes, summed in
+2. ``frequent_grams`` counts two and three neighbours by 64-bit hashes, summed in
    each task before they are shuffled. A hash counts at least what each of its
    grams does, so dropping the rare ones loses no frequent gram. The frequent ones
    set bits in a filter of ``FILTER_BITS`` bits: a fixed size, at every input.
-3. ``suffixes``: each word begins a suffix, which ends after ``LONGEST`` words,
-   with its piece, or where the filter knows the next gram to be rare (no frequent
-   phrase holds it). Equal suffixes are leaves, with their totals.
-4. ``grouped`` deals leaves out by the words they begin with: prefixes of two
-   words side by side make a group up to the budget. A prefix that holds more
-   than a share of all leaves is extended by words, so no group holds more.
-5. ``subtrees`` walks each group's leaves in order and keeps the branch it is on:
-   when a branch ends, its node's count is the total of the leaves below it.
-   Nodes above a group's own prefixes get partial counts, which are summed.
-6. ``collocations`` looks up both parts of every cut of a phrase, scores it with
-   exact decimals, and drops phrases that a longer one explains.
+3. ``leaves``: each word begins a suffix, which ends after ``LONGEST`` words, with
+   its piece, or where the filter knows the next gram to be rare (no frequent
+   phrase holds it). Equal suffixes of a task are one leaf, with its count. Leaves
+   are dealt out by the words they begin with, in groups up to a budget of
+   occurrences; too frequent prefixes are extended.
+4. ``phrase_counts``: each group builds its subtree on its own, walking its leaves
+   in order and keeping only the branch it is on; counts of nodes are totals of
+   the leaves below. Nodes above extended prefixes get partial counts, which are
+   summed.
+5. ``scored`` looks up both parts of every cut of a phrase and scores it with exact
+   decimals; ``maximal`` drops phrases that a longer one explains; ``ranked``.
 
 The filter only spares work: where it is full, all suffixes are leaves. Words
 and phrases are text in all counts that matter, so hashes decide nothing.
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from milepost.llm.words import mix, run_hashes
+from milepost.llm.words import mix, packed, run_hashes, unpacked
 from milepost.session import scratch_path, ship_package
 
 LONGEST = 5
@@ -51,14 +51,16 @@ TOP = 2000
 GRAMS = (2, 3)
 #: Bits of the filter of frequent ones (16 MB as bits, 32 MB on their way).
 FILTER_BITS = 27
-#: Leaves of a group; a prefix is extended if it holds more, and more than a
-#: SHARE-th of all leaves. So at most SHARE prefixes of each length are.
-BUDGET = 200_000
+#: Occurrences of a group's prefixes; a prefix is extended if it has more, and
+#: more than a SHARE-th of all. So less than SHARE prefixes are.
+BUDGET = 500_000
 SHARE = 4096
 #: Bytes of text worked on at a time; words or suffixes, and hashes, held between partial counts.
 SLAB = 1 << 20
 HELD = 200_000
 HELD_GRAMS = 1 << 21
+#: Hashes of a range that one task sums.
+DEALT = 1 << 21
 #: The totals of so many languages are broadcast; more are joined by a shuffle.
 LANGUAGES = 10_000
 #: Phrases of a language that one task puts in order, beside the best of others.
@@ -137,6 +139,7 @@ def _moved(values: np.ndarray, step: int) -> np.ndarray:
 
 
 Batches = Iterator[pa.RecordBatch]
+GRAM_ROWS = "gram long, n long, size int"
 
 
 def _counting(docs: DataFrame, count: Callable[[Batches], Batches], schema: str) -> DataFrame:
@@ -145,12 +148,12 @@ def _counting(docs: DataFrame, count: Callable[[Batches], Batches], schema: str)
     return rows.mapInArrow(count, schema)
 
 
-def _held_rows(held: dict[str, Counter[bytes]], name: str) -> Iterator[pa.RecordBatch]:
+def _held_rows(held: dict[str, Counter[bytes]]) -> Iterator[pa.RecordBatch]:
     for lang, counts in held.items():
         texts = pa.array(list(counts), pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(counts), pa.string()), texts, pa.array(list(counts.values()), pa.int64())],
-            names=["lang", name, "n"],
+            names=["lang", "word", "n"],
         )
     held.clear()
 
@@ -163,33 +166,59 @@ def word_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
         for lang, text, own in _slabs(batches, longest):
             held.setdefault(lang, Counter()).update(text[:own].translate(_TO_BLANKS).split())
             if sum(map(len, held.values())) >= HELD:
-                yield from _held_rows(held, "word")
-        yield from _held_rows(held, "word")
+                yield from _held_rows(held)
+        yield from _held_rows(held)
 
     parts = _counting(docs, count, "lang string, word string, n long")
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(gram, n): occurrences of two and of three neighbours in one piece, by
-    their hash."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+def frequent_grams(docs: DataFrame, total: int, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
+    """(gram, n, size): hashes of two and of three neighbours in one piece that
+    occur ``min_count`` times or more. Each task deals its sorted hashes out by
+    range, packed; ``total`` words decide how many ranges there are."""
+    parts = max(1, -(-len(GRAMS) * total // DEALT))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {size: [] for size in GRAMS}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for size, each in held.items():
+                grams, n = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_counts=True)
+                each.clear()
+                part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+                ends = [*starts[1:], len(part)]
+                columns = [
+                    pa.array(part[starts].astype(np.int32)),
+                    pa.array(np.full(len(starts), size, np.int32)),
+                    pa.array([packed(grams[x:y]) for x, y in zip(starts, ends)], pa.binary()),
+                    pa.array([n[x:y].astype(np.uint32).tobytes() for x, y in zip(starts, ends)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "size", "grams", "n"])
 
         for lang, text, own in _slabs(batches, longest):
             begins, hashes, inside = _grams(text, lang)
-            held += [h[i & (begins < own)] for h, i in zip(hashes, inside)]
-            if sum(map(len, held)) >= HELD_GRAMS:
-                yield flush()
-        yield flush()
+            for size, h, i in zip(GRAMS, hashes, inside):
+                held[size].append(h[i & (begins < own)])
+            if sum(map(len, held[GRAMS[0]])) >= HELD_GRAMS:
+                yield from flush()
+        yield from flush()
 
-    return _counting(docs, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        grams = unpacked(table.column("grams").to_pylist())
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
+        order = np.argsort(grams, kind="stable")
+        grams, n = grams[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        sums = np.add.reduceat(n, starts)
+        often = sums >= min_count
+        columns = [pa.array(grams[starts][often].view(np.int64)), pa.array(sums[often])]
+        size = pa.array(np.full(int(often.sum()), key[1].as_py(), np.int32))
+        return pa.table([*columns, size], names=["gram", "n", "size"])
+
+    dealt = _counting(docs, deal, "part int, size int, grams binary, n binary")
+    return dealt.groupBy("part", "size").applyInArrow(add, GRAM_ROWS)
 
 
 def gram_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -204,119 +233,123 @@ def gram_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def suffixes(docs: DataFrame, frequent: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """(lang, suffix, n): the leaves, words joined by one blank."""
+LEAVES = "lang string, group int, depth int, suffixes array<string>, n array<long>"
+
+
+def leaves(
+    docs: DataFrame, frequent: DataFrame, longest: int = LONGEST, bits: int = FILTER_BITS, budget: int = BUDGET
+) -> DataFrame:
+    """LEAVES: each task's suffixes and their counts, by groups of prefixes.
+    ``frequent``: GRAM_ROWS, a written table.
+
+    A word with its next one is a prefix; its frequency is known. Prefixes are
+    dealt to so many groups that a group has about ``budget`` occurrences. Those
+    that exceed it, and a SHARE-th of all, are extended by a word and dealt out by
+    that, too: ``depth`` 3, for all their leaves.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)  # FILTER_BITS bits
-    bits = np.uint64(len(frequent).bit_length() - 1 + 6)
+    pairs = frequent.filter(F.col("size") == GRAMS[0])
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    groups = np.uint64(max(1, -(-total // budget)))
+    # Less than SHARE rows.
+    large = pairs.filter(F.col("n") > max(budget, total // SHARE)).select("gram").toArrow().column("gram")
+    shared = spark.sparkContext.broadcast((gram_filter(frequent, bits), np.sort(large.to_numpy().view(np.uint64))))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter[bytes]] = {}
-        filtered = shared.value
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter[tuple[int, int, bytes]]] = {}
+        filtered, extended = shared.value
 
         def known(hashes: np.ndarray, inside: np.ndarray) -> np.ndarray:
-            place = hashes >> (np.uint64(64) - bits)
+            place = hashes >> np.uint64(64 - bits)
             return inside & ((filtered[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0)
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                rows: dict[tuple[int, int], tuple[list[bytes], list[int]]] = {}
+                for (group, depth, suffix), n in counts.items():
+                    row = rows.setdefault((group, depth), ([], []))
+                    row[0].append(suffix)
+                    row[1].append(n)
+                columns = [
+                    pa.array([lang] * len(rows), pa.string()),
+                    pa.array([g for g, _ in rows], pa.int32()),
+                    pa.array([d for _, d in rows], pa.int32()),
+                    pa.array([x for x, _ in rows.values()], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                    pa.array([y for _, y in rows.values()], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "group", "depth", "suffixes", "n"])
+            held.clear()
+
         for lang, text, own in _slabs(batches, longest):
             begins, hashes, inside = _grams(text, lang)
-            pairs, triples = (known(h, i) for h, i in zip(hashes, inside))
-            more, on = pairs.astype(np.int64), pairs  # words that follow the first
+            pair, triple = (known(h, i) for h, i in zip(hashes, inside))
+            more, on = pair.astype(np.int64), pair  # words that follow the first
             for step in range(longest - 2):
-                on = on & _moved(triples, step)
+                on = on & _moved(triple, step)
                 more += on
-            start = np.flatnonzero(pairs & (begins < own))
+            start = np.flatnonzero(pair & (begins < own))
             words = text.translate(_TO_BLANKS).split()
             join = b" ".join
-            ends = start + more[start] + 1
-            held.setdefault(lang, Counter()).update([join(words[i:j]) for i, j in zip(start.tolist(), ends.tolist())])
+            suffix = [join(words[i : i + m + 1]) for i, m in zip(start.tolist(), more[start].tolist())]
+            large = np.isin(hashes[0][start], extended)
+            by = np.where(large & (more[start] > 1), hashes[1][start], hashes[0][start]) % groups
+            counts = held.setdefault(lang, Counter())
+            counts.update(zip(by.tolist(), np.where(large, 3, 2).tolist(), suffix))
             if sum(map(len, held.values())) >= HELD:
-                yield from _held_rows(held, "suffix")
-        yield from _held_rows(held, "suffix")
-
-    parts = _counting(docs, count, "lang string, suffix string, n long")
-    return parts.groupBy("lang", "suffix").agg(F.sum("n").alias("n"))
-
-
-def grouped(leaves: DataFrame, longest: int = LONGEST, budget: int = BUDGET) -> DataFrame:
-    """Leaves with their words and ``depth``, the length of their group's prefix,
-    each prefix whole in one partition and in order. ``leaves``: a written table."""
-    rows = leaves.select("lang", F.split("suffix", " ", -1).alias("words"), "n", F.lit(2).alias("depth"))
-    total = leaves.count()
-    limit = max(budget, total // SHARE)
-    for length in range(2, longest):
-        # Of the prefixes that are groups so far, those to extend: less than
-        # total / limit, so less than SHARE.
-        prefix = F.slice("words", 1, length)
-        own = rows.withColumn("prefix", F.when(F.col("depth") == length, prefix))
-        large = (
-            own.filter("prefix is not null")
-            .groupBy("lang", "prefix")
-            .agg(F.count(F.lit(1)).alias("leaves"))
-            .filter(F.col("leaves") > limit)
-            .select("lang", "prefix", F.lit(length + 1).alias("extended"))
-        )
-        rows = own.join(F.broadcast(large), ["lang", "prefix"], "left").select(
-            "lang", "words", "n", F.coalesce("extended", "depth").alias("depth")
-        )
-    groups = max(1, -(-total // budget))
-    prefix = F.slice("words", F.lit(1), F.col("depth"))
-    return rows.repartitionByRange(groups, "lang", prefix).sortWithinPartitions("lang", "words")
-
-
-def subtrees(leaves: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """(lang, phrase, n) of the nodes of two words or more, by groups; nodes
-    above their group's prefix in parts."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang: str | None = None
-        branch: list[str] = []
-        totals: list[int] = []
-        depths: list[int] = []  # of the shortest prefix below
-        out: list[tuple[str, str, int]] = []
-
-        def end(upto: int) -> None:
-            """Leave the nodes deeper than ``upto`` words."""
-            while len(branch) > upto:
-                n, depth = totals.pop(), depths.pop()
-                if len(branch) >= 2 and (n >= min_count or len(branch) < depth):
-                    out.append((lang, " ".join(branch), n))
-                branch.pop()
-                if totals:
-                    totals[-1] += n
-                    depths[-1] = max(depths[-1], depth)
-
-        for b in batches:
-            columns = (b.column(c).to_pylist() for c in ("lang", "words", "n", "depth"))
-            for own, words, n, depth in zip(*columns):
-                if own != lang:
-                    end(0)
-                    lang = own
-                same = 0
-                for x, y in zip(branch, words):
-                    if x != y:
-                        break
-                    same += 1
-                end(same)
-                for w in words[same:]:
-                    branch.append(w)
-                    totals.append(0)
-                    depths.append(0)
+                yield from flush()
+        yield from flush()
+
+    return _counting(docs, deal, LEAVES)
+
+
+def subtree(suffixes: Counter[tuple[str, ...]], depth: int, min_count: int) -> list[tuple[str, int]]:
+    """Nodes of two words or more of the tree of ``suffixes`` (with their counts),
+    by one walk over the leaves in order: a node is left when a leaf outside it
+    comes, and its count is the total of the leaves below. Nodes above the
+    group's prefixes (of ``depth`` words) are partial and all returned."""
+    branch: list[str] = []
+    totals: list[int] = []
+    out: list[tuple[str, int]] = []
+
+    def end(upto: int) -> None:
+        while len(branch) > upto:
+            n = totals.pop()
+            if len(branch) > 1 and (n >= min_count or len(branch) < depth):
+                out.append((" ".join(branch), n))
+            branch.pop()
+            if totals:
                 totals[-1] += n
-                depths[-1] = max(depths[-1], depth)
-            yield _table(out)
-            out.clear()
-        end(0)
-        yield _table(out)
 
-    parts = leaves.mapInArrow(walk, "lang string, phrase string, n long")
-    return parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    for words in sorted(suffixes):
+        same = 0
+        for x, y in zip(branch, words):
+            if x != y:
+                break
+            same += 1
+        end(same)
+        branch += words[same:]
+        totals += [0] * (len(words) - same)
+        totals[-1] += suffixes[words]
+    end(0)
+    return out
+
+
+def phrase_counts(dealt: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """(lang, phrase, n) of the phrases that occur ``min_count`` times or more,
+    from LEAVES: one subtree for each group."""
 
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        lang, _, depth = (k.as_py() for k in key)
+        counts: Counter[tuple[str, ...]] = Counter()
+        for suffixes, n in zip(table.column("suffixes").to_pylist(), table.column("n").to_pylist()):
+            for suffix, k in zip(suffixes, n):
+                counts[tuple(suffix.split(" "))] += k
+        found = subtree(counts, depth, min_count)
+        columns = [pa.array([lang] * len(found), pa.string()), pa.array([p for p, _ in found], pa.string())]
+        return pa.table([*columns, pa.array([n for _, n in found], pa.int64())], names=["lang", "phrase", "n"])
 
-def _table(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[], [], []]
-    kinds = (pa.string(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "phrase", "n"])
+    trees = dealt.groupBy("lang", "group", "depth").applyInArrow(build, "lang string, phrase string, n long")
+    return trees.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
 def scored(phrases: DataFrame, words: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -398,9 +431,9 @@ def collocations(
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     words = stored(word_counts(docs, longest), "words")
-    frequent = stored(gram_counts(docs, longest).filter(F.col("n") >= min_count), "grams")
-    leaves = stored(suffixes(docs, gram_filter(frequent, bits), longest), "leaves")
-    phrases = stored(subtrees(grouped(leaves, longest, budget), min_count), "phrases")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    frequent = stored(frequent_grams(docs, total, min_count, longest), "grams")
+    phrases = stored(phrase_counts(leaves(docs, frequent, longest, bits, budget), min_count), "phrases")
     return ranked(maximal(scored(phrases, words, min_count)), top, parts=1 + phrases.count() // ORDERED)
 
 

@@ -6,7 +6,14 @@ bytes stand for nothing else there, so runs of bytes are runs of characters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text worked on at a time.
+SLAB = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -57,3 +64,27 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * _STEP + words[k : k + n]
     return mix(out)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLAB) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about ``size`` bytes of a text column, so that
+    what a worker makes of them doesn't grow with the batch; a row stays whole."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        slab = (ends - 1).clip(0) // size
+        starts = np.flatnonzero(np.concatenate([[True], slab[1:] != slab[:-1]]))
+        for a, z in zip(starts, [*starts[1:], b.num_rows]):
+            yield b.slice(int(a), int(z - a))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, like bytes side by side: sorted ones compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(columns: list[bytes]) -> np.ndarray:
+    """The numbers of several ``packed``, one after another."""
+    each = [np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for c in columns]
+    return np.concatenate([np.empty(0, np.uint64), *each])

@@ -175,7 +175,7 @@ def corpus(seed, n=120):
 
 @pytest.mark.parametrize(("min_count", "budget", "bits"), [(3, 200_000, 27), (10, 7, 27), (2, 3, 6)])
 def test_collocations(spark, min_count, budget, bits):
-    """Also with groups of few leaves, whose prefixes are extended, and with a
+    """Also with groups of few occurrences, so that prefixes are extended, and with a
     filter so small that it lets everything pass."""
     rows = corpus(min_count)
     df = spark.createDataFrame([(g, t, "z", 1) for g, t in rows], "lang string, text string, phrase string, n int").repartition(3)
