@@ -1,6 +1,4 @@
-"""Substring dedup (operator 3): anchored block counting over all documents.
-
-It replaces a greedy relative Lempel-Ziv parse: no longest matches are sought.
+"""Substring dedup (operator 3): relative Lempel-Ziv parsing.
 
 Every window of ``WINDOW`` words has an anchor: the run of ``GRAM`` words in it
 with the least hash (the leftmost, of equals). Anchor and place depend on the
@@ -8,19 +6,26 @@ window's words alone, so equal windows have equal anchors. The windows of one
 anchor follow each other; the words they cover are a block. Blocks tile a
 document, and all blocks of all documents are the reference.
 
-1. ``blocks`` lists each document's blocks: anchor hash, and hash of the block.
-2. The index counts anchors. One that occurs once starts no repeat. If all
-   blocks of an anchor are equal, each occurs elsewhere as a whole: the parse
-   takes them as they come, and blocks side by side make one long factor. If
-   they differ, a factor ends somewhere in them.
-3. Only these blocks, at factor boundaries, are checked window by window: the
-   hashes of their windows are counted over all documents.
-4. Words under a repeated window, in a factor or at its ends, are removed.
+1. ``blocks`` lists each document's blocks: anchor hash, hash of the block's
+   words, first word, number of windows.
+2. ``_shared`` indexes them: anchors that occur once start no repeat. A block
+   whose words occur again refers to its first occurrence (least row, then any).
+3. ``parse`` factors each document greedily from left to right: a factor begins
+   at a block that occurs again and grows while the next block is also the next
+   one of the same reference. Factors are stored with start, length and
+   reference; each has at least ``WINDOW`` words and every window of it starts
+   elsewhere too, so it is a duplicate span.
+4. At factor boundaries a block's anchor occurs in other words, so a part of it
+   may occur elsewhere. These blocks, and of equal blocks the first, are checked
+   window by window: hashes of their windows are counted over all documents.
+5. Words under a factor or a repeated window are removed.
 
 So the result is that of counting every window, while what is shuffled per
 document is one entry per block (about one for 14 words of fresh text), a few
-boundary windows, and the text once. Counts are summed before they are
-shuffled, and the joins may split a frequent anchor; nothing is collected.
+boundary windows, and the text twice. Counts are summed before they are
+shuffled. A row, or a window, that makes up more than a ``SHARE``-th of all is
+known by a broadcast list (so of less than ``SHARE`` entries) and spread over
+tasks. Nothing is collected. Hashes have 64 bits.
 
 Defined results: null text has no words (n_words 0, the hash of an empty
 text); a document of fewer than WINDOW words keeps all; repeated rows repeat
@@ -38,16 +43,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milepost.llm.words import mix, window_hashes, word_hashes
-from milepost.session import scratch_path
+from milepost.llm.words import mix, slices, window_hashes, word_hashes
+from milepost.session import scratch_path, ship_package
 
 WINDOW = 35
 GRAM = 8
-#: Bytes of text worked on at a time.
-SLAB = 1 << 20
+#: Rows or windows that hold more than such a share of all, and more than OFTEN
+#: of them, are spread over SALTS tasks.
+SHARE = 10_000
+OFTEN = 1000
+SALTS = 64
 
-BLOCKS = "row long, anchors array<long>, blocks array<int>"
-SAME, MIXED = 1, 2
+BLOCKS = "row long, anchors array<long>, blocks array<long>, starts array<int>, counts array<int>"
+FACTORS = (
+    "row long, starts array<int>, lengths array<int>, ref_rows array<long>, ref_starts array<int>, "
+    "edge_starts array<int>, edge_counts array<int>, edge_known array<boolean>"
+)
 
 
 def _anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,186 +101,250 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def _slabs(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as bytes, about SLAB at a time, with the place of the first."""
-    at, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        held.append(t.encode("utf-8", "surrogatepass"))
-        size += len(held[-1])
-        if size >= SLAB:
-            yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
+    """The text (null: empty), a number for the row's content, and ``more`` columns."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*more, body.alias("__body"), F.xxhash64("doc_id", body).alias("__row"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text (null: empty) and a number for the row's content."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("__body", body).withColumn("__row", F.xxhash64("doc_id", "__body"))
+def _lists(*columns: list[np.ndarray], kinds: tuple[pa.DataType, ...]) -> list[pa.Array]:
+    return [pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds)]
 
 
 def blocks(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(row, anchors, blocks) of every text with a window."""
+    """BLOCKS of every text with a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("__row").to_pylist()
-            for at, texts in _slabs(b.column("__body").to_pylist()):
-                words, first = word_hashes(texts)
-                out: tuple[list, list, list] = ([], [], [])
-                for i in range(len(texts)):
-                    own = words[first[i] : first[i + 1]]
-                    if len(own) >= window:
-                        start, count, anchor = _anchors(own, window, gram)
-                        out[0].append(ids[at + i])
-                        out[1].append(anchor.view(np.int64))
-                        out[2].append((_block_hashes(own, start, count, window) >> np.uint64(33)).astype(np.int32))
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, kinds)], names=["row", "anchors", "blocks"]
-                )
+        for b in slices(batches, "__body"):
+            words, first = word_hashes([t.encode("utf-8", "surrogatepass") for t in b.column("__body").to_pylist()])
+            ids = b.column("__row").to_numpy()
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i in np.flatnonzero(np.diff(first) >= window):
+                own = words[first[i] : first[i + 1]]
+                start, count, anchor = _anchors(own, window, gram)
+                hashes = _block_hashes(own, start, count, window)
+                for column, value in zip(out, (ids[i], anchor.view(np.int64), hashes.view(np.int64), start, count)):
+                    column.append(value)
+            lists = _lists(*out[1:], kinds=(pa.int64(), pa.int64(), pa.int32(), pa.int32()))
+            names = ["row", "anchors", "blocks", "starts", "counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *lists], names=names)
 
     return rows.select("__row", "__body").mapInArrow(run, BLOCKS)
 
 
-def _repeated(own: np.ndarray, marked: list[int], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of SAME blocks, and first windows and counts of MIXED ones.
-    ``marked``: block number * 4 + status."""
-    start, count, _ = _anchors(own, window, gram)
-    m = np.asarray(marked, np.int64)
-    same, mixed = m[m % 4 == SAME] // 4, m[m % 4 == MIXED] // 4
-    hit = np.zeros(max(0, len(own) - window + 1) + 1, np.int64)
-    np.add.at(hit, start[same], 1)
-    np.add.at(hit, start[same] + count[same], -1)
-    return np.cumsum(hit[:-1]) > 0, start[mixed], count[mixed]
+SHARED = "row long, anchor long, block long, start int, count int, edge boolean"
 
 
-def _covered(windows: np.ndarray, n_words: int, window: int) -> np.ndarray:
-    """Words under the windows whose flag is set."""
-    ends = np.zeros(n_words + 1, np.int64)
-    at = np.flatnonzero(windows)
-    np.add.at(ends, at, 1)
-    np.add.at(ends, at + window, -1)
-    return np.cumsum(ends[:-1]) > 0
-
-
-def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` plus n_words, n_removed and kept (the text without repeats), in
-    place of columns that have these names."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "substring")
-    rows = _rows(docs)
-    blocks(rows, window, gram).write.parquet(f"{path}/blocks")
-    listed = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    each = listed.select("row", F.posexplode(F.arrays_zip("anchors", "blocks")).alias("nth", "b")).select(
-        "row", "nth", F.col("b.anchors").alias("anchor"), F.col("b.blocks").alias("block")
+def _shared(listed: DataFrame) -> DataFrame:
+    """The blocks (SHARED) whose anchor occurs again; ``edge``: in other words, too."""
+    zipped = F.explode(F.arrays_zip("anchors", "blocks", "starts", "counts")).alias("b")
+    each = listed.select("row", zipped).select(
+        "row",
+        F.col("b.anchors").alias("anchor"),
+        F.col("b.blocks").alias("block"),
+        F.col("b.starts").alias("start"),
+        F.col("b.counts").alias("count"),
     )
     index = (
         each.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
         .filter("n > 1")
-        .select("anchor", F.when(F.col("low") == F.col("high"), SAME).otherwise(MIXED).alias("status"))
-    )
-    marks = (
-        each.select("row", "nth", "anchor")
-        .join(index, "anchor")
-        .select("row", (F.col("nth") * 4 + F.col("status")).alias("mark"))
-        .groupBy("row")
-        .agg(F.collect_set("mark").alias("marks"))  # as many as a text has blocks
+        .select("anchor", (F.col("low") != F.col("high")).alias("edge"))
     )
-    marks.write.parquet(f"{path}/marks")
-    marks = spark.read.schema("row long, marks array<int>").parquet(f"{path}/marks")
+    return each.join(index, "anchor").select("row", "anchor", "block", "start", "count", "edge")
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "__row")  # the one shuffle of the texts: both uses below share it
-    parsed = dealt.select("__row", "__body").join(marks.withColumnRenamed("row", "__row"), "__row")
 
-    def boundary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parse(shared: DataFrame, window: int = WINDOW) -> DataFrame:
+    """FACTORS of every row with shared blocks (a written table): the greedy
+    parse, and the blocks at its boundaries whose windows are to be checked;
+    ``edge_known`` if these are known to occur again and only serve others."""
+    contents = shared.groupBy("anchor", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("ref_row"), F.min_by("start", "row").alias("ref_start")
+    )
+    marked = shared.join(contents, ["anchor", "block"])
+    mark = F.struct("start", "count", "edge", (F.col("n") > 1).alias("again"), "ref_row", "ref_start")
+    rows = marked.groupBy("row").agg(F.array_sort(F.collect_set(mark)).alias("m"))  # as many as a text has blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marked = b.column("__row").to_pylist(), b.column("marks").to_pylist()
-            for at, texts in _slabs(b.column("__body").to_pylist()):
-                words, first = word_hashes(texts)
-                out: tuple[list, list, list] = ([], [], [])
-                for i in range(len(texts)):
-                    own = words[first[i] : first[i + 1]]
-                    _, start, count = _repeated(own, marked[at + i], window, gram)
-                    if not len(start):
-                        continue
-                    places = np.concatenate([np.arange(s, s + c) for s, c in zip(start, count)])
-                    hashes = window_hashes(own, window)[places]
-                    out[0].append(np.full(len(places), ids[at + i]))
-                    out[1].append(places)
-                    out[2].append(hashes.view(np.int64))
-                columns = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out]
-                yield pa.RecordBatch.from_arrays(
-                    [columns[0], columns[1].cast(pa.int32()), columns[2]], names=["row", "place", "hash"]
-                )
-
-    has_mixed = F.exists("marks", lambda m: m % 4 == MIXED)
-    parsed.filter(has_mixed).mapInArrow(boundary, "row long, place int, hash long").write.parquet(f"{path}/boundary")
-    windows = spark.read.schema("row long, place int, hash long").parquet(f"{path}/boundary")
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            fields = ("start", "count", "edge", "again", "ref_row", "ref_start")
+            lists = [b.column(c) for c in fields]
+            offsets = lists[0].offsets.to_numpy()
+            flat = [c.values.to_numpy(zero_copy_only=False) for c in lists]
+            for row, a, z in zip(b.column("row").to_numpy(), offsets[:-1], offsets[1:]):
+                parts = _factors(row, window, *(v[a:z] for v in flat))
+                for column, value in zip(out, parts):
+                    column.append(value)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            names = ["row", "starts", "lengths", "ref_rows", "ref_starts", "edge_starts", "edge_counts", "edge_known"]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *_lists(*out, kinds=kinds)], names=names)
+
+    split = rows.select("row", *(F.col(f"m.{c}").alias(c) for c in ("start", "count", "edge", "again", "ref_row", "ref_start")))
+    return split.mapInArrow(run, FACTORS)
+
+
+def _factors(
+    row: int,
+    window: int,
+    start: np.ndarray,
+    count: np.ndarray,
+    edge: np.ndarray,
+    again: np.ndarray,
+    ref_row: np.ndarray,
+    ref_start: np.ndarray,
+) -> tuple[np.ndarray, ...]:
+    """One document's factors and boundary blocks, from its shared blocks in
+    order. A factor takes a block in if it goes on where the last one ended,
+    here and in the reference."""
+    s, c, r, p = start[again], count[again], ref_row[again], ref_start[again]
+    goes_on = (s[1:] == s[:-1] + c[:-1]) & (r[1:] == r[:-1]) & (p[1:] == p[:-1] + c[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(s) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(s)) - 1 if len(s) else first
+    lengths = s[last] + c[last] + window - 1 - s[first]
+    # Of equal blocks the one that others refer to is checked for them all.
+    checked = edge & (~again | (ref_row == row) & (ref_start == start))
+    return s[first], lengths, r[first], p[first], start[checked], count[checked], again[checked]
+
+
+def _covered(begins: np.ndarray, lengths: np.ndarray, n_words: int) -> np.ndarray:
+    """Words under the spans."""
+    ends = np.zeros(n_words + 1, np.int64)
+    np.add.at(ends, begins, 1)
+    np.add.at(ends, begins + lengths, -1)
+    return np.cumsum(ends[:-1]) > 0
+
+
+def _often(counted: DataFrame, total: int) -> DataFrame:
+    """Of ``counted`` (..., n), what has more than a SHARE-th of ``total``."""
+    return counted.filter(F.col("n") > max(OFTEN, total // SHARE)).drop("n")
+
+
+def _windows(rows: DataFrame, factors: DataFrame, window: int) -> DataFrame:
+    """(row, place, hash, known) of the windows of boundary blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "__body"):
+            words, first = word_hashes([t.encode("utf-8", "surrogatepass") for t in b.column("__body").to_pylist()])
+            columns = [b.column(c).to_pylist() for c in ("__row", "edge_starts", "edge_counts", "edge_known")]
+            out: tuple[list, ...] = ([], [], [], [])
+            for i, (row, starts, counts, known) in enumerate(zip(*columns)):
+                own = window_hashes(words[first[i] : first[i + 1]], window)
+                for start, count, k in zip(starts, counts, known):
+                    out[0].append(np.full(count, row, np.int64))
+                    out[1].append(np.arange(start, start + count, dtype=np.int32))
+                    out[2].append(own[start : start + count].view(np.int64))
+                    out[3].append(np.full(count, k, bool))
+            kinds = (np.int64, np.int32, np.int64, bool)
+            arrays = [pa.array(np.concatenate([np.empty(0, k), *c])) for c, k in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "place", "hash", "known"])
+
+    edges = factors.filter(F.size("edge_starts") > 0).select(
+        F.col("row").alias("__row"), "__salt", "edge_starts", "edge_counts", "edge_known"
+    )
+    wanted = rows.join(edges, ["__row", "__salt"]).select("__row", "__body", "edge_starts", "edge_counts", "edge_known")
+    return wanted.mapInArrow(run, WINDOWS)
+
+
+WINDOWS = "row long, place int, hash long, known boolean"
+
+
+def _parsed(docs: DataFrame, rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a salt, and per (row, salt) its factors and repeated windows."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    path = scratch_path(spark, "substring")
+
+    def stored(df: DataFrame, name: str, schema: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+    listed = stored(blocks(rows, window, gram), "blocks", BLOCKS)
+    shared = stored(_shared(listed), "shared", SHARED)
+    factors = stored(parse(shared, window), "factors", FACTORS)
+
+    # A row that repeats very often is spread: its factors go to every salt.
+    copies = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
+    many = _often(copies.groupBy("row").agg(F.count(F.lit(1)).alias("n")), docs.count())
+    many = stored(many.select("row", F.lit(True).alias("many")), "many", "row long, many boolean")
+    salt = F.when(F.col("many"), F.floor(F.rand() * SALTS).cast("int")).otherwise(0)
+    salted = rows.join(F.broadcast(many.withColumnRenamed("row", "__row")), "__row", "left").withColumn("__salt", salt)
+    salts = F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = factors.join(F.broadcast(many), "row", "left").withColumn("__salt", F.explode(salts)).drop("many")
+
+    windows = stored(_windows(salted.drop("many"), spread, window), "windows", WINDOWS)
     # A repeated row lists its windows twice, which is right: they do occur twice.
-    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    found = windows.join(twice, "hash").groupBy("row").agg(F.collect_set("place").alias("places"))
-    found.write.parquet(f"{path}/found")
-    found = spark.read.schema("row long, places array<int>").parquet(f"{path}/found")
-    decided = marks.join(found, "row", "left").withColumnRenamed("row", "__row")
-    both = rows.repartition(n, "__row").join(decided, "__row", "left")
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    schema = (
-        docs.select(*(f"`{c}`" for c in columns))
-        .withColumn("n_words", F.lit(0).cast("long"))
-        .withColumn("n_removed", F.lit(0).cast("long"))
-        .withColumn("kept", F.lit(""))
-        .schema
+    counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = stored(counts, "counts", "hash long, n long")
+    often = _often(counts, windows.count()).withColumn("often", F.lit(True))
+    asked = windows.filter("not known").select("row", "place", "hash").join(F.broadcast(often), "hash", "left")
+    rare = asked.filter("often is null").join(counts.select("hash"), "hash")
+    repeated = asked.filter("often").unionByName(rare).groupBy("row").agg(F.collect_set("place").alias("places"))
+    repeated = stored(repeated, "repeated", "row long, places array<int>")
+
+    decided = factors.select("row", "starts", "lengths").join(repeated, "row", "left")
+    decided = decided.join(F.broadcast(many), "row", "left").withColumn("__salt", F.explode(salts))
+    return salted.drop("many"), decided.select(F.col("row").alias("__row"), "__salt", "starts", "lengths", "places")
+
+
+def _kept(docs: DataFrame, others: list[str], window: int, gram: int, as_it_is: bool) -> DataFrame:
+    """``others`` of the columns, n_words, n_removed and the kept words; with
+    ``as_it_is`` a text that loses nothing is returned unchanged."""
+    rows, decided = _parsed(docs, _rows(docs, *(f"`{c}`" for c in others)), window, gram)
+    both = rows.join(decided, ["__row", "__salt"], "left").select(
+        *(f"`{c}`" for c in others), "__body", "starts", "lengths", "places"
     )
+    counts = {"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}
+    schema = docs.select(*(f"`{c}`" for c in others)).withColumns(counts).schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("__body").to_pylist()
-            marked, places = b.column("marks").to_pylist(), b.column("places").to_pylist()
+        for b in slices(batches, "__body"):
+            columns = [b.column(c).to_pylist() for c in ("__body", "starts", "lengths", "places")]
             total, removed, kept = [], [], []
-            for text, m, p in zip(texts, marked, places):
+            for text, starts, lengths, places in zip(*columns):
                 raw = text.encode("utf-8", "surrogatepass").split()
-                gone = 0
-                if m:
-                    own, _ = word_hashes([text.encode("utf-8", "surrogatepass")])
-                    hit, *_ = _repeated(own, m, window, gram)
-                    if p:
-                        hit[p] = True
-                    under = _covered(hit, len(raw), window)
-                    gone = int(under.sum())
-                    kept.append(b" ".join([w for w, u in zip(raw, under.tolist()) if not u]).decode("utf-8", "surrogatepass"))
-                else:
-                    kept.append(b" ".join(raw).decode("utf-8", "surrogatepass"))
+                under = np.zeros(len(raw), bool)
+                if starts:
+                    under |= _covered(np.array(starts), np.array(lengths), len(raw))
+                if places:
+                    under |= _covered(np.array(places), np.full(len(places), window), len(raw))
+                gone = int(under.sum())
                 total.append(len(raw))
                 removed.append(gone)
+                if gone:
+                    raw = [w for w, u in zip(raw, under.tolist()) if not u]
+                kept.append(text if as_it_is and not gone else b" ".join(raw).decode("utf-8", "surrogatepass"))
             new = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in columns), *new], names=[*columns, "n_words", "n_removed", "kept"]
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *new], names=schema.names)
 
-    wanted = both.select(*(f"`{c}`" for c in columns), "__body", "marks", "places")
-    return wanted.mapInArrow(keep, schema)
+    return both.mapInArrow(keep, schema)
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` plus n_words, n_removed and kept (the text without repeats), in
+    place of columns that have these names."""
+    others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    return _kept(docs, others, window, gram, as_it_is=False)
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """``docs`` without their repeated passages; same columns. A text that loses
     nothing stays as it is (null too); one that loses words keeps the others,
     joined by one blank, and ``n_chars``, where there is one, is its length."""
-    whole = docs.select("doc_id", "text", F.struct(*(f"`{c}`" for c in docs.columns)).alias("__all"))
+    # Each text travels once; the other columns, as one, beside it.
+    others = F.struct(*(f"`{c}`" for c in docs.columns if c != "text"), F.col("text").isNull().alias("__null"))
+    out = _kept(docs.select("doc_id", "text", others.alias("__others")), ["__others"], WINDOW, GRAM, as_it_is=True)
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    new = {"text": F.when(~F.col("__others.__null"), F.col("kept"))}
     if "n_chars" in docs.columns:
         chars = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(changed, chars).otherwise(F.col("__all.n_chars"))
-    return deduplicated(whole).select(*(new.get(c, F.col(f"__all.`{c}`")).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(changed, chars).otherwise(F.col("__others.n_chars"))
+    return out.select(*((new[c] if c in new else F.col(f"__others.`{c}`")).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per document."""
-    out = deduplicated(docs.select("doc_id", "text"))
+    out = _kept(docs.select("doc_id", "text"), ["doc_id"], WINDOW, GRAM, as_it_is=False)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
