@@ -22,7 +22,8 @@ Two documents link when 100 * |A and B| >= 75 * |A or B| over their sets of
    block's shingles, and of each PART members next in size. A row that holds
    fewer of the query's shingles than a link with its smallest set needs stays
    closed; in opened parts each member is compared with the query.
-4. New links join groups; components give the smallest doc_id.
+4. Such a task unites groups as it finds links and compares no two sets of one;
+   its links join groups; components give the smallest doc_id.
 
 No comparison drops anything by number: sketches (a byte of each of POOL
 min-hashes) only spare comparisons with
@@ -71,7 +72,7 @@ _RANDOM = random.Random(20)
 _SALTS = [np.uint32(_RANDOM.getrandbits(32)) for _ in range(POOL)]
 _FACTORS = [np.uint32(_RANDOM.getrandbits(32) | 1) for _ in range(POOL)]
 
-SIGNATURE = "doc_id long, n_shingles long, set_id long"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_id long"
 SETS = "set_id long, n int, shingles binary, sketch binary"
 
 
@@ -123,21 +124,22 @@ def _min_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id of every document."""
-    narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, a hash of the text, n_shingles, set_id of every document."""
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
             for at, texts in _slabs(b.column("text").to_pylist()):
                 sets = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[at : at + len(texts)], pa.int64()),
+                        b.column("doc_id").slice(at, len(texts)),
+                        b.column("text_hash").slice(at, len(texts)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_set_id(s) for s in sets], pa.int64()),
                     ],
-                    names=["doc_id", "n_shingles", "set_id"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_id"],
                 )
 
     return narrow.mapInArrow(run, SIGNATURE)
@@ -412,7 +414,12 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(f"{base}/blocks")
     _matrix_links(asked, blocks, sets).write.parquet(f"{base}/more_links")
     more = spark.read.schema("a long, b long").parquet(f"{base}/more_links")
-    return components(spark, links.unionByName(more), f"{base}/whole")
+    # These unite groups, so only groups are followed now; a set without a link
+    # so far is a group of its name.
+    united = components(spark, more, f"{base}/whole").select(F.col("set_id").alias("group"), F.col("group").alias("whole"))
+    loose = united.join(groups.select("group").distinct(), "group", "left_anti").select(F.col("group").alias("set_id"), "group")
+    every = groups.select("set_id", "group").unionByName(loose)
+    return every.join(united, "group", "left").select("set_id", F.coalesce("whole", "group").alias("group"))
 
 
 BLOCKS = "set_id long, n int, size long, group long, block long"
@@ -462,8 +469,29 @@ def _common(query: np.ndarray, tokens: np.ndarray) -> int:
     return int((tokens[at] == query).sum())
 
 
+class _United:
+    """Groups that are known to be one, in one task."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def of(self, group: int) -> int:
+        root = group
+        while (up := self.above.get(root, root)) != root:
+            root = up
+        while (up := self.above.get(group, group)) != root:
+            self.above[group], group = root, up
+        return root
+
+    def unite(self, a: int, b: int) -> None:
+        self.above[self.of(a)] = self.of(b)
+
+
 def _matrix_links(asked: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) between a block's questions and its members of larger groups."""
+    """Links (a, b) between groups, found by a block's questions and its members
+    of larger groups. A link counts for its groups only, so a question is not
+    compared with members of groups that the task has already united with its
+    own, and a task returns less links than it meets groups."""
     who = blocks.select(F.col("set_id").alias("a"), F.col("size").alias("a_size"), F.col("group").alias("a_group"))
     named = sets.select(F.col("set_id").alias("a"), "shingles")
     left = asked.join(who, "a").join(named, "a").select("block", "lot", "a", "a_size", "a_group", "shingles")
@@ -474,42 +502,53 @@ def _matrix_links(asked: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataF
     def run(questions: pa.Table, members: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         if questions.num_rows and members.num_rows:
+            united = _United()
             sets = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
             ids, sizes, names = (members.column(c).to_pylist() for c in ("set_id", "size", "group"))
             order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
             parts = [order[i : i + PART] for i in range(0, len(order), PART)]
+            groups = [{(sizes[i], names[i]) for i in part} for part in parts]
+            every = set().union(*groups)
             rows = [np.unique(np.concatenate([sets[i] for i in part])) for part in parts]
             whole = np.unique(np.concatenate(rows))
             least = len(sets[order[0]])
-            columns = (questions.column(c).to_pylist() for c in ("a", "a_size", "a_group", "shingles"))
-            for a, size, name, query in zip(*columns):
+            columns = (questions.column(c).to_pylist() for c in ("a_size", "a_group", "shingles"))
+            for size, name, query in zip(*columns):
                 query = np.frombuffer(query, np.uint64)
 
                 def reaches(tokens: np.ndarray, smallest: int, query: np.ndarray = query) -> bool:
                     # A link's intersection holds 75 of 175 parts of both sizes.
                     return (100 + NEEDED) * _common(query, tokens) >= NEEDED * (len(query) + smallest)
 
-                if not reaches(whole, least):
+                def open_to(of: tuple[int, int], own: tuple[int, int] = (size, name)) -> bool:
+                    return own < of and united.of(of[1]) != united.of(own[1])
+
+                if not any(map(open_to, every)) or not reaches(whole, least):
                     continue
-                for part, row in zip(parts, rows):
-                    if reaches(row, len(sets[part[0]])):
-                        larger = (i for i in part if (size, name) < (sizes[i], names[i]))
-                        found += [(a, ids[i]) for i in larger if reaches(sets[i], len(sets[i]))]
+                for part, of, row in zip(parts, groups, rows):
+                    if any(map(open_to, of)) and reaches(row, len(sets[part[0]])):
+                        for i in part:
+                            if open_to((sizes[i], names[i])) and reaches(sets[i], len(sets[i])):
+                                united.unite(name, names[i])
+                                found.append((name, names[i]))
         return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return left.groupBy("block", "lot").cogroup(right.groupBy("in_block", "in_lot")).applyInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id of every document."""
-    spark = docs.sparkSession
-    base = scratch_path(spark, "jaccard")
+def _grouped(docs: DataFrame) -> DataFrame:
+    """SIGNATURE of every document, and the group of its set."""
+    base = scratch_path(docs.sparkSession, "jaccard")
     signatures(docs).write.parquet(f"{base}/signed")
-    signed = spark.read.schema(SIGNATURE).parquet(f"{base}/signed")
+    signed = docs.sparkSession.read.schema(SIGNATURE).parquet(f"{base}/signed")
     groups = linked_classes(docs, signed, base)
-    rows = signed.select("doc_id", "n_shingles", "set_id").join(groups, "set_id", "left")
+    return signed.join(groups, "set_id", "left").withColumn("group", F.coalesce("group", "set_id"))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_id, component_id of every document."""
+    rows = _grouped(docs).select("doc_id", "n_shingles", "set_id", "group")
     # The empty set links with nothing: such documents stay apart.
-    rows = rows.withColumn("group", F.coalesce("group", "set_id"))
     least = rows.filter("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "group", "left").select(
         "doc_id",
@@ -525,11 +564,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest
-    id; of rows that repeat that id, one. Documents without words all stay, and
-    so do rows without an id, which a component can't name."""
-    found = joined(docs.select("doc_id", "text"))
-    keep = found.filter("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
-    loose = F.col("doc_id").isNull() | (F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == "")
-    kept = docs.filter(~loose).join(keep, "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.filter(loose))
+    """``docs`` with one row of each component: the one with the smallest id; of
+    rows that share it, one with the smallest set. Rows of one id whose texts
+    don't link are different components, and one of each stays; a row without an
+    id stays only if its component has no other. Documents without words all stay."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_id", "text_hash")
+    of_each = _grouped(docs.select("doc_id", "text")).filter("n_shingles > 0").groupBy("group").agg(F.min(first).alias("f"))
+    stays = of_each.select(F.col("f.doc_id").alias("__doc"), F.col("f.text_hash").alias("__text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text"))
+    wordless = F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == ""
+    kept = docs.filter(~wordless).join(stays, same).dropDuplicates(["__doc", "__text"])
+    return kept.unionByName(docs.filter(wordless), allowMissingColumns=True).select(*(f"`{c}`" for c in docs.columns))
