@@ -3,7 +3,7 @@ failure classes, availability per task and probe alerts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from milepost.sources.documents import load_probes
@@ -12,30 +12,13 @@ from milepost.sources.documents import load_probes
 # 'status_only': HTTP 200 (an error text in the body is ignored).
 STATUS_AND_ERROR = "status_and_error"
 STATUS_ONLY = "status_only"
-DEFAULT_RULES = {"p0": STATUS_AND_ERROR, "p1": STATUS_ONLY}
-# Providers whose service routes two tasks to their own endpoints.
-DEFAULT_ROUTING = {"p0": False, "p1": True}
-
-# Endpoint paths.
-DEFAULT_ENDPOINT = "/insights_ico"
-TASK_ENDPOINTS = {
-    "content-importance": "/content_importance_ico",
-    "command-interpreter": "/command_interpreter_ico",
-}
-
-# Task catalogue: task, model, probe input text (our own texts).
-CATALOG = [
-    ("summarization", "model-a", "Yesterday the team met to plan the spring release. They agreed on three features, moved the launch by one week and asked design for new screens."),
-    ("smart-reply", "model-b", "Hi Sam, are you free for a call later today?"),
-    ("pickup-intent", "model-b", "Could you grab bread and milk on your way home?"),
-    ("email-smart-reply", "model-b", "Dear Alex, can we move our review to Thursday morning? Best, Kim."),
-    ("message-generation", "model-b", "write a message asking the team to bring snacks on Friday."),
-    ("message-improvisation", "model-b", "Remind Ana about the dentist at 4."),
-    ("email-generation", "model-b", "write an email to Lee asking for the quarterly numbers."),
-    ("email-improvisation", "model-b", "Tell the supplier that the order will be one week late."),
-    ("command-interpreter", "model-b", "Send Max a message that the meeting starts at noon."),
-    ("content-importance", "model-b", "Hi Jo, the client needs the contract signed by tomorrow."),
-]
+
+#: The columns of a probe catalogue: which task each provider is probed with,
+#: where, by which model and with which text.
+CATALOG_SCHEMA = "provider string, task string, endpoint string, model string, input_text string"
+#: The task whose probes carry context fields.
+WITH_CONTEXT = "content-importance"
+
 # The nine context field names. The values are our own.
 CONTENT_IMPORTANCE_EXTRAS = [
     ("subject_line_signals", "boolean", False),
@@ -50,12 +33,6 @@ CONTENT_IMPORTANCE_EXTRAS = [
 ]
 
 
-def task_catalog(spark: SparkSession) -> DataFrame:
-    """The probe task catalogue as a small dimension table (fixed size)."""
-    schema = "task string, model string, input_text string"
-    return spark.createDataFrame(CATALOG, schema)
-
-
 def _map_lookup(mapping: dict, key: Column, default) -> Column:
     expr = None
     for k, v in mapping.items():
@@ -63,33 +40,40 @@ def _map_lookup(mapping: dict, key: Column, default) -> Column:
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
-def endpoint_for(provider: Column, task: Column, routing: dict = DEFAULT_ROUTING) -> Column:
-    routed = _map_lookup({k: True for k, v in routing.items() if v}, provider, False)
-    by_task = _map_lookup(TASK_ENDPOINTS, task, DEFAULT_ENDPOINT)
-    return F.when(routed, by_task).otherwise(F.lit(DEFAULT_ENDPOINT))
+def probe_requests(catalog: DataFrame) -> DataFrame:
+    """Request document per row of the catalogue (CATALOG_SCHEMA):
+    ``{"req_jobs": [{id, input_text, model, task, ...}]}``; content-importance
+    adds nine context fields."""
+    is_ci = F.col("task") == WITH_CONTEXT
+    extras = [F.when(is_ci, F.lit(v).cast(t)).alias(n) for n, t, v in CONTENT_IMPORTANCE_EXTRAS]
+    job = F.struct(F.lit(1).alias("id"), F.col("input_text"), F.col("model"), F.col("task"), *extras)
+    body = F.to_json(F.struct(F.array(job).alias("req_jobs")))  # NULL extras are left out
+    return catalog.select("task", "provider", "endpoint", body.alias("body"))
 
 
-def probe_requests(catalog: DataFrame, probes: DataFrame, routing: dict = DEFAULT_ROUTING) -> DataFrame:
-    """Request document per probed (provider, task): ``{"req_jobs": [{id,
-    input_text, model, task, ...}]}``; content-importance adds nine context
-    fields. The catalogue has a fixed handful of rows and is broadcast."""
-    pairs = probes.select("provider", "task").distinct()
-    joined = pairs.join(F.broadcast(catalog), "task")
-    is_ci = F.col("task") == "content-importance"
-    extras = [F.when(is_ci, F.lit(v).cast(t)).alias(n) for n, t, v in CONTENT_IMPORTANCE_EXTRAS]
-    job = F.struct(
-        F.lit(1).alias("id"), F.col("input_text"), F.col("model"), F.col("task"), *extras
+def probe_coverage(catalog: DataFrame, classified: DataFrame) -> DataFrame:
+    """Per (provider, task), catalogued or probed: whether it is in the catalogue,
+    probes, failures and the last probe's time. A catalogued task that was never
+    probed has 0 probes; a task that is probed but not catalogued shows, too."""
+    listed = catalog.select("provider", "task").distinct().withColumn("_listed", F.lit(True))
+    seen = classified.groupBy("provider", "task").agg(
+        F.count(F.lit(1)).alias("probes"), F.count_if(~F.col("ok")).alias("failures"), F.max("ts").alias("last_probe")
     )
-    body = F.to_json(F.struct(F.array(job).alias("req_jobs")))  # NULL extras are left out
-    return joined.select(
-        "task", "provider", endpoint_for(F.col("provider"), F.col("task"), routing).alias("endpoint"), body.alias("body")
+    both = listed.join(seen, ["provider", "task"], "full_outer")
+    return both.select(
+        "provider",
+        "task",
+        F.coalesce("_listed", F.lit(False)).alias("in_catalog"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("probes", "failures")],
+        "last_probe",
     )
 
 
-def classify(probes: DataFrame, rules: dict = DEFAULT_RULES, default_rule: str = STATUS_AND_ERROR) -> DataFrame:
+def classify(probes: DataFrame, rules: dict[str, str] = {}, default_rule: str = STATUS_AND_ERROR) -> DataFrame:
     """Per probe: ok flag, failure class and error text.
 
-    A 200 response must hold ``res_jobs[0]``; a missing or empty list (or a
+    ``rules`` names the success rule of providers that don't follow
+    ``default_rule``. A 200 response must hold ``res_jobs[0]``; a missing or empty list (or a
     body that is not JSON) is a ``malformed_response`` failure. Under
     'status_and_error' a non-empty error text fails the probe. Only NULL and
     '' count as "no error". Failure classes are a closed set: timeout,

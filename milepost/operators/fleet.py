@@ -5,10 +5,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-
 # The worker alert text and the mutation input fields.
 WORKER_TEXT = " Active worker count is: `%d` which more than the threshold configured i.e. `%d`. Total number of endpoints: `%d`"
 MUTATION_FIELDS = [
@@ -85,6 +84,62 @@ def desired_workers(endpoints: DataFrame, target_names: DataFrame, action: str)
     )
 
 
+# Why a requested action isn't carried out.
+UNKNOWN_ACTION, UNKNOWN_ENDPOINT, SUPERSEDED = "unknown_action", "unknown_endpoint", "superseded"
+
+
+def requested_workers(endpoints: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requested actions (name, action, requested_at) -> the mutation inputs of
+    accepted ones, plus ``name``-level rejects, as one table: requested_name,
+    action, requested_at, reject_reason (NULL: accepted) and MUTATION_FIELDS.
+
+    Unknown or missing actions and names that no endpoint has are rejected. Of
+    several valid requests for a name the latest counts (of equal times,
+    deactivating), the others are superseded. An accepted request gives a row for
+    each endpoint of that name, a reject one row.
+    """
+    known = endpoints.select("name").distinct().select(F.col("name").alias("_known"))
+    workers = action_column("action")
+    asked = requests.select(F.col("name").alias("requested_name"), "action", "requested_at", workers.alias("_workers"))
+    found = asked.join(known, F.col("requested_name") == F.col("_known"), "left")
+    valid = F.col("_workers").isNotNull() & F.col("_known").isNotNull()
+    # The latest valid request per name: a partial aggregate, so many requests
+    # for one name don't meet in a task.
+    order = F.struct("requested_at", (-F.col("_workers")).alias("w"))
+    latest = found.filter(valid).groupBy(F.col("requested_name").alias("_name")).agg(F.max(order).alias("_last"))
+    placed = found.join(latest, F.col("requested_name") == F.col("_name"), "left")
+    # Equal requests (same time and action) are one.
+    same = ["requested_name", "action", "requested_at"]
+    reason = (
+        F.when(F.col("_workers").isNull(), UNKNOWN_ACTION)
+        .when(F.col("_known").isNull(), UNKNOWN_ENDPOINT)
+        .when(~order.eqNullSafe(F.col("_last")), SUPERSEDED)
+    )
+    decided = placed.withColumn("reject_reason", reason).dropDuplicates(same)
+    fields = [F.col(f).alias(f) for f in MUTATION_FIELDS if f != "workersMin"]
+    chosen = endpoints.select(F.col("name").alias("_endpoint"), *fields)
+    on = (F.col("requested_name") == F.col("_endpoint")) & F.col("reject_reason").isNull()
+    rows = decided.join(chosen, on, "left")
+    sent = F.when(F.col("reject_reason").isNull(), F.col("_workers")).cast("int")
+    inputs = [sent.alias(f) if f == "workersMin" else F.col(f) for f in MUTATION_FIELDS]
+    return rows.select(*same, "reject_reason", *inputs)
+
+
+def write_requests(requested: DataFrame, path: str) -> dict[str, int]:
+    """Write :func:`requested_workers` in one pass to two tables below ``path``,
+    ``rejected=false`` (mutation inputs) and ``rejected=true``; return how many
+    rows of each there are, as observed while writing."""
+    counts = Observation()
+    bad = F.col("reject_reason").isNotNull()
+    rows = requested.withColumn("rejected", bad).observe(
+        counts, F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected")
+    )
+    rows.write.partitionBy("rejected").parquet(path)
+    # A plan that turns out to be empty is not observed.
+    wrote = not requested.sparkSession.read.schema(rows.schema).parquet(path).isEmpty()
+    return counts.get if wrote else {"accepted": 0, "rejected": 0}
+
+
 def desired_payload(desired: DataFrame) -> DataFrame:
     """The mutation document per endpoint as JSON text."""
     doc = F.struct(F.struct(F.struct(*MUTATION_FIELDS).alias("input")).alias("variables"))

@@ -71,11 +71,12 @@ def spend_on(costs: DataFrame, days: list[str] | None = None) -> DataFrame:
 
 
 def missing_cost_days(apps: DataFrame, costs: DataFrame, first_day, last_day) -> DataFrame:
-    """(app, day) for each app and each day in [first_day, last_day] that
-    has no cost entry. Days are generated per app row (no join with a day
-    table) and removed by an anti join on (app, day)."""
+    """(app, day) for each app of the configured list and each day in [first_day,
+    last_day] that has no cost entry: also for an app whose documents all failed,
+    were empty or malformed, or never came. Days are generated per app row (no
+    join with a day table) and removed by an anti join on (app, day)."""
     days = F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
-    wanted = apps.select("app", F.explode(F.transform(days, lambda d: F.date_format(d, "yyyy-MM-dd"))).alias("day"))
+    wanted = apps.select("app").distinct().select("app", F.explode(F.transform(days, lambda d: F.date_format(d, "yyyy-MM-dd"))).alias("day"))
     present = costs.select("app", "day")
     return wanted.join(present, ["app", "day"], "left_anti")
 

@@ -96,8 +96,15 @@ FROM latched WHERE activate"""
 
 
 def _catalog_values() -> str:
-    rows = ", ".join(f"('{t}', '{m}', '{x}')" for t, m, x in av.CATALOG)
-    return f"cat(task, model, input_text) AS (VALUES {rows})"
+    own = {"content-importance": "/content_importance_ico", "command-interpreter": "/command_interpreter_ico"}
+    shared = ["summarization", "smart-reply", "message-improvisation", "email-improvisation"]
+    tasks = [("p0", t, "/insights_ico") for t in [*shared, "pickup-intent", "email-smart-reply", "message-generation", "email-generation"]]
+    tasks += [("p1", t, own.get(t, "/insights_ico")) for t in [*shared, *own]]
+    rows = ", ".join(
+        f"('{p}', '{t}', '{e}', '{'jupiter-1' if t == 'summarization' else 'jupiter-2'}', '{td.PROBE_TEXTS[t]}')"
+        for p, t, e in tasks
+    )
+    return f"cat(provider, task, endpoint, model, input_text) AS (VALUES {rows})"
 
 
 def _request_json() -> str:
@@ -121,10 +128,23 @@ def monitor_oracles() -> dict[str, str]:
     q["app_spend_total"] = w(f"SELECT day, CAST(sum({DOLLARS}) AS DECIMAL(18,2)) AS total FROM costs GROUP BY day", COSTS)
     q["missing_cost_days"] = w(
         """SELECT a.app, strftime(r.d, '%Y-%m-%d') AS day
-FROM (SELECT DISTINCT app FROM costs) a, range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) r(d)
+FROM (SELECT DISTINCT 'app' || CAST(k % 9 AS VARCHAR) AS app FROM src WHERE event_type = 'purchase') a, range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) r(d)
 WHERE NOT EXISTS (SELECT 1 FROM costs c WHERE c.app = a.app AND c.day = strftime(r.d, '%Y-%m-%d'))""",
         COSTS,
     )
+    q["cost_document_problems"] = w(
+        """SELECT app, CASE app WHEN 'app4' THEN 'failed' WHEN 'app6' THEN 'malformed' ELSE 'empty' END AS status,
+  count(*) AS documents, CASE app WHEN 'app6' THEN '{"costs": {"2024-01-0' END AS example
+FROM (SELECT DISTINCT 'app' || CAST(k % 4 + 4 AS VARCHAR) AS app, k % 4 AS project FROM src WHERE event_type = 'purchase')
+GROUP BY app"""
+    )
+    q["spend_on_days"] = w(
+        f"""SELECT d.day, CAST(coalesce(sum({DOLLARS}), 0) AS DECIMAL(18,2)) AS total
+FROM (SELECT strftime(DATE '2024-01-01' + CAST(7 * i AS INTEGER), '%Y-%m-%d') AS day FROM range(5) r(i)
+      UNION ALL SELECT '2024-06-01') d
+LEFT JOIN costs ON costs.day = d.day GROUP BY d.day""",
+        COSTS,
+    )
     q["spend_by_project"] = w(
         f"SELECT project, day, CAST(sum({DOLLARS}) AS DECIMAL(18,2)) AS total FROM costs GROUP BY project, day", COSTS
     )
@@ -140,6 +160,32 @@ WHERE NOT EXISTS (SELECT 1 FROM costs c WHERE c.app = a.app AND c.day = strftime
 FROM ep WHERE name IN (SELECT c_name FROM customer WHERE c_custkey % 10 = 3)""",
         ENDPOINTS,
     )
+    inputs = ", ".join(
+        "CASE WHEN reject_reason IS NULL THEN CAST(workers AS INTEGER) END AS workersMin" if f == "workersMin" else f"ep.{f}"
+        for f in (
+            "gpuIds", "gpuCount", "allowedCudaVersions", "id", "idleTimeout", "locations", "name", "networkVolumeId",
+            "scalerType", "scalerValue", "workersMax", "workersMin", "executionTimeoutMs",
+        )
+    )
+    q["requested_workers"] = w(
+        f"""SELECT requested_name, action, requested_at, reject_reason, {inputs}
+FROM judged LEFT JOIN ep ON judged.requested_name = ep.name AND reject_reason IS NULL""",
+        ENDPOINTS,
+        """asked AS (
+  SELECT CASE WHEN c_custkey % 11 = 5 THEN 'none-' || c_name ELSE c_name END AS requested_name,
+    ['activate', 'deactivate', 'restart', 'ACTIVATE', NULL][c_custkey % 5 + 1] AS action,
+    TIMESTAMP '2024-01-30 08:00:00' AS requested_at FROM customer
+  UNION
+  SELECT CASE WHEN c_custkey % 11 = 5 THEN 'none-' || c_name ELSE c_name END,
+    ['deactivate', 'activate', 'stop'][c_custkey % 3 + 1],
+    TIMESTAMP '2024-01-30 08:00:00' + (c_custkey % 2) * INTERVAL 1 MINUTE FROM customer)""",
+        """judged AS (
+  SELECT *, CASE WHEN workers IS NULL THEN 'unknown_action' WHEN NOT is_endpoint THEN 'unknown_endpoint'
+    WHEN row_number() OVER (PARTITION BY requested_name, workers IS NOT NULL AND is_endpoint
+                            ORDER BY requested_at DESC, workers) > 1 THEN 'superseded' END AS reject_reason
+  FROM (SELECT *, CASE action WHEN 'activate' THEN 1 WHEN 'deactivate' THEN 0 END AS workers,
+               requested_name IN (SELECT name FROM ep) AS is_endpoint FROM asked))""",
+    )
     q["desired_setting"] = w(
         """SELECT app, 60 AS cooldown_seconds, '{"cooldownPeriodSeconds":60}' AS payload FROM st""", SETTINGS
     )
@@ -161,11 +207,19 @@ FROM st""",
   FROM st) WHERE missing <> ''""",
         SETTINGS,
     )
-    routed = "CASE WHEN provider = 'p1' THEN CASE task WHEN 'content-importance' THEN '/content_importance_ico' WHEN 'command-interpreter' THEN '/command_interpreter_ico' ELSE '/insights_ico' END ELSE '/insights_ico' END"
     q["probe_requests"] = w(
-        f"""SELECT task, provider, {routed} AS endpoint, {_request_json()} AS body
-FROM (SELECT DISTINCT provider, task FROM probes) JOIN cat USING (task)""",
+        f"""SELECT task, provider, endpoint, {_request_json()} AS body
+FROM cat WHERE provider IN (SELECT provider FROM probes)""",
+        PROBES,
+        _catalog_values(),
+    )
+    q["probe_coverage"] = w(
+        """SELECT provider, task, cat.task IS NOT NULL AS in_catalog, coalesce(s.probes, 0) AS probes,
+  coalesce(s.failures, 0) AS failures, s.last_probe
+FROM cat FULL JOIN (SELECT provider, task, count(*) AS probes, count(*) FILTER (WHERE NOT ok) AS failures, max(ts) AS last_probe
+                    FROM cls GROUP BY provider, task) s USING (provider, task)""",
         PROBES,
+        CLS,
         _catalog_values(),
     )
     q["probe_classify"] = w("SELECT * FROM cls", PROBES, CLS)
@@ -185,6 +239,14 @@ FROM (SELECT provider, task, count(*) AS probes, count(*) FILTER (WHERE NOT ok)
 FROM lines WHERE regexp_matches(value, '{LOG_RE}') GROUP BY 1, 2""",
         LINES,
     )
+    q["log_records"] = w(
+        """SELECT CASE WHEN status = 'record' THEN CAST(ts AS DATE) END AS day, CASE WHEN status = 'record' THEN level END AS level,
+  status, count(*) AS records, CAST(sum(lines) AS BIGINT) AS lines
+FROM (SELECT ts, CASE WHEN event_type = 'error' THEN 'CRITICAL' ELSE 'INFO' END AS level,
+        CASE WHEN event_id % 50 = 0 THEN 'bad_time' ELSE 'record' END AS status,
+        1 + CASE WHEN event_type = 'error' THEN k % 4 ELSE 0 END AS lines FROM src)
+GROUP BY 1, 2, 3"""
+    )
     q["alerts_union"] = w(
         f"""{SPEND_ALERTS}
 UNION ALL

@@ -15,6 +15,7 @@ from milepost.operators import fleet as fl
 from milepost.operators import quality as qa
 from milepost.operators import spend as sp
 from milepost.sources import documents as docs
+from milepost.sources import logs as lg
 from milepost.sources import testdata as td
 
 # Fixed test parameters (FIXTURES §4), given at sf0.01 and scaled by sf/0.01.
@@ -63,15 +64,40 @@ def endpoints(spark, sf_dir) -> DataFrame:
 
 
 def classified(spark, sf_dir) -> DataFrame:
-    return av.classify(td.probe_records(spark, sf_dir))
+    return av.classify(td.probe_records(spark, sf_dir), td.PROBE_RULES)
 
 
-def q_missing_cost_days(spark, sf_dir):
-    c = costs(spark, sf_dir)
+def report_days() -> list[str]:
+    """The thirty days up to the evaluation time."""
     last = parse_as_of(td.TEST_AS_OF).date()
-    first = last - timedelta(days=29)
-    apps = c.select("app").distinct()
-    return sp.missing_cost_days(apps, c, first.isoformat(), last.isoformat())
+    return [(last - timedelta(days=d)).isoformat() for d in range(29, -1, -1)]
+
+
+def q_missing_cost_days(spark, sf_dir):
+    days = report_days()
+    return sp.missing_cost_days(td.app_list(spark, sf_dir), costs(spark, sf_dir), days[0], days[-1])
+
+
+def q_cost_document_problems(spark, sf_dir):
+    return docs.document_problems(docs.cost_documents(td.app_cost_docs(spark, sf_dir)), "app")
+
+
+def q_spend_on_days(spark, sf_dir):
+    """Spend on chosen days: one of them lies after all documents."""
+    return sp.spend_on(costs(spark, sf_dir), [*report_days()[::7], "2024-06-01"])
+
+
+def q_requested_workers(spark, sf_dir):
+    return fl.requested_workers(endpoints(spark, sf_dir), td.worker_requests(spark, sf_dir))
+
+
+def q_probe_coverage(spark, sf_dir):
+    return av.probe_coverage(td.probe_catalog(spark, sf_dir), classified(spark, sf_dir))
+
+
+def q_log_records(spark, sf_dir):
+    """Log files with tracebacks, read in splits."""
+    return lg.level_counts(lg.scan_records(spark, td.log_files(spark, sf_dir)))
 
 
 def q_spend_by_project(spark, sf_dir):
@@ -115,6 +141,8 @@ MONITOR_QUERIES = {
     "app_costs_flatten": costs,
     "app_spend_total": lambda spark, d: sp.spend_on(costs(spark, d)),
     "missing_cost_days": q_missing_cost_days,
+    "cost_document_problems": q_cost_document_problems,
+    "spend_on_days": q_spend_on_days,
     "spend_by_project": q_spend_by_project,
     "spend_severity": daily_severity,
     "spend_latch": lambda spark, d: latched(spark, d).select("provider", "day", "severity", "activate"),
@@ -123,13 +151,16 @@ MONITOR_QUERIES = {
     "worker_totals": lambda spark, d: fl.worker_totals(endpoints(spark, d)),
     "worker_threshold": q_worker_threshold,
     "desired_workers": q_desired_workers,
+    "requested_workers": q_requested_workers,
     "desired_setting": lambda spark, d: fl.desired_setting(td.settings(spark, d).select("app"), COOLDOWN_SECONDS),
     "validate_setting": lambda spark, d: fl.validate_setting(td.settings(spark, d)),
     "missing_fields": lambda spark, d: qa.missing_fields(td.required_fields_input(spark, d), REQUIRED),
-    "probe_requests": lambda spark, d: av.probe_requests(av.task_catalog(spark), td.probe_records(spark, d)),
+    "probe_requests": lambda spark, d: av.probe_requests(td.probe_catalog(spark, d)),
+    "probe_coverage": q_probe_coverage,
     "probe_classify": classified,
     "probe_failure_classes": lambda spark, d: av.failure_classes(classified(spark, d)),
     "availability_by_task": lambda spark, d: av.availability(classified(spark, d)),
     "log_levels_daily": q_log_levels_daily,
+    "log_records": q_log_records,
     "alerts_union": q_alerts_union,
 }

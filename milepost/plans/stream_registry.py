@@ -50,7 +50,7 @@ def q_stream_latch(spark, sf_dir):
 
 def q_stream_availability(spark, sf_dir):
     probes = td.probe_records_from(_typed_event_stream(spark, sf_dir))
-    return jobs.run_availability(spark, probes)
+    return jobs.run_availability(spark, probes, rules=td.PROBE_RULES)
 
 
 def q_stream_workers(spark, sf_dir):

@@ -52,20 +52,43 @@ ENDPOINT_DOC = T.StructType(
     ]
 )
 
-COST_DOC = T.StructType(
-    [
-        T.StructField(
-            "costs",
-            T.MapType(T.StringType(), T.StructType([T.StructField("total_cost_cents", CENTS)])),
-        )
-    ]
-)
+COST_DOC = f"costs: map<string, struct<total_cost_cents: {CENTS.simpleString()}>>"
 
 PROBE_BODY = T.StructType(
     [T.StructField("res_jobs", T.ArrayType(T.StructType([T.StructField("error", T.StringType())])))]
 )
 
 
+# What became of a document.
+OK, FAILED, MALFORMED, EMPTY = "ok", "failed", "malformed", "empty"
+CORRUPT = "_corrupt_record"
+
+
+def parse_documents(docs: DataFrame, schema: str, body: str = "body", content: str | None = None) -> DataFrame:
+    """Recorded documents -> ``docs`` plus ``doc`` (parsed; NULL if it isn't
+    whole), ``status`` and ``corrupt`` (the text of a malformed one).
+
+    'failed': there is no body (the call failed); 'malformed': it isn't JSON of
+    this shape; 'empty': the array or map named by ``content`` isn't there or has
+    no entries; else 'ok'. One row per document, so nothing vanishes.
+    """
+    kind = f"struct<{schema}, {CORRUPT}: string>"
+    doc = F.from_json(F.col(body), kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = docs.withColumn("doc", doc)
+    corrupt = F.coalesce(F.col(f"doc.{CORRUPT}"), F.when(F.col("doc").isNull(), F.col(body)))
+    status = F.when(F.col(body).isNull(), FAILED).when(corrupt.isNotNull(), MALFORMED)
+    if content:
+        status = status.when(F.coalesce(F.size(f"doc.{content}"), F.lit(0)) <= 0, EMPTY)
+    whole = F.when(corrupt.isNull(), F.col("doc").dropFields(CORRUPT))
+    return parsed.withColumns({"doc": whole, "status": status.otherwise(OK), "corrupt": corrupt})
+
+
+def document_problems(parsed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, status, documents, example) of the documents that hold nothing."""
+    bad = parsed.filter(F.col("status") != OK)
+    return bad.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("documents"), F.min("corrupt").alias("example"))
+
+
 def load_billing(
     docs: DataFrame, body: str = "body", keep: tuple = ("provider",), position: str | None = None
 ) -> DataFrame:
@@ -93,10 +116,15 @@ def load_billing(
     )
 
 
+def cost_documents(docs: DataFrame, body: str = "body") -> DataFrame:
+    """App cost documents, parsed: ``docs`` plus doc, status and corrupt."""
+    return parse_documents(docs, COST_DOC, body, "costs")
+
+
 def load_app_costs(docs: DataFrame, body: str = "body", keep: tuple = ("app", "project")) -> DataFrame:
-    """Cost documents keyed by day text -> (app, project, day, cents)."""
-    parsed = docs.select(*keep, F.from_json(body, COST_DOC).alias("_d"))
-    rows = parsed.select(*keep, F.explode(F.col("_d.costs")).alias("day", "_c"))
+    """Cost documents keyed by day text -> (app, project, day, cents). Documents
+    without costs have no rows here; :func:`cost_documents` tells why."""
+    rows = cost_documents(docs, body).select(*keep, F.explode("doc.costs").alias("day", "_c"))
     return rows.select(*keep, "day", F.col("_c.total_cost_cents").alias("cents"))
 
 

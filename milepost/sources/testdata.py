@@ -257,7 +257,22 @@ def app_cost_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = daily.groupBy("app", "project", F.date_trunc("month", F.col("day").cast("timestamp")).alias("_m")).agg(
         F.map_from_entries(F.collect_list(entry)).alias("costs")
     )
-    return docs.select("app", "project", F.to_json(F.struct("costs")).alias("body"))
+    good = docs.select("app", "project", F.to_json(F.struct("costs")).alias("body"))
+    # Documents without costs: app4's call failed, app6's answer is cut off, app5 and app7 have none.
+    k = F.col("k")
+    other = F.concat(F.lit("app"), (k % 4 + 4).cast("string"))
+    broken = ev.groupBy(other.alias("app"), F.concat(F.lit("prj"), (k % 4).cast("string")).alias("project")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    body = F.when(F.col("app") == "app6", '{"costs": {"2024-01-0').when(F.col("app") == "app5", "{}").when(F.col("app") == "app7", '{"costs": {}}')
+    return good.unionByName(broken.select("app", "project", body.alias("body")))
+
+
+def app_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configured apps, 'app' || k % 9 of purchase events: app8 has no
+    document at all."""
+    ev = raw_events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    return ev.select(F.concat(F.lit("app"), (F.col("k") % 9).cast("string")).alias("app")).distinct()
 
 
 def _endpoint_record(c: DataFrame) -> DataFrame:
@@ -323,17 +338,36 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, app, raw_value): raw_value by c_custkey % 6 among
     '30', '29', ' 30 ', 'abc', '', NULL."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    raw = _pick(["30", "29", " 30 ", "abc", "", None], (F.col("c_custkey") % 6).cast("int"))
-    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("app"), raw.alias("raw_value"))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("app"), _raw_value().alias("raw_value"))
+
+
+def _raw_value() -> Column:
+    return _pick(["30", "29", " 30 ", "abc", "", None], (F.col("c_custkey") % 6).cast("int"))
 
 
 def required_fields_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, c_mktsegment, raw_value, c_name) with c_name blanked when
     ``c_custkey % 4 = 0``."""
-    s = settings(spark, sf_dir)
+    key = F.col("c_custkey")
+    name = F.when(key % 4 == 0, F.lit("  ")).otherwise(F.col("c_name"))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    name = F.when(F.col("c_custkey") % 4 == 0, F.lit("  ")).otherwise(F.col("c_name"))
-    return c.join(s, c["c_custkey"] == s["id"]).select("id", "c_mktsegment", "raw_value", name.alias("c_name"))
+    return c.select(key.alias("id"), "c_mktsegment", _raw_value().alias("raw_value"), name.alias("c_name"))
+
+
+def worker_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested actions (name, action, requested_at): two for each customer,
+    by c_custkey; some of unknown actions, some for names that don't exist."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey")
+    name = F.when(key % 11 == 5, F.concat(F.lit("none-"), F.col("c_name"))).otherwise(F.col("c_name"))
+    first = _pick(["activate", "deactivate", "restart", "ACTIVATE", None], (key % 5).cast("int"))
+    second = _pick(["deactivate", "activate", "stop"], (key % 3).cast("int"))
+    start = F.lit("2024-01-30 08:00:00").cast("timestamp")
+    both = F.array(
+        F.struct(first.alias("action"), start.alias("requested_at")),
+        F.struct(second.alias("action"), (start + F.make_interval(mins=(key % 2).cast("int"))).alias("requested_at")),
+    )
+    return c.select(name.alias("name"), F.explode(both).alias("r")).select("name", "r.*")
 
 
 def probe_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,9 +395,72 @@ def probe_records_from(ev: DataFrame) -> DataFrame:
         status.alias("status_code"),
         exc.cast("string").alias("exception_type"),
         body.alias("body"),
+        F.col("event_id").alias("probe_id"),
     )
 
 
+#: Success rules of the test providers.
+PROBE_RULES = {"p0": "status_and_error", "p1": "status_only"}
+
+# The probed tasks of each kind of service, their endpoint paths and models.
+DEFAULT_ENDPOINT = "/insights_ico"
+TASK_ENDPOINTS = {
+    "content-importance": "/content_importance_ico",
+    "command-interpreter": "/command_interpreter_ico",
+}
+ROUTED_TASKS = [
+    "command-interpreter",
+    "content-importance",
+    "summarization",
+    "smart-reply",
+    "message-improvisation",
+    "email-improvisation",
+]
+SUMMARY_MODEL, OTHER_MODEL = "jupiter-1", "jupiter-2"
+# Our own probe texts.
+PROBE_TEXTS = {
+    "summarization": "Yesterday the team met to plan the spring release. They agreed on three features, moved the launch by one week and asked design for new screens.",
+    "smart-reply": "Hi Sam, are you free for a call later today?",
+    "pickup-intent": "Could you grab bread and milk on your way home?",
+    "email-smart-reply": "Dear Alex, can we move our review to Thursday morning? Best, Kim.",
+    "message-generation": "write a message asking the team to bring snacks on Friday.",
+    "message-improvisation": "Remind Ana about the dentist at 4.",
+    "email-generation": "write an email to Lee asking for the quarterly numbers.",
+    "email-improvisation": "Tell the supplier that the order will be one week late.",
+    "command-interpreter": "Send Max a message that the meeting starts at noon.",
+    "content-importance": "Hi Jo, the client needs the contract signed by tomorrow.",
+}
+
+
+def probe_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of the providers that the events name: p0 is probed with
+    eight tasks at one endpoint, p1 with six, two of them at their own."""
+    from milepost.operators.availability import CATALOG_SCHEMA
+
+    rows = []
+    for provider, tasks, routes in (("p0", PROBED_TASKS, {}), ("p1", ROUTED_TASKS, TASK_ENDPOINTS)):
+        for t in tasks:
+            model = SUMMARY_MODEL if t == "summarization" else OTHER_MODEL
+            rows.append((provider, t, routes.get(t, DEFAULT_ENDPOINT), model, PROBE_TEXTS[t]))
+    providers = raw_events(spark, sf_dir).select(_provider().alias("provider")).distinct()
+    return spark.createDataFrame(rows, CATALOG_SCHEMA).join(providers, "provider").select("provider", "task", "endpoint", "model", "input_text")
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events as log files in the shared folder; returns their path. Error events
+    have a traceback of ``k % 4`` more lines; each fiftieth has no real time."""
+    from milepost.session import scratch_path
+
+    ev = raw_events(spark, sf_dir)
+    time = F.when(F.col("event_id") % 50 == 0, "2024-13-01 00:00:00").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    level = F.when(F.col("event_type") == "error", "CRITICAL").otherwise("INFO")
+    head = F.concat_ws(" - ", time, F.lit("monitor"), level, F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    more = F.when(F.col("event_type") == "error", F.repeat(F.lit("\n  at line - of code"), (F.col("k") % 4).cast("int"))).otherwise("")
+    path = scratch_path(spark, "log-files")
+    ev.select(F.concat(head, more).alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events rendered as tool log lines (one ``value`` per line): level
     CRITICAL for error events, else INFO; every tenth message contains ' - '."""

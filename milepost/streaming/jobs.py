@@ -161,18 +161,29 @@ def availability_windows(classified: DataFrame, window: str = "1 hour") -> DataF
 
 
 def availability_tables(
-    spark: SparkSession, probes: DataFrame, window: str = "1 hour", lateness: str = "2 hours", ids: tuple[str, ...] = ()
+    spark: SparkSession,
+    probes: DataFrame,
+    window: str = "1 hour",
+    lateness: str = "2 hours",
+    ids: tuple[str, ...] = (),
+    rules: dict[str, str] = {},
 ) -> WindowTables:
     """Run the availability stream over recorded probes. ``ids``: columns by
-    which a probe that is delivered again is known."""
-    rows = av.classify(without_redelivered(probes, "ts", ids))
+    which a probe that is delivered again is known; ``rules``: the success rules
+    of :func:`milepost.operators.availability.classify`."""
+    rows = av.classify(without_redelivered(probes, "ts", ids), rules)
     return run_windows(spark, rows, availability_spec(window, lateness), "stream-availability")
 
 
 def run_availability(
-    spark: SparkSession, probes: DataFrame, window: str = "1 hour", lateness: str = "2 hours", ids: tuple[str, ...] = ()
+    spark: SparkSession,
+    probes: DataFrame,
+    window: str = "1 hour",
+    lateness: str = "2 hours",
+    ids: tuple[str, ...] = (),
+    rules: dict[str, str] = {},
 ) -> DataFrame:
-    return availability_tables(spark, probes, window, lateness, ids).windows().drop("window_end")
+    return availability_tables(spark, probes, window, lateness, ids, rules).windows().drop("window_end")
 
 
 # -------------------------------------------------------------- T4 workers

@@ -13,6 +13,9 @@ from milepost.operators import spend as sp
 from milepost.sources import documents as docs
 
 
+RULES = {"p1": av.STATUS_ONLY}
+
+
 def bill_doc(records):
     return json.dumps({"data": {"myself": {"billing": {"summary": records}}}})
 
@@ -168,24 +171,115 @@ def test_probe_classification(spark):
     ]
     rows = [("2024-01-01 00:00:00", prov, "summarization", s, e, b) for prov in ("p0", "p1") for s, e, b in bodies]
     df = spark.createDataFrame(rows, "ts string, provider string, task string, status_code int, exception_type string, body string")
-    got = {(r["provider"], i % len(bodies)): (r["ok"], r["failure_class"]) for i, r in enumerate(av.classify(df).collect())}
+    got = {(r["provider"], i % len(bodies)): (r["ok"], r["failure_class"]) for i, r in enumerate(av.classify(df, RULES).collect())}
     a = [got[("p0", i)] for i in range(len(bodies))]
     b = [got[("p1", i)] for i in range(len(bodies))]
     assert a == [(False, "malformed_response"), (False, "malformed_response"), (True, None), (True, None),
                  (False, "error_message"), (False, "malformed_response"), (False, "http_error"), (False, "timeout")]
     assert b[4] == (True, None)  # Q21: status-only rule ignores the error text
-    avail = av.availability(av.classify(df)).filter("provider = 'p0'").collect()[0]
+    avail = av.availability(av.classify(df, RULES)).filter("provider = 'p0'").collect()[0]
     assert (avail["probes"], avail["failures"]) == (8, 6)
 
 
-def test_probe_requests(spark):
-    probes = spark.createDataFrame([("p1", "content-importance"), ("p0", "summarization")], "provider string, task string")
-    reqs = {r["task"]: r for r in av.probe_requests(av.task_catalog(spark), probes).collect()}
+CATALOG = [
+    ("p1", "content-importance", "/content_importance_ico", "m2", "text one"),
+    ("p0", "summarization", "/insights_ico", "m1", "text two"),
+    ("p0", "never-probed", "/insights_ico", "m1", "text three"),
+]
+
+
+def test_probe_requests_come_from_the_catalogue(spark):
+    reqs = {r["task"]: r for r in av.probe_requests(spark.createDataFrame(CATALOG, av.CATALOG_SCHEMA)).collect()}
     ci = json.loads(reqs["content-importance"]["body"])["req_jobs"][0]
-    assert ci["thread_depth"] == 2 and ci["id"] == 1 and ci["task"] == "content-importance"
+    assert ci["thread_depth"] == 2 and ci["id"] == 1 and ci["task"] == "content-importance" and len(ci) == 4 + 9
     assert reqs["content-importance"]["endpoint"] == "/content_importance_ico"
     plain = json.loads(reqs["summarization"]["body"])["req_jobs"][0]
-    assert set(plain) == {"id", "input_text", "model", "task"}
+    assert plain == {"id": 1, "input_text": "text two", "model": "m1", "task": "summarization"}
+    assert set(reqs) == {"content-importance", "summarization", "never-probed"}
+
+
+def test_probe_coverage_shows_tasks_without_probes(spark):
+    probes = [("2024-01-01 00:00:00", "p0", "summarization", 500, None, None), ("2024-01-02 00:00:00", "p1", "other", 200, None, "{}")]
+    df = spark.createDataFrame(probes, "ts string, provider string, task string, status_code int, exception_type string, body string")
+    out = av.probe_coverage(spark.createDataFrame(CATALOG, av.CATALOG_SCHEMA), av.classify(df))
+    got = {(r["provider"], r["task"]): (r["in_catalog"], r["probes"], r["failures"], r["last_probe"]) for r in out.collect()}
+    assert got == {
+        ("p0", "summarization"): (True, 1, 1, "2024-01-01 00:00:00"),
+        ("p0", "never-probed"): (True, 0, 0, None),
+        ("p1", "content-importance"): (True, 0, 0, None),
+        ("p1", "other"): (False, 1, 1, "2024-01-02 00:00:00"),
+    }
+
+
+COST_BODIES = [
+    ("a", '{"costs": {"2024-01-01": {"total_cost_cents": 150}, "2024-01-02": {"total_cost_cents": 0.5}}}'),
+    ("b", None),  # the call failed
+    ("c", '{"costs": {"2024-01-01": {"total_'),  # cut off
+    ("d", "{}"),
+    ("e", '{"costs": {}}'),
+    ("f", '{"costs": 7}'),
+    ("g", "not json"),
+    ("h", ""),
+    ("i", '{"costs": {"2024-01-01": {}}}'),
+]
+
+
+def test_cost_documents_that_hold_nothing_are_kept(spark):
+    rows = spark.createDataFrame([(a, "prj", b) for a, b in COST_BODIES], "app string, project string, body string")
+    parsed = docs.cost_documents(rows)
+    got = {r["app"]: (r["status"], r["corrupt"]) for r in parsed.collect()}
+    bodies = dict(COST_BODIES)
+    assert {a: s for a, (s, _) in got.items()} == {
+        "a": "ok", "b": "failed", "c": "malformed", "d": "empty", "e": "empty", "f": "malformed", "g": "malformed",
+        "h": "malformed", "i": "ok",
+    }
+    assert all((c == bodies[a]) if s == "malformed" else c is None for a, (s, c) in got.items())
+    costs = docs.load_app_costs(rows)
+    assert {(r["app"], r["day"], r["cents"]) for r in costs.collect()} == {
+        ("a", "2024-01-01", Decimal("150.0000000000")), ("a", "2024-01-02", Decimal("0.5000000000")), ("i", "2024-01-01", None),
+    }
+    # Every configured app without a cost that day is missing, with or without documents.
+    apps = spark.createDataFrame([(a,) for a in "abcdefghi"] + [("z",), ("z",)], "app string")
+    missing = sp.missing_cost_days(apps, costs, "2024-01-01", "2024-01-02").collect()
+    assert {(r["app"], r["day"]) for r in missing} == {
+        (a, d) for a in "bcdefghz" for d in ("2024-01-01", "2024-01-02")
+    } | {("i", "2024-01-02")}
+    assert len(missing) == 17
+    problems = {(r["app"], r["status"], r["documents"], r["example"]) for r in docs.document_problems(parsed, "app").collect()}
+    assert ("c", "malformed", 1, bodies["c"]) in problems and ("b", "failed", 1, None) in problems and len(problems) == 7
+
+
+def test_requested_actions_and_their_rejects(spark, tmp_path):
+    from datetime import datetime
+
+    t = [datetime(2024, 1, 1, h) for h in range(4)]
+    requests = [
+        ("one", "activate", t[0]), ("one", "deactivate", t[1]), ("one", "activate", t[1]), ("one", "restart", t[3]),
+        ("two", "Activate", t[0]), ("two", None, t[0]), ("none", "activate", t[0]), (None, "activate", t[0]),
+        ("three", "activate", t[2]), ("three", "activate", t[2]), ("three", "activate", t[1]), ("twin", "activate", None),
+    ]
+    df = spark.createDataFrame(requests, "name string, action string, requested_at timestamp")
+    names = ["one", "two", "three", "twin", "twin"]
+    ends = docs.load_endpoints(
+        spark.createDataFrame(
+            [("s", json.dumps({"data": {"myself": {"endpoints": [{"id": f"i{i}", "name": n, "workersMin": 5} for i, n in enumerate(names)]}}}))],
+            "snapshot_id string, body string",
+        )
+    )
+    out = fl.requested_workers(ends, df)
+    accepted = sorted((r["name"], r["id"], r["workersMin"]) for r in out.filter("reject_reason is null").collect())
+    assert accepted == [("one", "i0", 0), ("three", "i2", 1), ("twin", "i3", 1), ("twin", "i4", 1)]
+    rejects = {(r["requested_name"], r["action"], r["requested_at"], r["reject_reason"]) for r in out.filter("reject_reason is not null").collect()}
+    assert rejects == {
+        ("one", "activate", t[0], "superseded"), ("one", "activate", t[1], "superseded"), ("one", "restart", t[3], "unknown_action"),
+        ("two", "Activate", t[0], "unknown_action"), ("two", None, t[0], "unknown_action"), ("none", "activate", t[0], "unknown_endpoint"),
+        (None, "activate", t[0], "unknown_endpoint"), ("three", "activate", t[1], "superseded"),
+    }
+    path = str(tmp_path / "requests")
+    assert fl.write_requests(out, path) == {"accepted": 4, "rejected": 8}
+    assert spark.read.parquet(f"{path}/rejected=true").count() == 8
+    assert spark.read.parquet(f"{path}/rejected=false").filter("workersMin is null").count() == 0
+    assert fl.write_requests(out.limit(0), str(tmp_path / "none")) == {"accepted": 0, "rejected": 0}
 
 
 def test_latch_reset_and_alert_dedup(spark):
