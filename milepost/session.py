@@ -1,4 +1,4 @@
-"""Session helpers: UTC pinning, shared scratch folder, sized broadcast."""
+"""Session helpers: UTC pinning, shared scratch folder, code for Python workers."""
 
 from __future__ import annotations
 
@@ -76,12 +76,13 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``milepost`` importable in Python workers (what ``--py-files``
-    does): zip the package once per SparkContext and ``addPyFile`` it.
+    does): zip the package once per Spark application and ``addPyFile`` it.
 
-    Only the few stages that run Python on executors need it (the latch
-    state function); everything else runs in the JVM. The zip is placed in
-    the shared folder when that is a local or mounted path, otherwise in a
-    driver-side file that Spark's file server distributes.
+    Every function that builds a Python stage (Arrow maps and groups of the
+    training-data operators, the log reader) calls it, so a job needs nothing but
+    the package on the driver. The zip is placed in the shared folder when that is
+    a local or mounted path, otherwise in a driver-side file that Spark's file
+    server distributes.
     """
     import zipfile
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from milepost.session import ship_package
 from milepost.sources.documents import LOG_PATTERN
 
 #: The beginning of a record's first line; its level and time are checked later.
@@ -62,6 +63,7 @@ def _parts(lines: DataFrame) -> DataFrame:
             yield table(out)
         yield table([part(True)] if held else [])
 
+    ship_package(lines.sparkSession)
     return lines.mapInArrow(run, _PARTS)
 
 

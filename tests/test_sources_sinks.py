@@ -5,6 +5,8 @@ import uuid
 
 import pytest
 
+from milepost.functions import families as fam
+from milepost.operators import milestones as ms
 from milepost.plans import export
 from milepost.session import scratch_path
 from milepost.sources import documents as docs
@@ -74,3 +76,63 @@ def test_hot_day_is_split_over_writers(spark):
     files = [f for f in os.listdir(day) if f.endswith(".parquet")]
     assert len(files) >= 2  # one day, several writer tasks
     assert evsrc.load_events(spark, path).count() == 400
+
+
+def scanned_rows(df):
+    """Rows that the plan's file scans gave to Spark, after Parquet's own skipping."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        if "Scan parquet" in node.nodeName():
+            found.append(node.metrics().get("numOutputRows").get().value())
+        if node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+        children = node.children().iterator()
+        while children.hasNext():
+            walk(children.next())
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return found
+
+
+def test_family_scans_skip_other_classes(spark):
+    names = ["receive_email_x", "open_email_x", "create_email_x", "screen_view", "session_start", "first_open", None]
+    rows = [ev(f"u{i % 50:02d}", names[i % len(names)], f"2024-01-0{1 + i % 2}T10:00:00", DEFAULT_PARAMS) for i in range(2800)]
+    events = events_df(spark, rows)
+    by_class, by_user = scratch_path(spark, "by-class"), scratch_path(spark, "by-user")
+    evsrc.write_events(events, by_class, mode="overwrite", partitions=2, page_rows=50)
+    (
+        events.repartitionByRange(2, "event_date", "user_pseudo_id")
+        .sortWithinPartitions("event_date", "user_pseudo_id")
+        .write.mode("overwrite")
+        .option("parquet.page.row.count.limit", 50)
+        .partitionBy("event_date")
+        .parquet(by_user)
+    )
+    scans = {p: ms.nth_events(evsrc.load_events(spark, p), [(fam.MESSAGES, 2, "second")]) for p in (by_class, by_user)}
+    read = {p: sum(scanned_rows(df)) for p, df in scans.items()}
+    assert read[by_user] == len(rows)
+    assert read[by_class] < 0.5 * len(rows)  # two classes of seven
+    assert sorted(map(tuple, scans[by_class].collect())) == sorted(map(tuple, scans[by_user].collect()))
+    assert evsrc.load_events(spark, by_class).count() == len(rows)
+
+
+def test_lookups_use_bloom_filters(spark):
+    """Users whose ids lie within a file's minimum and maximum but aren't there."""
+    rows = [ev(f"user-{2 * i:05d}", "screen_view", "2024-01-01T10:00:00", DEFAULT_PARAMS) for i in range(500)]
+    path = scratch_path(spark, "bloom")
+    evsrc.write_events(events_df(spark, rows), path, mode="overwrite", partitions=1)
+    there = evsrc.load_events(spark, path).filter("user_pseudo_id = 'user-00400'")
+    not_there = evsrc.load_events(spark, path).filter("user_pseudo_id = 'user-00401'")
+    assert scanned_rows(there) == [500] and scanned_rows(not_there) == [0]
+
+
+def test_a_hot_users_day_is_split_over_writers(spark):
+    rows = [ev("hot", "screen_view", f"2024-01-01T{i % 24:02d}:00:00", DEFAULT_PARAMS) for i in range(600)]
+    rows += [ev(None, "screen_view", f"2024-01-01T{i % 24:02d}:30:00", DEFAULT_PARAMS) for i in range(600)]
+    path = scratch_path(spark, "hot-day")
+    evsrc.write_events(events_df(spark, rows), path, mode="overwrite", partitions=8)
+    files = evsrc.load_events(spark, path).groupBy("_metadata.file_name").count().collect()
+    assert len(files) >= 7 and max(r["count"] for r in files) < 0.3 * len(rows)
