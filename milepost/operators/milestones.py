@@ -76,23 +76,17 @@ def latest_milestones(ev: DataFrame, specs: list[Milestone], with_identity: bool
     rows = ev.filter(F.size(params) > 0)
     ts = event_time()
     aggs = [F.max(F.when(m.predicate(name, params), ts)).alias(m.column) for m in specs]
-    latest = rows.groupBy(USER).agg(*aggs)
     if not with_identity:
-        return latest
+        return rows.groupBy(USER).agg(*aggs)
     # ANY_VALUE ignores NULLs; the smallest non-NULL value is one legal,
-    # deterministic choice. String MIN needs a sort-based aggregate, so the
-    # (user, id, city) triples are deduplicated by a hash aggregate first
-    # (the count keeps Catalyst from folding that step away).
-    triples = rows.groupBy(USER, "user_id", F.col("geo.city").alias("city")).agg(F.count(F.lit(1)).alias("_n"))
-    seen = F.col("_n") > 0
-    ident = triples.groupBy(USER).agg(
-        F.min(F.when(seen, F.col("user_id"))).alias("User_ID"), F.min(F.when(seen, F.col("city"))).alias("Location")
+    # deterministic choice. String MIN needs a sort-based aggregate, so events
+    # are first hash-aggregated per (user, id, city), where both are keys; the
+    # rows of a user are then merged. A NULL user is a group like any other.
+    parts = rows.groupBy(USER, "user_id", F.col("geo.city").alias("city")).agg(*aggs)
+    merged = parts.groupBy(USER).agg(
+        F.min("user_id").alias("User_ID"), F.min("city").alias("Location"), *[F.max(m.column).alias(m.column) for m in specs]
     )
-    # NULL-safe: one GROUP BY in the source, so the NULL user group keeps
-    # its identity columns too.
-    ident = ident.withColumnRenamed(USER, "_u")
-    joined = latest.join(ident, latest[USER].eqNullSafe(ident["_u"]))
-    return joined.select(USER, "User_ID", "Location", *[m.column for m in specs])
+    return merged.select(USER, "User_ID", "Location", *[m.column for m in specs])
 
 
 def first_event(ev: DataFrame, family: EventFamily, column: str) -> DataFrame:

@@ -147,25 +147,27 @@ def spend_alerts(
     t = F.col(time_col).cast("timestamp")
     source = F.concat(F.lit(source_prefix + ":"), F.coalesce("provider", F.lit("unknown")))
     amount = F.col("total").cast("string")
-    over = latched.filter(F.col("severity") != "none")
+    over = F.col("severity") != "none"
     if dedup:
-        first = over.groupBy("provider", F.to_date(t).alias("_d"), "severity").agg(F.min(t).alias("_t"))
-        over = over.join(first, over["provider"].eqNullSafe(first["provider"]) & (t == first["_t"]) & (over["severity"] == first["severity"]), "left_semi")
-        over = over.dropDuplicates(["provider", time_col, "severity"])
-    threshold = over.select(
-        t.alias("alert_time"),
-        source.alias("source"),
-        F.col("severity"),
-        F.when(F.col("severity") == "hard", F.format_string(HARD_TEXT, amount, F.lit(_fmt_limit(hard))))
-        .otherwise(F.format_string(SOFT_TEXT, amount, F.lit(_fmt_limit(soft))))
-        .alias("message"),
+        # The first row over the limit per (provider, UTC day, severity).
+        first = latched.filter(over).groupBy("provider", F.to_date(t).alias("_d"), "severity").agg(F.min(t).alias("_t"))
+        first = first.select(F.col("provider").alias("_p"), F.col("severity").alias("_s"), "_t").withColumn("_first", F.lit(True))
+        same = latched["provider"].eqNullSafe(first["_p"]) & (latched["severity"] == first["_s"]) & (t == first["_t"])
+        latched = latched.join(first, same, "left")
+        twice = Window.partitionBy("provider", time_col, "severity").orderBy("total", "activate")
+        over = over & F.col("_first") & (F.row_number().over(twice) == 1)
+    # Both alerts of a row from one pass over the latched rows.
+    threshold = F.when(F.col("severity") == "hard", F.format_string(HARD_TEXT, amount, F.lit(_fmt_limit(hard)))).otherwise(
+        F.format_string(SOFT_TEXT, amount, F.lit(_fmt_limit(soft)))
     )
-    switch = latched.filter(F.col("activate")).select(
-        t.alias("alert_time"),
-        source.alias("source"),
-        F.lit("hard").alias("severity"),
-        F.when(F.col("switch_ok"), F.format_string(SWITCH_OK_TEXT, F.col("provider")))
-        .otherwise(F.format_string(SWITCH_FAILED_TEXT, F.col("provider")))
-        .alias("message"),
+    switch = F.when(F.col("switch_ok"), F.format_string(SWITCH_OK_TEXT, F.col("provider"))).otherwise(
+        F.format_string(SWITCH_FAILED_TEXT, F.col("provider"))
     )
-    return threshold.unionByName(switch)
+    alerts = F.array(
+        F.when(F.col("_over"), F.struct(F.col("severity").alias("severity"), threshold.alias("message"))),
+        F.when(F.col("activate"), F.struct(F.lit("hard").alias("severity"), switch.alias("message"))),
+    )
+    rows = latched.withColumn("_over", over).select(
+        t.alias("alert_time"), source.alias("source"), F.explode(F.array_compact(alerts)).alias("_a")
+    )
+    return rows.select("alert_time", "source", "_a.severity", "_a.message")

@@ -3,14 +3,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milepost.functions import families as fam
 from milepost.functions.specs import NEW_USER_LATEST
-from milepost.functions.timefmt import hours_before, parse_as_of
+from milepost.functions.timefmt import hours_before
 from milepost.operators import milestones as ms
 from milepost.operators.exclusion import exclude_users
 from milepost.operators.milestones import USER
@@ -26,25 +23,15 @@ def new_users(
     """Users whose latest ``first_open`` is at most ``hours`` before
     ``as_of`` (no upper bound), minus listed test users (NULL ids stay).
 
-    Only events with parameters count (the source unnests them). The
-    latest first_open is >= the bound exactly when some first_open event
-    with parameters is, so the candidate users are found on a pruned scan
-    of the last days and only their events are aggregated. Partitions are
-    pruned with a day of margin, as ``event_date`` may be a local day.
+    Only events with parameters count (the source unnests them). One scan:
+    events are aggregated per (user, id, city) before they are shuffled, then
+    per user, and the bound is applied to the users. Looking for the new users
+    first, in the last days' partitions, would spare aggregating the others
+    but needs the events themselves shuffled for the semi join as soon as new
+    users are too many to broadcast.
     """
     since = hours_before(as_of, hours)
-    first_day = parse_as_of(as_of) - timedelta(hours=hours, days=1)
-    candidates = (
-        ev.filter(F.col("event_date") >= F.lit(first_day.date()))
-        .filter((F.col("event_name") == fam.FIRST_OPEN) & (F.size("event_params") > 0))
-        .filter(ms.event_time() >= since)
-        .select(USER)
-        .distinct()
-    )
-    cand = candidates.withColumnRenamed(USER, "_cand")
-    # NULL-safe: the source groups a NULL user key as a user of its own.
-    rows = ev.join(cand, ev[USER].eqNullSafe(cand["_cand"]), "left_semi")
-    latest = ms.latest_milestones(rows, specs, with_identity=True)
+    latest = ms.latest_milestones(ev, specs, with_identity=True)
     kept = latest.filter(F.col(specs[0].column) >= since)
     kept = exclude_users(kept, excluded, "User_ID", "user_id")
     out = kept.select(

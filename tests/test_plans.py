@@ -69,13 +69,22 @@ def test_nth_prefilter_reaches_parquet(spark, ga_path):
     assert "WindowGroupLimit" in p
 
 
-def test_new_users_prunes_partitions(spark, ga_path):
+def test_new_users_scan_events_once(spark, ga_path, no_broadcast):
     ev = evsrc.load_events(spark, ga_path)
     excluded = spark.createDataFrame([("u37",)], "user_id string")
     p = plan(nu.new_users(ev, AS_OF, excluded))
-    # A day of margin before DATE(as_of - 24 h).
-    assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ >= 2024-01-28", p)
-    assert "LeftAnti" in p and "LeftSemi" in p
+    assert p.count("FileScan parquet") == 1 and "LeftAnti" in p
+    # (user, id, city), user, and both sides of the exclusion with its DISTINCT.
+    assert p.count("Exchange hashpartitioning") <= 4
+    assert re.search(r"HashAggregate\(keys=\[user_pseudo_id#\d+, user_id#\d+, _groupingexpression#\d+\]", p)
+
+
+def test_spend_alerts_come_from_one_pass(spark, no_broadcast):
+    from milepost.plans import monitor_registry as mr
+
+    p = plan(mr.q_spend_alerts(spark, SF01))
+    # the daily totals, and each provider's first success joined to them
+    assert p.count("Exchange hashpartitioning") - p.count("ReusedExchange") <= 5 and "Union" not in p
 
 
 def test_no_job_runs_while_queries_are_built(spark, ga_path):
