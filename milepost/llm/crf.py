@@ -5,19 +5,23 @@ lines before and after it. Forward-backward gives each line's probability of
 being good; their mean, weighted by line length, is the document's score.
 
 Training takes at most ``sample`` labelled documents (a documented bound): the
-least by a hash of their id among those not held out. A line's label is its
-document's. Features are computed on the executors; the driver gets the
-sample's feature rows and fits a few dozen weights.
+least by a hash of their id among those not held out; of a document that has more
+than ``LINES`` lines, so many in a row from a place by its id's hash, in chains
+of ``CHAIN`` lines. A line's label is its document's. Features are computed on the
+executors; the driver gets the sample's feature rows, so ``sample * LINES`` at most,
+and fits a few dozen weights. Scores take all lines of all documents.
 
 Defined results: null or empty text is one empty line and has a score like any
-other; repeated rows get equal scores; a label that is null is not used, and of
-several labels of one document the greatest counts; without any label of one
+other; repeated rows get equal scores; a label that is null is not used, of
+several labels of one document the greatest counts, and of several texts of one
+id training takes the one of least hash; without any label of one
 of the two classes every score is the share of good labels (1 if there are no
 labels); labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from milepost.llm.words import slices
+from milepost.session import ship_package
+
 SAMPLE = 3000
+#: Lines of a document in training.
+LINES = 512
 #: Lines of a chain in training; longer documents are several chains.
 CHAIN = 64
 STEPS = 250
@@ -227,19 +236,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
+    ship_package(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             own, _, first = line_features(b.column("text").to_pylist())
-            rows = [own[a:z].ravel() for a, z in zip(first[:-1], first[1:])]
+            rows = []
+            for i, a, z in zip(b.column("doc_id").to_pylist(), first[:-1], first[1:]):
+                begin = a + zlib.crc32(str(i).encode()) % max(1, z - a - LINES + 1)
+                rows.append(own[begin : min(z, begin + LINES)].ravel())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("quality"), pa.array(rows, pa.list_(pa.float64()))],
                 names=["doc_id", "quality", "own"],
             )
 
-    # The sample's ids are bounded, so this side may be broadcast.
-    chosen = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
+    # The sample's ids are bounded, so this side may be broadcast. One text per id.
+    found = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality")
+    chosen = found.agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = dict(chosen.dtypes)["doc_id"]
     got = sorted(
         ((r.doc_id, r.quality, r.own) for r in chosen.mapInArrow(run, f"doc_id {kind}, quality int, own array<double>").collect()),
@@ -265,33 +279,18 @@ def document_scores(texts: list[str], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(scale * _log_odds(p, weight, first) + shift, -500, 500)))
 
 
-#: Characters of text whose features are worked out at a time.
-SLAB = 1 << 20
-
-
 def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """``docs`` plus the score (in place of a column of that name); a map over the rows."""
+    ship_package(docs.sparkSession)
     cols = [c for c in docs.columns if c != out]
     body = docs.select(*(f"`{c}`" for c in cols), F.coalesce(F.col("text"), F.lit("")).alias("__body"))
     schema = docs.select(*(f"`{c}`" for c in cols)).withColumn(out, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            scores: list[np.ndarray] = []
-            slab: list[str] = []
-            room = SLAB
-            for t in texts:
-                slab.append(t)
-                room -= len(t)
-                if room < 0:
-                    scores.append(document_scores(slab, model))
-                    slab, room = [], SLAB
-            if slab:
-                scores.append(document_scores(slab, model))
-            column = pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
+        for b in slices(batches, "__body"):
+            scores = document_scores(b.column(b.num_columns - 1).to_pylist(), model)
             kept = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, column], names=[*cols, out])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=[*cols, out])
 
     return body.mapInArrow(run, schema)
 

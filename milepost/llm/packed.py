@@ -29,8 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from tokenizers import Tokenizer
 
 from milepost.llm.tokens import byte_ids
+from milepost.llm.words import slices
+from milepost.session import ship_package
 
 #: A block is closed at the first document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
@@ -59,7 +62,10 @@ def bits_for(vocabulary_size: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    """Ids as ``width`` bits each, least significant bit first."""
+    """Ids as ``width`` bits each, least significant bit first. An id that
+    doesn't fit is an error."""
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"id {int(ids.max())} takes more than {width} bits")
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
     bits = (ids.astype(np.uint32)[:, None] >> np.arange(width, dtype=np.uint32)) & 1
@@ -84,7 +90,12 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return ((value >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int, end_id: int, parts: int | None = None) -> None:
+def vocabulary_size(tokenizer: str) -> int:
+    """Ids of a tokenizer file, added tokens included: the largest plus one."""
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write them in ascending doc_id order.
 
     Null text counts as empty: such a document holds the end id alone. Null
@@ -92,8 +103,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int, end_
     text, which also lets the ranges split an id that very many rows share.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = bits_for(vocabulary_size)
+    width = bits_for(max(vocabulary_size(tokenizer), end_id + 1))
     narrow = docs.select(
         F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie")
     )
@@ -114,7 +126,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, vocabulary_size: int, end_
             row = (part, block, start, len(ids), width, list(names), offsets, pack(ids, width))
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW)], schema=ARROW)
 
-        for b in batches:
+        for b in slices(batches, "text"):
             for name, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 held.append(encoder.encode(text) + end)
                 names.append(name)
@@ -154,6 +166,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
+    ship_package(spark)
     rows = blocks(spark, path).select("width", "n_ids", "first", "doc_ids", "offsets", "payload")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -170,5 +183,6 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
                 columns = [pa.array([r["doc_ids"][k] for k in found], pa.int64()), pa.array(ids, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids"])
 
+    ship_package(spark)
     rows = blocks(spark, path).filter(F.arrays_overlap("doc_ids", F.array(*(F.lit(d).cast("long") for d in doc_ids))))
     return rows.select("width", "doc_ids", "offsets", "payload").mapInArrow(run, "doc_id long, ids array<long>")

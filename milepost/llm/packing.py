@@ -2,8 +2,8 @@
 
 1. ``pieces`` encodes every text and cuts what is longer than a sequence.
    Only lengths and checksums leave the task, never ids.
-2. Pieces are dealt by a hash into groups of about ``GROUP`` pieces, so no
-   source, length or copy collects in one task. A full piece is a sequence.
+2. Pieces are dealt by a hash of their row's number into groups of about
+   ``GROUP`` pieces, so no source, length or copy collects in one task. A full piece is a sequence.
 3. Each group is packed by bin completion: the largest open piece opens a
    sequence, the undominated fillings of its room are enumerated, those that
    waste least first, and a filling that wastes more than the best known
@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from milepost.llm.tokens import word_ids
-from milepost.session import scratch_path
+from milepost.llm.words import slices
+from milepost.session import scratch_path, ship_package
 
 CAPACITY = 4096
 #: Pieces of a group, on average.
@@ -47,7 +48,8 @@ NODES = 20_000
 #: A sequence with more room than this share is taken apart for the next round.
 LOOSE = 1 / 64
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row_key long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NUMBERED = f"{PIECES}, row long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -61,20 +63,20 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         encoder = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for b in batches:
+        for b in slices(batches, "text"):
             rows: list[tuple] = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = encoder.encode(text) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     cut = ids[at : at + step]
-                    crc = zlib.crc32(cut)
-                    rows.append((doc_id, k, at // 4, len(cut) // 4, crc, zlib.crc32(f"{doc_id} {k}".encode(), crc)))
-            columns = zip(*rows) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+                    rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in PIECES.split(", ")]
             )
 
+    ship_package(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return narrow.mapInArrow(run, PIECES)
 
@@ -225,14 +227,14 @@ def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS, nodes: i
 
 # -- all groups ---------------------------------------------------------------
 
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, row_key long, sequence_id long, offset long, room long"
+PLACED = f"{NUMBERED}, sequence_id long, offset long, room long"
 
 
 def _round(open_pieces: DataFrame, groups: int, nth: int, capacity: int) -> DataFrame:
     """Pack ``open_pieces`` in ``groups`` groups; sequence ids are unique to (round, group)."""
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "row_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
         waiting: dict[int, list[int]] = {}
         for i in range(len(lengths) - 1, -1, -1):
@@ -248,7 +250,8 @@ def _round(open_pieces: DataFrame, groups: int, nth: int, capacity: int) -> Data
                 at += s
         return pdf.drop(columns="bucket").assign(sequence_id=sequence, offset=offset, room=room)
 
-    dealt = open_pieces.withColumn("bucket", F.pmod(F.xxhash64("row_key", F.lit(nth)), F.lit(groups)))
+    # By the row's own number: copies of a row are dealt out like any others.
+    dealt = open_pieces.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(nth)), F.lit(groups)))
     return dealt.groupBy("bucket").applyInPandas(pack, PLACED)
 
 
@@ -263,8 +266,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     # A stored number for each row, as rows may repeat all else.
     numbered = pieces(docs, tokenizer, end_id, capacity).withColumn("row", F.monotonically_increasing_id())
     numbered.write.parquet(f"{base}/pieces")
-    spread = spark.read.schema(PIECES).parquet(f"{base}/pieces")
-    full = spark.read.schema(f"{PIECES}, row long").parquet(f"{base}/pieces").filter(F.col("length") == capacity)
+    spread = spark.read.schema(NUMBERED).parquet(f"{base}/pieces")
+    full = spread.filter(F.col("length") == capacity)
     left = spread.filter(F.col("length") < capacity)
     done: list[DataFrame] = []
     n, nth = left.count(), 1

@@ -47,7 +47,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "packed-ids")
-    packed.write(_docs(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), vocabulary_size=50_257, end_id=0)
+    packed.write(_docs(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return packed.read_index(spark, path)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from milepost.session import scratch_path
+from milepost.session import scratch_path, ship_package
 
 SLICES = 2
 QUERY_BLOCK = 1024
@@ -111,6 +111,7 @@ def _best(scored: DataFrame, by: list[str], order: list[Column], k: int) -> Data
 def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` best, its own row apart."""
     spark = table.sparkSession
+    ship_package(spark)
     base = scratch_path(spark, "topk")
     rows = (
         table.select(F.col(id_col).cast("long").alias("id"), is_query.alias("is_query"), quantised(F.col(vector)).alias("v"))

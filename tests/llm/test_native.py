@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
 from milepost.llm import fingerprint, pii, secrets
 from tests.llm.helpers import documents, empty, pairs
@@ -125,6 +128,86 @@ def test_fingerprints(spark, docs):
     assert fingerprint.report(empty(spark)).count() == 0
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def spark_hash(*values):
+    """xxhash64 of Spark SQL: each value's hash seeds the next; lists by element."""
+    seed = 42
+    for v in values:
+        for x in v if isinstance(v, list) else [v]:
+            if x is not None:
+                size = 4 if isinstance(x, np.int32) else 8
+                data = x.encode() if isinstance(x, str) else int(x).to_bytes(size, "little", signed=True)
+                seed = xxhash.xxh64_intdigest(data, seed)
+    return signed(seed)
+
+
+def plain_order_min_hash(text):
+    """TUPLES hashes: the PICKS least k-mers of one order each, in text order."""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    seen, kmers = Counter(), []
+    for pos in range(len(words)):
+        h = spark_hash(*words[pos : pos + fingerprint.K])
+        seen[h] += 1
+        kmers.append((pos, spark_hash(h, np.int32(seen[h]))))
+    if not kmers:
+        return [0] * fingerprint.TUPLES
+    out = []
+    for t in range(fingerprint.TUPLES):
+        rank = sorted((spark_hash(h, np.int32(t)) % 2**64 >> 33, pos) for pos, h in kmers)[: fingerprint.PICKS]
+        out.append(spark_hash(np.int32(t), [h for _, h in sorted((pos, h) for h, pos in rank)]))
+    return out
+
+
+def test_fingerprints_are_those_of_a_plain_order_min_hash(spark, docs):
+    given = {}
+    for i, t in pairs(docs):
+        given.setdefault(i, []).append(t)
+    rows = fingerprint.report(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = ["".join(f"{h % 2**64:016x}" for h in plain_order_min_hash(t)) for t in given[r.doc_id]]
+        assert r.fingerprint in want
+    text = "a b a b a b c a b"
+    one = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    (r,) = fingerprint.report(one).collect()
+    edited = text[: len(text) - len(text) // 4] + text[: len(text) // 4]
+    assert r.edited_fingerprint == "".join(f"{h % 2**64:016x}" for h in plain_order_min_hash(edited))
+    assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("often", [1000, 3])
+def test_copies_follow_themselves(spark, monkeypatch, often):
+    """Many copies of a row, of a null id and of a repeated id; also as frequent keys."""
+    monkeypatch.setattr(fingerprint, "OFTEN", often)
+    rows = [(None, "one two three four")] * 6 + [(5, "a b c d e f g h")] * 9 + [(5, "other text of this id")] + [(9, "z y x w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.report(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def edited(t, n):
+        return sha(t[: len(t) - len(t) // 4] + n[: len(t) // 4])
+
+    null = [r for r in got if r.doc_id is None]
+    assert Counter(r.edited_sha256 for r in null)[edited(rows[0][1], rows[0][1])] == 5
+    assert [r.near_next for r in null].count(1.0) == 5
+    (last,) = [r for r in got if r.doc_id == 9]
+    assert last.edited_sha256 == edited("z y x w", rows[0][1])
+    copies = [r for r in got if r.doc_id == 5 and r.n_chars == 15]
+    assert Counter(r.edited_sha256 for r in copies)[edited(rows[6][1], rows[6][1])] == 8
+
+
+def test_a_key_with_most_rows_reaches_no_task_as_texts(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "OFTEN", 100)
+    monkeypatch.setattr(fingerprint, "SHARE", 100)
+    df = spark.range(3000).selectExpr("cast(null as bigint) doc_id", "if(id < 2500, 'same words here', concat('text ', id, ' end')) text")
+    out = fingerprint.report(df.repartition(4))
+    assert out.count() == 3000 and out.select("fingerprint").distinct().count() == 501
+
+
 def test_fingerprint_follows_order(spark):
     a = " ".join(f"w{i}" for i in range(200))
     b = " ".join(f"w{i}" for i in [*range(100, 200), *range(100)])  # the same k-mers, but for two

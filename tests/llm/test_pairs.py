@@ -154,6 +154,49 @@ def test_prefix_keys_of_linking_sets_meet(spark):
     assert met > 5
 
 
+def crowd(n, seed):
+    """Near copies of one text that link in chains, and some others."""
+    rng = random.Random(seed)
+    base = words(rng, 60)
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = "x" + str(rng.randrange(40))
+        out.append((i, " ".join(w)))
+    return out + [(n + i, " ".join(words(rng, 40))) for i in range(20)]
+
+
+def test_links_of_a_crowd_grow_with_its_documents(spark, monkeypatch):
+    """Links between groups are less than groups in each task; components as brute force."""
+    made = []
+    found = jaccard._matrix_links
+
+    def watched(*args):
+        out = found(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_matrix_links", watched)
+    for n in (100, 200, 400):
+        rows = crowd(n, 5)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.report(df).collect())
+        assert got == sorted((str(a), b, str(c)) for a, b, c in brute_components(rows))
+    assert made[-1] <= 400 and made[-1] <= 5 * max(made[0], 10)
+
+
+def test_rows_of_one_id_are_kept_apart(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, c), (None, a), (7, ""), (7, None), (8, " "), (9, b), (9, b)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (None, c), (7, ""), (7, None), (8, " ")], key=str)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.3, 6).astype("float32").tolist()) for i in range(300)]
@@ -224,6 +267,28 @@ def test_quality_edges(spark):
     assert crf.with_score(docs, model).columns[-1] == "score"
 
 
+def test_training_takes_a_bounded_part_of_a_giant_document(spark):
+    """One text of an id that occurs often, and LINES of its lines."""
+    giant = "\n".join(f"line {i} of a long document." for i in range(5000))
+    rows = [(1, giant)] * 200 + [(2, "bad !!! $$$\n" * 3000), (3, "good words in a line."), (4, "@@@ ###")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    sizes = []
+    fit = crf.fit
+
+    def watched(lines, *rest):
+        sizes.append(len(lines))
+        return fit(lines, *rest)
+
+    crf.fit = watched
+    try:
+        crf.train(docs, labels)
+    finally:
+        crf.fit = fit
+    assert sizes and sizes[0] <= 2 * crf.LINES + 2
+    assert len(crf.report(docs, labels).collect()) == len(rows)
+
+
 def test_marginals_are_those_of_all_labellings():
     rng = np.random.default_rng(0)
     good, step = rng.normal(size=7), rng.normal(size=(2, 2))
