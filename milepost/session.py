@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -72,11 +73,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED: set[str] = set()
+#: Most megabytes of an Arrow batch on its way to Python; a row stays whole.
+BATCH_MB = 8
+
+
+def _megabytes(size: str) -> float:
+    """A size in Spark's notation ('64m', '67108864b'); without a unit, bytes."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", size.strip().lower()).groups()
+    return float("inf") if int(number) <= 0 else int(number) * {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}[unit] / 2**20
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``milepost`` importable in Python workers (what ``--py-files``
-    does): zip the package once per Spark application and ``addPyFile`` it.
+    does): zip the package once per Spark application and ``addPyFile`` it; and
+    bound Arrow batches to BATCH_MB.
 
     Every function that builds a Python stage (Arrow maps and groups of the
     training-data operators, the log reader) calls it, so a job needs nothing but
@@ -88,6 +98,10 @@ def ship_package(spark: SparkSession) -> None:
 
     import milepost
 
+    # Arrow buffers are outside the heap, one or two for each running task.
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _megabytes(spark.conf.get(size)) > BATCH_MB:
+        spark.conf.set(size, f"{BATCH_MB}m")
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
