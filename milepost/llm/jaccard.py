@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from milepost.llm.words import mix, window_hashes, word_hashes
+from milepost.llm.words import mix, slices, window_hashes, word_hashes
 from milepost.session import scratch_path, ship_package
 
 SHINGLE = 5
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             for at, texts in _slabs(b.column("text").to_pylist()):
                 sets = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -145,10 +145,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, SIGNATURE)
 
 
-def _elements(s: np.ndarray) -> np.ndarray:
-    """As many numbers as the sorted set has, of 48 bits each: shingles whose first 48
-    bits are equal are told apart by their order, so sets have no fewer in common."""
-    cut = s & ~np.uint64(0xFFFF)
+def _kept_bits(total: int) -> int:
+    """Bits of a shingle that travel: whole bytes, and ten bits more than it takes to
+    number ``total`` shingles, so that few of different texts are equal."""
+    return min(64, 8 * -(-(total.bit_length() + 10) // 8))
+
+
+def _elements(s: np.ndarray, bits: int) -> np.ndarray:
+    """As many numbers as the sorted set has, of ``bits`` bits each: shingles whose
+    first bits are equal are told apart by their order, so sets have no fewer in common."""
+    if bits == 64:
+        return s
+    cut = s >> np.uint64(64 - bits) << np.uint64(64 - bits)
     if not (cut[1:] == cut[:-1]).any():
         return cut
     starts = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
@@ -174,7 +182,7 @@ def _cuts(by: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
         yield int(part[a]), int(a), int(z)
 
 
-def prefix_keys(docs: DataFrame, parts: int) -> DataFrame:
+def prefix_keys(docs: DataFrame, parts: int, bits: int = 48) -> DataFrame:
     """(set_id, key, nth, shared) of at least the shingles among each set's first
     n - ceil(0.75 n) + 1 that other sets have too, in the order of (count, shingle):
     nth of the ``shared`` ones. The n - shared others come before them.
@@ -202,11 +210,11 @@ def prefix_keys(docs: DataFrame, parts: int) -> DataFrame:
             )
 
         size = 0
-        for b in batches:
+        for b in slices(batches, "text"):
             for _, texts in _slabs(b.column("text").to_pylist()):
                 for s in shingle_sets(texts):
                     if len(s) and (name := _set_id(s)) not in held:
-                        held[name] = _elements(s)
+                        held[name] = _elements(s, bits)
                         size += len(s)
                 if size >= GATHERED:
                     yield flush()
@@ -261,7 +269,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     chosen = narrow.join(named, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("set_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             ids = b.column("set_id").to_pylist()
             for at, texts in _slabs(b.column("text").to_pylist()):
                 # Rows that repeat the id may have another text.
@@ -370,7 +378,7 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     classes.write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    prefix_keys(docs, max(PARTS, total // DEALT)).write.parquet(f"{base}/prefixes")
+    prefix_keys(docs, max(PARTS, total // DEALT), _kept_bits(total)).write.parquet(f"{base}/prefixes")
     prefixes = spark.read.schema("set_id long, key long, nth int, shared int").parquet(f"{base}/prefixes")
     each = prefixes.join(classes.select("set_id", "n"), "set_id")
     each = each.filter(F.expr(f"nth <= shared + 1 - ({NEEDED} * n + 99) div 100")).select("set_id", "key")

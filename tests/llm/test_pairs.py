@@ -123,9 +123,9 @@ def test_jaccard_join_loses_no_borderline_link(spark):
 
 def test_elements_keep_a_set_s_size():
     s = np.array([1, 2, 3, 1 << 16, (1 << 16) + 9, 5 << 16, 2**64 - 2, 2**64 - 1], np.uint64)
-    e = jaccard._elements(s)
+    e = jaccard._elements(s, 48)
     assert len(set(e.tolist())) == len(s) and (e >> np.uint64(16)).tolist() == (s >> np.uint64(16)).tolist()
-    part = jaccard._elements(s[[1, 2, 3, 7]])
+    part = jaccard._elements(s[[1, 2, 3, 7]], 48)
     assert len(set(part.tolist()) & set(e.tolist())) == 4
     assert jaccard._numbers([jaccard._bytes(s[:3]), jaccard._bytes(s[3:])]).tolist() == s.tolist()
 
