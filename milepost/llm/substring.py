@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from milepost.llm.words import mix, slices, window_hashes, word_hashes
@@ -135,8 +135,23 @@ def blocks(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 SHARED = "row long, anchor long, block long, start int, count int, edge boolean"
 
 
-def _shared(listed: DataFrame) -> DataFrame:
+def _often(total: int) -> Column:
+    """Whether a key with ``n`` rows has more than a SHARE-th of ``total``."""
+    return F.col("n") > max(OFTEN, total // SHARE)
+
+
+def _met(left: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``left`` joined with ``counted`` (keys, n, ...; a written table, n rows of
+    ``left`` for each key). Frequent keys, less than SHARE, are broadcast, so that
+    their rows needn't meet in a task."""
+    frequent = F.broadcast(counted.filter(_often(total)))
+    others = left.join(frequent.select(*keys), keys, "left_anti").join(counted.filter(~_often(total)), keys)
+    return left.join(frequent, keys).unionByName(others)
+
+
+def _shared(listed: DataFrame, path: str) -> DataFrame:
     """The blocks (SHARED) whose anchor occurs again; ``edge``: in other words, too."""
+    spark = listed.sparkSession
     zipped = F.explode(F.arrays_zip("anchors", "blocks", "starts", "counts")).alias("b")
     each = listed.select("row", zipped).select(
         "row",
@@ -149,19 +164,24 @@ def _shared(listed: DataFrame) -> DataFrame:
         each.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
         .filter("n > 1")
-        .select("anchor", (F.col("low") != F.col("high")).alias("edge"))
+        .select("anchor", "n", (F.col("low") != F.col("high")).alias("edge"))
     )
-    return each.join(index, "anchor").select("row", "anchor", "block", "start", "count", "edge")
+    index.write.parquet(f"{path}/index")
+    index = spark.read.schema("anchor long, n long, edge boolean").parquet(f"{path}/index")
+    total = listed.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    return _met(each, index, ["anchor"], total).select("row", "anchor", "block", "start", "count", "edge")
 
 
-def parse(shared: DataFrame, window: int = WINDOW) -> DataFrame:
+def parse(shared: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """FACTORS of every row with shared blocks (a written table): the greedy
     parse, and the blocks at its boundaries whose windows are to be checked;
     ``edge_known`` if these are known to occur again and only serve others."""
-    contents = shared.groupBy("anchor", "block").agg(
+    shared.groupBy("anchor", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("row").alias("ref_row"), F.min_by("start", "row").alias("ref_start")
-    )
-    marked = shared.join(contents, ["anchor", "block"])
+    ).write.parquet(f"{path}/contents")
+    kinds = "anchor long, block long, n long, ref_row long, ref_start int"
+    contents = shared.sparkSession.read.schema(kinds).parquet(f"{path}/contents")
+    marked = _met(shared, contents, ["anchor", "block"], shared.count())
     mark = F.struct("start", "count", "edge", (F.col("n") > 1).alias("again"), "ref_row", "ref_start")
     rows = marked.groupBy("row").agg(F.array_sort(F.collect_set(mark)).alias("m"))  # as many as a text has blocks
 
@@ -215,11 +235,6 @@ def _covered(begins: np.ndarray, lengths: np.ndarray, n_words: int) -> np.ndarra
     return np.cumsum(ends[:-1]) > 0
 
 
-def _often(counted: DataFrame, total: int) -> DataFrame:
-    """Of ``counted`` (..., n), what has more than a SHARE-th of ``total``."""
-    return counted.filter(F.col("n") > max(OFTEN, total // SHARE)).drop("n")
-
-
 def _windows(rows: DataFrame, factors: DataFrame, window: int) -> DataFrame:
     """(row, place, hash, known) of the windows of boundary blocks."""
 
@@ -260,12 +275,13 @@ def _parsed(docs: DataFrame, rows: DataFrame, window: int, gram: int) -> tuple[D
         return spark.read.schema(schema).parquet(f"{path}/{name}")
 
     listed = stored(blocks(rows, window, gram), "blocks", BLOCKS)
-    shared = stored(_shared(listed), "shared", SHARED)
-    factors = stored(parse(shared, window), "factors", FACTORS)
+    shared = stored(_shared(listed, path), "shared", SHARED)
+    factors = stored(parse(shared, path, window), "factors", FACTORS)
 
     # A row that repeats very often is spread: its factors go to every salt.
     copies = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
-    many = _often(copies.groupBy("row").agg(F.count(F.lit(1)).alias("n")), docs.count())
+    many = copies.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    many = many.filter(_often(docs.count()))
     many = stored(many.select("row", F.lit(True).alias("many")), "many", "row long, many boolean")
     salt = F.when(F.col("many"), F.floor(F.rand() * SALTS).cast("int")).otherwise(0)
     salted = rows.join(F.broadcast(many.withColumnRenamed("row", "__row")), "__row", "left").withColumn("__salt", salt)
@@ -276,10 +292,8 @@ def _parsed(docs: DataFrame, rows: DataFrame, window: int, gram: int) -> tuple[D
     # A repeated row lists its windows twice, which is right: they do occur twice.
     counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counts = stored(counts, "counts", "hash long, n long")
-    often = _often(counts, windows.count()).withColumn("often", F.lit(True))
-    asked = windows.filter("not known").select("row", "place", "hash").join(F.broadcast(often), "hash", "left")
-    rare = asked.filter("often is null").join(counts.select("hash"), "hash")
-    repeated = asked.filter("often").unionByName(rare).groupBy("row").agg(F.collect_set("place").alias("places"))
+    asked = windows.filter("not known").select("row", "place", "hash")
+    repeated = _met(asked, counts, ["hash"], windows.count()).groupBy("row").agg(F.collect_set("place").alias("places"))
     repeated = stored(repeated, "repeated", "row long, places array<int>")
 
     decided = factors.select("row", "starts", "lengths").join(repeated, "row", "left")

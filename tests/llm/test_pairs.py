@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -54,6 +55,48 @@ def test_substring_dedup_of_a_tiny_alphabet(spark):
     assert sorted(got) == brute_removed(rows, 9)
 
 
+@pytest.mark.parametrize("often", [1000, 2])
+def test_substring_dedup_with_frequent_keys(spark, monkeypatch, often):
+    """Copies of rows, of null ids and of a passage, also as keys that are spread."""
+    monkeypatch.setattr(substring, "OFTEN", often)
+    rng = random.Random(often)
+    passage = words(rng, 45)
+    same = " ".join(words(rng, 50))
+    rows = [(1, same)] * 12 + [(None, same)] * 8 + [(None, " ".join(words(rng, 20) + passage + words(rng, 20))) for _ in range(9)]
+    rows += [(100 + i, " ".join(words(rng, rng.randint(0, 30)) + passage + words(rng, 5))) for i in range(15)]
+    rows += [(200, " ".join(passage)), (201, None), (202, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.report(df).collect()]
+    assert sorted(got) == brute_removed([(i, t or "") for i, t in rows], 35)
+
+
+def test_factors_are_greedy_and_refer_to_equal_words(spark, tmp_path):
+    """Factors: start, length and reference, the words there are equal, and a factor
+    could not have begun where the one before it ends and go on with it."""
+    rng = random.Random(12)
+    parts = [words(rng, 60) for _ in range(4)]
+    texts = [sum(parts, []), parts[1] + words(rng, 9) + parts[3] + parts[0], words(rng, 50), parts[2] + parts[3]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    keyed = substring._rows(df, "doc_id")
+    listed = substring.blocks(keyed)
+    listed.write.parquet(f"{tmp_path}/blocks")
+    listed = spark.read.schema(substring.BLOCKS).parquet(f"{tmp_path}/blocks")
+    substring._shared(listed, str(tmp_path)).write.parquet(f"{tmp_path}/shared")
+    shared = spark.read.schema(substring.SHARED).parquet(f"{tmp_path}/shared")
+    names = {r["__row"]: r.doc_id for r in keyed.collect()}
+    found = {names[r.row]: r for r in substring.parse(shared, str(tmp_path)).collect()}
+    assert 2 not in found and len(found) == 3
+    long_factors = 0
+    for i, r in found.items():
+        for start, length, ref, at in zip(r.starts, r.lengths, r.ref_rows, r.ref_starts):
+            assert length >= substring.WINDOW
+            assert texts[i][start : start + length] == texts[names[ref]][at : at + length]
+            long_factors += length > substring.WINDOW + 8
+        assert all(a < b for a, b in zip(r.starts, r.starts[1:]))
+    assert long_factors >= 2
+
+
 def brute_components(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
