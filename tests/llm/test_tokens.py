@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -190,3 +191,56 @@ def test_ids_beyond_the_width_are_an_error():
         with pytest.raises(ValueError, match="bits"):
             packed.pack(np.array([3, 2**width], np.uint32), width)
     assert packed.vocabulary_size(BYTES) == 50_257 and packed.vocabulary_size(WORDS) == 49_408
+
+
+@pytest.mark.parametrize("vocabulary", [WORDS, BYTES])
+def test_unbroken_stretches_are_taken_in_as_they_come(vocabulary, monkeypatch):
+    """Text without blanks beyond the limit, in any split: letters, digits, marks that
+    combine, contractions and special tokens at the edges of what is held."""
+    whole = Tokenizer.from_file(vocabulary)
+    v = bpe.Vocabulary(vocabulary)
+    rng = random.Random(9)
+    letters = ["a", "the", "'", "'s", "'re", "'r", "e", "日本", "é", "\u0301", "ก", "\u0e31", "\u1112\u1161\u11ab", "한", "1", "23", "!", "…", "İ"]
+    letters += ["<|endoftext|>", "<|", "|>", "\x1c", "ﬁ", "½", "_", "😀"]
+    for _ in range(150):
+        monkeypatch.setattr(bpe, "LIMIT", rng.choice([3, 20, 200]))
+        some = rng.sample(letters, rng.randint(1, 6)) + [" "] * (rng.random() < 0.4) + ["\n "] * (rng.random() < 0.2)
+        text = "".join(rng.choice(some) for _ in range(rng.randint(1, 500)))
+        encoder = bpe.Encoder(v)
+        encoder.window = rng.choice([encoder.window, max(64, v.lookahead + 8)])
+        size = rng.choice([1, 2, 7, 64])
+        got = list(encoder.encode(text[i : i + size] for i in range(0, len(text), size)))
+        assert got == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_merges_from_a_heap_are_the_same(monkeypatch):
+    v = bpe.Vocabulary(WORDS)
+    rng = random.Random(4)
+    for _ in range(60):
+        symbols = [rng.choice("abehistn") for _ in range(rng.randint(1, 120))]
+        monkeypatch.setattr(bpe, "LINEAR", 10**9)
+        plain = v.merged(list(symbols))
+        monkeypatch.setattr(bpe, "LINEAR", 0)
+        assert v.merged(list(symbols)) == plain
+
+
+def test_unbroken_text_takes_linear_time_and_bounded_memory():
+    digests = bpe._Digests(WORDS)
+    for unit in ("日本語", "ab", "a1!"):
+        spent = []
+        for n in (500_000, 1_000_000):
+            start = time.process_time()
+            digests.of((unit * n)[:n])
+            spent.append(time.process_time() - start)
+        assert spent[1] < 2.5 * spent[0] + 0.5
+    encoder = bpe.Encoder(digests.v)
+    most = 0
+
+    def chunks():
+        nonlocal most
+        for _ in range(200):
+            most = max(most, len(encoder.held))
+            yield "語" * 10_000
+
+    assert sum(1 for _ in encoder.encode(chunks())) > 10_000
+    assert most <= bpe.LIMIT + 2 * bpe.CHUNK
