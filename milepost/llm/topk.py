@@ -3,9 +3,9 @@
 A vector's components are dealt to ``SLICES`` lists; a list scores a vector by
 the inner product over its own components. The score is the sum over lists.
 
-1. Each list sends, per query, its k best vectors and its least score. The
-   vectors met are scored exactly; the k-th best of them is a safe cutoff: no
-   result can score less.
+1. Each list sends, per query, the best vectors of each of its blocks and its
+   least score. The HEADS best of a list are scored exactly; the k-th best of them
+   is a safe cutoff: no result can score less.
 2. Every list gets each query's cutoff. Counted from the lists' least scores, a
    vector that reaches the cutoff has at least 1/SLICES of it in some list, so
    each list sends all entries from there on.
@@ -40,6 +40,9 @@ from pyspark.sql import Window
 from milepost.session import scratch_path, ship_package
 
 SLICES = 2
+#: Vectors of a list's best that are scored exactly for the cutoff, at least k + 1:
+#: the more, the nearer it comes to the k-th best score, and the less is sent.
+HEADS = 64
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 4096
 
@@ -174,7 +177,7 @@ def search(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     local.write.parquet(f"{base}/local")
     local = spark.read.parquet(f"{base}/local")
     least = local.groupBy("query", "list").agg(F.min("least").alias("least"))
-    heads = _best(local, ["query", "list"], [F.desc("part"), F.col("vector")], keep).select("query", "vector").distinct()
+    heads = _best(local, ["query", "list"], [F.desc("part"), F.col("vector")], max(HEADS, keep)).select("query", "vector").distinct()
     # The cutoff counts ids, as a class of copies fills several ranks.
     met = _exact(heads, wanted, classes).join(classes.select(F.col("id").alias("vector"), F.size(F.filter("ids", lambda x: x["alone"])).alias("n")), "vector")
     running = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("score"), "vector"))
