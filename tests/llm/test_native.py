@@ -68,6 +68,19 @@ def test_pii_base_spans(spark, docs):
     want = sorted((str(i), digest(spans(PII, t))) for i, t in pairs(docs))
     got = pii.report(docs).collect()
     assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want
+    # All columns: counts of each kind, and all spans by kind, then start, the base ones as they are.
+    texts = {str(i): t for i, t in pairs(docs) if sum(j == i for j, _ in pairs(docs)) == 1}
+    for r in got:
+        if (text := texts.get(str(r.doc_id))) is None:
+            continue
+        found = spans(PII, text)
+        counts = Counter(k for k, _, _ in found)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in ("email", "ip", "card", "phone"))
+        every = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        order = [k.name for k in pii.KINDS]
+        assert every == sorted(every, key=lambda x: (order.index(x[0]), x[1]))
+        assert [x for x in every if x[0] in pii.BASE] == found
+        assert len(every) == len(found) + r.n_iban and len(r.scores.split(",")) == max(1, len(every))
     by_id = {r.doc_id: r for r in got}
     assert by_id[1010].n_email == 600
     assert by_id[1004].n_iban >= 1
@@ -91,6 +104,20 @@ def test_secret_base_spans(spark, docs):
         want.append((str(i), digest(found)))
     got = secrets.report(docs).collect()
     assert sorted((str(r.doc_id), r.base_sha256) for r in got) == sorted(want)
+    texts = {str(i): t for i, t in pairs(docs) if sum(j == i for j, _ in pairs(docs)) == 1}
+    for r in got:
+        if (text := texts.get(str(r.doc_id))) is None:
+            continue
+        found = spans(SECRETS, text)
+        counts = Counter(k for k, _, _ in found)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(counts[k] for k in ("assign", "access", "hex"))
+        every = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert [a for _, a, _ in every] == sorted(a for _, a, _ in every)
+        assert sorted(x for x in every if x[0] in order) == sorted(found)
+        named = {rule.kind: rule.pattern for rule in secrets.RULES}
+        for kind, a, b in every:
+            if kind not in order:
+                assert re.fullmatch(named[kind], text[a:b], re.ASCII), kind
     assert [x.split(":")[0] for x in {r.doc_id: r for r in got}[1009].spans.split(",")] == ["github", "hex", "slack", "pem"]
     assert secrets.report(empty(spark)).count() == 0
 
