@@ -85,6 +85,45 @@ LLM_ORACLES: dict[str, str] = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
         select query_id, "rank", vec_id, score from r where "rank" <= 5
     """,
+    "op3_substring_dedup": r"""
+        with d as (
+            select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents
+        ),
+        windows as (select r, i, array_to_string(ws[i:i + 34], ' ') s from (select r, ws, unnest(range(1, len(ws) - 33)) i from d)),
+        twice as (select s from windows group by s having count(*) > 1),
+        gone as (select distinct r, i + k place from windows join twice using (s), range(35) ks(k)),
+        words as (select r, unnest(range(1, len(ws) + 1)) place, unnest(ws) word from d),
+        kept as (
+            select r, string_agg(word, ' ' order by place) kept, count(*) n
+            from words anti join gone using (r, place) group by r
+        )
+        select doc_id, len(ws)::bigint n_words, (len(ws) - coalesce(n, 0))::bigint n_removed,
+               sha256(coalesce(kept, '')) kept_sha256
+        from d left join kept using (r)
+    """,
+    "op4_jaccard_join": r"""
+        with recursive d as (
+            select row_number() over () r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') ws
+            from documents
+        ),
+        shingles as (
+            select distinct r, array_to_string(ws[i:i + 4], ' ') s
+            from (select r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i from d where len(ws) > 0)
+        ),
+        sizes as (select r, count(*) n from shingles group by r),
+        common as (
+            select a.r x, b.r y, count(*) c from shingles a join shingles b on a.s = b.s and a.r <> b.r group by a.r, b.r
+        ),
+        links as (
+            select x, y from common join sizes p on p.r = x join sizes q on q.r = y where 100 * c >= 75 * (p.n + q.n - c)
+        ),
+        reached as (select r, r o from d union select reached.r, links.y from reached join links on reached.o = links.x),
+        least_id as (select reached.r, min(doc_id) component_id from reached join d on d.r = reached.o group by reached.r)
+        select doc_id, coalesce(n, 0)::bigint n_shingles, component_id
+        from d join least_id using (r) left join sizes using (r)
+    """,
     "op13_collocations": r"""
         with pieces as (
             select coalesce(lang, 'und') lang, row_number() over () doc, unnest(regexp_split_to_array(
