@@ -75,6 +75,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SHIPPED: set[str] = set()
 #: Most megabytes of an Arrow batch on its way to Python; a row stays whole.
 BATCH_MB = 8
+#: Most rows of a Parquet reader's batch.
+READER_ROWS = 256
 
 
 def _megabytes(size: str) -> float:
@@ -86,7 +88,7 @@ def _megabytes(size: str) -> float:
 def ship_package(spark: SparkSession) -> None:
     """Make ``milepost`` importable in Python workers (what ``--py-files``
     does): zip the package once per Spark application and ``addPyFile`` it; and
-    bound Arrow batches to BATCH_MB.
+    bound the batches of readers and Arrow, as these stages read whole texts.
 
     Every function that builds a Python stage (Arrow maps and groups of the
     training-data operators, the log reader) calls it, so a job needs nothing but
@@ -98,10 +100,14 @@ def ship_package(spark: SparkSession) -> None:
 
     import milepost
 
-    # Arrow buffers are outside the heap, one or two for each running task.
+    # Arrow buffers are outside the heap, one or two for each running task; a
+    # reader's batch holds whole texts on the heap, in arrays that double.
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if _megabytes(spark.conf.get(size)) > BATCH_MB:
         spark.conf.set(size, f"{BATCH_MB}m")
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(rows)) > READER_ROWS:
+        spark.conf.set(rows, str(READER_ROWS))
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
