@@ -15,7 +15,7 @@ Plan: rows are keyed by id and text hash; equal rows are one key with their numb
 3. K-mers, occurrence numbers and minima keep that partitioning.
 4. Fingerprints, which are narrow, meet those of their successors.
 Texts of a key that has more than a ``SHARE``-th of all rows are aggregated before
-they are shuffled. Nothing depends on the number of partitions.
+they are shuffled. The results don't depend on the number of partitions.
 
 Defined results: null text counts as empty; an empty text has no k-mer and the
 fingerprint of TUPLES zeros; a text of one word has one k-mer, and tuples of one.
@@ -40,6 +40,10 @@ POSITION_BITS = 31
 #: A key is frequent with more than OFTEN rows and more than such a share of all.
 SHARE = 10_000
 OFTEN = 1000
+#: Characters of texts that one task has on average, up to so many tasks; beyond
+#: them tasks grow, and their sorts go to disk.
+PART = 1 << 22
+MOST_PARTS = 50_000
 
 KEY = ["named", "id", "tie"]
 
@@ -138,7 +142,11 @@ def report(docs: DataFrame) -> DataFrame:
     keys = spark.read.schema("named boolean, id long, tie long, n_chars long, copies long, row long").parquet(f"{path}/keys")
     _successors(keys).write.parquet(f"{path}/links")
     links = spark.read.parquet(f"{path}/links")
-    total = links.agg(F.sum("copies")).first()[0] or 0
+    total, chars = links.agg(F.sum("copies"), F.sum("n_chars")).first()
+    total, chars = total or 0, chars or 0
+    # K-mers take many times the room of their text, so a task has few texts.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, min(-(-chars // PART), MOST_PARTS))
     # Less than SHARE keys.
     often = links.filter(F.col("copies") > max(OFTEN, total // SHARE)).select(*KEY)
     if not often.isEmpty():
@@ -147,11 +155,15 @@ def report(docs: DataFrame) -> DataFrame:
             several.groupBy(*KEY).agg(F.first("text").alias("text"))
         )
 
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, *KEY)
+
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    asks = links.select("next.*", F.struct(*KEY).alias("for"), quarter.alias("quarter"))
-    begun = _one_of_each(rows.join(asks, KEY))
-    begun = begun.select("for.*", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("following"))
-    own = _one_of_each(rows.join(links.select(*KEY, "n_chars", "copies", "next"), KEY)).join(begun, KEY)
+    texts = dealt(rows)  # the one shuffle of whole texts: both uses share it
+    asks = dealt(links.select("next.*", F.struct(*KEY).alias("for"), quarter.alias("quarter")))
+    begun = _one_of_each(texts.join(asks, KEY))
+    begun = dealt(begun.select("for.*", F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("following")))
+    own = _one_of_each(texts.join(dealt(links.select(*KEY, "n_chars", "copies", "next")), KEY)).join(begun, KEY)
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - quarter).cast("int"))
     again = F.concat(kept, F.substring(F.col("text"), F.lit(1), quarter))  # a copy follows
     full = own.withColumns(
