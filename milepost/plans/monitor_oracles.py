@@ -101,7 +101,7 @@ def _catalog_values() -> str:
     tasks = [("p0", t, "/insights_ico") for t in [*shared, "pickup-intent", "email-smart-reply", "message-generation", "email-generation"]]
     tasks += [("p1", t, own.get(t, "/insights_ico")) for t in [*shared, *own]]
     rows = ", ".join(
-        f"('{p}', '{t}', '{e}', '{'jupiter-1' if t == 'summarization' else 'jupiter-2'}', '{td.PROBE_TEXTS[t]}')"
+        f"('{p}', '{t}', '{e}', '{'model-a' if t == 'summarization' else 'model-b'}', '{td.PROBE_TEXTS[t]}')"
         for p, t, e in tasks
     )
     return f"cat(provider, task, endpoint, model, input_text) AS (VALUES {rows})"

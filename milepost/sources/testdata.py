@@ -402,7 +402,7 @@ def probe_records_from(ev: DataFrame) -> DataFrame:
 #: Success rules of the test providers.
 PROBE_RULES = {"p0": "status_and_error", "p1": "status_only"}
 
-# The probed tasks of each kind of service, their endpoint paths and models.
+# The probed tasks of each kind of service and their endpoint paths. The models are our own names.
 DEFAULT_ENDPOINT = "/insights_ico"
 TASK_ENDPOINTS = {
     "content-importance": "/content_importance_ico",
@@ -416,7 +416,7 @@ ROUTED_TASKS = [
     "message-improvisation",
     "email-improvisation",
 ]
-SUMMARY_MODEL, OTHER_MODEL = "jupiter-1", "jupiter-2"
+SUMMARY_MODEL, OTHER_MODEL = "model-a", "model-b"
 # Our own probe texts.
 PROBE_TEXTS = {
     "summarization": "Yesterday the team met to plan the spring release. They agreed on three features, moved the launch by one week and asked design for new screens.",
