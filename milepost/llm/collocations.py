@@ -52,9 +52,9 @@ GRAMS = (2, 3)
 #: Bits of the filter of frequent ones (16 MB as bits, 32 MB on their way).
 FILTER_BITS = 27
 #: Occurrences of a group's prefixes; a prefix is extended if it has more, and
-#: more than a SHARE-th of all. So less than SHARE prefixes are.
+#: more than a SHARE-th of all. So less than SHARE prefixes (8 MB) are broadcast.
 BUDGET = 500_000
-SHARE = 4096
+SHARE = 1 << 20
 #: Bytes of text worked on at a time; words or suffixes, and hashes, held between partial counts.
 SLAB = 1 << 20
 HELD = 200_000
@@ -233,6 +233,12 @@ def gram_filter(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted array ``some``."""
+    at = np.searchsorted(some, values)
+    return (at < len(some)) & (some[np.minimum(at, len(some) - 1)] == values) if len(some) else np.zeros(len(values), bool)
+
+
 LEAVES = "lang string, group int, depth int, suffixes array<string>, n array<long>"
 
 
@@ -291,7 +297,7 @@ def leaves(
             words = text.translate(_TO_BLANKS).split()
             join = b" ".join
             suffix = [join(words[i : i + m + 1]) for i, m in zip(start.tolist(), more[start].tolist())]
-            large = np.isin(hashes[0][start], extended)
+            large = _among(hashes[0][start], extended)
             by = np.where(large & (more[start] > 1), hashes[1][start], hashes[0][start]) % groups
             counts = held.setdefault(lang, Counter())
             counts.update(zip(by.tolist(), np.where(large, 3, 2).tolist(), suffix))
