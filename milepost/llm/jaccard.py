@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from milepost.llm.words import mix, slices, window_hashes, word_hashes
+from milepost.llm.words import mix, packed, slices, unpacked, window_hashes, word_hashes
 from milepost.session import scratch_path, ship_package
 
 SHINGLE = 5
@@ -164,16 +164,6 @@ def _elements(s: np.ndarray, bits: int) -> np.ndarray:
     return cut + (np.arange(len(cut)) - np.repeat(starts, runs)).astype(np.uint64)
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    """64-bit numbers, like bytes side by side: sorted ones compress, and so do zeros."""
-    return np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(columns: list[bytes]) -> np.ndarray:
-    each = [np.ascontiguousarray(np.frombuffer(c, np.uint16).reshape(4, -1).T).view(np.uint64).ravel() for c in columns]
-    return np.concatenate(each)
-
-
 def _cuts(by: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     """(part, start, end) of the parts that hold any of ``by`` (ascending), by its high half."""
     part = ((by >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -203,8 +193,8 @@ def prefix_keys(docs: DataFrame, parts: int, bits: int = 48) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([k for k, _, _ in cuts], pa.int32()),
-                    pa.array([_bytes(tokens[a:z]) for _, a, z in cuts], pa.binary()),
-                    pa.array([_bytes(owners[a:z]) for _, a, z in cuts], pa.binary()),
+                    pa.array([packed(tokens[a:z]) for _, a, z in cuts], pa.binary()),
+                    pa.array([packed(owners[a:z]) for _, a, z in cuts], pa.binary()),
                 ],
                 names=["part", "tokens", "owners"],
             )
@@ -224,7 +214,7 @@ def prefix_keys(docs: DataFrame, parts: int, bits: int = 48) -> DataFrame:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
-        tokens, owners = (_numbers(table.column(c).to_pylist()) for c in ("tokens", "owners"))
+        tokens, owners = (unpacked(table.column(c).to_pylist()) for c in ("tokens", "owners"))
         order = np.lexsort((owners, tokens))
         tokens, owners = tokens[order], owners[order]
         new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])])
@@ -237,11 +227,11 @@ def prefix_keys(docs: DataFrame, parts: int, bits: int = 48) -> DataFrame:
         order = np.argsort(owners, kind="stable")
         tokens, owners, n = tokens[order], owners[order], n[order]
         cuts = list(_cuts(owners, homes))
-        columns = [pa.array([_bytes(x[a:z]) for _, a, z in cuts], pa.binary()) for x in (tokens, owners, n)]
+        columns = [pa.array([packed(x[a:z]) for _, a, z in cuts], pa.binary()) for x in (tokens, owners, n)]
         return pa.table([pa.array([k for k, _, _ in cuts], pa.int32()), *columns], names=["home", "tokens", "owners", "n"])
 
     def choose(table: pa.Table) -> pa.Table:
-        tokens, owners, n = (_numbers(table.column(c).to_pylist()) for c in ("tokens", "owners", "n"))
+        tokens, owners, n = (unpacked(table.column(c).to_pylist()) for c in ("tokens", "owners", "n"))
         order = np.lexsort((tokens, n, owners))
         tokens, owners = tokens[order], owners[order]
         starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))

@@ -18,8 +18,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries of a memo; a full one is emptied.
-MEMO = 1_000_000
+#: Entries of a memo; a full one is emptied. A worker has up to three of them.
+MEMO = 300_000
 
 
 def tokenizer_path(name: str) -> str:
