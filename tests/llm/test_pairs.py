@@ -170,7 +170,7 @@ def test_elements_keep_a_set_s_size():
     assert len(set(e.tolist())) == len(s) and (e >> np.uint64(16)).tolist() == (s >> np.uint64(16)).tolist()
     part = jaccard._elements(s[[1, 2, 3, 7]], 48)
     assert len(set(part.tolist()) & set(e.tolist())) == 4
-    assert jaccard._numbers([jaccard._bytes(s[:3]), jaccard._bytes(s[3:])]).tolist() == s.tolist()
+    assert jaccard.unpacked([jaccard.packed(s[:3]), jaccard.packed(s[3:])]).tolist() == s.tolist()
 
 
 def test_prefix_keys_of_linking_sets_meet(spark):
