@@ -18,8 +18,10 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries of a memo; a full one is emptied. A worker has up to three of them.
-MEMO = 300_000
+#: Entries of a memo; a full one is emptied. Words without the blank before them
+#: repeat more, and the pipeline's workers hold other things, too.
+MEMO = 1_000_000
+WORD_MEMO = 300_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +55,8 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 class _Ids:
     """Ids of pieces as little-endian uint32 bytes, through the model alone."""
 
+    most = MEMO
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
@@ -71,7 +75,7 @@ class _Ids:
         if out is None:
             mapped = piece.encode().decode("latin-1").translate(self.letters)
             out = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.parts) >= MEMO:
+            if len(self.parts) >= self.most:
                 self.parts.clear()
             self.parts[piece] = out
         return out
@@ -80,12 +84,14 @@ class _Ids:
 class WordIds(_Ids):
     """For a vocabulary of lower-cased words that drops white space."""
 
+    most = WORD_MEMO
+
     def _learn(self, word: str) -> bytes:
         if _SAFE_WORD.fullmatch(word):
             out = b"".join([self.part(p) for p in _WORD_PIECES.findall(word.lower())])
         else:
             out = self.slow(word)
-        if len(self.memo) >= MEMO:
+        if len(self.memo) >= self.most:
             self.memo.clear()
         self.memo[word] = out
         return out
@@ -109,7 +115,7 @@ class ByteIds(_Ids):
             out = b"".join([self.part(p) for p in _BYTE_PIECES.findall(blank + unit)])
         else:
             out = self.slow(blank + unit)
-        if len(memo) >= MEMO:
+        if len(memo) >= self.most:
             memo.clear()
         memo[unit] = out
         return out
