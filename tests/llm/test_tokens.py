@@ -47,13 +47,13 @@ def test_lookahead_suffices():
     reach = bpe.lookahead(merges)
     v = bpe.Vocabulary.__new__(bpe.Vocabulary)
     v.rank, v.suffix, v.lookahead = {m: r for r, m in enumerate(merges)}, "", reach
-    e = bpe.Encoder.__new__(bpe.Encoder)
-    e.v = v
     rng = random.Random(5)
     for _ in range(400):
-        text = [rng.choice("ab") for _ in range(rng.randint(1, 60))]
-        e.window = reach + 2
-        assert list(e._stable(iter(text))) == v.merged(list(text))
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(1, 60)))
+        stream = bpe._Stable(v, reach + 2)
+        size = rng.randint(1, 7)
+        parts = [list(stream.push(text[i : i + size])) for i in range(0, len(text), size)]
+        assert sum(parts, []) + stream.end() == v.merged(list(text))
 
 
 def test_report(spark):
