@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 #: Entries of a memo; a full one is emptied. Words without the blank before them
 #: repeat more, and the pipeline's workers hold other things, too.
 MEMO = 1_000_000
-WORD_MEMO = 300_000
+WORD_MEMO = 600_000
 
 
 def tokenizer_path(name: str) -> str:
