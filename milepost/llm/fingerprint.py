@@ -48,13 +48,14 @@ MOST_PARTS = 50_000
 KEY = ["named", "id", "tie"]
 
 
-def _kmers(text: Column) -> Column:
-    """Hashes of the K-word windows in text order (the last ones end short)."""
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return F.transform(
-        F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b")),
-        lambda p: F.xxhash64(p["a"], p["b"]),
-    )
+def _kmers(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """``key``, pos and h: hashes of each row's K-word windows (the last one ends
+    short). No lambda: these run outside generated code, once a word. For a plain
+    posexplode Spark would split each text again, to drop those without words."""
+    words = F.array_remove(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), "")
+    split = rows.select(*key, words.alias("words"))
+    each = split.select(*key, "words", F.posexplode_outer("words").alias("pos", "word"))
+    return each.filter("pos is not null").select(*key, "pos", F.xxhash64("word", F.get("words", F.col("pos") + 1)).alias("h"))
 
 
 def minima(rows: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -62,7 +63,7 @@ def minima(rows: DataFrame, key: list[str], text: str) -> DataFrame:
 
     The rows' partitioning must keep a key's rows together; nothing is shuffled.
     """
-    each = rows.select(*key, F.posexplode(_kmers(F.col(text))).alias("pos", "h"))
+    each = _kmers(rows, key, text)
     numbered = each.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "h").orderBy("pos")))
     based = numbered.select(*key, "pos", F.xxhash64("h", "nth").alias("h"))
 

@@ -235,6 +235,14 @@ def test_a_key_with_most_rows_reaches_no_task_as_texts(spark, monkeypatch):
     assert out.count() == 3000 and out.select("fingerprint").distinct().count() == 501
 
 
+def test_words_are_split_once_and_hashed_without_lambdas(spark):
+    texts = spark.createDataFrame([(1, " a\tb a b "), (2, "x"), (3, "\n"), (4, "")], "k long, t string")
+    rows = fingerprint.minima(texts, ["k"], "t")
+    assert sorted(r.k for r in rows.collect()) == [1, 2]
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)
+    assert "lambda" not in below[1] and below[1].count("split(") == 1
+
+
 def test_fingerprint_follows_order(spark):
     a = " ".join(f"w{i}" for i in range(200))
     b = " ".join(f"w{i}" for i in [*range(100, 200), *range(100)])  # the same k-mers, but for two
