@@ -30,7 +30,7 @@ min-hashes) only spare comparisons with
 pivots (a pair that they rule out is met again in step 3), sizes and unions rule
 out pairs exactly; all others are compared by whole sets.
 Pairs inside a group are never made. Every step writes its table under
-spark.checkpoint.dir.
+spark.checkpoint.dir, in as many files as its rows need.
 
 Defined results: null or empty text has no set, links with nothing and is its
 own component; 1 to 4 words are one shingle; repeated rows are equal sets; a
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from milepost.llm.words import mix, packed, slices, unpacked, window_hashes, word_hashes
-from milepost.session import scratch_path, ship_package
+from milepost.session import few_files, scratch_path, ship_package
 
 SHINGLE = 5
 NEEDED = 75  # per cent of the union
@@ -67,6 +67,9 @@ SLAB = 1 << 20
 GATHERED = 1 << 20
 DEALT = 1 << 21
 PARTS = 512
+#: Shingles of sets, and pairs compared by whole sets, that are worth a file of their own.
+FILE_SHINGLES = 1 << 18
+FILE_PAIRS = 1 << 12
 
 _RANDOM = random.Random(20)
 _SALTS = [np.uint32(_RANDOM.getrandbits(32)) for _ in range(POOL)]
@@ -325,13 +328,14 @@ def components(spark: SparkSession, edges: DataFrame, base: str) -> DataFrame:
     label; the distance that labels travel doubles, so rounds are few.
     """
     edges = edges.filter("a <> b")
+    n = 2 * edges.count()  # no table of a round has more rows
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both.write.parquet(f"{base}/edges")
+    few_files(both, n).write.parquet(f"{base}/edges")
     both = spark.read.schema("a long, b long").parquet(f"{base}/edges")
     labels = both.groupBy(F.col("a").alias("set_id")).agg(F.least(F.col("set_id"), F.min("b")).alias("group"))
     schema, nth = "set_id long, group long", 0
     while True:
-        labels.write.parquet(f"{base}/labels{nth}")
+        few_files(labels, n).write.parquet(f"{base}/labels{nth}")
         labels = spark.read.schema(schema).parquet(f"{base}/labels{nth}")
         near = (
             both.join(labels.withColumnRenamed("set_id", "b"), "b")
@@ -339,7 +343,7 @@ def components(spark: SparkSession, edges: DataFrame, base: str) -> DataFrame:
             .agg(F.min("group").alias("near"))
         )
         new = labels.join(near, "set_id").select("set_id", F.least("group", "near").alias("group"))
-        new.write.parquet(f"{base}/next{nth}")
+        few_files(new, n).write.parquet(f"{base}/next{nth}")
         new = spark.read.schema(schema).parquet(f"{base}/next{nth}")
         jump = new.select(F.col("set_id").alias("group"), F.col("group").alias("further"))
         old = labels.select("set_id", F.col("group").alias("old"))
@@ -365,22 +369,23 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     )
-    classes.write.parquet(f"{base}/classes")
+    n_docs, total = signed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    few_files(classes, n_docs).write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
-    total = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    prefix_keys(docs, max(PARTS, total // DEALT), _kept_bits(total)).write.parquet(f"{base}/prefixes")
+    keys = prefix_keys(docs, max(PARTS, total // DEALT), _kept_bits(total))
+    few_files(keys, total, FILE_SHINGLES).write.parquet(f"{base}/prefixes")
     prefixes = spark.read.schema("set_id long, key long, nth int, shared int").parquet(f"{base}/prefixes")
     each = prefixes.join(classes.select("set_id", "n"), "set_id")
     each = each.filter(F.expr(f"nth <= shared + 1 - ({NEEDED} * n + 99) div 100")).select("set_id", "key")
     pivots = each.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"))
     keyed = each.join(pivots.filter("pivot <> last"), "key").select("set_id", "key", "pivot")
-    keyed.write.parquet(f"{base}/keyed")
+    few_files(keyed, prefixes.count()).write.parquet(f"{base}/keyed")
     keyed = spark.read.parquet(f"{base}/keyed")
+    n_keyed = keyed.count()
 
     # Whole sets are fetched once, for documents that a key proposes.
-    _sets(docs, classes.join(keyed.select("set_id").distinct(), "set_id").select("set_id", "doc_id")).dropDuplicates(
-        ["set_id"]
-    ).write.parquet(f"{base}/sets")
+    sets = _sets(docs, classes.join(keyed.select("set_id").distinct(), "set_id").select("set_id", "doc_id"))
+    few_files(sets.dropDuplicates(["set_id"]), total, FILE_SHINGLES).write.parquet(f"{base}/sets")
     sets = spark.read.schema(SETS).parquet(f"{base}/sets")
     # Of the pivots of its keys, a document is compared with those that it meets most often.
     # A document has a quarter of its shingles as proposals at most: one exchange serves count, window and join.
@@ -388,9 +393,10 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
     counted = proposed.repartition("a").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     often = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     nearest = counted.withColumn("nth", F.row_number().over(often)).filter(F.col("nth") <= NEAREST).drop("n")
-    nearest.write.parquet(f"{base}/nearest")
+    few_files(nearest, n_keyed).write.parquet(f"{base}/nearest")
     nearest = spark.read.schema("a long, b long, nth int").parquet(f"{base}/nearest")
-    _links(_likely(nearest.select("a", "b"), sets), sets).write.parquet(f"{base}/links")
+    verified = _links(_likely(nearest.select("a", "b"), sets), sets)
+    few_files(verified, nearest.count(), FILE_PAIRS).write.parquet(f"{base}/links")
     links = spark.read.schema("a long, b long").parquet(f"{base}/links")
     groups = components(spark, links, f"{base}/groups")
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
@@ -405,7 +411,7 @@ def linked_classes(docs: DataFrame, signed: DataFrame, base: str) -> DataFrame:
         "set_id", "key", "group", F.coalesce("size", F.lit(1)).cast("long").alias("size"),
         F.coalesce("area", "set_id").alias("area"),  # a pivot that nobody meets most often is an area of its own
     )
-    shared.write.parquet(f"{base}/shared")
+    few_files(shared, n_keyed).write.parquet(f"{base}/shared")
     shared = spark.read.schema("set_id long, key long, group long, size long, area long").parquet(f"{base}/shared")
     _asked(shared, groups, sizes, areas, sets, base)
     asked = spark.read.schema("a long, block long, lot int").parquet(f"{base}/asked")
@@ -438,9 +444,10 @@ def _asked(shared: DataFrame, groups: DataFrame, sizes: DataFrame, areas: DataFr
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / TOKENS)).alias("cuts")
     )
     cut = F.pmod(F.xxhash64("set_id"), F.col("cuts"))
-    members.join(cuts, ["area", "unit"]).select(
+    stored = members.join(cuts, ["area", "unit"]).select(
         "set_id", "n", "size", "group", "area", F.xxhash64("area", "unit", cut).alias("block")
-    ).write.parquet(f"{base}/blocks")
+    )
+    few_files(stored, sets.count()).write.parquet(f"{base}/blocks")
     stored = spark.read.schema(BLOCKS + ", area long").parquet(f"{base}/blocks")
 
     at = F.struct("size", "group")
@@ -458,7 +465,8 @@ def _asked(shared: DataFrame, groups: DataFrame, sizes: DataFrame, areas: DataFr
     asks = spark.read.schema("a long, a_n int, block long").parquet(f"{base}/asks")
     lots = asks.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / LOT, F.sum("a_n") / TOKENS)).alias("lots"))
     lot = F.pmod(F.xxhash64("a", "block"), F.col("lots")).cast("int")
-    asks.join(lots, "block").select("a", "block", lot.alias("lot")).write.parquet(f"{base}/asked")
+    asked = asks.join(lots, "block").select("a", "block", lot.alias("lot"))
+    few_files(asked, asks.count()).write.parquet(f"{base}/asked")
 
 
 def _common(query: np.ndarray, tokens: np.ndarray) -> int:

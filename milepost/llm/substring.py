@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from milepost.llm.words import mix, slices, window_hashes, word_hashes
-from milepost.session import scratch_path, ship_package
+from milepost.session import few_files, scratch_path, ship_package
 
 WINDOW = 35
 GRAM = 8
@@ -166,22 +166,25 @@ def _shared(listed: DataFrame, path: str) -> DataFrame:
         .filter("n > 1")
         .select("anchor", "n", (F.col("low") != F.col("high")).alias("edge"))
     )
-    index.write.parquet(f"{path}/index")
-    index = spark.read.schema("anchor long, n long, edge boolean").parquet(f"{path}/index")
     total = listed.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    return _met(each, index, ["anchor"], total).select("row", "anchor", "block", "start", "count", "edge")
+    few_files(index, total // 2).write.parquet(f"{path}/index")
+    index = spark.read.schema("anchor long, n long, edge boolean").parquet(f"{path}/index")
+    met = _met(each, index, ["anchor"], total).select("row", "anchor", "block", "start", "count", "edge")
+    return few_files(met, total)
 
 
 def parse(shared: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """FACTORS of every row with shared blocks (a written table): the greedy
     parse, and the blocks at its boundaries whose windows are to be checked;
     ``edge_known`` if these are known to occur again and only serve others."""
-    shared.groupBy("anchor", "block").agg(
+    total = shared.count()
+    contents = shared.groupBy("anchor", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("row").alias("ref_row"), F.min_by("start", "row").alias("ref_start")
-    ).write.parquet(f"{path}/contents")
+    )
+    few_files(contents, total).write.parquet(f"{path}/contents")
     kinds = "anchor long, block long, n long, ref_row long, ref_start int"
     contents = shared.sparkSession.read.schema(kinds).parquet(f"{path}/contents")
-    marked = _met(shared, contents, ["anchor", "block"], shared.count())
+    marked = _met(shared, contents, ["anchor", "block"], total)
     mark = F.struct("start", "count", "edge", (F.col("n") > 1).alias("again"), "ref_row", "ref_start")
     rows = marked.groupBy("row").agg(F.array_sort(F.collect_set(mark)).alias("m"))  # as many as a text has blocks
 
@@ -201,7 +204,7 @@ def parse(shared: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), *_lists(*out, kinds=kinds)], names=names)
 
     split = rows.select("row", *(F.col(f"m.{c}").alias(c) for c in ("start", "count", "edge", "again", "ref_row", "ref_start")))
-    return split.mapInArrow(run, FACTORS)
+    return few_files(split.mapInArrow(run, FACTORS), total)
 
 
 def _factors(
@@ -291,10 +294,11 @@ def _parsed(docs: DataFrame, rows: DataFrame, window: int, gram: int) -> tuple[D
     windows = stored(_windows(salted.drop("many"), spread, window), "windows", WINDOWS)
     # A repeated row lists its windows twice, which is right: they do occur twice.
     counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counts = stored(counts, "counts", "hash long, n long")
+    n_windows = windows.count()
+    counts = stored(few_files(counts, n_windows // 2), "counts", "hash long, n long")
     asked = windows.filter("not known").select("row", "place", "hash")
-    repeated = _met(asked, counts, ["hash"], windows.count()).groupBy("row").agg(F.collect_set("place").alias("places"))
-    repeated = stored(repeated, "repeated", "row long, places array<int>")
+    repeated = _met(asked, counts, ["hash"], n_windows).groupBy("row").agg(F.collect_set("place").alias("places"))
+    repeated = stored(few_files(repeated, n_windows), "repeated", "row long, places array<int>")
 
     decided = factors.select("row", "starts", "lengths").join(repeated, "row", "left")
     decided = decided.join(F.broadcast(many), "row", "left").withColumn("__salt", F.explode(salts))

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
 
@@ -72,6 +72,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows that are worth a file of their own, in narrow tables.
+FILE_ROWS = 1 << 16
+
+
+def few_files(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows (an upper bound of what it
+    holds) fill with ``each``, and one for each core at least.
+
+    Many partitions of few rows make a file each, and on a local or mounted path
+    Hadoop starts a process (``chmod``) for every file and its checksum.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 _SHIPPED: set[str] = set()
 #: Most megabytes of an Arrow batch on its way to Python; a row stays whole.
 BATCH_MB = 8

@@ -240,6 +240,35 @@ def test_rows_of_one_id_are_kept_apart(spark):
     assert got == sorted([(3, a), (5, b), (None, c), (7, ""), (7, None), (8, " ")], key=str)
 
 
+def test_small_tables_are_few_files(spark, monkeypatch, tmp_path):
+    """However many partitions a shuffle has: Hadoop starts a process for every local file."""
+    rng = random.Random(8)
+    texts = [words(rng, 80, "abcdefgh", 3) for _ in range(120)]
+    # Copies that differ by a word, and ones that share a passage.
+    rows = [(4 * i + k, " ".join([*t[:40], f"w{k}", *t[40:]])) for i, t in enumerate(texts) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for module in (jaccard, substring):
+        monkeypatch.setattr(module, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.report(df).collect()}
+        removed = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.report(df).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 4 * 4 for i, _ in rows}
+    assert sorted(removed) == brute_removed(rows, 35)
+    files = Counter(str(f.parent.relative_to(tmp_path)) for f in tmp_path.rglob("part-*.parquet"))
+    most = spark.sparkContext.defaultParallelism
+    small = {f"jaccard/{t}" for t in "classes prefixes keyed sets nearest links groups/edges groups/labels0 areas/next0 shared blocks asked".split()}
+    small |= {f"substring/{t}" for t in "index shared contents factors counts repeated".split()}
+    assert small <= set(files)
+    assert {t: n for t, n in files.items() if t in small and n > most} == {}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.3, 6).astype("float32").tolist()) for i in range(300)]
