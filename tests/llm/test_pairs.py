@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -317,6 +318,62 @@ def test_top_k_counts_rows_that_repeat(spark):
     assert len([r for r in top(spark, own) if r[0] == 0]) == 5
 
 
+def test_top_k_broadcasts_no_blocks(spark, monkeypatch):
+    """Vectors and blocks are never sent through the driver, however small Spark takes them to be."""
+    plans = []
+    write = DataFrameWriter.parquet
+
+    def watched(self, *rest, **more):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *rest, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 8)
+    rows = [(i, np.random.default_rng(i).integers(-9, 10, 4).tolist()) for i in range(300)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    found = topk.search(df, F.col("vec_id") % 50 == 0)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, found.collect())) == brute_top(rows)
+    assert len(plans) > 4 and not [x for x in plans if "Broadcast" in x]
+
+
+@pytest.mark.parametrize("least", [1, 1 << 10, 1 << 14])
+def test_top_k_over_blocks_and_groups(spark, monkeypatch, least):
+    """Several blocks and groups of either side; products beyond what floats hold exactly; unlike lengths."""
+    for name, value in (("QUERY_BLOCK", 2), ("VECTOR_BLOCK", 16), ("GROUP", 3), ("CELLS", 1)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(least)
+    rows = [(i, (rng.integers(-99, 100, 7) * least + rng.integers(0, 2, 7)).tolist()) for i in range(0, 400, 2)]
+    rows += [(i, x) for i, (_, x) in zip(range(1, 60, 2), rows)] + [(450 + 50 * i, rows[i][1]) for i in range(3)] + rows[:9]
+    short = [(999, [99 * least]), (1000, [1, 2, 3])]
+    whole = [(i, x + [0] * (7 - len(x))) for i, x in rows + short]
+    assert top(spark, rows + short) == brute_top(whole)
+
+
+def test_top_k_scores_beyond_64_bits(spark):
+    rows = [(i, [float(1 << 28), float(i)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)beyond 64 bits|overflow"):
+        topk.search(df, F.col("vec_id") % 50 == 0).collect()
+
+
+def test_top_k_drops_only_what_is_behind(spark):
+    """What a cell leaves out has k + 1 leads ahead of it; the rest stays."""
+    rng = np.random.default_rng(3)
+    n, keep = 500, 6
+    found = [rng.integers(0, 5, n), rng.permutation(n), rng.integers(0, 9, n), rng.integers(0, 40, n), rng.integers(0, 2, n)]
+    kept = topk._foremost([[x[:200] for x in found], [x[200:] for x in found]], keep)
+    want = []
+    for q in range(5):
+        leads = 0
+        for row in sorted((-s, i, v, lead) for a, v, s, i, lead in zip(*found) if a == q):
+            if leads < keep:
+                want.append((q, row[2]))
+            leads += row[3]
+    assert list(zip(kept[0], kept[1])) == want
+
+
 def test_quality_of_held_out_documents(spark):
     out = LLM_QUERIES["op1_quality"](spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
